@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelweave.llm import html, packing, sharding, tokencount, urls
+from panelweave.llm import html, jaccard, packing, sharding, tokencount, urls
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,6 +32,10 @@ def op3_shard(spark, sf_dir):
     return sharding.shard_digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard(spark, sf_dir):
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark, sf_dir):
     return urls.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -40,5 +44,5 @@ def op10_html_extract(spark, sf_dir):
     return html.extract_digest(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_token_counts, op3_shard, op8_url_filter, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_token_counts, op3_shard, op4_jaccard, op8_url_filter, op10_html_extract)}
 ORACLE: dict[str, str] = {}
