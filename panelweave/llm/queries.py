@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelweave.llm import html, jaccard, packing, sharding, tokencount, urls
+from panelweave.llm import decontaminate, grading, html, jaccard, packing, quality, secrets, sharding, tokencount, urls
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,13 +36,39 @@ def op4_jaccard(spark, sf_dir):
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark, sf_dir):
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_quality_classifier(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return grading.grade_documents(docs, labels).select("doc_id", "expected_grade", "tail_probability", "kept")
+
+
+def op7_secret_scan(spark, sf_dir):
+    return secrets.scan_digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark, sf_dir):
     return urls.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_decontaminate(spark, sf_dir):
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_html_extract(spark, sf_dir):
     return html.extract_digest(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_token_counts, op3_shard, op4_jaccard, op8_url_filter, op10_html_extract)}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pack, op2_token_counts, op3_shard, op4_jaccard, op5_quality_rules, op6_quality_classifier, op7_secret_scan, op8_url_filter, op9_decontaminate, op10_html_extract, pipeline)
+}
 ORACLE: dict[str, str] = {}
