@@ -1 +1 @@
-"""Part of panelweave."""
+"""Scalar functions: time, time ranges of imports, validation."""

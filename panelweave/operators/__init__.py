@@ -1 +1 @@
-"""Part of panelweave."""
+"""Spark operators of panels: cutting, combining, merging, sampling, consolidating."""

@@ -1 +1 @@
-"""Part of panelweave."""
+"""Files in and out."""

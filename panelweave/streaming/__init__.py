@@ -1 +1 @@
-"""Part of panelweave."""
+"""Reserved: panels are finite tables in and out, so there is nothing to stream."""
