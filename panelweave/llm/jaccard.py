@@ -7,8 +7,9 @@ the result is the connected components of all links. The links are found without
    last in the order of shingles that follows, which is what keeps common passages cheap. Any order is exact.
 2. Sets that link share a shingle among their first ``n - ceil(t n) + 1`` ones in that order, so those shingles deal
    the nodes into blocks.
-3. In each block every node is first held against the block's least node. What links joins components.
-4. Where a block still holds several components, its nodes are points (how many shingles fall into each of 64 hash
+3. In a few rounds every component is held against the one that is least in most of its blocks, by one pair of nodes;
+   what links is joined. This is linear in the input and takes in the groups of near copies.
+4. Where a block still holds several components, its nodes are points (how many shingles fall into each of 256 hash
    groups) in an R-tree. The summed coordinate minima of two points, or of two boxes' upper corners, bound the overlap
    of all pairs below them; boxes of one component are skipped. Large blocks are dealt as pairs of chunks.
 5. Surviving pairs are verified on their whole texts, and a last round of components follows.
@@ -27,16 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import written
 
-GROUPS = 64  # coordinates of a count vector
+GROUPS = 256  # coordinates of a count vector
+ROUNDS = 3  # of joining components by single pairs
 CHUNK = 512  # points of a block that are searched together
 LEAF = 16  # points in an R-tree leaf
-FREQUENT_AT_MOST = 1_000_000  # shingles noted as frequent: 8 MB
+FREQUENT_AT_MOST = 2_000_000  # shingles noted as frequent: 16 MB
 BROADCAST_IDS = 500_000  # ids that a broadcast may hold: 4 MB
 MEMBERS = 256  # texts verified against one copy of a centre's text
 
@@ -50,32 +53,81 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_WORDLY = np.ones(256, bool)
+_WORDLY[[0x20, *range(0x09, 0x0E)]] = False
+SLICE = 1 << 20  # bytes hashed together
+
+
 class Shingler:
-    """text -> its distinct shingles as ascending 64-bit hashes; word hashes are remembered in a bounded table."""
+    """UTF-8 texts -> their distinct shingles as ascending 64-bit hashes, many texts at a time.
 
-    def __init__(self, width: int = 5, remembered: int = 500_000):
-        self.width, self.remembered, self.words = width, remembered, {}
+    A word's hash is the difference of two prefix sums of its bytes times powers of an odd number, shifted to the
+    word's start by the inverse powers; a shingle's hash combines those of its words.
+    """
+
+    def __init__(self, width: int = 5):
+        self.width, self.powers, self.inverses = width, np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _grow(self, many: int) -> None:
+        if many > len(self.powers):
+            inverse = np.uint64(pow(int(_M1), -1, 1 << 64))
+            for name, base in (("powers", _M1), ("inverses", inverse)):
+                setattr(self, name, np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(many - 1, base, np.uint64))]))
+
+    def of(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """The shingles of the texts data[bounds[i]:bounds[i + 1]]."""
+        out: list[np.ndarray] = []
+        first = 0
+        while first < len(bounds) - 1:
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + SLICE, "right")) - 1)
+            out += self._slice(data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
+            first = last
+        return out
+
+    def _slice(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        texts, width = len(bounds) - 1, self.width
+        self._grow(max(len(data), 1 << 16))
+        inside = _WORDLY[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[bounds] = True
+        before = np.concatenate([[False], inside[:-1]]) & ~edge[:-1] if len(data) else inside
+        after = np.concatenate([inside[1:], [False]]) & ~edge[1:] if len(data) else inside
+        starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], dtype=np.uint64)])
+        words = _mix((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64) * _M3)
+        at = np.searchsorted(starts, bounds)  # the first word of each text
+        counts = np.diff(at)
+        out = [np.empty(0, np.uint64)] * texts
+        if len(words) >= width:
+            rolled = np.zeros(len(words) - width + 1, np.uint64)
+            for k in range(width):
+                rolled = rolled * _M1 + words[k : k + len(rolled)]
+            rolled = _mix(rolled + np.uint64(width))
+        for i in np.flatnonzero(counts):
+            if counts[i] >= width:
+                found = np.sort(rolled[at[i] : at[i + 1] - width + 1])
+                keep = np.empty(len(found), bool)
+                keep[0] = True
+                np.not_equal(found[1:], found[:-1], out=keep[1:])
+                out[i] = found if keep.all() else found[keep]
+            else:
+                whole = np.zeros(1, np.uint64)
+                for word in words[at[i] : at[i + 1]]:
+                    whole = whole * _M1 + word
+                out[i] = _mix(whole + np.uint64(counts[i]))
+        return out
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The shingles of an Arrow column of texts; nulls have none."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        _, offsets, data = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8)
+        return self.of(np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8), bounds)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.words
-        try:
-            hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > self.remembered:
-                known.clear()
-            for word in words:
-                if word not in known:
-                    known[word] = xxhash.xxh3_64_intdigest(word)
-            hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        many = max(1, len(words) - self.width + 1)
-        rolled = np.zeros(many, np.uint64)
-        for k in range(min(self.width, len(words))):
-            rolled = rolled * _M1 + hashes[k : k + many]
-        rolled += np.uint64(min(self.width, len(words)))
-        return np.unique(_mix(rolled))
+        return self.batch(pa.array([text], pa.string()))[0]
 
 
 def set_keys(shingles: np.ndarray) -> tuple[int, int]:
@@ -86,8 +138,8 @@ def set_keys(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    """How many shingles fall into each group; 65535 stands for any number from there on."""
-    return np.minimum(np.bincount((shingles >> np.uint64(7)).astype(np.int64) % GROUPS, minlength=GROUPS), 65535).astype(np.uint16)
+    """How many shingles fall into each group; 255 stands for any number from there on."""
+    return np.minimum(np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
 
 
 def enough(common, size_a, size_b, percent: int):
@@ -99,7 +151,7 @@ def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The most that sets with these count vectors can share (last axis: coordinates)."""
     least = np.minimum(a, b)
     total = least.sum(-1, dtype=np.int64)
-    return np.where((least == 65535).any(-1), np.int64(1) << 40, total)
+    return np.where((least == 255).any(-1), np.int64(1) << 40, total)
 
 
 def tree_pairs(points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, sides: np.ndarray, cross: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,24 +215,26 @@ class Join:
         """Kind 0: doc_id, n, and the keys of its set. Kind 1: a shingle (key) seen n times in one part of the input."""
         width = self.width
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, seen, held, many = Shingler(width), set(), [], 0
 
-            def repeated() -> pd.DataFrame:
+            def rows(kind: int, doc: pa.Array, n, key, other) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), doc, pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(other, pa.int64())], ["kind", "doc_id", "n", "key", "other"])
+
+            def repeated() -> pa.RecordBatch:
                 every = np.sort(np.concatenate(held))
                 starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
                 counts = np.diff(np.append(starts, len(every)))
                 often = counts >= 2
-                return pd.DataFrame({"kind": 1, "doc_id": None, "n": counts[often], "key": every[starts][often].astype(np.int64), "other": 0}).astype({"doc_id": "Int64"})
+                key = every[starts][often].astype(np.int64)
+                return rows(1, pa.nulls(len(key), pa.int64()), counts[often], key, np.zeros(len(key), np.int64))
 
             for batch in batches:
-                rows = []
-                for doc, text in zip(batch["doc_id"], batch["text"]):
-                    found = shingles(text)
-                    key, other = set_keys(found) if len(found) else (0, 0)
-                    rows.append((0, doc, len(found), key, other))
-                    if len(found) and key not in seen:
-                        seen.add(key)
+                keys = []
+                for found in shingles.batch(batch.column("text")):
+                    keys.append((len(found), *(set_keys(found) if len(found) else (0, 0))))
+                    if len(found) and keys[-1][1] not in seen:
+                        seen.add(keys[-1][1])
                         held.append(found)
                         many += len(found)
                     if many > 2_000_000:
@@ -188,15 +242,15 @@ class Join:
                         held, many = [], 0
                     if len(seen) > 2_000_000:
                         seen.clear()
-                yield pd.DataFrame(rows, columns=["kind", "doc_id", "n", "key", "other"]).astype({"doc_id": "Int64"})
+                yield rows(0, batch.column("doc_id"), *(np.array(keys, np.int64).reshape(-1, 3).T))
             if held:
                 yield repeated()
 
-        return written(self.docs.mapInPandas(scan, "kind int, doc_id long, n long, key long, other long"), "profile")
+        return written(self.docs.mapInArrow(scan, "kind int, doc_id long, n long, key long, other long"), "profile")
 
     def frequent(self, profile: DataFrame) -> np.ndarray:
-        """The shingles to rank last, ascending: those noted most often, from 16 times on, and at most a fixed number."""
-        noted = profile.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 16")
+        """The shingles to rank last, ascending: those noted most often, and at most a fixed number."""
+        noted = profile.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n"))
         noted = written(noted, "noted")
         level = F.floor(F.log2("n")).cast("int")
         steps = sorted(noted.groupBy(level.alias("level")).count().collect(), reverse=True)
@@ -214,12 +268,11 @@ class Join:
         width, percent = self.width, self.percent
         last = self.spark.sparkContext.broadcast(frequent)
 
-        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, seen, late = Shingler(width), set(), last.value
             for batch in batches:
                 rows = []
-                for text in batch["text"]:
-                    found = shingles(text)
+                for found in shingles.batch(batch.column("text")):
                     if not len(found):
                         continue
                     node = node_of(*set_keys(found), doubtful)
@@ -228,18 +281,19 @@ class Join:
                     seen.add(node)
                     n = len(found)
                     take = n - (percent * n + 99) // 100 + 1
+                    first = found[:take]
                     if len(late):
-                        at = np.searchsorted(late, found)
-                        often = late[np.minimum(at, len(late) - 1)] == found
+                        often = late[np.minimum(np.searchsorted(late, found), len(late) - 1)] == found
                         first = np.concatenate([found[~often], found[often]])[:take]
-                    else:
-                        first = found[:take]
                     rows.append((node, n, count_vector(found).tobytes(), first.astype(np.int64)))
                     if len(seen) > 2_000_000:
                         seen.clear()
-                yield pd.DataFrame(rows, columns=["node", "n", "vector", "prefix"])
+                columns = list(zip(*rows)) or [(), (), (), ()]
+                lengths = np.array([len(x) for x in columns[3]], np.int64)
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate([*columns[3], np.empty(0, np.int64)]).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), prefix], ["node", "n", "vector", "prefix"])
 
-        return written(self.docs.select("text").mapInPandas(deal, "node long, n long, vector binary, prefix array<long>"), "blocks")
+        return written(self.docs.select("text").mapInArrow(deal, "node long, n long, vector binary, prefix array<long>"), "blocks")
 
     def bounded(self, pairs: DataFrame, vectors: DataFrame) -> DataFrame:
         """The pairs (a, b) that sizes and count vectors don't rule out."""
@@ -247,8 +301,8 @@ class Join:
 
         @F.pandas_udf("boolean")
         def possible(na: pd.Series, va: pd.Series, nb: pd.Series, vb: pd.Series) -> pd.Series:
-            a = np.frombuffer(b"".join(va), np.uint16).reshape(-1, GROUPS)
-            b = np.frombuffer(b"".join(vb), np.uint16).reshape(-1, GROUPS)
+            a = np.frombuffer(b"".join(va), np.uint8).reshape(-1, GROUPS)
+            b = np.frombuffer(b"".join(vb), np.uint8).reshape(-1, GROUPS)
             return pd.Series(enough(np.minimum(bound(a, b), np.minimum(na, nb)), na.to_numpy(), nb.to_numpy(), percent))
 
         left = vectors.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"))
@@ -271,26 +325,39 @@ class Join:
         tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
         dealt = members.unionByName(centres).repartition(tasks, "b", "part").sortWithinPartitions("b", "part", "member")
 
-        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, centre = Shingler(width), None
             for batch in batches:
                 rows = []
-                for b, member, a, text in zip(batch["b"], batch["member"], batch["a"], batch["text"]):
-                    found = shingles(text)
+                for b, member, a, found in zip(batch.column("b").to_pylist(), batch.column("member").to_pylist(), batch.column("a").to_pylist(), shingles.batch(batch.column("text"))):
                     if not member:
                         centre = found
                     elif enough(len(np.intersect1d(found, centre, assume_unique=True)), len(found), len(centre), percent):
                         rows.append((a, b))
-                yield pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        return written(dealt.mapInPandas(compare, "a long, b long"), "links")
+        return written(dealt.mapInArrow(compare, "a long, b long"), "links")
 
-    def residual(self, dealt: DataFrame, labels: DataFrame, vectors: DataFrame) -> DataFrame:
-        """Pairs of different components within one block that count vectors don't rule out. dealt: shingle, node."""
+    def mixed(self, dealt: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """The rows (shingle, node, comp) of blocks that hold several components. dealt: shingle, node."""
+        if labels is None:
+            return dealt.withColumn("comp", F.col("node"))
+        labelled = written(dealt.join(labels, "node", "left").select("shingle", "node", F.coalesce("label", "node").alias("comp")), "labelled")
+        several = labelled.groupBy("shingle").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("shingle")
+        return written(labelled.join(several, "shingle"), "mixed")
+
+    def nominated(self, rows: DataFrame) -> DataFrame:
+        """For each component one pair (a, b) with the component that is least in most of its blocks."""
+        least = rows.groupBy("shingle").agg(F.min(F.struct("comp", "node")).alias("_least"))
+        held = rows.join(least, "shingle").where("comp != _least.comp").select("comp", F.col("_least.comp").alias("to"), "node", F.col("_least.node").alias("other"))
+        votes = held.groupBy("comp", "to").agg(F.count("*").alias("n"), F.min(F.struct("node", "other")).alias("pair"))
+        best = votes.groupBy("comp").agg(F.max(F.struct("n", "to", "pair")).alias("best"))
+        return best.select(F.col("best.pair.node").alias("a"), F.col("best.pair.other").alias("b"))
+
+    def residual(self, labelled: DataFrame, vectors: DataFrame) -> DataFrame:
+        """Pairs of different components within one block that count vectors don't rule out."""
         percent = self.percent
-        labelled = dealt.join(labels, "node", "left").select("shingle", "node", F.coalesce("label", "node").alias("comp"))
-        labelled = written(labelled, "labelled")
-        mixed = labelled.groupBy("shingle").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_many")).where("_lo != _hi").select("shingle", F.ceil(F.col("_many") / CHUNK).alias("_chunks"))
+        mixed = labelled.groupBy("shingle").agg(F.ceil(F.count("*") / CHUNK).alias("_chunks"))
         points = labelled.join(mixed, "shingle").join(vectors, "node")
         own = points.withColumn("side", F.pmod(F.xxhash64("node"), F.col("_chunks")))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))
@@ -301,7 +368,7 @@ class Join:
 
         def pairs_of(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
             many, cross = np.diff(np.append(starts, len(frame))), (frame["i"] != frame["j"]).to_numpy()[starts]
-            points = np.frombuffer(b"".join(frame["vector"]), np.uint16).reshape(-1, GROUPS)
+            points = np.frombuffer(b"".join(frame["vector"]), np.uint8).reshape(-1, GROUPS)
             nodes, sizes, comps, sides = (frame[c].to_numpy() for c in ("node", "n", "comp", "side"))
             found = []
             for size in range(2, LEAF + 1):
@@ -344,16 +411,25 @@ class Join:
         blocks = self.blocks(self.frequent(profile), doubtful)
         vectors = blocks.groupBy("node").agg(F.first("n").alias("n"), F.first("vector").alias("vector"))
         each = blocks.select("node", F.explode("prefix").alias("shingle"))
-        least = each.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("_most")).where("least != _most").drop("_most")
-        dealt = written(each.join(least, "shingle"), "dealt")
-        starred = written(dealt.where("node != least").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).count().drop("count"), "starred")
-        links = self.verified(self.bounded(starred, vectors), classes)
-        labels = components(links)
-        more = self.residual(dealt.select("shingle", "node").distinct(), labels, vectors)
-        more = written(more.join(starred, ["a", "b"], "left_anti"), "more")
+        several = each.groupBy("shingle").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo != _hi").select("shingle")
+        shared = written(each.join(several, "shingle"), "dealt")
+        links, labels = None, None
+        for _ in range(ROUNDS):
+            shared = self.mixed(shared.select("shingle", "node"), labels)
+            found = self.verified(self.bounded(self.nominated(shared), vectors), classes)
+            if found.isEmpty():
+                break
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+        else:
+            shared = self.mixed(shared.select("shingle", "node"), labels)
+        more = written(self.residual(shared.distinct(), vectors), "more")
         if not more.isEmpty():
-            further = self.verified(more, classes)
-            labels = components(links.unionByName(further))
+            found = self.verified(more, classes)
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
+        if labels is None:
+            labels = self.spark.createDataFrame([], "node long, label long")
         return self.finish(rows, node, classes, labels)
 
     def finish(self, rows: DataFrame, node, classes: DataFrame, labels: DataFrame) -> DataFrame:
