@@ -22,7 +22,6 @@ rows; further columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -36,11 +35,13 @@ TABLES, STEPS = 8, 3  # tables of a walk, and sampled steps of a table
 MOST_WALKS = 64
 FOUND = "array<struct<item_id:long,start:int,words:int,distance:int>>"
 
-_WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+# ASCII marks become spaces; bytes from 128 on belong to letters.
+_SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text in lower case, as UTF-8: runs of ASCII letters and digits and of all other characters."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACED).split()
 
 
 def edit_distance(item: list, text: list, most: int) -> tuple[int, int]:
@@ -69,7 +70,7 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]], share: float = 0.2, recall: float = 0.98, least_words: int = 8, seed: int = 7):
         self.share, self.seed = share, seed
-        self.vocabulary: dict[str, int] = {}
+        self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[int, list[int]]] = []
         for item_id, text in items:
             words = words_of(text)

@@ -57,7 +57,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _WORDLY = np.ones(256, bool)
 _WORDLY[[0x20, *range(0x09, 0x0E)]] = False
-SLICE = 1 << 20  # bytes hashed together
+SLICE = 1 << 19  # bytes hashed together
 
 
 class Shingler:
@@ -76,15 +76,13 @@ class Shingler:
             for name, base in (("powers", _M1), ("inverses", inverse)):
                 setattr(self, name, np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(many - 1, base, np.uint64))]))
 
-    def of(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-        """The shingles of the texts data[bounds[i]:bounds[i + 1]]."""
-        out: list[np.ndarray] = []
+    def of(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+        """The shingles of the texts data[bounds[i]:bounds[i + 1]], of a slice of texts at a time."""
         first = 0
         while first < len(bounds) - 1:
             last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + SLICE, "right")) - 1)
-            out += self._slice(data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
+            yield from self._slice(data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
             first = last
-        return out
 
     def _slice(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         texts, width = len(bounds) - 1, self.width
@@ -119,7 +117,7 @@ class Shingler:
                 out[i] = _mix(whole + np.uint64(counts[i]))
         return out
 
-    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+    def batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The shingles of an Arrow column of texts; nulls have none."""
         texts = texts.cast(pa.large_string()).fill_null("")
         _, offsets, data = texts.buffers()
@@ -127,7 +125,7 @@ class Shingler:
         return self.of(np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8), bounds)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        return self.batch(pa.array([text], pa.string()))[0]
+        return next(self.batch(pa.array([text], pa.string())))
 
 
 def set_keys(shingles: np.ndarray) -> tuple[int, int]:
