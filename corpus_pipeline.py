@@ -13,18 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm import decontaminate, grading, jaccard, packing, secrets
-from panelweave.llm.common import written
+from panelweave.llm.common import modest_batches, written
 from panelweave.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that are of top grade rather than not."""
+    modest_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return grading.grade_documents(docs, labels).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component: the one with the smallest id."""
+    modest_batches(spark)
     classes = jaccard.near_duplicates(docs)
     kept = classes.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
@@ -32,11 +34,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that hold no benchmark item."""
+    modest_batches(spark)
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark."""
+    modest_batches(spark)
     chain = secrets.train(docs)
     found = docs.withColumn("_spans", secrets.secret_spans(F.col("text"), chain))
     clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col("_spans")))
@@ -45,6 +49,7 @@ def secret_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all remaining documents and their places in sequences of 2048 tokens."""
+    modest_batches(spark)
     return packing.packed_digest(docs, tokenizer_path("byte_bpe_50k.json"))
 
 

@@ -12,6 +12,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_ROWS = 1_000  # rows that an Arrow batch holds at most, since texts may be long
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Sets Arrow batches to ``BATCH_ROWS`` rows for this session, unless the session has a smaller number.
+
+    A Python worker keeps the memory of its largest batch, so this bounds what workers hold beside the JVM.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and every executor can reach: ``spark.checkpoint.dir``.
 

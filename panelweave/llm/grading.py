@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,7 +74,7 @@ class Features:
 class Scorer(dict):
     """text -> score. Which features of a word have a weight is remembered, in a bounded table."""
 
-    def __init__(self, weights: np.ndarray, remembered: int = 500_000):
+    def __init__(self, weights: np.ndarray, remembered: int = 250_000):
         super().__init__()
         self.weights, self.remembered = weights, remembered
         self.features = Features(int(len(weights)).bit_length() - 1)
@@ -115,12 +116,15 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, bits: int = BITS, least: int
     size, top = 1 << bits, int(grades.max()) if len(grades) else 0
     if top == 0 or len(np.unique(grades)) < 2:
         return Model(np.zeros(size, np.float32), np.array([-1.0, -0.5])[: max(1, top)])
-    columns, owners = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    seen, total = np.bincount(columns, minlength=size), np.bincount(columns, grades[owners], size)
+    seen, total = np.zeros(size), np.zeros(size)
+    for row, grade in zip(rows, grades):  # each feature once a row
+        seen[row] += 1
+        total[row] += grade
     with np.errstate(divide="ignore", invalid="ignore"):
         off = np.abs(total / seen - grades.mean()) / (grades.std() / np.sqrt(seen))
     used = (seen >= least) & (off >= clear)
-    owners, columns = owners[used[columns]], columns[used[columns]]
+    rows = [row[used[row]] for row in rows]
+    columns, owners = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     names, columns = np.unique(columns, return_inverse=True)
     share = np.array([(grades <= j).mean() for j in range(top)]).clip(0.001, 0.999)
     thresholds, weights = np.log(share / (1 - share)), np.zeros(len(names))
@@ -162,18 +166,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
         return pd.Series([hashed(text) for text in texts], dtype=object)
 
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "_grade", features("text").alias("_features"))
-    table = found.toArrow().sort_by("doc_id")
-    return fit([np.asarray(x, np.int32) for x in table["_features"].to_numpy()], table["_grade"].to_numpy().astype(np.int64), bits)
+    table = found.toArrow()
+    ids, grades = table["doc_id"].to_numpy(), table["_grade"].to_numpy().astype(np.int64)
+    rows = [x for part in table["_features"].chunks if len(part) for x in np.split(part.flatten().to_numpy(), np.cumsum(part.value_lengths().to_numpy())[:-1])] if len(ids) else []
+    order = np.argsort(ids, kind="stable")
+    return fit([rows[k] for k in order], grades[order], bits)
 
 
 def graded(text: Column, model: Model, cut: int = 2) -> Column:
     """struct(expected, tail): the expected grade of a text and the probability of grade ``cut`` or better."""
 
     @F.pandas_udf("expected double, tail double")
-    def grade(texts: pd.Series) -> pd.DataFrame:
-        scores = np.array(list(map(Scorer(model.weights), texts)), np.float64)
-        expected, tail = model.judge(scores, min(cut, len(model.thresholds)))
-        return pd.DataFrame({"expected": expected, "tail": tail})
+    def grade(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        score = Scorer(model.weights)
+        for texts in batches:
+            scores = np.array(list(map(score, texts)), np.float64)
+            expected, tail = model.judge(scores, min(cut, len(model.thresholds)))
+            yield pd.DataFrame({"expected": expected, "tail": tail})
 
     return grade(text)
 

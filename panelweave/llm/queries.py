@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from panelweave.llm import decontaminate, grading, html, jaccard, packing, quality, secrets, sharding, tokencount, urls
+from panelweave.llm.common import modest_batches
 
 
 def tokenizer_path(name: str) -> str:
@@ -13,6 +14,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def _table(spark, sf_dir, name):
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
