@@ -418,7 +418,9 @@ def page(body, tail="</article><footer>&copy; x</footer></body></html>"):
     return f'<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">menu</a></li></ul></nav><!-- ad <p>no</p> --><div class="ad">buy</div><article>{body}{tail}'
 
 
-def test_html_extraction(spark):
+@pytest.mark.parametrize("hosts", (0, 1000))
+def test_html_extraction(spark, monkeypatch, hosts):
+    monkeypatch.setattr(html, "BROADCAST_HOSTS", hosts)
     cases = [
         ("http://a.com/1", page("<h1>T&amp;C</h1><p><b>one<br><p>two&nbsp; &lt;x&gt;\n three</p><aside>side</aside><div class='comments'><p>reader</p></div>"), "T&C\none\ntwo <x> three"),
         ("http://a.com/2", page("<h1>H</h1><p>uncut <i>in</i>line</p><form><p>f</p></form>"), "H\nuncut inline"),
