@@ -19,7 +19,9 @@ salted, and components are contracted by joins on tables in the shared folder.
 
 Defined cases: null, empty and blank texts have the empty set, link with nothing and are their own component; a text of
 fewer words than a shingle has its whole word sequence as its only one; repeated rows and repeated ids each give a row;
-an empty table gives no rows; further columns are ignored. Shingles are told apart by 64-bit hashes.
+rows with a null id link like others, and a component that has no other ids has a null id; an empty table gives no rows;
+further columns are ignored. Shingles are told apart by 64-bit hashes, texts by 128-bit ones: ids may be null or
+repeated, so they only name components, and texts are found by their hashes.
 """
 
 from __future__ import annotations
@@ -30,19 +32,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import written
+from panelweave.llm.common import WORD, written
 
 GROUPS = 256  # coordinates of a count vector
 ROUNDS = 3  # of joining components by single pairs
 CHUNK = 512  # points of a block that are searched together
 LEAF = 16  # points in an R-tree leaf
 FREQUENT_AT_MOST = 2_000_000  # shingles noted as frequent: 16 MB
-BROADCAST_IDS = 500_000  # ids that a broadcast may hold: 4 MB
+BROADCAST_IDS = 500_000  # hashes of texts that a broadcast may hold: 8 MB
 MEMBERS = 256  # texts verified against one copy of a centre's text
 
+OWN = pa.struct([("h", pa.int64()), ("g", pa.int64())])  # the type of a text's hashes
+
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -140,6 +144,11 @@ def count_vector(shingles: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
 
 
+def text_key(text: Column) -> Column:
+    """Two 64-bit hashes of a text, with different seeds."""
+    return F.struct(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
+
+
 def enough(common, size_a, size_b, percent: int):
     """Whether 100 * intersection >= percent * union, from the intersection and the sizes."""
     return (100 + percent) * common >= percent * (size_a + size_b)
@@ -208,16 +217,17 @@ class Join:
     def __init__(self, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str):
         self.spark, self.percent, self.width = docs.sparkSession, percent, width
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        self.keyed = self.docs.select("doc_id", text_key(F.col("text")).alias("own"), "text")
 
     def profile(self) -> DataFrame:
-        """Kind 0: doc_id, n, and the keys of its set. Kind 1: a shingle (key) seen n times in one part of the input."""
+        """Kind 0: doc_id, its text's hashes (own), n, and the keys of its set. Kind 1: a shingle (key) seen n times in one part of the input."""
         width = self.width
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, seen, held, many = Shingler(width), set(), [], 0
 
-            def rows(kind: int, doc: pa.Array, n, key, other) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), doc, pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(other, pa.int64())], ["kind", "doc_id", "n", "key", "other"])
+            def rows(kind: int, doc: pa.Array, own: pa.Array, n, key, other) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), doc, own, pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(other, pa.int64())], ["kind", "doc_id", "own", "n", "key", "other"])
 
             def repeated() -> pa.RecordBatch:
                 every = np.sort(np.concatenate(held))
@@ -225,7 +235,7 @@ class Join:
                 counts = np.diff(np.append(starts, len(every)))
                 often = counts >= 2
                 key = every[starts][often].astype(np.int64)
-                return rows(1, pa.nulls(len(key), pa.int64()), counts[often], key, np.zeros(len(key), np.int64))
+                return rows(1, pa.nulls(len(key), pa.int64()), pa.nulls(len(key), OWN), counts[often], key, np.zeros(len(key), np.int64))
 
             for batch in batches:
                 keys = []
@@ -240,11 +250,11 @@ class Join:
                         held, many = [], 0
                     if len(seen) > 2_000_000:
                         seen.clear()
-                yield rows(0, batch.column("doc_id"), *(np.array(keys, np.int64).reshape(-1, 3).T))
+                yield rows(0, batch.column("doc_id"), pa.StructArray.from_arrays(batch.column("own").flatten(), fields=list(OWN)), *(np.array(keys, np.int64).reshape(-1, 3).T))
             if held:
                 yield repeated()
 
-        return written(self.docs.mapInArrow(scan, "kind int, doc_id long, n long, key long, other long"), "profile")
+        return written(self.keyed.mapInArrow(scan, "kind int, doc_id long, own struct<h:long,g:long>, n long, key long, other long"), "profile")
 
     def frequent(self, profile: DataFrame) -> np.ndarray:
         """The shingles to rank last, ascending: those noted most often, and at most a fixed number."""
@@ -311,15 +321,15 @@ class Join:
         """The pairs of nodes whose whole texts link."""
         percent, width = self.percent, self.width
         rep = classes.select("node", "rep")
-        pairs = pairs.join(rep.toDF("a", "doc_a"), "a").join(rep.toDF("b", "doc_b"), "b")
+        pairs = pairs.join(rep.toDF("a", "own_a"), "a").join(rep.toDF("b", "own_b"), "b")
         parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).alias("_parts"))
         pairs = written(pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("_parts"))).drop("_parts"), "pairs")
-        need = written(pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct(), "need")
+        need = written(pairs.select(F.explode(F.array("own_a", "own_b")).alias("own")).distinct(), "need")
         small = need.count() <= BROADCAST_IDS
-        texts = written(self.docs.join(F.broadcast(need) if small else need, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-        members = pairs.join(texts, pairs["doc_a"] == texts["doc_id"]).select("b", "part", F.lit(1).alias("member"), "a", "text")
-        centres = pairs.select("b", "part", "doc_b").distinct()
-        centres = centres.join(texts, centres["doc_b"] == texts["doc_id"]).select("b", "part", F.lit(0).alias("member"), F.col("b").alias("a"), "text")
+        texts = written(self.keyed.select("own", "text").join(F.broadcast(need) if small else need, "own", "left_semi").dropDuplicates(["own"]), "texts")
+        members = pairs.join(texts, pairs["own_a"] == texts["own"]).select("b", "part", F.lit(1).alias("member"), "a", "text")
+        centres = pairs.select("b", "part", "own_b").distinct()
+        centres = centres.join(texts, centres["own_b"] == texts["own"]).select("b", "part", F.lit(0).alias("member"), F.col("b").alias("a"), "text")
         tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
         dealt = members.unionByName(centres).repartition(tasks, "b", "part").sortWithinPartitions("b", "part", "member")
 
@@ -405,7 +415,7 @@ class Join:
         clash = sets.groupBy("key").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo != hi")
         doubtful = {row["key"] for row in clash.select("key").collect()}
         node = F.col("key") if not doubtful else F.when(F.col("key").isin(*doubtful), F.xxhash64("key", "other")).otherwise(F.col("key"))
-        classes = written(sets.groupBy(node.alias("node")).agg(F.min("doc_id").alias("rep")), "classes")
+        classes = written(sets.groupBy(node.alias("node")).agg(F.min("own").alias("rep"), F.min("doc_id").alias("least")), "classes")
         blocks = self.blocks(self.frequent(profile), doubtful)
         vectors = blocks.groupBy("node").agg(F.first("n").alias("n"), F.first("vector").alias("vector"))
         each = blocks.select("node", F.explode("prefix").alias("shingle"))
@@ -431,11 +441,11 @@ class Join:
         return self.finish(rows, node, classes, labels)
 
     def finish(self, rows: DataFrame, node, classes: DataFrame, labels: DataFrame) -> DataFrame:
-        placed = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
-        least = placed.groupBy("label").agg(F.min("rep").alias("component_id"))
-        by_node = placed.join(least, "label").select("node", "component_id")
-        keyed = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, node).alias("node"))
-        return keyed.join(by_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        placed = classes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
+        least = placed.groupBy("label").agg(F.min("least").alias("component_id"))
+        by_node = placed.join(least, "label").select("node", "label", "component_id")
+        keyed = rows.select("doc_id", "own", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, node).alias("node"))
+        return keyed.join(by_node, "node", "left").select("doc_id", "own", "n_shingles", "label", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def node_of(key: int, other: int, doubtful: set[int]) -> int:
@@ -480,4 +490,20 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links reach)."""
-    return Join(docs, percent, width, id_col, text_col).run()
+    return Join(docs, percent, width, id_col, text_col).run().select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` less all but one of each component: that with the smallest id, null ids last.
+
+    Rows of equal ids are told apart by their texts; every row with an empty set stays, since it is its own component.
+    """
+    rows = Join(docs, percent, width, id_col, text_col).run().where("n_shingles > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("first")
+    kept = rows.groupBy("label").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.own").alias("_key"))
+    kept = written(kept, "kept")
+    empty = ~F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    marked = docs.withColumn("_own", text_key(F.col(text_col))).withColumn("_empty", empty)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key"))
+    full = marked.where("not _empty").join(kept, same, "left_semi").dropDuplicates([id_col, "_own"])
+    return full.unionByName(marked.where("_empty")).select(*docs.columns)

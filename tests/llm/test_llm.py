@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from panelweave.llm import decontaminate, grading, html, jaccard, packing, quality, secrets, sharding, tokencount, urls
 from panelweave.llm.common import seats
 from panelweave.llm.queries import URL_RULES, tokenizer_path
@@ -189,6 +190,18 @@ def test_jaccard_components(spark, words, monkeypatch):
     assert got == brute_components(texts)
 
 
+def test_jaccard_null_and_repeated_ids(spark, words):
+    a, b, c = (" ".join(words[k : k + 40]) for k in (0, 40, 80))
+    # a and b have near copies under null ids only, or ids of other texts; c is alone.
+    rows = [(None, a), (None, f"{a} more"), (None, b), (7, c), (7, f"{b} more"), (3, f"more {b}"), (None, None), (9, " "), (9, " "), (7, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == Counter([(None, 36, None), (None, 37, None), (None, 36, 3), (7, 36, 7), (7, 36, 7), (7, 37, 3), (3, 37, 3), (None, 0, None), (9, 0, 9), (9, 0, 9)])
+    kept = Counter(tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    of_a = kept[None, a] + kept[None, f"{a} more"]
+    assert of_a == 1 and kept[3, f"more {b}"] == kept[7, c] == kept[None, None] == 1 and kept[9, " "] == 2 and kept.total() == 6
+
+
 def test_jaccard_boundary_is_exact(spark, words):
     # 4 of 5 shingles in common links; one less does not.
     base = words[:12]
