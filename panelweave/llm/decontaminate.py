@@ -1,6 +1,7 @@
 """Benchmark decontamination by edit distance: which documents hold a benchmark item, up to a share of edited words.
 
-Texts and items become words (lower case, without marks at either end). For every item length the text has windows of
+Texts and items become words: runs of Unicode letters, digits and combining marks in lower case; in scripts that put no
+space between words each letter is a word. For every item length the text has windows of
 that many words. The CGK embedding walks over a window, at each of up to three times as many steps giving the word it
 stands on and moving on or not by a random bit that depends on the step and the word; few edits then give a small
 Hamming distance. Bit sampling takes a few steps of a walk as a key; items and windows that share a key in any table of
@@ -14,14 +15,18 @@ words of any item lie together are passed over; this loses none and is what keep
 The items are a query set held against all rows in blocks of ``ITEM_BLOCK``; each block is sent to the tasks. There is
 no shuffle: each document is judged where it is read, so neither a hot item nor a hot source gathers anywhere.
 
-Defined cases: null, empty and short texts hold nothing; null items and items of fewer than ``least_words`` words are
-not searched; equal items are all reported; repeated rows are reported each; an empty table on either side gives no
+Items of fewer than ``least_words`` words are held where their whole word sequence stands in a text, without edits.
+
+Defined cases: null and empty texts hold nothing; null items and items without any word are not searched; equal items are all reported; repeated rows are reported each; an empty table on either side gives no
 rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -35,13 +40,28 @@ TABLES, STEPS = 8, 3  # tables of a walk, and sampled steps of a table
 MOST_WALKS = 64
 FOUND = "array<struct<item_id:long,start:int,words:int,distance:int>>"
 
-# ASCII marks become spaces; bytes from 128 on belong to letters.
+# ASCII marks become spaces; bytes from 128 on belong to letters, once other characters than those are replaced.
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+#: Blocks of scripts without spaces between words (Thai, Lao, Myanmar, Khmer, kana, Han).
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_UNUSUAL = re.compile(rf"[^\w\x00-\x7f]|[{_UNSPACED}]")
+_LONE = re.compile(f"[{_UNSPACED}]")
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _split(character: str) -> str:
+    """What a character that is no plain letter stands for: a mark stays, a letter of its own is a word, others are spaces."""
+    if unicodedata.category(character)[0] == "M":
+        return character
+    return f" {character} " if character.isalnum() and _LONE.match(character) else " "
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """The words of a text in lower case, as UTF-8: runs of ASCII letters and digits and of all other characters."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACED).split()
+    """The words of a text in lower case, as UTF-8: runs of letters, digits and combining marks."""
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _UNUSUAL.sub(lambda found: _split(found[0]), text)
+    return text.encode("utf-8", "surrogatepass").translate(_SPACED).split()
 
 
 def edit_distance(item: list, text: list, most: int) -> tuple[int, int]:
@@ -65,6 +85,14 @@ def edit_distance(item: list, text: list, most: int) -> tuple[int, int]:
     return min(((row[j], j) for j in tail), default=(over, 0))
 
 
+def sequence_keys(ids: np.ndarray, n: int) -> np.ndarray:
+    """A key of the n words from each place on where so many follow."""
+    key = np.zeros(max(0, len(ids) - n + 1), np.int64)
+    for k in range(n):
+        key = key * 1_000_000_007 + ids[k : k + len(key)]
+    return key
+
+
 class Items:
     """The benchmark items as word numbers, their windows' lengths, and the hash tables of their embeddings."""
 
@@ -72,10 +100,15 @@ class Items:
         self.share, self.seed = share, seed
         self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[int, list[int]]] = []
+        # Short items by their number of words, then by the words.
+        self.short: dict[int, dict[tuple[int, ...], list[int]]] = {}
         for item_id, text in items:
-            words = words_of(text)
+            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             if len(words) >= least_words:
-                self.items.append((item_id, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]))
+                self.items.append((item_id, words))
+            elif words:
+                self.short.setdefault(len(words), {}).setdefault(tuple(words), []).append(item_id)
+        self.short_keys = {n: sequence_keys(np.array(list(held), np.int64).reshape(-1), n)[::n] for n, held in self.short.items()}
         self.lengths = sorted({len(w) for _, w in self.items})
         self.most = {n: int(share * n) for n in self.lengths}
         # Which items hold each word that few items hold; a text near an item holds all of its words but ``most``.
@@ -167,9 +200,19 @@ class Items:
         for n in sorted(marks):
             yield n, np.flatnonzero(np.cumsum(marks[n][:-1]) > 0)
 
+    def _whole(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The short items held, each at its first place."""
+        first: dict[tuple[int, ...], int] = {}
+        for n, held in self.short.items():
+            for at in np.flatnonzero(np.isin(sequence_keys(ids, n), self.short_keys[n])).tolist():
+                words = tuple(ids[at : at + n].tolist())
+                if words in held:
+                    first.setdefault(words, at)
+        return [(item_id, at, len(words), 0) for words, at in first.items() for item_id in self.short[len(words)][words]]
+
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, first word, words, distance) of each item held, at its best place."""
-        if not self.items:
+        if not self.items and not self.short:
             return []
         get = self.vocabulary.get
         words = words_of(text)
@@ -190,7 +233,8 @@ class Items:
                         distance, size = edit_distance(self.items[i][1], ids[start : start + n + limit].tolist(), limit)
                         if distance <= limit:
                             best[i] = (distance, start, size)
-        return [(self.items[i][0], start, size, distance) for i, (distance, start, size) in sorted(best.items())]
+        found = [(self.items[i][0], start, size, distance) for i, (distance, start, size) in sorted(best.items())]
+        return found + self._whole(ids)
 
 
 def leaks(text: Column, items: list[tuple[int, str]], **options) -> Column:

@@ -405,6 +405,18 @@ def test_decontamination(spark, words):
     assert decontaminate.find_leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_splits_unicode_and_finds_short_items(words):
+    item = " ".join(words[:20])
+    spaced = [item.replace(" ", gap) for gap in ("\u00a0", "\u3000", "\u2014")] + [" ".join(f"\u201c{w}\u201d" for w in words[:20])]
+    found = decontaminate.Items([(1, item), (2, "too short"), (3, "too short"), (4, "\u5730\u7403\u6709\u591a\u5927?"), (5, "!?"), (6, None)])
+    for text in spaced:
+        assert found.search(f"{words[30]} {text}, {words[31]}") == [(1, 1, 20, 0)]
+    assert found.search("It is Too\u2014short, too short.") == [(2, 2, 2, 0), (3, 2, 2, 0)]
+    assert found.search("\u8bf7\u95ee\u5730\u7403\u6709\u591a\u5927\u5417") == [(4, 2, 5, 0)]
+    assert found.search("too very short") == found.search("short too") == found.search("") == found.search("too") == []
+    assert decontaminate.words_of("Ci\u00f3n e\u0301t\u00e9_\u0939\u093f\u0928\u094d\u0926\u0940\u2019s") == [w.encode() for w in ("ci\u00f3n", "e\u0301t\u00e9", "\u0939\u093f\u0928\u094d\u0926\u0940", "s")]
+
+
 def full_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
