@@ -28,10 +28,12 @@ def modest_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) is a temporary folder set instead.
+    Only where the session names none and runs on one machine, as in tests, is a temporary folder set instead.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(shared_dir, "_fallback", None)
         if root is None:
             root = shared_dir._fallback = tempfile.mkdtemp(prefix="panelweave-")
@@ -46,13 +48,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Deletes all that ``written`` has left behind in this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` gave, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def seats(df: DataFrame, key: str, row_id: str, name: str) -> DataFrame:

@@ -6,22 +6,24 @@ the result is the connected components of all links. The links are found without
 1. Equal sets are one node. A scan also notes shingles seen repeatedly in a part of the input; the frequent ones come
    last in the order of shingles that follows, which is what keeps common passages cheap. Any order is exact.
 2. Sets that link share a shingle among their first ``n - ceil(t n) + 1`` ones in that order, so those shingles deal
-   the nodes into blocks.
-3. In a few rounds every component is held against the one that is least in most of its blocks, by one pair of nodes;
-   what links is joined. This is linear in the input and takes in the groups of near copies.
-4. Where a block still holds several components, its nodes are points (how many shingles fall into each of 256 hash
-   groups) in an R-tree. The summed coordinate minima of two points, or of two boxes' upper corners, bound the overlap
-   of all pairs below them; boxes of one component are skipped. Large blocks are dealt as pairs of chunks.
-5. Surviving pairs are verified on their whole texts, and a last round of components follows.
-
-Nothing of a block, component or copy group is gathered in one place: chunks have a bounded size, hot centres are
-salted, and components are contracted by joins on tables in the shared folder.
+   the nodes into blocks. What cannot link any other of its block by sizes and places in the order is left out.
+3. In a block the nodes are points (how many shingles fall into each of 256 hash groups) in an R-tree. The summed
+   coordinate minima of two points, or of two boxes' upper corners, bound the overlap of all pairs below them. The
+   surviving pairs are candidates; a block gives out a forest of them, never all. Blocks of over ``CHUNK`` rows are
+   searched in chunks.
+4. The forests' components are candidate groups. Each group's texts meet once (in parts, with the group's most
+   connected node in every part) and surviving pairs of an R-tree over them are verified exactly, but for pairs that are
+   joined already.
+5. What chunks and parts leave open is closed: where a block or group still holds several components, its nodes outside
+   the largest one are held against all of it, in pairs of chunks.
+
+Nothing of a block, component or copy group is gathered in one place. What a task gives out is linear in what it reads.
 
 Defined cases: null, empty and blank texts have the empty set, link with nothing and are their own component; a text of
 fewer words than a shingle has its whole word sequence as its only one; repeated rows and repeated ids each give a row;
 rows with a null id link like others, and a component that has no other ids has a null id; an empty table gives no rows;
-further columns are ignored. Shingles are told apart by 64-bit hashes, texts by 128-bit ones: ids may be null or
-repeated, so they only name components, and texts are found by their hashes.
+further columns are ignored. Shingles and sets are told apart by 64-bit hashes (sets that share one by 128 bits). Rows
+are told apart by their files and places in them; a table that is no plain scan of files is written first.
 """
 
 from __future__ import annotations
@@ -35,17 +37,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import WORD, written
+from panelweave.llm.common import discard, written
 
 GROUPS = 256  # coordinates of a count vector
-ROUNDS = 3  # of joining components by single pairs
-CHUNK = 512  # points of a block that are searched together
+FINE = 4096  # most coordinates of the second vector that long texts have
+CHUNK = 512  # points that are searched together
+GROUP_SHINGLES = 2_000_000  # shingles of texts that are verified together
 LEAF = 16  # points in an R-tree leaf
 FREQUENT_AT_MOST = 2_000_000  # shingles noted as frequent: 16 MB
-BROADCAST_IDS = 500_000  # hashes of texts that a broadcast may hold: 8 MB
-MEMBERS = 256  # texts verified against one copy of a centre's text
+BROADCAST_ROWS = 500_000  # rows of two or three numbers that a broadcast may hold: 12 MB
+LOCAL_LINKS = 1_000_000  # links that one task may join: 16 MB
+HELD = 1_000_000  # prefix entries that a task holds before it deals them out
 
-OWN = pa.struct([("h", pa.int64()), ("g", pa.int64())])  # the type of a text's hashes
+ROW = "struct<f:long,r:long>"  # a row's identity: the hash of its file's path, and its number in the file
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -144,10 +148,6 @@ def count_vector(shingles: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8)
 
 
-def text_key(text: Column) -> Column:
-    """Two 64-bit hashes of a text, with different seeds."""
-    return F.struct(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))
-
 
 def enough(common, size_a, size_b, percent: int):
     """Whether 100 * intersection >= percent * union, from the intersection and the sizes."""
@@ -211,37 +211,131 @@ def small_pairs(starts: np.ndarray, many: int, comps: np.ndarray, sides: np.ndar
     return a[apart], b[apart]
 
 
+def fine_vector(shingles: np.ndarray) -> bytes | None:
+    """For long texts a count vector of more groups, about one for eight shingles; else None."""
+    if len(shingles) <= 8 * GROUPS:
+        return None
+    groups = min(FINE, 1 << (len(shingles) // 8 - 1).bit_length())
+    return np.minimum(np.bincount((shingles & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8).tobytes()
+
+
+def folded(vector: np.ndarray, groups: int) -> np.ndarray:
+    """A count vector of ``groups`` groups from one of more; 255 stays any number."""
+    parts = vector.reshape(-1, groups)
+    return np.where((parts == 255).any(0), 255, np.minimum(parts.sum(0, dtype=np.int64), 255)).astype(np.uint8)
+
+
+def finer(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, fine, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The index pairs that the long texts' vectors, where both have one, don't rule out."""
+    keep = np.ones(len(a), bool)
+    for k in range(len(a)):
+        one, two = fine[a[k]], fine[b[k]]
+        if one is None or two is None:
+            continue
+        one, two = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
+        groups = min(len(one), len(two))
+        keep[k] = enough(bound(folded(one, groups), folded(two, groups)), sizes[a[k]], sizes[b[k]], percent)
+    return a[keep], b[keep]
+
+
+class Union:
+    """Disjoint sets of hashable things."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def find(self, x):
+        top = x
+        while (above := self.up.get(top, top)) != top:
+            top = above
+        while x != top:
+            self.up[x], x = top, self.up.get(x, x)
+        return top
+
+    def join(self, x, y) -> bool:
+        """Whether they were apart; the smaller root stays."""
+        x, y = self.find(x), self.find(y)
+        if x == y:
+            return False
+        self.up[max(x, y)] = min(x, y)
+        return True
+
+
+def forest(a: np.ndarray, b: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a spanning forest of these pairs of numbers below ``many``; pairs of much connected ones come first."""
+    degree = np.bincount(a, minlength=many) + np.bincount(b, minlength=many)
+    lone = (degree[a] == 1) & (degree[b] == 1)
+    kept, union = np.flatnonzero(lone).tolist(), Union()
+    rest = np.flatnonzero(~lone)
+    for k in rest[np.argsort(-np.maximum(degree[a[rest]], degree[b[rest]]), kind="stable")].tolist():
+        if union.join(int(a[k]), int(b[k])):
+            kept.append(k)
+    return a[kept], b[kept]
+
+
+def can_link(size_a, place_a, size_b, place_b, percent: int):
+    """Whether sets of these sizes whose first common shingle stands at these places of their orders may link."""
+    least, most = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
+    most_common = 1 + np.minimum(size_a - 1 - place_a, size_b - 1 - place_b)
+    return (100 * least >= percent * most) & enough(most_common, size_a, size_b, percent)
+
+
+def runs_of(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    change = np.zeros(len(keys[0]), bool)
+    change[:1] = True
+    for key in keys:
+        change[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(change)
+
+
+def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of sorted batches again, cut between groups only."""
+    rest = None
+    for batch in batches:
+        frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if len(frame):
+            starts = runs_of(*(frame[k].to_numpy() for k in keys))
+            if starts[-1]:
+                yield frame.iloc[: starts[-1]].reset_index(drop=True)
+            rest = frame.iloc[starts[-1] :].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest
+
+
 class Join:
     """One near-duplicate join; the steps are methods so that each can be read and tested by itself."""
 
-    def __init__(self, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str):
-        self.spark, self.percent, self.width = docs.sparkSession, percent, width
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        self.keyed = self.docs.select("doc_id", text_key(F.col("text")).alias("own"), "text")
+    def __init__(self, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str, chunk: int = CHUNK, local_links: int = LOCAL_LINKS):
+        self.spark, self.percent, self.width, self.chunk, self.local_links = docs.sparkSession, percent, width, chunk, local_links
+        self.tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_of(docs).alias("row"), F.col(text_col).alias("text"))
 
     def profile(self) -> DataFrame:
-        """Kind 0: doc_id, its text's hashes (own), n, and the keys of its set. Kind 1: a shingle (key) seen n times in one part of the input."""
+        """Kind 0: doc_id, row, n, the keys of its set, and (for its first row in a part of the input) its count vectors.
+        Kind 1: a shingle (key) seen n times in one part of the input."""
         width = self.width
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, seen, held, many = Shingler(width), set(), [], 0
-
-            def rows(kind: int, doc: pa.Array, own: pa.Array, n, key, other) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), doc, own, pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(other, pa.int64())], ["kind", "doc_id", "own", "n", "key", "other"])
+            names = ["kind", "doc_id", "row", "n", "key", "other", "vector", "fine"]
 
             def repeated() -> pa.RecordBatch:
                 every = np.sort(np.concatenate(held))
-                starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+                starts = runs_of(every)
                 counts = np.diff(np.append(starts, len(every)))
                 often = counts >= 2
-                key = every[starts][often].astype(np.int64)
-                return rows(1, pa.nulls(len(key), pa.int64()), pa.nulls(len(key), OWN), counts[often], key, np.zeros(len(key), np.int64))
+                key, none = every[starts][often].astype(np.int64), int(often.sum())
+                return pa.RecordBatch.from_arrays([pa.array(np.ones(none, np.int32)), pa.nulls(none, pa.int64()), pa.nulls(none, pa.struct([("f", pa.int64()), ("r", pa.int64())])), pa.array(counts[often]), pa.array(key), pa.array(np.zeros(none, np.int64)), pa.nulls(none, pa.binary()), pa.nulls(none, pa.binary())], names)
 
             for batch in batches:
-                keys = []
+                keys, vectors, fine = [], [], []
                 for found in shingles.batch(batch.column("text")):
                     keys.append((len(found), *(set_keys(found) if len(found) else (0, 0))))
-                    if len(found) and keys[-1][1] not in seen:
+                    fresh = bool(len(found)) and keys[-1][1] not in seen
+                    vectors.append(count_vector(found).tobytes() if fresh else None)
+                    fine.append(fine_vector(found) if fresh else None)
+                    if fresh:
                         seen.add(keys[-1][1])
                         held.append(found)
                         many += len(found)
@@ -250,16 +344,17 @@ class Join:
                         held, many = [], 0
                     if len(seen) > 2_000_000:
                         seen.clear()
-                yield rows(0, batch.column("doc_id"), pa.StructArray.from_arrays(batch.column("own").flatten(), fields=list(OWN)), *(np.array(keys, np.int64).reshape(-1, 3).T))
+                n, key, other = np.array(keys, np.int64).reshape(-1, 3).T
+                row = pa.StructArray.from_arrays(batch.column("row").flatten(), ["f", "r"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), row, pa.array(n), pa.array(key), pa.array(other), pa.array(vectors, pa.binary()), pa.array(fine, pa.binary())], names)
             if held:
                 yield repeated()
 
-        return written(self.keyed.mapInArrow(scan, "kind int, doc_id long, own struct<h:long,g:long>, n long, key long, other long"), "profile")
+        return written(self.docs.mapInArrow(scan, f"kind int, doc_id long, row {ROW}, n long, key long, other long, vector binary, fine binary"), "profile")
 
     def frequent(self, profile: DataFrame) -> np.ndarray:
         """The shingles to rank last, ascending: those noted most often, and at most a fixed number."""
-        noted = profile.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n"))
-        noted = written(noted, "noted")
+        noted = written(profile.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "noted")
         level = F.floor(F.log2("n")).cast("int")
         steps = sorted(noted.groupBy(level.alias("level")).count().collect(), reverse=True)
         least, total = 64, 0
@@ -269,17 +364,41 @@ class Join:
                 break
             least = step["level"]
         keys = noted.where(level >= least).select("key").toArrow()["key"].to_numpy()
+        discard(noted)
         return np.sort(keys.astype(np.uint64))
 
-    def blocks(self, frequent: np.ndarray, doubtful: set[int]) -> DataFrame:
-        """node, n, vector, prefix: per set (and part of the input) what deals it into blocks."""
-        width, percent = self.width, self.percent
+    def dealt(self, frequent: np.ndarray, doubtful: set[int]) -> DataFrame:
+        """block, node, n, place: the nodes by those first shingles that several nodes share.
+
+        Entries meet by ranges of shingles in bytes; frequent ones are known to be shared and go on as they are.
+        """
+        width, percent, buckets = self.width, self.percent, self.tasks
         last = self.spark.sparkContext.broadcast(frequent)
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, seen, late = Shingler(width), set(), last.value
+            nodes, sizes, firsts, known, many = [], [], [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                lengths = np.array([len(x) for x in firsts], np.int64)
+                owner = np.repeat(np.arange(len(nodes)), lengths)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                every, often = np.concatenate(firsts), np.concatenate(known)
+                node, size = np.array(nodes, np.int64), np.array(sizes, np.int32)
+                to = np.where(often, _mix(node.astype(np.uint64))[owner], every >> np.uint64(32)) % np.uint64(buckets)
+                order = np.lexsort((owner, often, to))
+                starts = runs_of(to[order], often[order])
+                columns: list[list] = [[] for _ in range(6)]
+                for lo, hi in zip(starts, np.append(starts[1:], len(order))):
+                    some = order[lo:hi]
+                    own, counts = np.unique(owner[some], return_counts=True)
+                    values = (int(to[some[0]]), bool(often[some[0]]), (every[some] if often[some[0]] else every[some].astype(np.uint32)).tobytes(), np.minimum(place[some], 65535).astype(np.uint16).tobytes(), node[own].tobytes(), np.stack([size[own], counts.astype(np.int32)]).tobytes())
+                    for column, value in zip(columns, values):
+                        column.append(value)
+                kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "known", "shingles", "places", "nodes", "sizes"])
+
             for batch in batches:
-                rows = []
                 for found in shingles.batch(batch.column("text")):
                     if not len(found):
                         continue
@@ -289,163 +408,245 @@ class Join:
                     seen.add(node)
                     n = len(found)
                     take = n - (percent * n + 99) // 100 + 1
-                    first = found[:take]
+                    first, often = found[:take], np.zeros(take, bool)
                     if len(late):
-                        often = late[np.minimum(np.searchsorted(late, found), len(late) - 1)] == found
-                        first = np.concatenate([found[~often], found[often]])[:take]
-                    rows.append((node, n, count_vector(found).tobytes(), first.astype(np.int64)))
+                        held = late[np.minimum(np.searchsorted(late, found), len(late) - 1)] == found
+                        first = np.concatenate([found[~held], found[held]])[:take]
+                        often[int((~held).sum()) :] = True
+                    nodes.append(node)
+                    sizes.append(n)
+                    firsts.append(first)
+                    known.append(often)
+                    many += take
+                    if many >= HELD:
+                        yield flush()
+                        nodes, sizes, firsts, known, many = [], [], [], [], 0
                     if len(seen) > 2_000_000:
                         seen.clear()
-                columns = list(zip(*rows)) or [(), (), (), ()]
-                lengths = np.array([len(x) for x in columns[3]], np.int64)
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate([*columns[3], np.empty(0, np.int64)]).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), prefix], ["node", "n", "vector", "prefix"])
-
-        return written(self.docs.select("text").mapInArrow(deal, "node long, n long, vector binary, prefix array<long>"), "blocks")
-
-    def bounded(self, pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-        """The pairs (a, b) that sizes and count vectors don't rule out."""
-        percent = self.percent
-
-        @F.pandas_udf("boolean")
-        def possible(na: pd.Series, va: pd.Series, nb: pd.Series, vb: pd.Series) -> pd.Series:
-            a = np.frombuffer(b"".join(va), np.uint8).reshape(-1, GROUPS)
-            b = np.frombuffer(b"".join(vb), np.uint8).reshape(-1, GROUPS)
-            return pd.Series(enough(np.minimum(bound(a, b), np.minimum(na, nb)), na.to_numpy(), nb.to_numpy(), percent))
-
-        left = vectors.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("vector").alias("va"))
-        right = vectors.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("vector").alias("vb"))
-        return pairs.join(left, "a").join(right, "b").where(possible("na", "va", "nb", "vb")).select("a", "b")
-
-    def verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """The pairs of nodes whose whole texts link."""
-        percent, width = self.percent, self.width
-        rep = classes.select("node", "rep")
-        pairs = pairs.join(rep.toDF("a", "own_a"), "a").join(rep.toDF("b", "own_b"), "b")
-        parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).alias("_parts"))
-        pairs = written(pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("_parts"))).drop("_parts"), "pairs")
-        need = written(pairs.select(F.explode(F.array("own_a", "own_b")).alias("own")).distinct(), "need")
-        small = need.count() <= BROADCAST_IDS
-        texts = written(self.keyed.select("own", "text").join(F.broadcast(need) if small else need, "own", "left_semi").dropDuplicates(["own"]), "texts")
-        members = pairs.join(texts, pairs["own_a"] == texts["own"]).select("b", "part", F.lit(1).alias("member"), "a", "text")
-        centres = pairs.select("b", "part", "own_b").distinct()
-        centres = centres.join(texts, centres["own_b"] == texts["own"]).select("b", "part", F.lit(0).alias("member"), F.col("b").alias("a"), "text")
-        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        dealt = members.unionByName(centres).repartition(tasks, "b", "part").sortWithinPartitions("b", "part", "member")
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shingles, centre = Shingler(width), None
+            if nodes:
+                yield flush()
+
+        def shared(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
+            """The entries of one bucket whose block holds another node that they may link with."""
+            block = np.concatenate([np.frombuffer(s, np.uint32) for _, s, *_ in rows]).astype(np.int64) | np.int64(bucket) << np.int64(32)
+            place, node, n = entries(rows)
+            order = np.lexsort((node, block))
+            block, place, node, n = block[order], place[order], node[order], n[order]
+            once = runs_of(block, node)
+            block, place, node, n = block[once], place[once], node[once], n[once]
+            starts = runs_of(block)
+            many = np.diff(np.append(starts, len(block)))
+            keep = np.repeat(many > LEAF, many)
+            for size in range(2, LEAF + 1):
+                x, y = np.triu_indices(size, 1)
+                at = starts[many == size][:, None]
+                a, b = (at + x).reshape(-1), (at + y).reshape(-1)
+                ok = can_link(n[a], place[a], n[b], place[b], percent)
+                keep[a[ok]] = keep[b[ok]] = True
+            return rows_of(block[keep], node[keep], n[keep], place[keep])
+
+        def entries(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            sizes = [np.frombuffer(s, np.int32).reshape(2, -1) for *_, s in rows]
+            counts = np.concatenate([s[1] for s in sizes])
+            place = np.concatenate([np.frombuffer(p, np.uint16) for _, _, p, _, _ in rows]).astype(np.int64)
+            return place, np.repeat(np.concatenate([np.frombuffer(x, np.int64) for _, _, _, x, _ in rows]), counts), np.repeat(np.concatenate([s[0] for s in sizes]), counts).astype(np.int64)
+
+        def rows_of(*columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "node", "n", "place"])
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bucket, held = None, []
             for batch in batches:
-                rows = []
-                for b, member, a, found in zip(batch.column("b").to_pylist(), batch.column("member").to_pylist(), batch.column("a").to_pylist(), shingles.batch(batch.column("text"))):
-                    if not member:
-                        centre = found
-                    elif enough(len(np.intersect1d(found, centre, assume_unique=True)), len(found), len(centre), percent):
-                        rows.append((a, b))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-        return written(dealt.mapInArrow(compare, "a long, b long"), "links")
-
-    def mixed(self, dealt: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """The rows (shingle, node, comp) of blocks that hold several components. dealt: shingle, node."""
-        if labels is None:
-            return dealt.withColumn("comp", F.col("node"))
-        labelled = written(dealt.join(labels, "node", "left").select("shingle", "node", F.coalesce("label", "node").alias("comp")), "labelled")
-        several = labelled.groupBy("shingle").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("shingle")
-        return written(labelled.join(several, "shingle"), "mixed")
-
-    def nominated(self, rows: DataFrame) -> DataFrame:
-        """For each component one pair (a, b) with the component that is least in most of its blocks."""
-        least = rows.groupBy("shingle").agg(F.min(F.struct("comp", "node")).alias("_least"))
-        held = rows.join(least, "shingle").where("comp != _least.comp").select("comp", F.col("_least.comp").alias("to"), "node", F.col("_least.node").alias("other"))
-        votes = held.groupBy("comp", "to").agg(F.count("*").alias("n"), F.min(F.struct("node", "other")).alias("pair"))
-        best = votes.groupBy("comp").agg(F.max(F.struct("n", "to", "pair")).alias("best"))
-        return best.select(F.col("best.pair.node").alias("a"), F.col("best.pair.other").alias("b"))
-
-    def residual(self, labelled: DataFrame, vectors: DataFrame) -> DataFrame:
-        """Pairs of different components within one block that count vectors don't rule out."""
-        percent = self.percent
-        mixed = labelled.groupBy("shingle").agg(F.ceil(F.count("*") / CHUNK).alias("_chunks"))
-        points = labelled.join(mixed, "shingle").join(vectors, "node")
-        own = points.withColumn("side", F.pmod(F.xxhash64("node"), F.col("_chunks")))
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))
-        chunked = own.withColumn("_other", other).select("shingle", F.least("side", "_other").alias("i"), F.greatest("side", "_other").alias("j"), "side", "node", "comp", "n", "vector")
-        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        keys = ["shingle", "i", "j"]
-        searched = chunked.repartition(tasks, *keys).sortWithinPartitions(*keys)
-
-        def pairs_of(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-            many, cross = np.diff(np.append(starts, len(frame))), (frame["i"] != frame["j"]).to_numpy()[starts]
+                for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "known", "shingles", "places", "nodes", "sizes"))):
+                    if row[1]:
+                        place, node, n = entries([row[1:]])
+                        yield rows_of(np.frombuffer(row[2], np.int64), node, n, place)
+                        continue
+                    if row[0] != bucket and held:
+                        yield shared(bucket, held)
+                        held = []
+                    bucket = row[0]
+                    held.append(row[1:])
+            if held:
+                yield shared(bucket, held)
+
+        packed = self.docs.select("text").mapInArrow(deal, "bucket int, known boolean, shingles binary, places binary, nodes binary, sizes binary")
+        met = packed.repartition(self.tasks, "bucket").sortWithinPartitions("bucket")
+        found = written(met.mapInArrow(meet, "block long, node long, n long, place long"), "dealt")
+        last.destroy()
+        return found
+
+    def searched(self, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+        """a, b: forests of the candidates in chunks of blocks. chunks: block, i, j, side, node, n, place, label."""
+        percent, keys = self.percent, ["block", "i", "j"]
+        points = chunks.join(vectors, "node").repartition(self.tasks, *keys).sortWithinPartitions(*keys)
+
+        def candidates(frame: pd.DataFrame) -> pd.DataFrame:
+            starts = runs_of(*(frame[k].to_numpy() for k in keys))
+            many = np.diff(np.append(starts, len(frame)))
+            cross = (frame["i"] != frame["j"]).to_numpy()[starts]
             points = np.frombuffer(b"".join(frame["vector"]), np.uint8).reshape(-1, GROUPS)
-            nodes, sizes, comps, sides = (frame[c].to_numpy() for c in ("node", "n", "comp", "side"))
-            found = []
+            nodes, sizes, places, labels, sides = (frame[c].to_numpy() for c in ("node", "n", "place", "label", "side"))
+            found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
             for size in range(2, LEAF + 1):
-                a, b = small_pairs(starts[many == size], size, comps, sides, cross[many == size])
+                a, b = small_pairs(starts[many == size], size, labels, sides, cross[many == size])
+                fits = can_link(sizes[a], places[a], sizes[b], places[b], percent)
+                a, b = a[fits], b[fits]
                 for lo in range(0, len(a), 20_000):
                     x, y = a[lo : lo + 20_000], b[lo : lo + 20_000]
-                    ok = enough(bound(points[x], points[y]), sizes[x], sizes[y], percent) & (100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]))
+                    ok = enough(bound(points[x], points[y]), sizes[x], sizes[y], percent)
                     found.append((x[ok], y[ok]))
             for k in np.flatnonzero(many > LEAF):
                 rows = slice(starts[k], starts[k] + many[k])
-                x, y = tree_pairs(points[rows], sizes[rows], comps[rows], sides[rows], bool(cross[k]), percent)
-                found.append((x + starts[k], y + starts[k]))
-            x, y = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            pairs = np.stack([np.maximum(nodes[x], nodes[y]), np.minimum(nodes[x], nodes[y])], axis=1)
+                x, y = tree_pairs(points[rows], sizes[rows], labels[rows], sides[rows], bool(cross[k]), percent)
+                x, y = x + starts[k], y + starts[k]
+                fits = can_link(sizes[x], places[x], sizes[y], places[y], percent)
+                found.append((x[fits], y[fits]))
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            a, b = forest(*finer(a, b, sizes, frame["fine"].to_numpy(), percent), len(frame))
+            pairs = np.stack([np.maximum(nodes[a], nodes[b]), np.minimum(nodes[a], nodes[b])], axis=1)
             return pd.DataFrame(np.unique(pairs, axis=0), columns=["a", "b"])
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rest = None  # the last block so far, which may go on
-            for batch in batches:
-                frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-                if len(frame):
-                    starts = np.flatnonzero((frame[keys] != frame[keys].shift()).any(axis=1).to_numpy())
-                    rest = frame.iloc[starts[-1] :]
-                    if len(starts) > 1:
-                        yield pairs_of(frame.iloc[: starts[-1]], starts[:-1])
-            if rest is not None:
-                yield pairs_of(rest.reset_index(drop=True), np.zeros(1, np.int64))
-
-        return searched.mapInPandas(search, "a long, b long").distinct()
-
-    def run(self) -> DataFrame:
+            yield from map(candidates, grouped(batches, keys))
+
+        return written(points.mapInPandas(search, "a long, b long").distinct(), "edges")
+
+    def verified(self, members: DataFrame) -> DataFrame:
+        """a, b: links that join all that link in chunks of groups. members: key, i, j, side, node, label, row."""
+        percent, width, keys = self.percent, self.width, ["key", "i", "j"]
+        members = members.withColumnRenamed("row", "_of")
+        if members.count() <= BROADCAST_ROWS:
+            members = F.broadcast(members)
+        texts = self.docs.select("row", "text").join(members, F.col("row") == F.col("_of")).select(*keys, "side", "node", "label", "text")
+        dealt = texts.repartition(self.tasks, *keys).sortWithinPartitions(*keys)
+
+        def linked(frame: pd.DataFrame, shingles: Shingler) -> Iterator[tuple[int, int]]:
+            """The links of one group that join what was apart."""
+            sets = list(shingles.batch(pa.array(frame["text"], pa.string())))
+            nodes, labels, sides = (frame[c].to_numpy() for c in ("node", "label", "side"))
+            sizes, cross = np.array([len(s) for s in sets]), frame["i"].iloc[0] != frame["j"].iloc[0]
+            points = np.stack([count_vector(s) for s in sets])
+            a, b = tree_pairs(points, sizes, labels, sides, bool(cross), percent)
+            score = np.concatenate([np.empty(0)] + [bound(points[a[lo : lo + 20_000]], points[b[lo : lo + 20_000]]) / (sizes[a[lo : lo + 20_000]] + sizes[b[lo : lo + 20_000]]) for lo in range(0, len(a), 20_000)])
+            union = Union()
+            for k in np.argsort(-score, kind="stable").tolist():
+                x, y = int(a[k]), int(b[k])
+                one, two = int(labels[x]), int(labels[y])
+                if union.find(one) != union.find(two) and enough(common(sets[x], sets[y]), sizes[x], sizes[y], percent):
+                    union.join(one, two)
+                    yield int(nodes[x]), int(nodes[y])
+
+        def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shingles = Shingler(width)
+            for frame in grouped(batches, keys):
+                starts = runs_of(*(frame[k].to_numpy() for k in keys))
+                links = [pair for lo, hi in zip(starts, np.append(starts[1:], len(frame))) if hi - lo > 1 for pair in linked(frame.iloc[lo:hi], shingles)]
+                yield pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+        return written(dealt.mapInPandas(verify, "a long, b long"), "links")
+
+    def paired(self, rows: DataFrame, key: str) -> DataFrame:
+        """rows (key, label, node, ...) of groups with several labels, dealt to pairs of chunks: i, j, side.
+
+        Only pairs with a node outside the group's largest label are searched; each is in exactly one pair of chunks.
+        """
+        counts = rows.groupBy(key, "label").agg(F.count("*").alias("_c"))
+        whole = counts.groupBy(key).agg(F.max(F.struct("_c", "label")).alias("_top"), F.sum("_c").alias("_all")).where("_all > _top._c")
+        several = whole.select(F.col(key).alias("_key"), F.col("_top.label").alias("_most"), F.ceil((F.col("_all") - F.col("_top._c")) / self.chunk).alias("_few"), F.ceil(F.col("_top._c") / self.chunk).alias("_many"))
+        met = rows.join(several, F.col(key) == F.col("_key"))
+        lone, mark = F.col("label") != F.col("_most"), F.xxhash64("node")
+        side = F.when(lone, F.pmod(mark, F.col("_few"))).otherwise(F.col("_few") + F.pmod(mark, F.col("_many")))
+        others = F.sequence(F.lit(0).cast("long"), F.when(lone, F.col("_few") + F.col("_many")).otherwise(F.col("_few")) - 1)
+        spread = met.withColumn("side", side).withColumn("_other", F.explode(others))
+        return spread.withColumns({"i": F.least("side", "_other"), "j": F.greatest("side", "_other")}).drop("_other", "_key", "_most", "_few", "_many")
+
+    def candidates(self, dealt: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """The candidate edges of all blocks, those of over ``chunk`` rows searched in chunks; and these blocks, if any."""
+        big = dealt.groupBy("block").agg(F.count("*").alias("_rows"), F.min("node").alias("_least")).where(F.col("_rows") > self.chunk)
+        big = written(big.select(F.col("block").alias("_big"), "_rows", "_least"), "big")
+        flat = dealt.withColumns({"i": F.lit(0).cast("long"), "label": F.col("node")})
+        some = not big.isEmpty()
+        if some:
+            parts = F.ceil(F.coalesce("_rows", F.lit(1)) / self.chunk)
+            # A block's least node is in each of its chunks and ties them together.
+            at = F.when(F.col("node") == F.col("_least"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), parts)))
+            flat = flat.join(big, F.col("block") == F.col("_big"), "left").withColumn("i", F.explode(at)).drop("_big", "_rows", "_least")
+        edges = self.searched(flat.withColumns({"j": F.col("i"), "side": F.col("i")}), vectors)
+        return edges, big if some else None
+
+    def groups(self, edges: DataFrame, classes: DataFrame) -> DataFrame:
+        """node, key (its candidate group), row, n, parts (of the group) and head (its most connected node)."""
+        degrees = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("_d"))
+        placed = components(edges, self.local_links).withColumnRenamed("label", "key").join(degrees, "node").join(classes.select("node", "row", "n"), "node")
+        sums = placed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / self.chunk), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("parts"), F.max(F.struct("_d", "node")).alias("_head"))
+        return written(placed.join(sums, "key").select("node", "key", "row", "n", "parts", F.col("_head.node").alias("head")), "groups")
+
+    def run(self) -> tuple[DataFrame, DataFrame]:
+        """The rows (doc_id, row, n, node; no node for the empty set) and the nodes' component (node, label, least, row)."""
         profile = self.profile()
-        rows = profile.where("kind = 0").drop("kind")
-        sets = rows.where("n > 0")
+        rows = profile.where("kind = 0")
+        whole = [F.min("row").alias("row"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi")]
+        node = F.col("key")
+        classes = written(rows.where("n > 0").groupBy(node.alias("node")).agg(*whole), "classes")
         # A key that two different sets share is told apart by its other half; none is expected.
-        clash = sets.groupBy("key").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo != hi")
-        doubtful = {row["key"] for row in clash.select("key").collect()}
-        node = F.col("key") if not doubtful else F.when(F.col("key").isin(*doubtful), F.xxhash64("key", "other")).otherwise(F.col("key"))
-        classes = written(sets.groupBy(node.alias("node")).agg(F.min("own").alias("rep"), F.min("doc_id").alias("least")), "classes")
-        blocks = self.blocks(self.frequent(profile), doubtful)
-        vectors = blocks.groupBy("node").agg(F.first("n").alias("n"), F.first("vector").alias("vector"))
-        each = blocks.select("node", F.explode("prefix").alias("shingle"))
-        several = each.groupBy("shingle").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo != _hi").select("shingle")
-        shared = written(each.join(several, "shingle"), "dealt")
-        links, labels = None, None
-        for _ in range(ROUNDS):
-            shared = self.mixed(shared.select("shingle", "node"), labels)
-            found = self.verified(self.bounded(self.nominated(shared), vectors), classes)
-            if found.isEmpty():
-                break
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        else:
-            shared = self.mixed(shared.select("shingle", "node"), labels)
-        more = written(self.residual(shared.distinct(), vectors), "more")
-        if not more.isEmpty():
-            found = self.verified(more, classes)
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        if labels is None:
-            labels = self.spark.createDataFrame([], "node long, label long")
-        return self.finish(rows, node, classes, labels)
-
-    def finish(self, rows: DataFrame, node, classes: DataFrame, labels: DataFrame) -> DataFrame:
-        placed = classes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-        least = placed.groupBy("label").agg(F.min("least").alias("component_id"))
-        by_node = placed.join(least, "label").select("node", "label", "component_id")
-        keyed = rows.select("doc_id", "own", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, node).alias("node"))
-        return keyed.join(by_node, "node", "left").select("doc_id", "own", "n_shingles", "label", F.coalesce("component_id", "doc_id").alias("component_id"))
+        doubtful = {r["node"] for r in classes.where("lo != hi").select("node").collect()}
+        if doubtful:
+            node = F.when(F.col("key").isin(*doubtful), F.xxhash64("key", "other")).otherwise(F.col("key"))
+            classes = written(rows.where("n > 0").groupBy(node.alias("node")).agg(*whole), "classes")
+        dealt = self.dealt(self.frequent(profile), doubtful)
+        # The same set may be met first in several parts of the input.
+        vectors = rows.where("vector is not null").select(node.alias("node"), "vector", "fine").join(dealt.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("vector").alias("vector"), F.first("fine").alias("fine"))
+        edges, big = self.candidates(dealt, vectors)
+        groups = self.groups(edges, classes)
+        at = F.when(F.col("node") == F.col("head"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts"))))
+        first = groups.select("key", "node", "row", F.col("node").alias("label"), F.explode(at).alias("i"))
+        links = self.verified(first.withColumns({"j": F.col("i"), "side": F.col("i")}))
+        labels = components(links, self.local_links)
+        more = self.rest(dealt, vectors, big, groups, labels, classes)
+        if more is not None:
+            labels = components(links.unionByName(more), self.local_links)
+        placed = classes.join(labels, "node", "left").select("node", "row", "least", F.coalesce("label", "node").alias("label"))
+        discard(dealt, edges, groups)
+        return rows.select("doc_id", "row", "n", F.when(F.col("n") > 0, node).alias("node")), placed
+
+    def rest(self, dealt: DataFrame, vectors: DataFrame, big: DataFrame | None, groups: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame | None:
+        """Links that chunks of blocks and parts of groups could not show."""
+        open_groups = groups.where("parts > 1").select("node", "key", "row")
+        if big is not None:
+            inside = dealt.join(big.select(F.col("_big").alias("block")), "block", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            across = self.searched(self.paired(inside, "block"), vectors)
+            if not across.isEmpty():
+                # Groups that candidates across chunks tie together are one, and all open.
+                tied = across.unionByName(groups.where("key != node").select(F.col("node").alias("a"), F.col("key").alias("b")))
+                joined = components(tied, self.local_links).withColumnRenamed("label", "key")
+                touched = across.select(F.explode(F.array("a", "b")).alias("node")).unionByName(open_groups.select("node")).distinct()
+                keys = joined.join(touched, "node", "left_semi").select("key").distinct()
+                open_groups = written(joined.join(keys, "key", "left_semi").join(classes.select("node", "row"), "node"), "open")
+        labelled = open_groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        chunks = written(self.paired(labelled, "key"), "chunks")
+        return None if chunks.isEmpty() else self.verified(chunks)
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two ascending arrays share."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
+def row_of(docs: DataFrame) -> Column:
+    """A row's identity, of a plain scan of files: it is the same in every scan, however the files are split."""
+    place = docs.metadataColumn("_metadata")
+    return F.struct(F.xxhash64(place["file_path"]).alias("f"), place["row_index"].alias("r"))
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """``docs`` if it is a plain scan of Parquet files, else a written copy that is."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.toString().split("\n")[0]:
+        return docs
+    return written(docs, "docs")
 
 
 def node_of(key: int, other: int, doubtful: set[int]) -> int:
@@ -458,52 +659,67 @@ def node_of(key: int, other: int, doubtful: set[int]) -> int:
     return seed - (seed >> 63 << 64)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
     """node, label for every node of the undirected links (a, b): equal labels where links connect.
 
-    Each round every node moves to its neighbour of least random rank, twice, and the links are contracted; a constant
-    share of the nodes goes in every round, for chains as well as for stars.
+    In each round every node moves to its neighbour of least random rank, twice, and the links are contracted; a
+    constant share of the nodes goes in every round, for chains as well as for stars. Once there are no more than
+    ``local`` links, one task joins the rest.
     """
-    edges = written(links.where("a != b").select("a", "b").distinct(), "edges")
-    labels = None
+    edges, labels = links.where("a != b").select("a", "b").distinct(), None
     for turn in range(64):
-        if edges.isEmpty():
+        edges = written(edges, "edges")
+        if edges.count() <= local:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.xxhash64(c, F.lit(turn))
         least = both.groupBy("a").agg(F.min(F.struct(rank(F.col("b")).alias("r"), F.col("b").alias("to"))).alias("m"))
-        step = least.select(F.col("a").alias("from"), F.when(F.col("m.r") < rank(F.col("a")), F.col("m.to")).otherwise(F.col("a")).alias("to"))
-        step = written(step, "step")
+        step = written(least.select(F.col("a").alias("from"), F.when(F.col("m.r") < rank(F.col("a")), F.col("m.to")).otherwise(F.col("a")).alias("to")), "step")
         jump = step.select(F.col("from").alias("to"), F.col("to").alias("then"))
         step = written(step.join(jump, "to").select("from", F.col("then").alias("to")), "jump")
         moved = edges.join(step.toDF("a", "a2"), "a").join(step.toDF("b", "b2"), "b")
-        edges = written(moved.where("a2 != b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "edges")
-        if labels is None:
-            labels = step.toDF("node", "label")
-        else:
-            onward = step.toDF("label", "then")
-            labels = written(labels.join(onward, "label", "left").select("node", F.coalesce("then", "label").alias("label")), "labels")
-    if labels is None:
-        return links.sparkSession.createDataFrame([], "node long, label long")
-    return labels
-
-
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        edges = moved.where("a2 != b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
+        labels = step.toDF("node", "label") if labels is None else relabelled(labels, step)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        union, nodes = Union(), set()
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                union.join(a, b)
+                nodes.update((a, b))
+        nodes = sorted(nodes)
+        for lo in range(0, len(nodes), 100_000):
+            some = nodes[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([union.find(x) for x in some], pa.int64())], ["node", "label"])
+
+    rest = edges.repartition(1).mapInArrow(join, "node long, label long")
+    return written(rest if labels is None else relabelled(labels, rest.toDF("from", "to")), "labels")
+
+
+def relabelled(labels: DataFrame, step: DataFrame) -> DataFrame:
+    """labels (node, label) with each label moved on by step (from, to), where it has one."""
+    return written(labels.join(step.toDF("label", "then"), "label", "left").select("node", F.coalesce("then", "label").alias("label")), "labels")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id that links reach)."""
-    return Join(docs, percent, width, id_col, text_col).run().select("doc_id", "n_shingles", "component_id")
+    rows, placed = Join(scanned(docs), percent, width, id_col, text_col, **options).run()
+    least = placed.groupBy("label").agg(F.min("least").alias("component_id"))
+    by_node = placed.join(least, "label").select("node", "component_id")
+    return rows.join(by_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` less all but one of each component: that with the smallest id, null ids last.
+def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` less all but one of each component: that with the smallest id, null ids last, ties by place.
 
-    Rows of equal ids are told apart by their texts; every row with an empty set stays, since it is its own component.
+    Every row with an empty set stays, since it is its own component.
     """
-    rows = Join(docs, percent, width, id_col, text_col).run().where("n_shingles > 0")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("first")
-    kept = rows.groupBy("label").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.own").alias("_key"))
-    kept = written(kept, "kept")
-    empty = ~F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
-    marked = docs.withColumn("_own", text_key(F.col(text_col))).withColumn("_empty", empty)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key"))
-    full = marked.where("not _empty").join(kept, same, "left_semi").dropDuplicates([id_col, "_own"])
-    return full.unionByName(marked.where("_empty")).select(*docs.columns)
+    docs = scanned(docs)
+    rows, placed = Join(docs, percent, width, id_col, text_col, **options).run()
+    labelled = rows.where("n > 0").join(placed.select("node", "label"), "node").select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("at"))
+    first = labelled.groupBy("label").agg(F.min("at").alias("first"))
+    gone = labelled.join(first, "label").where("at != first").select(F.col("at.row").alias("_gone"))
+    gone = written(gone, "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, row_of(docs) == F.col("_gone"), "left_anti").select(*docs.columns)

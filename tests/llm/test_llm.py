@@ -183,9 +183,37 @@ def near_texts(chance, words):
     return texts
 
 
-def test_jaccard_components(spark, words, monkeypatch):
-    monkeypatch.setattr(jaccard, "CHUNK", 8)  # blocks of several chunks
+@pytest.mark.parametrize("options", [{}, {"chunk": 8, "local_links": 10}])  # blocks and groups of one chunk, or of several
+def test_jaccard_components(spark, words, options):
     texts = ODD + near_texts(np.random.default_rng(6), words)
+    got = sorted(map(tuple, jaccard.near_duplicates(documents(spark, texts), **options).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == brute_components(texts)
+
+
+def test_jaccard_of_one_large_group(spark, words):
+    """Copies that drift apart: many link only through others, and many blocks hold nearly all of them."""
+    chance, base = np.random.default_rng(12), words[:90]
+    texts = []
+    for _ in range(120):
+        copy = list(base)
+        for at in chance.integers(len(copy), size=int(chance.integers(1, 4))):
+            copy[at] = words[int(chance.integers(200, 3000))]
+        texts.append(" ".join(copy))
+    want = brute_components(texts)
+    assert 1 < len({c for _, _, c in want}) < 100
+    for options in ({}, {"chunk": 10, "local_links": 20}):
+        got = sorted(map(tuple, jaccard.near_duplicates(documents(spark, texts), **options).select("doc_id", "n_shingles", "component_id").collect()))
+        assert got == want
+
+
+def test_jaccard_long_texts(spark, words):
+    chance = np.random.default_rng(13)
+    long = [prose(chance, words, 5000) for _ in range(3)]
+    texts = [*long, *(x[:-200] + prose(chance, words, 30) for x in long), " ".join(long)[: len(long[0]) * 2]]
+    vectors = [jaccard.fine_vector(jaccard.Shingler()(t)) for t in texts]
+    assert all(len(v) >= 1024 for v in vectors)
+    folded = jaccard.folded(np.frombuffer(vectors[0], np.uint8), 256)
+    assert (folded == jaccard.count_vector(jaccard.Shingler()(texts[0]))).all()
     got = sorted(map(tuple, jaccard.near_duplicates(documents(spark, texts)).select("doc_id", "n_shingles", "component_id").collect()))
     assert got == brute_components(texts)
 
