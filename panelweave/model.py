@@ -33,6 +33,8 @@ class Group:
 
     keys: (column, entity) in the unit's order. order: the columns whose values give the import order, on which
     first-wins and last-wins depend; without it, all columns do. Without start and end, rows hold at any time.
+    one_unit: every row holds for exactly one unit of the granularity, from boundary to boundary, as imports that name
+    a single year, month or day give; such rows need no cutting.
     """
 
     code: str
@@ -43,6 +45,7 @@ class Group:
     end: str | None = None
     order: tuple[str, ...] | None = None
     numeric: frozenset[str] = frozenset()
+    one_unit: bool = False
 
     def __post_init__(self):
         if tuple(entity for _, entity in self.keys) != self.unit.entities:

@@ -24,11 +24,7 @@ def leaf_counts(leaves: DataFrame, by: Sequence[str]) -> DataFrame:
     return leaves.groupBy(*by).agg(F.count(F.when(~F.col("_excluded"), 1)).alias("_n"), F.max("_excluded").alias("_cut_short"))
 
 
-def _equal(left: Sequence[str], right: Sequence[str]) -> Column:
-    on = F.lit(True)
-    for a, b in zip(left, right):
-        on = on & F.col(a).eqNullSafe(F.col(b))
-    return on
+BLOCK = 512  # first members whose subsets one row gives
 
 
 def subsets(leaves: DataFrame, by: Sequence[str], k: int) -> DataFrame:
@@ -36,21 +32,39 @@ def subsets(leaves: DataFrame, by: Sequence[str], k: int) -> DataFrame:
 
     Where there are fewer than k leaves, all of them make one row with null slots, unless leaves were excluded there.
     """
-    kept = leaves.where("not _excluded")
     if k == 1:
-        return kept.select(*by, F.col("_leaf").alias("_leaf_1"), F.col("_load").alias("_load_1"))
-    full = kept.select(*by, F.col("_leaf").alias("_leaf_1"), F.col("_load").alias("_load_1"))
+        return leaves.where("not _excluded").select(*by, F.col("_leaf").alias("_leaf_1"), F.col("_load").alias("_load_1"))
+    return spread(gathered(leaves, by, k), by, k)
+
+
+def gathered(leaves: DataFrame, by: Sequence[str], k: int) -> DataFrame:
+    """by, _all: the accepted leaves of each slice and branch in order, filled up to k with nulls.
+
+    An array of n leaves stands for n over k output rows, so one that does not fit in memory has no output that fits
+    on a cluster; samples, which exist for such cases, don't gather.
+    """
+    one = F.struct("_leaf", F.col("_load"))
+    groups = leaves.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(~F.col("_excluded"), one))).alias("_all"), F.max("_excluded").alias("_cut_short"))
+    n = F.size("_all")
+    whole = groups.where((n > 0) & ((n >= k) | ~F.col("_cut_short")))
+    return whole.select(*by, F.when(n < k, F.concat("_all", F.array_repeat(F.lit(None), k - n))).otherwise(F.col("_all")).alias("_all"))
+
+
+def spread(groups: DataFrame, by: Sequence[str], k: int, beside: Sequence[str] = ()) -> DataFrame:
+    """Every increasing k-subset of ``_all``, with ``by`` and the columns ``beside``.
+
+    A row is dealt out by blocks of first members, so that a large group's subsets are made in many tasks.
+    """
+    keep, n = [*by, *beside], F.size("_all")
+    blocks = groups.withColumn("_from", F.explode(F.sequence(F.lit(0), n - 1, F.lit(BLOCK)))).repartition(*by, "_from")
+    rows = blocks.select(*keep, "_all", "_from", F.posexplode(F.slice("_all", F.col("_from") + 1, F.lit(BLOCK))).alias("_at", "_x1"))
+    rows = rows.withColumn("_at", F.col("_at") + F.col("_from")).drop("_from")
+    done = ["_x1"]
     for i in range(2, k + 1):
-        names = [f"_{i}_{c}" for c in by]
-        more = kept.select(*(F.col(c).alias(n) for c, n in zip(by, names)), F.col("_leaf").alias(f"_leaf_{i}"), F.col("_load").alias(f"_load_{i}"))
-        full = full.join(more, _equal(by, names) & (F.col(f"_leaf_{i - 1}") < F.col(f"_leaf_{i}"))).drop(*names)
-    few = leaf_counts(leaves, by).where((F.col("_n") > 0) & (F.col("_n") < k) & ~F.col("_cut_short"))
-    names = [f"_f_{c}" for c in by]
-    small = kept.join(few.select(*(F.col(c).alias(n) for c, n in zip(by, names))), _equal(by, names)).select(*by, "_leaf", "_load")
-    # Fewer than k leaves each.
-    all_of = small.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_leaf", F.col("_load")))).alias("_all"))
-    slots = [F.get("_all", F.lit(i))[part].alias(f"{part}_{i + 1}") for i in range(k) for part in ("_leaf", "_load")]
-    return full.unionByName(all_of.select(*by, *slots))
+        onward = F.posexplode(F.slice("_all", F.col("_at") + 2, F.greatest(n - F.col("_at") - 1, F.lit(0)))).alias("_step", f"_x{i}")
+        rows = rows.select(*keep, "_all", *done, "_at", onward).withColumn("_at", F.col("_at") + 1 + F.col("_step")).drop("_step")
+        done.append(f"_x{i}")
+    return rows.select(*keep, *(F.col(f"_x{i}")[part].alias(f"{part}_{i}") for i in range(1, k + 1) for part in ("_leaf", "_load")))
 
 
 def weights(leaves: DataFrame, by: Sequence[str], k: int, units: Column) -> DataFrame:

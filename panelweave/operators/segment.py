@@ -61,9 +61,9 @@ def unit_marks(start: int, end: int, unit: Granularity, spark) -> DataFrame:
     return bounds.select(F.col("p.s").alias("_at"))
 
 
-def aligned(ms: int, unit: Granularity, up: bool, spark) -> int:
-    """A bound aligned to the unit; bounds are few, so one tiny job computes them."""
+def aligned(start: int, end: int, unit: Granularity, spark) -> tuple[int, int]:
+    """A range with its start aligned down and its end up; one tiny job computes both."""
     from panelweave.functions.time import align_up
 
-    column = F.lit(ms).cast("long")
-    return spark.range(1).select((align_up if up else align_down)(column, unit).alias("x")).first()["x"]
+    lo, hi = F.lit(start).cast("long"), F.lit(end).cast("long")
+    return tuple(spark.range(1).select(align_down(lo, unit), align_up(hi, unit)).first())

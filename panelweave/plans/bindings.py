@@ -35,9 +35,9 @@ def _stamped(table: DataFrame, column: str, unit: Granularity) -> DataFrame:
     return table.withColumns({"row_start": time.align_down(at, unit), "row_end": time.after(at, unit)})
 
 
-def _group(code: str, table: DataFrame, unit: Granularity, *keys: tuple[str, str], timed: bool = True) -> Group:
+def _group(code: str, table: DataFrame, unit: Granularity, *keys: tuple[str, str], timed: bool = True, one_unit: bool = True) -> Group:
     order = tuple(c for c in table.columns if c not in ("row_start", "row_end"))
-    return Group(code, Unit(code, tuple(e for _, e in keys), unit), table, keys, "row_start" if timed else None, "row_end" if timed else None, order)
+    return Group(code, Unit(code, tuple(e for _, e in keys), unit), table, keys, "row_start" if timed else None, "row_end" if timed else None, order, one_unit=timed and one_unit)
 
 
 # SQL parts: rows of one unit each, the first of a key winning; pairs with padding; islands of touching equal rows.
@@ -232,7 +232,7 @@ def limit_members(spark, sf_dir):
 def consolidate_intervals(spark, sf_dir):
     """Orders that hold for 30 days, overlapping; the first one wins, and touching equal stretches join."""
     table = _stamped(_table(spark, sf_dir, "orders"), "o_orderdate", Granularity.DAY).withColumn("row_end", F.col("row_start") + 30 * time.DAY_MS)
-    group = _group("orders", table, Granularity.DAY, ("o_custkey", "customer"))
+    group = _group("orders", table, Granularity.DAY, ("o_custkey", "customer"), one_unit=False)
     return engine.generate(Spec({"orders": ["o_orderstatus"]}, show_time=True), [group])
 
 

@@ -1,8 +1,10 @@
 """Builds the DataFrame of an output: one lazy plan from the groups' tables to k-adic rows.
 
-Consolidated outputs are cut per branch, at the ends of the rows that can reach it; granulated outputs and samples are
-cut everywhere, since foreign cuts show there. Other groups are attached to single leaves before leaves are combined,
-so that each join runs over leaves rather than over their subsets.
+Where every row holds for one unit, as most imports give, nothing needs cutting: rows of all groups on the largest unit of
+analysis meet in one aggregate, leaves are gathered per slice and branch, groups that only concern the branch are
+attached (and their cuts made) there, and subsets come last. Otherwise consolidated outputs are cut per branch, at the
+ends of the rows that can reach it; granulated outputs and samples are cut everywhere, since foreign cuts show there.
+Other groups are attached before leaves are combined, so that each join runs over leaves rather than over their subsets.
 """
 
 from __future__ import annotations
@@ -13,10 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.time import display, pieces, units
+from panelweave.functions.time import Granularity, display, pieces, units
 from panelweave.model import Group, Spec
 from panelweave.operators import segment
-from panelweave.operators.combine import subsets, weights
+from panelweave.operators.combine import gathered, spread, subsets, weights
 from panelweave.operators.consolidate import consolidate
 from panelweave.operators.merge import attach
 from panelweave.operators.sample import drawn, unranked
@@ -40,27 +42,43 @@ class _Other:
         self.slots = len(places)
         self.per_leaf = max(1, self.slots // resolved.k) if self.by_leaf else self.slots
         self.names = [f"g{number}_{r}" for r in range(self.per_leaf)]
+        self.timed = group.start is not None
+        self.own = group.unit.granularity if group.one_unit and self.timed else None
+        self.beside = False  # whether the names are columns of whole rows rather than fields of a leaf's load
         self.on = [[(self._column(p), c) for p, c in zip(place, group.key_columns)] for place in places[: self.per_leaf]]
 
     @staticmethod
     def _column(place: tuple) -> Column:
         return F.col(f"_b{place[1]}") if place[0] == "branch" else F.col("_leaf")[f"l{place[2]}"]
 
-    def where(self, slot: int) -> tuple[int, str]:
-        """The leaf (from 1) and the field of its load that hold an output slot."""
-        return (slot // self.per_leaf + 1, self.names[slot % self.per_leaf]) if self.by_leaf else (1, self.names[slot])
+    def where(self, slot: int) -> Column:
+        """What holds an output slot: a field of a leaf's load, or a column of its own."""
+        if self.beside:
+            return F.col(self.names[slot])
+        return F.col(f"_load_{slot // self.per_leaf + 1}")[self.names[slot % self.per_leaf]] if self.by_leaf else F.col("_load_1")[self.names[slot]]
+
+    def attached(self, left: DataFrame, id_columns: Sequence[str], unit) -> DataFrame:
+        for name, on in zip(self.names, self.on):
+            left = attach(left, id_columns, on, self.rows, name, unit if self.timed else None, self.own)
+        return left
 
 
 class Plan:
     def __init__(self, resolved: Resolved):
         self.r, self.spec, self.unit = resolved, resolved.spec, resolved.unit
         self.spark = resolved.primary.table.sparkSession
-        self.start = segment.aligned(self.spec.start, self.unit, False, self.spark)
-        self.end = segment.aligned(self.spec.end, self.unit, True, self.spark)
+        self.start, self.end = segment.aligned(self.spec.start, self.spec.end, self.unit, self.spark)
         self.branch = [f"_b{i}" for i in range(len(resolved.branch))]
         self.primary = self._primary()
         groups = [(g, self._same_places(g)) for g in resolved.tops] + [(c.group, c.places) for c in resolved.children]
         self.others = [_Other(g, self._staged(g), places, resolved, n) for n, (g, places) in enumerate(groups)]
+        self.tops = self.others[: len(resolved.tops)]
+
+    @property
+    def whole(self) -> bool:
+        """Whether leaves need no cutting: all their rows hold for one unit each, and others only concern branches."""
+        same = lambda g: g.one_unit and g.unit.granularity is self.unit
+        return same(self.r.primary) and self.unit is not Granularity.NONE and all(same(o.group) if o in self.tops else not (o.timed and o.by_leaf) or same(o.group) for o in self.others)
 
     def _same_places(self, group: Group):
         """A top-level group's key columns: the n-th of an entity is the primary group's n-th."""
@@ -115,7 +133,7 @@ class Plan:
 
     def _everywhere(self, rows: DataFrame, marks: bool) -> DataFrame:
         """rows cut at the ends of all groups' rows and, with ``marks``, at unit boundaries."""
-        ends = [self._ends(rows)] + [self._ends(o.rows) for o in self.others if o.group.start is not None]
+        ends = [self._ends(rows)] + [self._ends(o.rows) for o in self.others if o.timed]
         if marks:
             ends.append(segment.unit_marks(self.start, self.end, self.unit, self.spark))
         cut = segment.slices(reduce(DataFrame.unionByName, ends), [], self.unit)
@@ -123,20 +141,19 @@ class Plan:
 
     def _per_branch(self) -> DataFrame:
         """The primary rows cut at the ends of those rows that can reach their branch."""
-        ends = [self._ends(self.primary, self.branch)]
-        keys = self.primary.select(*self.branch, "_leaf").distinct() if self.others else None
-        for other in self.others:
-            if other.group.start is None:
-                continue
-            for on in other.on:
-                reach = reduce(lambda a, b: a & b, (expr == F.col(f"_k_{key}") for expr, key in on))
-                rows = other.rows.select(*(F.col(key).alias(f"_k_{key}") for _, key in on), "_s", "_e").distinct()
-                ends.append(self._ends(keys.join(rows, reach).select(*self.branch, "_s", "_e").distinct(), self.branch))
+        ends = [self._ends(self.primary, self.branch)] + [self._reach(o) for o in self.others if o.timed]
         cut = segment.slices(reduce(DataFrame.unionByName, ends), self.branch, self.unit)
         return segment.deal(self.primary, cut, self.branch, self.unit)
 
     # Leaves and their loads.
 
+    def _counted_leaves(self) -> DataFrame:
+        """The leaves in slices that only the primary group's own rows cut, as weights and samples need them."""
+        if self.whole:
+            return self._whole_leaves()
+        cut = segment.slices(self._ends(self.primary), [], self.unit)
+        return self._leaves(segment.deal(self.primary, cut, [], self.unit))
+
     def _leaves(self, live: DataFrame) -> DataFrame:
         """One row per slice, branch and leaf; the first row's data."""
         return live.groupBy(*self.branch, "_a", "_b", "_leaf").agg(F.min_by("_data", "_order").alias("_data"), F.max("_excluded").alias("_excluded"))
@@ -145,16 +162,62 @@ class Plan:
         """Adds ``_load``: the primary data and what the other groups have for the leaf."""
         names = []
         for other in self.others:
-            for name, on in zip(other.names, other.on):
-                leaves = attach(leaves, id_columns, on, other.rows, self.unit, other.group.start is not None, name)
-                names.append(name)
+            leaves = other.attached(leaves, id_columns, self.unit)
+            names += other.names
         return leaves.withColumn("_load", F.struct(F.col("_data").alias("p"), *names)).drop("_data", *names)
 
+    def _whole_leaves(self, tops: Sequence[_Other] = ()) -> DataFrame:
+        """One row per unit, branch and leaf: the first row's data, and the last row's of groups on the same entities."""
+        rows = self.primary.select(*self.branch, "_leaf", F.col("_s").alias("_a"), F.col("_e").alias("_b"), "_data", "_order", "_excluded")
+        found = [F.min_by("_data", "_order").alias("_data"), F.max("_excluded").alias("_excluded")]
+        for other in tops:
+            at = {("leaf", p[2]) if p[0] == "leaf" else p: key for p, key in zip(self._same_places(other.group)[0], other.group.key_columns)}
+            branch = [F.col(at["branch", i]).alias(b) for i, b in enumerate(self.branch)]
+            leaf = F.struct(*(F.col(at["leaf", i]).alias(f"l{i}") for i in range(len(self.r.leaf)))) if self.r.leaf else F.struct(F.lit(0).alias("l"))
+            name = other.names[0]
+            more = other.rows.select(*branch, leaf.alias("_leaf"), F.col("_s").alias("_a"), F.col("_e").alias("_b"), F.col("_data").alias(name), F.col("_order").alias(f"_order_{name}"))
+            rows = rows.unionByName(more, allowMissingColumns=True)
+            found.append(F.max_by(name, f"_order_{name}").alias(name))
+        return rows.groupBy(*self.branch, "_a", "_b", "_leaf").agg(*found).where("_excluded is not null")
+
+    def _whole_sets(self) -> DataFrame:
+        """The k-subsets where leaves need no cutting, in the form that subsets() gives."""
+        by, k = [*self.branch, "_a", "_b"], self.r.k
+        leaves, names = self._whole_leaves(self.tops), [o.names[0] for o in self.tops]
+        for other in self.others:
+            if other in self.tops:
+                continue
+            if other.by_leaf:
+                leaves = other.attached(leaves, [*by, "_leaf"], self.unit)
+                names += other.names
+            else:
+                other.beside = True
+        leaves = leaves.withColumn("_load", F.struct(F.col("_data").alias("p"), *names)).drop("_data", *names)
+        beside = [o for o in self.others if o.beside]
+        rows = gathered(leaves, by, k) if k > 1 else subsets(leaves, by, k)
+        finer = [o for o in beside if o.timed and not (o.own is self.unit)]
+        if finer:
+            ends = [self._ends(self.primary, self.branch if self.spec.consolidate else ())] + [self._reach(o) if self.spec.consolidate else self._ends(o.rows) for o in finer]
+            cut = segment.slices(reduce(DataFrame.unionByName, ends), self.branch if self.spec.consolidate else [], self.unit)
+            rows = rows.withColumnsRenamed({"_a": "_s", "_b": "_e"})
+            rows = segment.deal(rows, cut, self.branch if self.spec.consolidate else [], self.unit).drop("_s", "_e")
+        for other in beside:
+            rows = other.attached(rows, by if k > 1 else [*by, "_leaf_1"], self.unit)
+        return spread(rows, by, k, [n for o in beside for n in o.names]) if k > 1 else rows
+
+    def _reach(self, other: _Other) -> DataFrame:
+        """The ends of another group's rows, for each branch that they can reach."""
+        keys, ends = self.primary.select(*self.branch, "_leaf").distinct() if other.by_leaf else self.primary.select(*self.branch).distinct(), []
+        for on in other.on:
+            meet = reduce(lambda a, b: a & b, (expr == F.col(f"_k_{key}") for expr, key in on))
+            rows = other.rows.select(*(F.col(key).alias(f"_k_{key}") for _, key in on), "_s", "_e").distinct()
+            ends.append(self._ends(keys.join(rows, meet).select(*self.branch, "_s", "_e").distinct(), self.branch))
+        return reduce(DataFrame.unionByName, ends)
+
     def _sampled(self) -> DataFrame:
         """The sampled k-ads with the other groups attached, in the form that subsets() gives."""
         k, by = self.r.k, [*self.branch, "_a", "_b"]
-        cut = segment.slices(self._ends(self.primary), [], self.unit)
-        leaves = self._leaves(segment.deal(self.primary, cut, [], self.unit))
+        leaves = self._counted_leaves()
         picks = drawn(weights(leaves, by, k, units(F.col("_a"), F.col("_b"), self.unit)), by, self.spec.sample, self.spec.seed)
         ranked = leaves.where("not _excluded").withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy("_leaf")) - 1)
         part = F.get(pieces(F.col("_a"), F.col("_b"), self.unit), F.col("_unit"))
@@ -187,9 +250,8 @@ class Plan:
         out += [(f"{v}{suffix(i)}", F.col(f"_load_{i}")["p"][f"v{j}"]) for i in range(1, r.k + 1) for j, v in enumerate(r.variables[r.primary.code])]
         for other in self.others:
             for slot in range(other.slots):
-                leaf, name = other.where(slot)
                 tail = f"_{slot + 1}" if other.slots > 1 else ""
-                out += [(f"{v}{tail}", F.col(f"_load_{leaf}")[name][f"v{j}"]) for j, v in enumerate(other.variables)]
+                out += [(f"{v}{tail}", other.where(slot)[f"v{j}"]) for j, v in enumerate(other.variables)]
         taken: dict[str, int] = {}
         named = []
         for name, column in out:
@@ -205,6 +267,8 @@ class Plan:
             raise PlanError(f"fewer than {k} rows in range")
         if spec.sample is not None:
             sets = self._sampled()
+        elif self.whole:
+            sets = self._whole_sets()
         else:
             live = self._everywhere(self.primary, marks=True) if granular else self._per_branch()
             sets = subsets(self._loaded(self._leaves(live), [*by, "_leaf"]), by, k)
@@ -221,9 +285,7 @@ class Plan:
 
     def weighted(self) -> DataFrame:
         """Per slice and branch of the primary group: units, subsets and their product."""
-        cut = segment.slices(self._ends(self.primary), [], self.unit)
-        leaves = self._leaves(segment.deal(self.primary, cut, [], self.unit))
-        return weights(leaves, [*self.branch, "_a", "_b"], self.r.k, units(F.col("_a"), F.col("_b"), self.unit))
+        return weights(self._counted_leaves(), [*self.branch, "_a", "_b"], self.r.k, units(F.col("_a"), F.col("_b"), self.unit))
 
 
 def generate(spec: Spec, groups: Mapping[str, Group] | Sequence[Group]) -> DataFrame:
