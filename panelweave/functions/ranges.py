@@ -55,7 +55,8 @@ def month_numbers(year: Column, month: Column, end_year: Column | None = None, e
     m1, m2 = _both(_int(month), _int(end_month))
     m1 = _valid_month(m1)
     last = F.when(m2 > 12, F.lit(1)).when(m2 <= 0, m1 + 1).otherwise(m2)
-    last_start = _day(y2, F.when(last > 12, F.lit(1)).otherwise(last), F.lit(1))
+    # A start in December with an impossible end month ends with January of the next year.
+    last_start = _day(F.when(last > 12, y2 + 1).otherwise(y2), F.when(last > 12, F.lit(1)).otherwise(last), F.lit(1))
     end = F.when(m2 <= 0, last_start).otherwise(after(last_start, Granularity.MONTH))
     return _day(y1, m1, F.lit(1)), end
 
@@ -97,12 +98,17 @@ def day_texts(start: Column, end: Column | None = None) -> Range:
 
 def range_texts(start: Column, end: Column) -> Range:
     """two dates, the end taken as it is."""
-    return _both(parse_date(start), parse_date(end))
+    dates = F.transform(F.array(start, end), parse_date)
+    return _both(dates[0], dates[1])
 
 
 def _texts(start: Column, end: Column | None, unit: Granularity) -> Range:
-    first, last = _both(parse_date(start), parse_date(end if end is not None else start))
-    return align_down(first, unit), after(last, unit)
+    # Each date is parsed once, whatever uses it.
+    dates = F.transform(F.array(start) if end is None else F.array(start, end), parse_date)
+    first, last = (dates[0], dates[0]) if end is None else _both(dates[0], dates[1])
+    parsed = F.array(F.struct(first.alias("first"), last.alias("last")))
+    found = F.transform(parsed, lambda x: F.struct(align_down(x["first"], unit).alias("s"), after(x["last"], unit).alias("e")))[0]
+    return found["s"], found["e"]
 
 
 #: Mapping names of an import -> function.

@@ -72,7 +72,7 @@ def after(ms: Column, unit: Granularity) -> Column:
     return ms_of(F.add_months(date_of(down), months))
 
 
-def align_up(ms: Column, unit: Granularity, round_decades_up: bool = False) -> Column:
+def align_up(ms: Column, unit: Granularity) -> Column:
     """The instant itself on a boundary, else the next boundary."""
     down = align_down(ms, unit)
     return ms if unit is Granularity.NONE else F.when(down == ms, ms).otherwise(after(ms, unit))
@@ -120,14 +120,22 @@ DATE_FORMS = (
 )
 
 
+#: The same forms in fewer patterns: what is in brackets may be missing.
+_PATTERNS = (
+    "yyyy/M[/d[ H:m:s]]", "yyyy\\M[\\d[ H:m:s]]", "yyyy-M[-d[ H:m:s]]", "M/d/yyyy[ H:m:s]", "M\\d\\yyyy[ H:m:s]", "M-d-yyyy[ H:m:s]",
+    "yyyyMMdd[ H:m:s]", "[MMMM][MMM] d[,] yyyy[ H:m:s]", "[MMMM][MMM]-d-yyyy[ H:m:s]",
+    "M/yyyy", "M\\yyyy", "M-yyyy", "yyyyMM", "[MMMM][MMM][,] yyyy", "[MMMM][MMM]-yyyy", "yyyy",
+)
+
+
 def parse_date(text: Column) -> Column:
-    """Milliseconds of a date in the first of ``DATE_FORMS`` that fits; null if none does."""
+    """Milliseconds of a date in one of ``DATE_FORMS``; null if none fits."""
     text = F.trim(text)
 
     def form(pattern: str) -> Column:
         # An all-digit form needs its exact length, or it would take the start of longer ones.
-        digits = {"yyyyMMdd": 8, "yyyyMM": 6, "yyyy": 4}.get(pattern)
+        digits = {"yyyyMMdd[ H:m:s]": r"[0-9]{8}( .*)?", "yyyyMM": "[0-9]{6}", "yyyy": "[0-9]{4}"}.get(pattern)
         parsed = F.try_to_timestamp(text, F.lit(pattern.replace("\\", "'\\'"))).cast("timestamp_ntz")
-        return F.when(text.rlike(f"^[0-9]{{{digits}}}$"), parsed) if digits else parsed
+        return F.when(text.rlike(f"^{digits}$"), parsed) if digits else parsed
 
-    return ms_of_timestamp(F.coalesce(*map(form, DATE_FORMS)))
+    return ms_of_timestamp(F.coalesce(*map(form, _PATTERNS)))

@@ -1,71 +1,131 @@
 """Uniform samples without replacement of granulated k-ads, by unranking random ordinals.
 
-Slices and branches get consecutive ranges of ordinals. Prefix sums are taken within hash buckets, whose totals (a fixed
-number) the driver turns into offsets; it draws the ordinals, and each finds its bucket, its slice and branch by a range
-join, then its time unit and its subset by arithmetic.
+Slices and branches get consecutive ranges of ordinals: prefix sums are taken within hash buckets, whose totals (a fixed
+number) the driver turns into offsets. Ordinals are made from hashes of a running number, so no list of them is on the
+driver, whatever the size of the sample; each finds its slice and branch by a sort within its bucket, then its time unit
+and its subset by arithmetic. A sample of more than half of all is all of them less a sample, and one of at least all is
+all of them.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelweave.operators.combine import combinations
 
 BUCKETS = 1024
+BLOCKS = 256  # of running numbers, by which a draw is cut to its size
+MOST = 10**30  # k-ads, beyond which ordinals made of 36 digits would not be uniform enough
+_RUN = 100_000  # ordinals that one row gives where all are listed
+_BIG = "decimal(38,0)"
+
+
+def _big(value: int) -> Column:
+    return F.lit(Decimal(value)).cast(_BIG)
 
 
 def drawn(weighted: DataFrame, by: Sequence[str], n: int, seed: int) -> DataFrame:
-    """n different ordinals (all, if there are no more): by, _n, _units, _ways, _draw, _unit (0-based), _rank (of the subset)."""
-    spark = weighted.sparkSession
-    dealt = weighted.where("_weight > 0").withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(BUCKETS)).cast("int"))
-    totals = {row["_bucket"]: int(row["w"]) for row in dealt.groupBy("_bucket").agg(F.sum("_weight").alias("w")).collect()}
+    """n different ordinals (all, if there are no more): by, _n, _units, _ways, _draw (its number within slice and
+    branch), _unit (0-based), _rank (of the subset). weighted is read twice, so it should be written."""
+    dealt = weighted.where("_weight is null or _weight > 0").withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(BUCKETS)).cast("int"))
+    sums = dealt.groupBy("_bucket").agg(F.sum("_weight").alias("w"), F.max(F.col("_weight").isNull()).alias("beyond")).collect()
+    if any(row["beyond"] or row["w"] is None for row in sums):
+        raise OverflowError("a slice and branch has over 38 digits of subsets; limit its leaves or lower k")
+    totals = {row["_bucket"]: int(row["w"]) for row in sums}
     overall = sum(totals.values())
     if overall < 1:
         raise ValueError("there is nothing to sample")
-    ordinals = sorted(random.Random(seed).sample(range(overall), min(n, overall)))
-    picks, start, at = [], 0, 0
+    if overall > MOST:
+        raise OverflowError(f"{overall} k-ads are more than the {MOST} that a sample can be drawn from")
+    if n >= overall:
+        return _parts(_every(dealt, by), by)
+    starts, start = {}, 0
     for bucket in sorted(totals):
-        while at < len(ordinals) and ordinals[at] < start + totals[bucket]:
-            picks.append((bucket, ordinals[at] - start, at))
-            at += 1
-        start += totals[bucket]
-    schema = T.StructType([T.StructField("_p_bucket", T.IntegerType()), T.StructField("_x", T.DecimalType(38, 0)), T.StructField("_draw", T.LongType())])
-    from decimal import Decimal
-
-    chosen = spark.createDataFrame([(b, Decimal(x), d) for b, x, d in picks], schema)
+        starts[bucket], start = start, start + totals[bucket]
+    if 2 * n <= overall:
+        return _parts(_placed(dealt, _ordinals(dealt.sparkSession, overall, n, seed), starts, by), by)
+    left_out = _placed(dealt, _ordinals(dealt.sparkSession, overall, overall - n, seed), starts, by).select(*(F.col(c).alias(f"_o_{c}") for c in by), F.col("_draw").alias("_o_draw"))
+    same = F.col("_draw") == F.col("_o_draw")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return _parts(_every(dealt, by).join(left_out, same, "left_anti"), by)
+
+
+def _every(dealt: DataFrame, by: Sequence[str]) -> DataFrame:
+    """All ordinals of each slice and branch; there are no more than a sample asks for twice."""
+    last = F.col("_weight").cast("long") - 1
+    runs = dealt.select(*by, "_n", "_units", "_ways", last.alias("_last"), F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(_RUN).cast("long"))).alias("_lo"))
+    each = runs.select(*by, "_n", "_units", "_ways", F.explode(F.sequence(F.col("_lo"), F.least(F.col("_lo") + _RUN - 1, "_last"))).alias("_draw"))
+    return each.withColumn("_draw", F.col("_draw").cast(_BIG))
+
+
+def _ordinals(spark, overall: int, n: int, seed: int) -> DataFrame:
+    """_x: n different numbers below overall, each set of them as likely as any other; n is at most half of overall."""
+    many = 2 * n + 1_000
+    while True:
+        digits = [F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(10**9)).cast(_BIG) for k in range(4)]
+        x = digits[0]
+        for more in digits[1:]:
+            x = (x * _big(10**9)).cast(_BIG) + more
+        # The first of equal numbers counts, so that the first n different ones are a uniform sample.
+        first = spark.range(many).select(F.pmod(x.cast(_BIG), _big(overall)).cast(_BIG).alias("_x"), "id").groupBy("_x").agg(F.min("id").alias("_id"))
+        first = first.withColumn("_block", F.floor(F.col("_id") * BLOCKS / many).cast("int"))
+        counts = sorted(map(tuple, first.groupBy("_block").count().collect()))
+        if sum(c for _, c in counts) >= n:
+            break
+        many *= 2
+    total = 0
+    for block, count in counts:
+        if total + count >= n:
+            break
+        total += count
+    place = F.row_number().over(Window.partitionBy("_block").orderBy("_id"))
+    edge = first.where(F.col("_block") == block).withColumn("_at", place).where(F.col("_at") <= n - total)
+    return first.where(F.col("_block") < block).select("_x").unionByName(edge.select("_x"))
+
+
+def _placed(dealt: DataFrame, ordinals: DataFrame, starts: dict[int, int], by: Sequence[str]) -> DataFrame:
+    """by, _n, _units, _ways, _draw of the slice and branch in whose range each ordinal lies."""
     line = Window.partitionBy("_bucket").orderBy(*by)
-    ranged = dealt.withColumn("_to", F.sum("_weight").over(line)).withColumn("_from", F.col("_to") - F.col("_weight"))
-    hit = ranged.join(chosen, (F.col("_bucket") == F.col("_p_bucket")) & (F.col("_x") >= F.col("_from")) & (F.col("_x") < F.col("_to")))
-    off = F.col("_x") - F.col("_from")
-    rank = F.pmod(off, F.col("_ways")).cast("decimal(38,0)")
-    return hit.select(*by, "_n", "_units", "_ways", "_draw", ((off - rank) / F.col("_ways")).cast("int").alias("_unit"), rank.alias("_rank"))
+    begin = (F.sum("_weight").over(line) - F.col("_weight")).cast(_BIG)
+    places = dealt.select("_bucket", begin.alias("_pos"), F.lit(0).alias("_kind"), F.struct(*by, "_n", "_units", "_ways", begin.alias("_from")).alias("_place"))
+    buckets = sorted(starts)
+    bounds, names = F.array(*(_big(starts[b]) for b in buckets)), F.array(*(F.lit(b) for b in buckets))
+    nth = F.size(F.filter(bounds, lambda s: s <= F.col("_x"))) - 1
+    points = ordinals.select("_x", nth.alias("_nth")).select(F.get(names, F.col("_nth")).alias("_bucket"), (F.col("_x") - F.get(bounds, F.col("_nth"))).cast(_BIG).alias("_pos"), F.lit(1).alias("_kind"))
+    before = Window.partitionBy("_bucket").orderBy("_pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = places.unionByName(points, allowMissingColumns=True).withColumn("_place", F.last("_place", ignorenulls=True).over(before))
+    return met.where("_kind = 1").select("_place.*", (F.col("_pos") - F.col("_place._from")).cast(_BIG).alias("_draw")).drop("_from")
+
+
+def _parts(picks: DataFrame, by: Sequence[str]) -> DataFrame:
+    rank = F.pmod(F.col("_draw"), F.col("_ways")).cast(_BIG)
+    return picks.select(*by, "_n", "_units", "_ways", "_draw", ((F.col("_draw") - rank) / F.col("_ways")).cast("int").alias("_unit"), rank.alias("_rank"))
 
 
 def unranked(rank: Column, n: Column, k: int) -> Column:
     """The k-subset (0-based numbers, ascending) with this rank; all n where n <= k."""
-    every = F.sequence(F.lit(0), n.cast("int") - 1)
-    # The largest number whose binomial coefficient does not exceed the rank, from the last place on.
-    state = F.struct(rank.cast("decimal(38,0)").alias("left"), F.array().cast("array<int>").alias("picked"))
+    # Place by place from the last on, the largest number whose binomial coefficient does not exceed what is left of
+    # the rank; it is found bit by bit.
+    state = F.struct(rank.cast(_BIG).alias("left"), F.array().cast("array<int>").alias("picked"))
+    bits = F.array(*(F.lit(1 << b) for b in range(29, -1, -1)))
 
     def place(acc: Column, i: Column) -> Column:
-        def below(c: Column) -> Column:
-            return F.when(c < i, F.lit(0).cast("decimal(38,0)")).otherwise(_choose(c, i, k))
-
-        top = F.array_max(F.filter(every, lambda c: below(c) <= acc["left"]))
-        return F.struct((acc["left"] - below(top)).cast("decimal(38,0)").alias("left"), F.concat(F.array(top), acc["picked"]).alias("picked"))
+        fits = lambda c: F.coalesce(_choose(c, i, k) <= acc["left"], F.lit(False))
+        top = F.aggregate(bits, F.lit(0), lambda c, bit: F.when(fits(c + bit), c + bit).otherwise(c))
+        return F.struct((acc["left"] - _choose(top, i, k)).cast(_BIG).alias("left"), F.concat(F.array(top), acc["picked"]).alias("picked"))
 
     places = F.array(*(F.lit(i) for i in range(k, 0, -1)))
-    return F.when(n <= k, every).otherwise(F.aggregate(places, state, place)["picked"])
+    return F.when(n <= k, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.aggregate(places, state, place)["picked"])
 
 
 def _choose(c: Column, i: Column, k: int) -> Column:
-    """c over i for i from 1 to k, where c >= i."""
-    found = F.lit(None).cast("decimal(38,0)")
+    """c over i for i from 1 to k; null beyond 38 digits."""
+    found = F.lit(None).cast(_BIG)
     for j in range(1, k + 1):
-        found = F.when(i == j, F.when(c == j, F.lit(1).cast("decimal(38,0)")).otherwise(combinations(c, j))).otherwise(found)
+        found = F.when(i == j, F.when(c < j, F.lit(0).cast(_BIG)).otherwise(combinations(c, j))).otherwise(found)
     return found

@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from panelweave.functions.time import Granularity, display, pieces, units
 from panelweave.model import Group, Spec
 from panelweave.operators import segment
-from panelweave.operators.combine import gathered, spread, subsets, weights
+from panelweave.operators.combine import combinations, gathered, spread, subsets, weights
 from panelweave.operators.consolidate import consolidate
 from panelweave.operators.merge import attach
 from panelweave.operators.sample import drawn, unranked
 from panelweave.plans.analyze import PlanError, Resolved, resolve
+from panelweave.shared import written
 
 
 def _allowed(rows: DataFrame, column: str, members: Sequence | DataFrame, flag: str) -> DataFrame:
@@ -217,9 +218,12 @@ class Plan:
     def _sampled(self) -> DataFrame:
         """The sampled k-ads with the other groups attached, in the form that subsets() gives."""
         k, by = self.r.k, [*self.branch, "_a", "_b"]
-        leaves = self._counted_leaves()
-        picks = drawn(weights(leaves, by, k, units(F.col("_a"), F.col("_b"), self.unit)), by, self.spec.sample, self.spec.seed)
-        ranked = leaves.where("not _excluded").withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy("_leaf")) - 1)
+        leaves = written(self._counted_leaves(), "leaves")
+        weighed = written(weights(leaves, by, k, units(F.col("_a"), F.col("_b"), self.unit)), "weights")
+        picks = drawn(weighed, by, self.spec.sample, self.spec.seed)
+        hit = picks.select(*(F.col(c).alias(f"_h_{c}") for c in by)).distinct()
+        there = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in by))
+        ranked = leaves.where("not _excluded").join(hit, there, "left_semi").withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy("_leaf")) - 1)
         part = F.get(pieces(F.col("_a"), F.col("_b"), self.unit), F.col("_unit"))
         picks = picks.select(*by, "_draw", part.alias("_part"), F.posexplode(unranked(F.col("_rank"), F.col("_n"), k)).alias("_slot", "_want"))
         names = [f"_s_{c}" for c in by]
@@ -231,7 +235,10 @@ class Plan:
             whole = whole.groupBy(*by, "_row").agg(F.min("_draw").alias("_draw")).withColumns({"_s": F.col("_a"), "_e": F.col("_b")})
         else:
             whole = whole.withColumns({"_s": F.col("_part.s"), "_e": F.col("_part.e")})
-        dealt = self._everywhere(whole.drop("_a", "_b", "_part"), marks=False)
+        if self.whole and not any(o.timed and o.own is not self.unit for o in self.others):
+            dealt = whole.drop("_a", "_b", "_part").withColumnsRenamed({"_s": "_a", "_e": "_b"})
+        else:
+            dealt = self._everywhere(whole.drop("_a", "_b", "_part"), marks=False)
         each = dealt.select(*by, "_draw", F.inline("_row"))
         ids = [*by, "_draw", "_slot"]
         loaded = self._loaded(each, ids)
@@ -300,4 +307,19 @@ def plan(spec: Spec, groups: Mapping[str, Group] | Sequence[Group]) -> Plan:
 
 def total_weight(spec: Spec, groups: Mapping[str, Group] | Sequence[Group]) -> DataFrame:
     """One row: how many granulated k-ads there are, and over how many slices and branches."""
-    return plan(spec, groups).weighted().agg(F.sum("_weight").cast("decimal(38,0)").alias("total"), F.count("*").alias("places"))
+    weighed = plan(spec, groups).weighted()
+    known = F.when(F.col("_weight").isNull(), F.raise_error(F.lit("a slice and branch has over 38 digits of subsets"))).otherwise(F.col("_weight"))
+    return weighed.agg(F.sum(known).cast("decimal(38,0)").alias("total"), F.count("*").alias("places"))
+
+
+def upper_bound(spec: Spec, groups: Mapping[str, Group] | Sequence[Group]) -> DataFrame:
+    """One row: at most how many rows a consolidated output has, as far as the primary group's entities tell.
+
+    Stretches of touching slices in which a branch has the same leaves count once, with all their subsets.
+    """
+    planned = plan(spec, groups)
+    by = [*planned.branch, "_a", "_b"]
+    sets = planned._counted_leaves().where("not _excluded").groupBy(*by).agg(F.array_sort(F.collect_set("_leaf")).alias("_set"))
+    runs = consolidate(sets, [*planned.branch, "_set"])
+    ways = combinations(F.size("_set"), planned.r.k)
+    return runs.agg(F.sum(ways).cast("decimal(38,0)").alias("most"), F.count("*").alias("stretches"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -34,10 +35,13 @@ class Header:
 def read_header(spark: SparkSession, path: str, sep: str = ",", quote: str = '"', descriptions: bool = False, kinds: bool = False, declared: Mapping[str, str] | None = None) -> Header:
     """The names in the first line, and descriptions and types in those after it if they are there."""
     count = 1 + descriptions + kinds
-    lines = [row["value"] for row in spark.read.text(path).limit(count).collect()]
+    # Of a folder's files the first by name tells; all of them have the same header.
+    place = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    name = place.agg(F.min("file_path")).first()[0]
+    lines = [row["value"] for row in place.where((F.col("file_path") == name) & (F.col("file_block_start") == 0)).limit(count).collect()]
     if len(lines) < count:
         raise ValueError(f"{path} has fewer than {count} header rows")
-    split = lambda line: [(x or "").strip() for x in spark.range(1).select(F.from_csv(F.lit(line), F.lit(", ".join(f"c{i} string" for i in range(line.count(sep) + 1))), {"sep": sep, "quote": quote, "escape": "\\"}).alias("x")).first()["x"] if x is not None]
+    split = lambda line: spark.range(1).select(fields(F.lit(line), sep, quote).alias("x")).first()["x"]
     names = [checked(n, "column") for n in split(lines[0])]
     if len({n.casefold() for n in names}) != len(names):
         raise ValueError(f"{path} has a column name twice")
@@ -57,9 +61,34 @@ class Imported:
 
     rows: DataFrame
     rejects: DataFrame
+    judged: DataFrame
 
-    def counts(self) -> dict[str, int]:
-        return {"good": self.rows.count(), "bad": self.rejects.count()}
+    def counts(self) -> DataFrame:
+        """One row: how many lines were good and bad, in one pass over the file."""
+        good = F.col("_reason").isNull()
+        return self.judged.agg(F.count(F.when(good, 1)).alias("good"), F.count(F.when(~good, 1)).alias("bad"))
+
+
+def fields(line: Column, sep: str = ",", quote: str = '"') -> Column:
+    """The fields of a line as an array of texts.
+
+    quote: the mark around fields that may hold separators, or ``either`` for single and double ones, also within one
+    line. What stands between a closing mark and the next separator is discarded; a backslash takes the next character
+    as it is; blanks around a field are trimmed.
+    """
+    at = "\\t" if sep == "\t" else re.escape(sep)
+    marks = ('"', "'") if quote == "either" else (quote,)
+    forms = [rf"{m}([^{m}\\]*+(?:\\.[^{m}\\]*+)*+){m}[^{at}]*+" for m in marks]
+    blank = r"\x20*+" if sep == "\t" else r"\s*+"
+    pattern = f"(?s){at}{blank}(?:{'|'.join(forms)}|([^{at}\\\\]*+(?:\\\\.[^{at}\\\\]*+)*+))"
+
+    def text(token: Column) -> Column:
+        found = F.trim(F.regexp_extract(token, pattern, len(marks) + 1))
+        for i, m in enumerate(marks):
+            found = F.when(token.rlike(rf"^{at}{blank}{m}[^{m}\\]*+(?:\\.[^{m}\\]*+)*+{m}"), F.regexp_extract(token, pattern, i + 1)).otherwise(found)
+        return F.regexp_replace(found, r"(?s)\\(.)", "$1")
+
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(pattern), F.lit(0)), text)
 
 
 def _field(text: Column, kind: T.DataType) -> Column:
@@ -85,39 +114,32 @@ def read_csv(
     """Reads a file under its header.
 
     Rows with a field that does not parse, an empty key or no time range are rejected. time_range names a mapping of
-    ``functions.ranges`` and its columns. quote may be ``either``: then lines are read a second time with single quotes
-    where double quotes did not give all fields. Further output columns come from ``constants``.
+    ``functions.ranges`` and its columns. For sep and quote see ``fields``. Further output columns come from ``constants``.
     """
-    raw = T.StructType([T.StructField(n, T.StringType()) for n in header.names] + [T.StructField("_corrupt", T.StringType())])
-    options = {"sep": sep, "escape": "\\", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "maxCharsPerColumn": str(LONGEST_LINE)}
     lines = spark.read.text(path).select(F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
     # The header rows are the first lines of each file; only the first split of a file can hold them.
     first = lines.groupBy("_file").agg(F.min("_at").alias("_first"))
     body = lines.join(F.broadcast(first), "_file").where((F.col("_at") >= F.col("_first") + header.rows) & (F.trim("_line") != ""))
-    parse = lambda q: F.from_csv("_line", F.lit(raw.simpleString()[7:-1].replace(":", " ")), options | {"quote": q})
-    if quote == "either":
-        double, single = parse('"'), parse("'")
-        has_single = F.col("_line").rlike(rf"(^|{sep})\s*'")
-        fields = F.when(has_single & ~F.col("_line").contains('"'), single).otherwise(double)
-    else:
-        fields = parse(quote)
-    parsed = body.select("_line", "_at", fields.alias("_f"))
+    short = F.char_length("_line") <= LONGEST_LINE
+    parsed = body.select("_line", F.when(short, fields(F.col("_line"), sep, quote)).alias("_f"))
+    at = {n: F.get("_f", F.lit(i)) for i, n in enumerate(header.names)}
     kinds = dict(zip(header.names, header.kinds))
     wanted = list(columns or header.names)
-    typed = {n: _field(F.col(f"_f.{n}"), kinds[n]) for n in wanted}
-    reason = F.when(F.col("_f._corrupt").isNotNull(), "wrong number of fields")
+    typed = {n: _field(at[n], kinds[n]) for n in wanted}
+    reason = F.when(F.col("_f").isNull(), "line too long").when(F.size("_f") != len(header.names), "wrong number of fields")
     for n in wanted:
         reason = reason.when(typed[n].isNull() & ~F.lit(isinstance(kinds[n], T.StringType)), f"{n} does not parse")
     for n in keys:
-        reason = reason.when(F.coalesce(F.trim(F.col(f"_f.{n}")), F.lit("")) == "", f"{n} is empty")
+        reason = reason.when(F.coalesce(F.trim(at[n]), F.lit("")) == "", f"{n} is empty")
     out = {(renamed or {}).get(n, n): column for n, column in typed.items()} | {n: F.lit(x) for n, x in (constants or {}).items()}
     if time_range:
-        start, end = MAPPINGS[time_range[0]](*(F.nullif(F.trim(F.col(f"_f.{n}")), F.lit("")) for n in time_range[1]))
-        out |= {START: start, END: end}
-        reason = reason.when(start.isNull() | end.isNull(), "no time range")
+        start, end = MAPPINGS[time_range[0]](*(F.nullif(F.trim(at[n]), F.lit("")) for n in time_range[1]))
+        parsed = parsed.withColumns({"_start": start, "_end": end})
+        out |= {START: F.col("_start"), END: F.col("_end")}
+        reason = reason.when(F.col("_start").isNull() | F.col("_end").isNull(), "no time range")
     judged = parsed.withColumn("_reason", reason)
     rows = judged.where("_reason is null").select(*(column.alias(n) for n, column in out.items()))
-    return Imported(rows, judged.where("_reason is not null").select(F.col("_line").alias("line"), F.col("_reason").alias("reason")))
+    return Imported(rows, judged.where("_reason is not null").select(F.col("_line").alias("line"), F.col("_reason").alias("reason")), judged)
 
 
 def same_columns(table: DataFrame, more: DataFrame) -> None:
@@ -141,8 +163,29 @@ def upsert(table: DataFrame, fresh: DataFrame, keys: Sequence[str], order: Seque
     return table.join(late.select(*keys), list(keys), "left_anti").select(*table.columns).unionByName(again.select(*table.columns))
 
 
-def write_csv(rows: DataFrame, path: str, mode: str = "overwrite", single: bool = False, sort: Sequence[str] = ()) -> None:
-    """An output as CSV with a header; nulls are empty, and fields with commas or quotes are quoted."""
-    if sort:
-        rows = rows.orderBy(*sort)
-    (rows.coalesce(1) if single else rows).write.mode(mode).option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+def upsert_counts(table: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: how many rows of ``table`` a refresh updates, and how many keys it inserts."""
+    late = fresh.select(*keys).distinct()
+    updated = table.join(late, list(keys), "left_semi").agg(F.count("*").alias("updated"))
+    return updated.crossJoin(late.join(table.select(*keys).distinct(), list(keys), "left_anti").agg(F.count("*").alias("inserted")))
+
+
+def write_csv(rows: DataFrame, path: str, mode: str = "overwrite", single: bool = False, sort: Sequence[str] | None = None) -> None:
+    """An output as CSV with a header; nulls are empty, and fields with commas or quotes are quoted.
+
+    Rows come in order of their time and then of their values from left to right, unless ``sort`` names other columns
+    (none: as they are). mode ``append`` to a folder that has files adds files without a header, so that all of them
+    read one after the other are one output.
+    """
+    spark = rows.sparkSession
+    order = [c for c in ("row_starts_at", "row_ends_at") if c in rows.columns] + [c for c in rows.columns if c not in ("row_starts_at", "row_ends_at")] if sort is None else list(sort)
+    if order:
+        rows = rows.orderBy(*(_day_order(c) if c in ("row_starts_at", "row_ends_at") else F.col(c) for c in order))
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    goes_on = mode == "append" and there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+    (rows.coalesce(1) if single else rows).write.mode(mode).option("header", not goes_on).option("nullValue", "").option("emptyValue", "").csv(path)
+
+
+def _day_order(column: str) -> Column:
+    """Days are shown with the month's name; they sort by date."""
+    return F.try_to_timestamp(F.col(column), F.lit("yyyy-MMM-dd"))

@@ -6,7 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from panelweave.plans import bindings
+from panelweave.plans import bindings, loads  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -208,3 +208,62 @@ def test_catalog_cascades(spark):
     assert catalog.describe("p")[0][:2] == ("b", "string")
     catalog.drop_entity("leaf")
     assert not catalog.groups and not catalog.units
+
+
+@pytest.mark.parametrize("options", [{}, {"consolidate": False}, {"k": {"leaf": 3}}, {"k": {}}, {"sample": 10_000, "consolidate": False}, {"limits": {"leaf": ["A", "B", "D"]}}])
+def test_rows_of_one_unit_need_no_cutting(spark, options):
+    """The short way for rows of one unit gives what cutting gives."""
+    import random
+    from dataclasses import replace
+
+    chance = random.Random(4)
+    rows = [year(chance.choice("ABCDEF"), chance.randrange(1985, 1990), chance.choice("xy"), chance.choice("12")) for _ in range(40)]
+    top = group(spark, "t", [year(chance.choice("ABCDEF"), chance.randrange(1985, 1990), chance.choice("uv"), chance.choice("12")) for _ in range(20)], DYAD)
+    leaf = group(spark, "c", [(chance.choice("ABC"), chance.choice("mn"), ms(y), ms(y + 1)) for y in (1986, 1987, 1987)], (("l", "leaf"),))
+    branch = group(spark, "d", [(b, v, ms(1986, m), ms(1987, m)) for b, v, m in (("1", "i", 3), ("2", "j", 5), ("1", "k", 8))], (("b", "branch"),))
+    timeless = group(spark, "e", [("A", "a"), ("B", "b")], (("l", "leaf"),), Granularity.NONE, timed=False)
+    base = {"select": {"p": ["p_v"], "t": ["t_v"], "c": ["c_v"], "d": ["d_v"], "e": ["e_v"]}, "k": {"leaf": 2}, "start": ms(1980), "end": ms(2000), "show_time": True, "primary": "p"}
+    spec, found = Spec(**(base | options)), []
+    for short in (False, True):
+        whole = [replace(g, one_unit=short) for g in (group(spark, "p", rows, DYAD), top, leaf)]
+        planned = engine.plan(spec, [*whole, branch, timeless])
+        assert planned.whole is short
+        found.append(sorted(map(str, planned.output().collect())))
+    assert found[0] == found[1] and found[0]
+
+
+def test_samples_of_very_many(spark):
+    leaves = spark.range(10_000).select(F.lit("1").alias("b"), F.col("id").alias("l"), F.lit("x").alias("p_v"), F.lit(ms(1990)).alias("s"), F.lit(ms(1991)).alias("e"), F.col("id").alias("n"))
+    big = Group("p", Unit("p", ("branch", "leaf"), YEAR), leaves, DYAD, "s", "e", ("n",), one_unit=True)
+    spec = Spec({"p": ["p_v"]}, {"leaf": 6}, ms(1980), ms(2000), consolidate=False, sample=40, seed=2)
+    total = int(engine.total_weight(spec, [big]).first()["total"])
+    assert total == 10_000 * 9_999 * 9_998 * 9_997 * 9_996 * 9_995 // 720 > 2**63
+    rows = [[r[f"l_{i}"] for i in range(1, 7)] for r in engine.generate(spec, [big]).collect()]
+    assert len(rows) == len(set(map(tuple, rows))) == 40 and all(r == sorted(set(r)) for r in rows)
+    assert 2_000 < sum(map(sum, rows)) / 240 < 8_000  # from all over
+    with pytest.raises(OverflowError):
+        engine.generate(Spec({"p": ["p_v"]}, {"leaf": 60}, ms(1980), ms(2000), consolidate=False, sample=4), [big])
+
+
+def test_samples_are_uniform(spark):
+    from panelweave.operators.sample import _ordinals, unranked
+
+    seen = [0] * 10
+    for seed in range(60):
+        for row in _ordinals(spark, 10, 3, seed).collect():
+            seen[int(row["_x"])] += 1
+    assert sum(seen) == 180 and 6 <= min(seen) and max(seen) <= 32
+    sets = spark.range(35).select(unranked(F.col("id").cast("decimal(38,0)"), F.lit(7), 3).alias("s")).collect()
+    assert len({tuple(r["s"]) for r in sets}) == 35 and all(r["s"] == sorted(set(r["s"])) and max(r["s"]) < 7 for r in sets)
+
+
+def test_plans_scan_once(spark, tmp_path, capsys):
+    rows = [year(x, 1990) for x in "ABC"]
+    from dataclasses import replace
+
+    g = replace(group(spark, "p", rows, DYAD), one_unit=True)
+    g.table.write.parquet(str(tmp_path / "t"))
+    g = replace(g, table=spark.read.parquet(str(tmp_path / "t")))
+    engine.generate(Spec({"p": ["p_v"]}, {"leaf": 2}, ms(1980), ms(2000)), [g]).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") <= 6 and "Join" not in plan
