@@ -1,213 +1,345 @@
 """Main text of web pages by equivalence-class template deduction.
 
-The structural tokens of a page are its block-level start and end tags, told apart by their path. Over the pages of
-one host, tokens with the same occurrence vector (how often each page has them) form an equivalence class. A vector is
-never gathered: its length, sum and a hash-weighted sum identify it, so classes come from one grouped aggregate per
-host. The class of tokens found once on every page is the host's template root; the other classes nest in it where
-both tags of an element share a vector and the parent is in the template. The text between template tokens lies in
-slots; the host's content slot is the template's article or main element, else the innermost template element that
-holds nearly all text outside the furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments).
-Each page then gives all the text in that slot, less the furniture in it. A page without the slot is its own template.
-
-Defined cases: null or empty html gives an empty text; markup cut off anywhere counts as closed at its end; a host with
-one page is a template of its own; repeated rows are extracted each; a null or relative URL belongs to the empty host;
-an empty table gives no rows; further columns are ignored.
+A page is scanned once, forwards, into elements and blocks of text. The tokens of a host's pages are the start and end
+tags of elements, told apart by their paths (names and classes down from the root), and the texts of blocks under their
+paths. Over the pages of one host, tokens with the same occurrence vector (how often each page has them) form an
+equivalence class. A vector is never gathered: its sum, its number of pages and a hash-weighted sum identify it, so
+classes come from one grouped aggregate. A class is valid where an element's start and end tags share a vector, that is
+where it nests; a text of the same class is on every page that has the element, so it belongs to the template, however
+many layouts a host has. All other blocks are the slots of the template, and what they hold is extracted.
+
+Furniture goes whatever the template says: elements made for it (nav, header, footer, aside, form and such) and elements
+whose class, role or id names an advert, a menu, comments and the like, with all that is in them. An element that holds
+the article is no furniture. Words that may also be a topic (share, related, notice) are not enough by themselves: such
+an element's text goes only if it is the template's, or mostly links. Where a page has article or main elements, blocks
+in any of them stay, template or not, and outside them only headings and paragraphs that are not the template's; where
+it has none, all blocks stay that are not the template's.
+
+Defined cases: null or empty html gives an empty text; markup cut off anywhere counts as closed at its end, and a quote
+whose value would end a tag and begin another does not begin one; a host with one page has no template; repeated rows are extracted each; a null or
+relative URL belongs to the empty host; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelweave.llm.common import written
 from panelweave.llm.urls import url_host
 
-BROADCAST_HOSTS = 200_000  # slots that a broadcast may hold, one for each host: about 20 MB
+BROADCAST_TEXTS = 500_000  # template texts that a broadcast may hold, as numbers: 8 MB
 
-_MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_RAW = {name: re.compile(rf"</{name}\b", re.I) for name in ("script", "style", "noscript", "textarea", "template", "title", "svg", "iframe")}
-_LABEL = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-
-#: Fixed values of HTML: elements inside a line of text, and elements without an end.
+#: Fixed values of HTML: elements inside a line of text, without an end, whose content is no markup, and of prose.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements, and words in class, id or role, that mark furniture.
-FURNITURE = frozenset("nav header footer aside form menu dialog button select option script style head noscript".split())
-FURNITURE_WORDS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising banner promo promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs header masthead footer "
-    "sidebar aside widget widgets cookie cookies consent notice notices alert popup modal newsletter subscribe signup comment comments reply replies discussion disqus respond share sharing social related recommended complementary contentinfo".split()
-)
+RAW = frozenset("script style noscript textarea template title svg iframe".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 CONTENT = frozenset(("article", "main"))
+_OWN_ENDS = frozenset("li dt dd tr td th option".split())
+_RAW_END = {name: re.compile(rf"</{name}\b", re.I) for name in RAW}
+#: Elements that are furniture, words in a class, role or id that mark it, and words that may.
+FURNITURE = frozenset("nav header footer aside form menu dialog button select option head".split())
+STRONG = frozenset(
+    "ad ads adbox advert adverts advertisement advertising banner promo sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar cookie cookies consent "
+    "popup modal newsletter subscribe signup comment comments disqus complementary contentinfo search login".split()
+)
+WEAK = frozenset("share sharing social related recommended notice notices alert header aside widget widgets reply replies respond discussion promotion".split())
 
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"""[>"']""")
+_LABEL = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_PART = re.compile(r"[^a-z0-9]+")
+_DIGITS = re.compile(r"[0-9]+")
 
-def _furniture(name: str, attributes: str) -> bool:
-    if name in FURNITURE:
-        return True
-    if not attributes:
-        return False
-    words = re.split(r"[^a-z0-9]+", " ".join("".join(found) for found in _LABEL.findall(attributes)).lower())
-    return any(word in FURNITURE_WORDS for word in words)
 
+@dataclass(slots=True)
+class Element:
+    """A block-level element: whether it is furniture by itself, may be by its words, and what it holds."""
 
-def _label(name: str, attributes: str) -> str:
-    found = _LABEL.search(attributes) if attributes else None
-    word = "".join(x or "" for x in found.groups()).split() if found else []
-    return f"{name}.{word[0]}" if word else name
+    name: str
+    path: int
+    parent: int
+    off: bool
+    weak: bool
+    named: bool  # furniture by its words or as a form, which an article in it overrides
+    content: bool
+    prose: bool
+    depth: int
+    holds: bool = False
 
 
-def walk(page: str) -> Iterator[tuple[str, str, bool, str]]:
-    """(kind, path, in furniture, text): kind is open, close or text; only block-level elements make paths."""
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # name, path, furniture
+@dataclass(slots=True)
+class Block:
+    text: str
+    at: int  # the element that it stands in
+    linked: int  # characters of it within links
 
-    def close(name: str):
-        depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-        if depth:
-            while len(stack) > depth:
-                _, path, off = stack.pop()
-                yield "close", path, off, ""
 
-    at = 0
-    for mark in iter(lambda: _MARK.search(page, at), None):
-        if mark.start() > at:
-            yield "text", stack[-1][1], stack[-1][2], page[at : mark.start()]
-        at = mark.end()
-        if not mark[2]:
+def marks(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, name, attributes, whether an end tag) of the tags of a page; comments and declarations have no name.
+
+    Each character is passed a bounded number of times: a search that found nothing is not made again.
+    """
+    at, size, missing = 0, len(page), set()
+
+    def find(what: str, start: int) -> int:
+        if what in missing:
+            return -1
+        found = page.find(what, start)
+        if found < 0:
+            missing.add(what)
+        return found
+
+    while True:
+        start = page.find("<", at)
+        if start < 0 or start + 1 >= size:
+            return
+        if page.startswith("<!--", start):
+            end = find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, "", "", False
+            continue
+        if page[start + 1] in "!?":
+            end = find(">", start)
+            at = size if end < 0 else end + 1
+            yield start, at, "", "", False
             continue
-        name = mark[2].lower()
-        if name in _RAW:
-            if not mark[1] and not mark[3].endswith("/"):
-                end = _RAW[name].search(page, at)
-                at = end.start() if end else len(page)
+        closes = page[start + 1] == "/"
+        name = _NAME.match(page, start + 1 + closes)
+        if not name:
+            at = start + 1
+            continue
+        at = name.end()
+        while True:
+            if find(">", at) < 0:
+                at = end = size
+                break
+            stop = _STOP.search(page, at)
+            if stop[0] == ">":
+                end, at = stop.start(), stop.end()
+                break
+            shut = find(stop[0], stop.end())
+            if shut >= 0 and 0 <= (past := page.find(">", stop.end(), shut)) and page.find("<", stop.end(), past) < 0 <= page.find("<", past, shut):
+                shut = -1  # the tag ends and others begin before the next such quote
+            at = stop.end() if shut < 0 else shut + 1
+        lower, attributes = name[0].lower(), page[name.end() : end]
+        yield start, at, lower, attributes, closes
+        if lower in RAW and not closes and not attributes.endswith("/"):
+            # What follows is no markup up to the end tag of the same name.
+            shut = None if lower in missing else _RAW_END[lower].search(page, at)
+            if shut is None:
+                missing.add(lower)
+            at = shut.start() if shut else size
+
+
+def labels(name: str, attributes: str) -> tuple[str, bool, bool]:
+    """(the label in a path, strong, weak) of a start tag's class, role and id."""
+    first, strong, weak = "", False, False
+    for kind, *values in _LABEL.findall(attributes) if attributes else ():
+        value = "".join(values).lower()
+        names = value.split()
+        words = {w for n in names for w in _PART.split(n)}
+        if kind.lower() == "class" and names:
+            first = first or _DIGITS.sub("", names[0])
+        exact = kind.lower() == "id" or name in PROSE
+        # An id is often a topic, and so is a paragraph's class: there only a whole name counts.
+        strong = strong or not STRONG.isdisjoint(names if exact else words)
+        weak = weak or (not exact and not WEAK.isdisjoint(words))
+    return f"{name}.{first}" if first else name, strong, weak
+
+
+def scan(page: str) -> tuple[list[Element], list[Block]]:
+    """The block-level elements of a page, parents first, and its blocks of text."""
+    elements = [Element("", 0, 0, False, False, False, False, False, 0)]
+    blocks: list[Block] = []
+    stack, opened = [0], Counter()
+    parts: list[str] = []
+    linked = links = 0  # characters within links, and links that are open
+    hidden: tuple[str, int, int] | None = None  # an inline advert: its name, how deep it nests, and its block
+
+    def flush() -> None:
+        nonlocal parts, linked
+        if parts:
+            text = " ".join(entities.unescape("".join(parts)).split())
+            if text:
+                blocks.append(Block(text, stack[-1], linked))
+            parts, linked = [], 0
+
+    def close(depth: int) -> None:
+        nonlocal hidden, links
+        flush()
+        while len(stack) > depth:
+            opened[elements[stack.pop()].name] -= 1
+        if hidden and hidden[2] >= depth:
+            hidden = None
+        links = 0
+
+    def text(some: str) -> None:
+        nonlocal linked
+        if hidden is None and some:
+            parts.append(some)
+            linked += len(some) if links else 0
+
+    at, skip = 0, None
+    for start, end, name, attributes, closes in marks(page):
+        if skip is not None:  # in an element whose content is no markup
+            if closes and name == skip:
+                skip, at = None, end
+            continue
+        text(page[at:start])
+        at = end
+        if not name:
+            continue
+        if name in RAW:
+            if not closes and not attributes.endswith("/"):
+                skip = name
         elif name == "br":
-            yield "text", stack[-1][1], stack[-1][2], " "
+            text(" ")
         elif name in INLINE:
-            if not mark[1] and mark[3] and _furniture(name, mark[3]):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else at
-        elif mark[1]:
-            yield from close(name)
+            if hidden and name == hidden[0]:
+                depth = hidden[1] + (-1 if closes else 1)
+                hidden = (name, depth, hidden[2]) if depth else None
+            elif hidden is None and not closes and attributes and name not in VOID and labels(name, attributes)[1]:
+                hidden = (name, 1, len(stack))
+            if name == "a":
+                links = 0 if closes else 1
+        elif closes:
+            if opened[name] > 0:
+                depth = len(stack) - 1
+                while elements[stack[depth]].name != name:
+                    depth -= 1
+                close(depth)
         else:
-            if stack[-1][0] == "p" or (name == stack[-1][0] and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                yield from close(stack[-1][0])
-            path, off = f"{stack[-1][1]}/{_label(name, mark[3])}", stack[-1][2] or _furniture(name, mark[3])
-            yield "open", path, off, ""
-            if name in VOID or mark[3].endswith("/") and name not in CONTENT:
-                yield "close", path, off, ""
-            else:
-                stack.append((name, path, off))
-    if at < len(page):
-        yield "text", stack[-1][1], stack[-1][2], page[at:]
-
-
-def content_text(page: str, slot: str) -> str | None:
-    """The blocks in the element with path ``slot``, furniture left out; None if there is no such element."""
-    blocks, open_block, seen = [], [], slot == ""
-    for kind, path, off, text in walk(page):
-        inside = path == slot or path.startswith(slot + "/")
-        seen = seen or inside
-        if kind == "text":
-            if inside and not off:
-                open_block.append(text)
-        elif open_block:
-            blocks.append("".join(open_block))
-            open_block = []
-    blocks.append("".join(open_block))
-    if not seen:
-        return None
-    lines = (" ".join(entities.unescape(block).split()) for block in blocks)
-    return "\n".join(line for line in lines if line)
-
-
-def structure(page: str) -> dict[str, list[int]]:
-    """path -> [start tags, end tags, characters of text below it outside furniture, 1 if furniture]."""
-    found: dict[str, list[int]] = {"": [1, 1, 0, 0]}
-    for kind, path, off, text in walk(page):
-        if kind == "open":
-            found.setdefault(path, [0, 0, 0, int(off)])[0] += 1
-        elif kind == "close":
-            found[path][1] += 1
-        elif not off:
-            size = len(" ".join(text.split()))
-            while size:
-                found[path][2] += size
-                if not path:
-                    break
-                path = path.rpartition("/")[0]
+            flush()
+            top = elements[stack[-1]]
+            if top.name == "p" or (name == top.name and name in _OWN_ENDS):
+                close(len(stack) - 1)
+            above = elements[stack[-1]]
+            label, strong, weak = labels(name, attributes)
+            plain = name not in ("html", "body")
+            inside = above.content or name in CONTENT
+            made = name in FURNITURE and not (name == "header" and above.content)
+            off = made or (strong and plain)
+            element = Element(name, xxhash.xxh3_64_intdigest(label, above.path) >> 1, stack[-1], off, weak and plain, (strong and not made) or name == "form", inside, name in PROSE, len(stack))
+            if name in CONTENT and not off:
+                up = stack[-1]
+                while up and not elements[up].holds:
+                    elements[up].holds = True
+                    up = elements[up].parent
+            if name not in VOID and not (attributes.endswith("/") and name not in CONTENT):
+                elements.append(element)
+                stack.append(len(elements) - 1)
+                opened[name] += 1
+    if skip is None:
+        text(page[at:])
+    flush()
+    for element in elements[1:]:
+        above = elements[element.parent]
+        element.off = above.off or (element.off and not (element.named and element.holds))
+        element.weak = (element.weak and not element.holds) or above.weak
+        element.content = element.content and not element.off
+        element.prose = element.prose or above.prose
+    return elements, blocks
+
+
+def text_key(element: Element, block: Block) -> int:
+    """A block's text under its path, as a number."""
+    return xxhash.xxh3_64_intdigest(block.text, element.path) >> 1
+
+
+def doubtful(element: Element) -> bool:
+    """Whether the template decides on blocks in this element."""
+    return not element.off and (element.weak or not element.content)
+
+
+def tokens(page: str) -> Counter:
+    """(path, text or 0, whether an end tag) -> how often a page has it, for the blocks that the template decides on."""
+    elements, blocks = scan(page)
+    found: Counter = Counter()
+    for block in blocks:
+        if doubtful(elements[block.at]):
+            found[elements[block.at].path, text_key(elements[block.at], block), False] += 1
+    wanted = {path for path, _, _ in found}
+    for element in elements:
+        if element.path in wanted:
+            found[element.path, 0, False] += 1
+            found[element.path, 0, True] += 1
     return found
 
 
-def best_slot(paths: list[tuple[str, int, int]]) -> str:
-    """From (path, text below it, 1 if furniture) of a template: the content slot."""
-    usable = [(path, mass) for path, mass, off in paths if not off]
-    named = [(mass, -path.count("/"), path) for path, mass in usable if path.rpartition("/")[2].partition(".")[0] in CONTENT]
-    if named and max(named)[0]:
-        return max(named)[2]
-    total = max((mass for path, mass in usable if path == ""), default=0)
-    deep = [(path.count("/"), path) for path, mass in usable if 100 * mass >= 95 * total]
-    return max(deep, default=(0, ""))[1]
+def main_text(page: str, template: frozenset[int] | set[int]) -> str:
+    """The blocks of a page that are neither furniture nor the template's, one a line."""
+    elements, blocks = scan(page)
+    article = any(e.name in CONTENT and not e.off for e in elements)
+    kept = []
+    for block in blocks:
+        element = elements[block.at]
+        if element.off:
+            continue
+        if doubtful(element):
+            known = text_key(element, block) in template
+            if element.weak and (known or 2 * block.linked >= len(block.text)):
+                continue
+            if not element.content and (known or (article and not element.prose)):
+                continue
+        kept.append(block.text)
+    return "\n".join(kept)
 
 
 def templates(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """host, slot: the content slot of each host's template."""
+    """host, text: the texts that belong to the hosts' templates, as numbers of paths and texts."""
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for host, weight, page in zip(batch["_host"], batch["_weight"], batch["_html"]):
-                for path, (opens, closes, mass, off) in structure(page or "").items():
-                    out.append((host, path, opens, closes, weight, mass, off))
-            yield pd.DataFrame(out, columns=["host", "path", "opens", "closes", "weight", "mass", "off"])
+                for (path, text, end), n in tokens(page or "").items():
+                    out.append((host, path, text, end, n, weight))
+            yield pd.DataFrame(out, columns=["host", "path", "text", "is_end", "n", "weight"])
 
     # A page's weight in the vectors' identity; small enough that sums stay far from overflow in 128-bit decimals.
     weight = F.xxhash64(F.col(id_col), F.col(html_col)).alias("_weight")
     rows = pages.select(url_host(F.col(url_col)).alias("_host"), weight, F.col(html_col).alias("_html"))
-    seen = rows.mapInPandas(tokens, "host string, path string, opens int, closes int, weight long, mass long, off int")
-    weighed = F.col("weight").cast("decimal(38,0)")
-    vectors = seen.groupBy("host", "path").agg(
-        F.sum(F.col("opens") * weighed).alias("vector"), F.sum("opens").alias("n"), F.count("*").alias("pages"), F.max("opens").alias("most"), F.sum("mass").alias("mass"), F.max("off").alias("off")
-    )
-    # The root class is that of the page itself, which every page has once: path "".
-    host = Window.partitionBy("host")
-    root = F.max(F.when(F.col("path") == "", F.struct("vector", "n"))).over(host)
-    classed = vectors.withColumn("_root", root).where((F.col("vector") == F.col("_root.vector")) & (F.col("n") == F.col("_root.n")) & (F.col("most") == 1))
-    pick = F.udf(lambda found: best_slot([tuple(x) for x in found]), "string")
-    return classed.groupBy("host").agg(F.collect_list(F.struct("path", "mass", "off")).alias("_root")).select("host", pick("_root").alias("slot"))
+    found = rows.mapInPandas(seen, "host string, path long, text long, is_end boolean, n int, weight long")
+    vector = F.struct(F.sum(F.col("n") * F.col("weight").cast("decimal(38,0)")).alias("weighted"), F.sum("n").alias("n"), F.count("*").alias("pages"))
+    classes = written(found.groupBy("host", "path", "text", "is_end").agg(vector.alias("vector")), "classes")
+    # An element is valid where its start and end tags are of one class; both tags of a path share its join keys.
+    tags = classes.where("text = 0").groupBy("host", "path").agg(F.min("vector").alias("lo"), F.max("vector").alias("hi")).where("lo = hi")
+    texts = classes.where("text <> 0 and vector.pages >= 2").select("host", "path", "text", "vector")
+    return texts.join(tags, ["host", "path"]).where("vector = lo").select("host", "text")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", salts: int = 64) -> DataFrame:
-    """One row per page: id, url, text (the main text), slot (where the template has it).
+    """One row per page: id, url and its main text.
 
-    The slots are written and counted; up to ``BROADCAST_HOSTS`` go to every task and no page is shuffled. Beyond that
-    pages and slots meet by host and salt.
+    The template texts are written and counted; up to ``BROADCAST_TEXTS`` go to every task and no page is shuffled.
+    Beyond that pages and their hosts' texts meet by host and salt; a host has as many as its layouts have blocks.
     """
-    found = written(templates(pages, id_col, url_col, html_col), "slots").withColumnRenamed("host", "_of")
-    small = found.count() <= BROADCAST_HOSTS
-    found = found.withColumn("_salt", F.lit(0)) if small else found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salts = 1 if small else salts
+    found = written(templates(pages, id_col, url_col, html_col), "template")
+    small = found.count() <= BROADCAST_TEXTS
+    listed = found.groupBy(F.col("host").alias("_of")).agg(F.collect_set("text").alias("_template"))
+    if not small:
+        listed = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), url_host(F.col(url_col)).alias("_host"), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("_at"))
-    joined = salted.join(F.broadcast(found) if small else found, (F.col("_host") == F.col("_of")) & (F.col("_at") == F.col("_salt")), "left").select("_id", "_url", "_html", "slot")
+    joined = salted.join(F.broadcast(listed), F.col("_host") == F.col("_of"), "left") if small else salted.join(listed, (F.col("_host") == F.col("_of")) & (F.col("_at") == F.col("_salt")), "left")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, slots = [], []
-            for page, slot in zip(batch["_html"], batch["slot"]):
-                page, slot = page or "", slot or ""
-                text = content_text(page, slot)
-                if text is None:
-                    slot = best_slot([(path, mass, off) for path, (opens, _, mass, off) in structure(page).items() if opens == 1])
-                    text = content_text(page, slot)
-                texts.append(text or "")
-                slots.append(slot)
-            yield pd.DataFrame({id_col: batch["_id"], url_col: batch["_url"], "text": texts, "slot": slots})
-
-    kinds = [(id_col, pages.schema[id_col].dataType), (url_col, pages.schema[url_col].dataType), ("text", T.StringType()), ("slot", T.StringType())]
-    return joined.mapInPandas(extract, T.StructType([T.StructField(name, kind) for name, kind in kinds]))
+            texts = [main_text(page or "", set() if template is None else set(template.tolist())) for page, template in zip(batch["_html"], batch["_template"])]
+            yield pd.DataFrame({id_col: batch["_id"], url_col: batch["_url"], "text": texts})
+
+    kinds = [(id_col, pages.schema[id_col].dataType), (url_col, pages.schema[url_col].dataType), ("text", T.StringType())]
+    return joined.select("_id", "_url", "_html", "_template").mapInPandas(extract, T.StructType([T.StructField(name, kind) for name, kind in kinds]))
 
 
 def extract_digest(pages: DataFrame) -> DataFrame:

@@ -471,9 +471,10 @@ def page(body, tail="</article><footer>&copy; x</footer></body></html>"):
     return f'<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">menu</a></li></ul></nav><!-- ad <p>no</p> --><div class="ad">buy</div><article>{body}{tail}'
 
 
-@pytest.mark.parametrize("hosts", (0, 1000))
-def test_html_extraction(spark, monkeypatch, hosts):
-    monkeypatch.setattr(html, "BROADCAST_HOSTS", hosts)
+@pytest.mark.parametrize("texts", (0, 1000))
+def test_html_extraction(spark, monkeypatch, texts):
+    monkeypatch.setattr(html, "BROADCAST_TEXTS", texts)
+    note = "<div class='box'><p>Please read our rules</p></div>"
     cases = [
         ("http://a.com/1", page("<h1>T&amp;C</h1><p><b>one<br><p>two&nbsp; &lt;x&gt;\n three</p><aside>side</aside><div class='comments'><p>reader</p></div>"), "T&C\none\ntwo <x> three"),
         ("http://a.com/2", page("<h1>H</h1><p>uncut <i>in</i>line</p><form><p>f</p></form>"), "H\nuncut inline"),
@@ -485,11 +486,53 @@ def test_html_extraction(spark, monkeypatch, hosts):
         ("x", "plain text", "plain text"),
         ("http://a.com/4", page("<ul><li>one<li>two</ul><table><tr><td>c1<td>c2</table>"), "one\ntwo\nc1\nc2"),
         ("http://a.com/4", page("<p>" + "long " * 20000 + "</p>"), ("long " * 20000).strip()),
+        # The template's text goes, on two layouts of one host; what differs stays, at the beginning too.
+        ("http://c.com/1", f"<body><p class=lead>a lead</p><div class=text><p>one</p></div>{note}</body>", "a lead\none"),
+        ("http://c.com/2", f"<body><p class=lead>b lead</p><div class=text><p>two</p></div>{note}</body>", "b lead\ntwo"),
+        ("http://c.com/3", "<body><table><tr><td>Home of C</td></tr><tr><td class=t>three</td></tr></table></body>", "three"),
+        ("http://c.com/4", "<body><table><tr><td>Home of C</td></tr><tr><td class=t>four</td></tr></table></body>", "four"),
+        # Several articles; words that may be topics; nested and unclosed adverts; an article in a form and in a wide wrapper.
+        ("http://d.com/1", "<article class=a><p>one</p></article><article class=b><p>two</p></article>", "one\ntwo"),
+        ("http://d.com/2", page('<div class="share price"><p>Shares fell.</p></div><section id="social-history"><p>Long ago</p></section><h2 id="share-price">Prices</h2>'), "Shares fell.\nLong ago\nPrices"),
+        ("http://d.com/3", page('<p>x <span class=ad><span>buy</span>MORE</span>y</p><div class="share"><a href="/">mail this</a> <a href="/">print</a></div><p>z</p>'), "x y\nz"),
+        ("http://d.com/4", "<body class='has-sidebar'><form><div class='page-with-menu'><article><header><h1>T</h1></header><p>in</p></article></div></form></body>", "T\nin"),
+        ("http://d.com/5", page('<p title="b>c</p><p>d<script>if (a<b) { x = "</p>"; y = \'</script>e</p>'), "c\nde"),
+        ("http://d.com/6", page("<p>kept</p><article class='comment'><p>reader</p></article><iframe><p>no</p></iframe>"), "kept"),
     ]
     pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(cases)], "page_id long, url string, html string").withColumns({"host": F.lit("c"), "slot": F.lit("c"), "text": F.lit("c")})
     rows = {r["page_id"]: r for r in html.extract_digest(pages).collect()}
     for i, (url, _, text) in enumerate(cases):
-        assert (rows[i]["url"], rows[i]["text"], rows[i]["n_chars"]) == (url, text, len(text))
+        assert (rows[i]["url"], rows[i]["text"], rows[i]["n_chars"]) == (url, text, len(text)), i
+
+
+def test_html_template_deduction(spark):
+    """The hosts' templates against vectors that are gathered whole."""
+    chance = np.random.default_rng(21)
+    said, rows = ["Home", "All rights", "Read more", "x", "y", "z", "w"], []
+    for i in range(60):
+        body = "".join(f"<div class='k{chance.integers(2)}'><p>{said[int(chance.integers(len(said)))]}</p></div>" for _ in range(int(chance.integers(0, 4))))
+        rows.append((i, f"http://h{i % 4}.com/{i}", f"<body><div class=top><p>Top of {i % 4 // 2 if i % 8 < 6 else 9}</p></div>{body}<div class='end'>{'The end' if i % 3 else 'An end'}"))
+    got = {(r["host"], r["text"]) for r in html.templates(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html").collect()}
+    want = set()
+    for host in range(4):
+        vectors = defaultdict(lambda: [0] * 60)
+        for i, _, source in rows:
+            if i % 4 == host:
+                for token, n in html.tokens(source).items():
+                    vectors[token][i] += n
+        for (path, text, _), vector in vectors.items():
+            if text and sum(x > 0 for x in vector) >= 2 and vector == vectors[path, 0, False] == vectors[path, 0, True]:
+                want.add((f"h{host}.com", text))
+    assert got == want and want
+
+
+def test_html_scan_is_linear():
+    import time
+
+    began = time.time()
+    for odd in ("<a " * 350_000, '<p title="' * 100_000, "</x>" * 200_000, "<div>" * 100_000 + "</p>" * 50_000, "<!--" * 200_000, '<"' * 300_000, "<script>" * 100_000, "'<a '" * 200_000, "<script><b c='" * 70_000):
+        html.main_text(odd, set())
+    assert time.time() - began < 30
 
 
 def test_html_on_given_pages(spark):
