@@ -1,18 +1,22 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that adds what they miss.
 
-The field tags the tokens (runs between white space) around each anchor - a run of 16 or more characters that secrets
-are made of, with a digit - as begin, inside or outside of a secret. A tag's score sums weights of the token's shape, of
-its neighbours' shapes and of the file (how assignment-like its lines are); tags are decoded by Viterbi. Tokens further
-from any anchor have no shape that ever carries a secret, so the chain is cut there.
-
-The field is fitted on the driver on at most ``SAMPLE`` documents with anchors (a parameter), tagged by the patterns;
-to learn shapes rather than the patterns, tagged stretches are repeated with made-up secrets of other forms and with
-their key words replaced. Scanning reads each whole text where it is; there is no shuffle.
+The field tags every token (run between white space) of a text as begin, inside or outside of a secret. A tag's score
+sums weights of the token's shape (character sets, length, turns between sets, vowels, known kinds such as addresses and
+dates), of the neighbouring tokens' shapes and key words, and of the file (how assignment-like and how mixed it is); tags
+are decoded by Viterbi. Runs of tokens that cannot gain by any tag but outside are passed over, by a bound on what moves
+between tags can add, so decoding is exact and costs little on prose.
+
+The field is fitted on the driver on windows of at most ``SAMPLE`` documents (a parameter, as are the windows a document
+gives, ``WINDOWS``, and their ``WIDTH``; all are chosen by hash over the whole table and the whole text), with labelled
+spans planted in them: secrets of many forms (passwords, letters alone, prefixed keys, hexadecimal groups, signed
+tokens) after key words or none, and, tagged outside, things that look like them (order numbers, dates, ids, addresses,
+versions, paths, hashes in words). What the fixed patterns find in the windows is tagged as a secret too. Scanning reads
+each whole text where it is; there is no shuffle of texts.
 
 Spans are (kind, start, end) in code points, end exclusive. Pattern spans always stay; the field's (kind crf) are added
-where they overlap none. Defined cases: null and empty texts have no spans; overlapping patterns are all kept; without
-any tagged stretch to learn from the field adds nothing; repeated rows are scanned each; an empty table gives no rows;
-further columns stay as they are.
+where they overlap none. Defined cases: null and empty texts have no spans; overlapping patterns are all kept, equal
+spans in the order of their kinds; a table without any text to plant in gives a field that adds nothing; repeated rows
+are scanned each; an empty table gives no rows; further columns stay as they are.
 """
 
 from __future__ import annotations
@@ -24,10 +28,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 3_000  # documents that a fit may use
+SAMPLE = 1_500  # documents that a fit may use
+WINDOWS = 2  # of a document that a fit may use
+WIDTH = 16  # tokens of a window
+LEAST_PLANTED = 1_500  # windows that are planted in
 KINDS = ("assign", "access", "hex", "crf")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -37,12 +45,22 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-_ANCHOR = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]{0,200}[0-9])[A-Za-z0-9+/_.=-]{16,}")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _DIGIT = re.compile("[0-9]")
-_BEFORE, _AFTER = 3, 2  # tokens around an anchor that are tagged with it
-_SETS = (("d", string.digits), ("h", "abcdef"), ("l", "ghijklmnopqrstuvwxyz"), ("u", string.ascii_uppercase), ("s", "+/_.=-"), ("q", "\"'"), ("c", ":"))
+_SETS = (("d", string.digits), ("l", string.ascii_lowercase), ("u", string.ascii_uppercase), ("s", "+/_.=-"), ("p", "!@#$%^&*?~"), ("q", "\"'"), ("c", ":,;|()[]{}<>\\`"))
 _SET_OF = {c: name for name, characters in _SETS for c in characters}
+_KEY_WORD = re.compile(r"pass|pwd|secret|token|key|auth|bearer|credential|login|\bpin\b|private", re.I)
+#: Shapes with a meaning of their own, the first that fits.
+_SHAPES = (
+    ("mail", re.compile(r"[^@]+@[^@]+\.[a-z]+")),
+    ("address", re.compile(r"[a-z]+://.*|www\..*|[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|io|de|fr|es|html?|php)(?:/.*)?", re.I | re.S)),
+    ("number", re.compile(r"[+-]?[0-9]+(?:[.,:/-][0-9]+)*%?")),
+    ("uuid", re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)),
+    ("labelled number", re.compile(r"[A-Z#]{1,6}[-_/]?[0-9]+(?:[-_/][0-9]+)*")),
+    ("version", re.compile(r"v?[0-9]+(?:\.[0-9a-z]+)+", re.I)),
+    ("name", re.compile(r"[A-Za-z]+(?:[-_./'][A-Za-z]+)*")),
+    ("path", re.compile(r"/?[\w.-]+/[\w./-]*", re.A)),
+)
 OUT, BEGIN, INSIDE = range(3)
 
 
@@ -61,55 +79,85 @@ def ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _level(x: float, *steps: float) -> int:
+    return sum(x >= step for step in steps)
+
+
 def shape(token: str) -> list[str]:
     """What a token looks like, as names of features."""
-    bare = token.strip("\"'`,;()[]{}<>#*$%&!?|")
-    sets = {_SET_OF.get(c, "o") for c in bare}
-    names = [f"sets={''.join(sorted(sets))}", f"long={min(len(bare), 79) // 8}"]
-    if "d" in sets and len(bare) >= 16:
-        turns = sum(_SET_OF.get(a) != _SET_OF.get(b) for a, b in zip(bare, bare[1:]))
-        names += [f"turns={8 * turns // len(bare)}", f"different={8 * len(set(bare)) // len(bare)}", f"digits={8 * len(_DIGIT.findall(bare)) // len(bare)}"]
-        names.append("mail" if "@" in bare else "address" if "://" in bare or "/" in bare and "." in bare else "all digits" if sets <= {"d", "s", "c"} else "mixed")
-        head = re.match(r"[A-Za-z]{2,4}(?=[_-])|AKIA|eyJ", bare)
-        if head:
-            names.append("prefix")
-    if any(key in token.lower() for key in _KEYS) or re.search(r"(?i)key|auth|bearer|credential|pwd", token):
+    bare = token.strip("\"'`,;()[]{}<>.:=")
+    # The value of an assignment written without blanks counts, rather than the whole.
+    at = max(bare.find("="), bare.find(":"))
+    key, value = (bare[:at], bare[at + 1 :].strip("\"'")) if 0 < at < len(bare) - 1 and "://" not in bare else ("", bare)
+    sets = {_SET_OF.get(c, "o") for c in value}
+    size = len(value)
+    kind = next((name for name, form in _SHAPES if form.fullmatch(value)), "mixed") if size <= 4096 else "mixed"
+    long = _level(size, 1, 4, 6, 8, 12, 16, 20, 24, 32, 48)
+    which = "".join(sorted(sets))
+    names = [f"sets={which}", f"long={long}", f"kind={kind}", f"kind={kind} long={long}", f"kind={kind} sets={which}"]
+    if size >= 6:
+        turns = sum(_SET_OF.get(a) != _SET_OF.get(b) for a, b in zip(value, value[1:])) / size
+        letters = [c for c in value.lower() if c.isalpha()]
+        vowels = sum(c in "aeiouyäöüéèêíóáà" for c in letters) / len(letters) if letters else 0.5
+        run = max((len(r) for r in re.findall("[bcdfghjklmnpqrstvwxz]+", value, re.I)), default=0)
+        inner = sum(c.isupper() and not b.isupper() for b, c in zip(value, value[1:])) / size
+        digits = len(_DIGIT.findall(value)) / size
+        looks = {"turns": _level(turns, 0.1, 0.25, 0.4, 0.6), "vowels": _level(vowels, 0.12, 0.22, 0.3, 0.6), "run": _level(run, 3, 4, 5, 7), "inner": _level(inner, 0.01, 0.1, 0.2), "digits": _level(digits, 0.01, 0.15, 0.35, 0.6, 0.99)}
+        if size >= 16 or digits:
+            looks["different"] = _level(len(set(value)) / size, 0.3, 0.5, 0.8)
+        names += [f"{name}={level}" for name, level in looks.items()]
+        names += [f"vowels={looks['vowels']} inner={looks['inner']} digits={looks['digits'] > 0} long={long >= 6}", f"run={looks['run']} long={long}"]
+    if key:
+        names.append("has a key")
+        names.append("key word=value" if _KEY_WORD.search(key) else "other=value")
+    elif _KEY_WORD.search(token):
         names.append("key word")
-    if bare in ("=", ":", "=>", ":="):
+        names.append(f"key word long={long}")
+    if token in ("=", ":", "=>", ":=", "->"):
         names.append("equals")
-    elif bare[-1:] in ("=", ":"):
+    elif token[-1:] in ("=", ":"):
         names.append("ends in equals")
-    if token[:1] in "\"'`" and len(token) > 1:
+    if token[:1] in "\"'`" and size:
         names.append("quoted")
     return names
 
 
-def sequences(text: str) -> Iterator[tuple[list[tuple[int, int]], list[str]]]:
-    """The stretches of tokens around anchors: their places, and the features of the file."""
-    anchors = [m.span() for m in _ANCHOR.finditer(text)]
-    if not anchors:
-        return
-    assigned = text.count("=") + text.count(": ")
-    about = [f"file assigns={min(6, (64 * assigned // max(1, len(text.split()))).bit_length())}", f"file anchors={min(5, len(anchors).bit_length())}"]
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
-    starts = np.array([a for a, _ in tokens])
-    wanted: list[list[int]] = []
-    for first, last in anchors:
-        lo = max(0, int(np.searchsorted(starts, first, "right")) - 1 - _BEFORE)
-        hi = min(len(tokens), int(np.searchsorted(starts, last, "left")) + _AFTER)
-        if wanted and lo <= wanted[-1][1]:
-            wanted[-1][1] = max(hi, wanted[-1][1])
-        else:
-            wanted.append([lo, hi])
-    for lo, hi in wanted:
-        yield tokens[lo:hi], about
-
-
-def named(words: list[str], about: list[str]) -> list[list[str]]:
-    """Each token's features: its own, its neighbours', the file's."""
-    own = [shape(w) for w in words]
-    edge = [["edge"]]
-    return [["any", *x, *(f"before {n}" for n in a), *(f"after {n}" for n in b), *about] for x, a, b in zip(own, edge + own[:-1], own[1:] + edge)]
+#: The features of a token that count for its neighbours.
+_SEEN_BY_OTHERS = re.compile(r"kind=[a-z ]*$|sets=[a-z]*$|key word|has a key|equals|ends in|quoted|edge")
+
+
+def about(words: list[str]) -> list[str]:
+    """The features of a file: how many of its tokens assign something, and how many mix letters and digits."""
+    many = max(1, len(words))
+    assigned = sum(w[-1] in "=:" for w in words) / many
+    return [f"file assigns={_level(assigned, 0.002, 0.01, 0.05)}", f"file size={_level(many, 20, 100, 1000)}"]
+
+
+#: Letters by what shapes tell apart in plain words: vowels, consonants, and capitals of both.
+_PLAIN = str.maketrans({c: ("a" if c in "aeiouy" else "b") for c in string.ascii_lowercase} | {c: ("A" if c in "AEIOUY" else "B") for c in string.ascii_uppercase})
+
+
+def outline(token: str) -> str | None:
+    """For a plain word a text of the same shape that many words share; else None."""
+    bare = token.strip("\"'`,;()[]{}<>.:=")
+    return token.translate(_PLAIN) if len(bare) < 16 and bare.isalpha() and not _KEY_WORD.search(token) else None
+
+
+def near(own: tuple[str, ...], side: str) -> tuple[str, ...]:
+    """The features that a token gives its neighbour on the other side."""
+    return tuple(f"{side} {n}" for n in own if _SEEN_BY_OTHERS.match(n))
+
+
+def named(words: list[str], file: list[str], shapes: dict[str, tuple] | None = None) -> list[tuple[tuple[str, ...], ...]]:
+    """Each token's features in groups: its own, its neighbours', the file's."""
+    shapes = {} if shapes is None else shapes
+    for w in {outline(w) or w for w in words}.difference(shapes):
+        own = tuple(shape(w))
+        shapes[w] = own, near(own, "before"), near(own, "after")
+    found = [shapes[outline(w) or w] for w in words]
+    before, after = [("before edge",), *(x[1] for x in found[:-1])], [*(x[2] for x in found[1:]), ("after edge",)]
+    last = ("any", *file)
+    return [(x[0], a, b, last) for x, a, b in zip(found, before, after)]
 
 
 @dataclass
@@ -119,54 +167,136 @@ class Chain:
     weights: dict[str, np.ndarray] = field(default_factory=dict)  # feature -> score of each tag
     moves: np.ndarray = field(default_factory=lambda: np.zeros((3, 3)))  # from, to
 
-    def tags(self, features: list[list[str]]) -> list[int]:
-        """The best tags, by Viterbi; inside never follows out, nor comes first."""
-        zero = np.zeros(3)
-        score, back = None, []
-        for names in features:
-            here = sum((self.weights.get(n, zero) for n in names), zero)
-            if score is None:
-                score = here + np.array([0, 0, -1e9])
-            else:
-                steps = score[:, None] + self.moves
-                steps[OUT, INSIDE] = -1e9
-                back.append(steps.argmax(0))
-                score = steps.max(0) + here
-        path = [int(score.argmax())]
+    def tags(self, features: list[tuple[tuple[str, ...], ...]]) -> list[int]:
+        """The best tags of tokens with these features, in groups."""
+        return self.best(np.array([self.of([n for names in groups for n in names]) for groups in features]))
+
+    def best(self, scores: np.ndarray) -> list[int]:
+        """The best tags, by Viterbi, between tokens that are outside; inside never follows out, nor comes first."""
+        moves = self.moves.copy()
+        moves[OUT, INSIDE] = -1e9
+        score, back = scores[0] + moves[OUT], []
+        for here in scores[1:]:
+            steps = score[:, None] + moves
+            back.append(steps.argmax(0))
+            score = steps.max(0) + here
+        path = [int((score + moves[:, OUT]).argmax())]
         for step in reversed(back):
             path.append(int(step[path[-1]]))
         return path[::-1]
 
+    def of(self, names: list[str]) -> np.ndarray:
+        """The summed scores of features."""
+        zero = np.zeros(3)
+        return sum((self.weights.get(n, zero) for n in names), zero)
+
+
+class Tagger:
+    """Finds a chain's spans in whole texts; the scores of tokens are remembered, in bounded tables."""
+
+    def __init__(self, chain: Chain, remembered: int = 200_000):
+        self.chain, self.remembered = chain, remembered
+        self.rows: dict[str, int] = {}
+        self.outlines: dict[str, int] = {}
+        # Of each feature the scores of the tags of its token, of the next one and of the one before.
+        names = {n.removeprefix("before ").removeprefix("after ") for n in chain.weights}
+        zero = np.zeros(3)
+        self.parts = {n: np.concatenate([chain.weights.get(f"{side}{n}", zero) for side in ("", "before ", "after ")]) for n in names}
+        self.scores = np.zeros((1024, 3, 3))  # token; itself, for the next one, for the one before; tag
+        self.used = 0
+        self.any, self.first, self.last = chain.of(["any"]), chain.of(["before edge"]), chain.of(["after edge"])
+        gain = chain.moves - chain.moves[OUT, OUT]
+        gain[OUT, INSIDE] = -1e9
+        self.most = max(0.0, float(gain.max()))
+
+    def _row(self, word: str) -> int:
+        plain = outline(word)
+        row = None if plain is None else self.outlines.get(plain)
+        if row is None:
+            if self.used == len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            parts = [self.parts[n] for n in shape(plain or word) if n in self.parts]
+            row, self.used = self.used, self.used + 1
+            self.scores[row] = np.sum(parts, axis=0).reshape(3, 3) if parts else 0
+            if plain is not None:
+                self.outlines[plain] = row
+        if len(word) <= 64:
+            self.rows[word] = row
+        return row
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """The score of each tag for each token of a text."""
+        if max(self.used, len(self.rows)) > self.remembered:
+            self.rows.clear()
+            self.outlines.clear()
+            self.scores, self.used = np.zeros((1024, 3, 3)), 0
+        known = self.rows.get
+        rows = [r if (r := known(w)) is not None else self._row(w) for w in words]
+        found = self.scores[rows]
+        here = found[:, 0] + self.any + self.chain.of(about(words))
+        here[1:] += found[:-1, 1]
+        here[:-1] += found[1:, 2]
+        here[0] += self.first
+        here[-1] += self.last
+        return here
+
     def spans(self, text: str) -> list[tuple[int, int]]:
         """The secrets that the field finds in a whole text."""
-        found: list[tuple[int, int]] = []
-        if not self.weights:
-            return found
-        for places, about in sequences(text):
-            open_ = False
-            for (a, b), tag in zip(places, self.tags(named([text[a:b] for a, b in places], about))):
-                if tag == INSIDE and open_:
-                    found[-1] = (found[-1][0], b)
-                elif tag == BEGIN:
-                    found.append((a, b))
-                open_ = tag != OUT
+        words = _TOKEN.findall(text) if self.chain.weights else []
+        if not words:
+            return []
+        scores = self.emissions(words)
+        # A run of tags but outside has one more move than tokens; two for each token bound what they add.
+        gain = np.maximum(scores[:, BEGIN], scores[:, INSIDE]) - scores[:, OUT] + 2 * self.most
+        begun: list[list[int]] = []
+        for k in np.flatnonzero(gain > 0).tolist():
+            if begun and k <= begun[-1][1]:
+                continue
+            lo, total = k, float(gain[k])
+            while lo > 0 and total + gain[lo - 1] > 0:
+                lo -= 1
+                total += float(gain[lo])
+            hi, total = k + 1, float(gain[lo : k + 1].clip(0).sum())
+            while hi < len(words) and total + gain[hi] > 0:
+                total += float(gain[hi])
+                hi += 1
+            if begun and lo <= begun[-1][1]:
+                begun[-1][1] = hi
+            else:
+                begun.append([lo, hi])
+        tagged = [(lo, self.chain.best(scores[lo:hi])) for lo, hi in begun]
+        if not any(tag != OUT for _, tags in tagged for tag in tags):
+            return []
+        places, found = [m.span() for m in _TOKEN.finditer(text)], []
+        for lo, tags in tagged:
+            for k, tag in enumerate(tags):
+                if tag == BEGIN:
+                    found.append(places[lo + k])
+                elif tag == INSIDE:
+                    found[-1] = (found[-1][0], places[lo + k][1])
         return found
 
 
-def fit(data: list[tuple[list[list[str]], list[int]]], rounds: int = 60, rate: float = 0.3, penalty: float = 1e-4) -> Chain:
-    """Maximum-likelihood weights by adaptive gradient steps, all sequences at once by forward-backward."""
+def fit(data: list[tuple[list[tuple[tuple[str, ...], ...]], list[int]]], rounds: int = 60, rate: float = 0.3, penalty: float = 1e-4) -> Chain:
+    """Maximum-likelihood weights by adaptive gradient steps, all sequences at once by forward-backward.
+
+    data: for each sequence its tokens' features, in groups, and their tags. Equal groups are scored once.
+    """
     if not any(tag != OUT for _, tags in data for tag in tags):
         return Chain()
-    names = {n: i for i, n in enumerate(sorted({n for features, _ in data for names in features for n in names}))}
     many, longest = len(data), max(len(tags) for _, tags in data)
+    wide = max(len(groups) for features, _ in data for groups in features)
     gold, real = np.zeros((many, longest), np.int64), np.zeros((many, longest), bool)
-    rows, columns = [], []
+    ids: dict[tuple[str, ...], int] = {(): 0}
+    held = np.zeros((many, longest, wide), np.int32)
     for s, (features, tags) in enumerate(data):
         gold[s, : len(tags)], real[s, : len(tags)] = tags, True
-        for t, some in enumerate(features):
-            rows += [s * longest + t] * len(some)
-            columns += [names[n] for n in some]
-    rows, columns = np.array(rows), np.array(columns)
+        for t, groups in enumerate(features):
+            held[s, t, : len(groups)] = [ids.setdefault(g, len(ids)) for g in groups]
+    held = held.reshape(-1, wide)
+    names = {n: i for i, n in enumerate(sorted({n for g in ids for n in g}))}
+    rows = np.repeat(np.arange(len(ids)), [len(g) for g in ids])
+    columns = np.array([names[n] for g in ids for n in g], np.int64)
     weights, moves = np.zeros((len(names), 3)), np.zeros((3, 3))
     speed_w, speed_m = np.full(weights.shape, 1e-8), np.full(moves.shape, 1e-8)
     never, first_never = np.zeros((3, 3)), np.array([0, 0, -1e9])
@@ -174,28 +304,42 @@ def fit(data: list[tuple[list[list[str]], list[int]]], rounds: int = 60, rate: f
     truth = np.zeros((many, longest, 3))
     np.put_along_axis(truth, gold[:, :, None], 1, axis=2)
     truth *= real[:, :, None]
-    total = lambda x, axis: np.log(np.exp(x - x.max(axis, keepdims=True)).sum(axis)) + x.max(axis)
+    # Positions come first and sequences last, since sums over the three tags are then fast.
+    there = real.T
+
+    def total(x: np.ndarray) -> np.ndarray:
+        top = x.max(0)
+        return np.log(np.exp(x - top).sum(0)) + top
+
     for _ in range(rounds):
-        scores = np.stack([np.bincount(rows, weights[columns, k], many * longest) for k in range(3)], 1).reshape(many, longest, 3)
-        forward, backward = np.zeros((many, longest, 3)), np.zeros((many, longest, 3))
-        forward[:, 0] = scores[:, 0] + first_never
+        by_group = np.stack([np.bincount(rows, weights[columns, k], len(ids)) for k in range(3)], 1)
+        scores = sum(by_group[held[:, g]] for g in range(wide)).reshape(many, longest, 3).transpose(1, 2, 0).copy()
+        step = (moves + never)[:, :, None]
+        forward, backward = np.zeros((longest, 3, many)), np.zeros((longest, 3, many))
+        forward[0] = scores[0] + (moves[OUT] + first_never)[:, None]
         for t in range(1, longest):
-            step = total(forward[:, t - 1, :, None] + moves + never, 1) + scores[:, t]
-            forward[:, t] = np.where(real[:, t, None], step, forward[:, t - 1])
-        norm = total(forward[:, -1], 1)
+            forward[t] = np.where(there[t], total(forward[t - 1][:, None] + step) + scores[t], forward[t - 1])
+        end = moves[:, OUT][:, None]  # a text ends as it begins, outside
+        norm = total(forward[-1] + end)
+        backward[:] = end
         pairs = np.zeros((3, 3))
         for t in range(longest - 2, -1, -1):
-            ahead = scores[:, t + 1] + backward[:, t + 1]
-            joint = forward[:, t, :, None] + moves + never + ahead[:, None, :] - norm[:, None, None]
-            pairs += (np.exp(np.minimum(joint, 0)) * real[:, t + 1, None, None]).sum(0)
-            step = total((moves + never)[None] + ahead[:, None, :], 2)
-            backward[:, t] = np.where(real[:, t + 1, None], step, 0)
-        share = np.exp(np.minimum(forward + backward - norm[:, None, None], 0)) * real[:, :, None]
+            ahead = scores[t + 1] + backward[t + 1]
+            joint = forward[t][:, None] + step + (ahead - norm)[None]
+            pairs += (np.exp(np.minimum(joint, 0)) * there[t + 1]).sum(-1)
+            backward[t] = np.where(there[t + 1], total((step + ahead[None]).transpose(1, 0, 2)), end)
+        share = (np.exp(np.minimum(forward + backward - norm, 0)) * there[:, None]).transpose(2, 0, 1)
         gap = (share - truth).reshape(-1, 3) / many
-        g = np.stack([np.bincount(columns, gap[rows, k], len(names)) for k in range(3)], 1) + penalty * weights
+        of_group = np.stack([sum(np.bincount(held[:, g], gap[:, k], len(ids)) for g in range(wide)) for k in range(3)], 1)
+        g = np.stack([np.bincount(columns, of_group[rows, k], len(names)) for k in range(3)], 1) + penalty * weights
         speed_w += g * g
         weights -= rate * g / np.sqrt(speed_w)
         seen = np.zeros((3, 3))
+        last = real.sum(1) - 1
+        pairs[OUT] += share[:, 0].sum(0)
+        pairs[:, OUT] += share[np.arange(many), last].sum(0)
+        np.add.at(seen, (OUT, gold[:, 0]), 1)
+        np.add.at(seen, (gold[np.arange(many), last], OUT), 1)
         both = real[:, 1:] & real[:, :-1]
         np.add.at(seen, (gold[:, :-1][both], gold[:, 1:][both]), 1)
         m = (pairs - seen) / many
@@ -204,65 +348,138 @@ def fit(data: list[tuple[list[list[str]], list[int]]], rounds: int = 60, rate: f
     return Chain({n: weights[i] for n, i in names.items()}, moves)
 
 
-def tagged(text: str) -> list[tuple[list[str], list[int], list[str]]]:
-    """(words, tags by the patterns, features of the file) of each stretch of a text."""
-    spans, out = pattern_spans(text), []
-    for places, about in sequences(text):
+def tagged(text: str, windows: int, width: int) -> list[tuple[list[str], list[int], list[str]]]:
+    """(words, tags by the patterns, features of the file) of windows of a text, chosen by its hash."""
+    places = [m.span() for m in _TOKEN.finditer(text)]
+    if not places:
+        return []
+    # Of an assignment the value is the secret that the field learns.
+    values = {m.start(): m.start(2) for m in _ASSIGN.finditer(text)}
+    spans = [(kind, values[a] if kind == "assign" else a, b) for kind, a, b in pattern_spans(text)]
+    file = about([text[a:b] for a, b in places])
+    chance = np.random.default_rng(xxhash.xxh3_64_intdigest(text))
+    out = []
+    for first in sorted(set(chance.integers(max(1, len(places) - width + 1), size=windows).tolist())):
         tags, before = [], None
-        for a, b in places:
+        for a, b in places[first : first + width]:
             over = next((s for s in spans if s[1] < b and a < s[2]), None)
             tags.append(OUT if over is None else INSIDE if before is not None and over[1] < before else BEGIN)
             before = None if over is None else max(over[2], before or 0)
-        out.append(([text[a:b] for a, b in places], tags, about))
+        words = [text[a:b] for a, b in places[first : first + width]]
+        # Whether an untagged token of mixed signs is a secret is not known; such windows teach nothing.
+        if not any(tag == OUT and len(w) >= 16 and "kind=mixed" in shape(w) and _DIGIT.search(w) for w, tag in zip(words, tags)):
+            out.append((words, tags, file))
     return out
 
 
-def varied(words: list[str], tags: list[int], chance: np.random.Generator) -> Iterator[tuple[list[str], list[int]]]:
-    """A tagged stretch with made-up secrets in place of its own, and with other key words or none."""
-    last = max((i for i, tag in enumerate(tags) if tag != OUT), default=None)
-    if last is None:
-        return
-    draw = lambda letters, n: "".join(letters[i] for i in chance.integers(len(letters), size=n))
-    forms = (draw(string.ascii_letters + string.digits, int(chance.integers(24, 48))), "sk_live_" + draw(string.ascii_letters + string.digits, 24), "ghp_" + draw(string.ascii_letters + string.digits, 36), draw(string.ascii_letters + string.digits + "+/", 40) + "==", "eyJ" + draw(string.ascii_letters + string.digits + "-_", 40), "AKIA" + draw(string.ascii_uppercase + string.digits, 16), draw("0123456789abcdef", 40))
-    secret = forms[int(chance.integers(len(forms)))]
-    yield [*words[:last], f'"{secret}"', *words[last + 1 :]], tags
-    plain = [w if tag == OUT or i == last else "the" for i, (w, tag) in enumerate(zip(words, tags))]
-    yield [*plain[:last], secret, *plain[last + 1 :]], [BEGIN if i == last else OUT for i in range(len(tags))]
-    key = ("auth_key", "credential", "pwd", "bearer", "access-key")[int(chance.integers(5))]
-    swapped = [key if "key word" in shape(w) and tag != OUT and i != last else w for i, (w, tag) in enumerate(zip(words, tags))]
-    yield [*swapped[:last], secret, *swapped[last + 1 :]], tags
-
-
-def train(docs: DataFrame, sample: int = SAMPLE, per_document: int = 4, text_col: str = "text") -> Chain:
-    """Fits the field on at most ``sample`` documents with anchors, those with the smallest hashes of their texts."""
-    some = "array<struct<words:array<string>,tags:array<int>,about:array<string>>>"
-
-    @F.pandas_udf(some)
-    def stretches(texts: pd.Series) -> pd.Series:
+#: Key words that planted secrets may follow; a test plants others.
+KEY_WORDS = ("password", "pwd", "passphrase", "secret", "api_key", "api-key", "access_token", "auth_key", "credential", "private_key", "client_secret", "pass", "token", "login")
+_LETTERS, _ALL = string.ascii_letters, string.ascii_letters + string.digits
+
+
+def _draw(chance: np.random.Generator, letters: str, low: int, high: int | None = None) -> str:
+    return "".join(letters[i] for i in chance.integers(len(letters), size=int(chance.integers(low, (high or low) + 1))))
+
+
+def made_secret(chance: np.random.Generator) -> tuple[str, bool]:
+    """A made-up secret, and whether it shows by itself; the others are secrets only after a key word."""
+    word = lambda: _draw(chance, "bdfgklmnprst", 1) + _draw(chance, "aeiou", 1) + _draw(chance, "bdfgklmnprst", 1) + _draw(chance, "aeiou", 1) + _draw(chance, "nrst", 1)
+    forms = (
+        lambda: (_draw(chance, _ALL, 20, 48), True),
+        lambda: (_draw(chance, _LETTERS, 24, 44), True),
+        lambda: (_draw(chance, string.ascii_lowercase, 3, 4) + "_" + _draw(chance, _ALL, 24, 40), True),
+        lambda: ("sk_" + word() + "_" + _draw(chance, _ALL, 20, 32), True),
+        lambda: ("eyJ" + _draw(chance, _ALL + "-_", 18, 60) + "." + _draw(chance, _ALL + "-_", 20, 60), True),
+        lambda: (_draw(chance, _ALL + "+/", 30, 60) + "=" * int(chance.integers(3)), True),
+        lambda: ("-".join(_draw(chance, "0123456789abcdef", 8) for _ in range(int(chance.integers(3, 6)))), False),
+        lambda: ("-".join(_draw(chance, string.ascii_uppercase + string.digits, 4, 5) for _ in range(int(chance.integers(4, 6)))), False),
+        lambda: (word().capitalize() + _draw(chance, string.digits, 2, 4) + _draw(chance, _ALL, 0, 2), False),
+        lambda: (word() + _draw(chance, "!@#$%^&*?", 1, 2) + _draw(chance, string.digits, 1, 4), False),
+        lambda: (_draw(chance, _ALL + "!@#$%^&*", 8, 16), False),
+        lambda: (_draw(chance, _LETTERS, 10, 18), False),
+        lambda: (_draw(chance, "0123456789abcdef", 12, 20), False),
+    )
+    return forms[int(chance.integers(len(forms)))]()
+
+
+def made_other(chance: np.random.Generator) -> list[str]:
+    """Tokens that are no secrets but look somewhat like them."""
+    digits = lambda low, high=None: _draw(chance, string.digits, low, high)
+    word = lambda: _draw(chance, string.ascii_lowercase, 3, 8)
+    hexes = lambda *sizes: "-".join(_draw(chance, "0123456789abcdef", n) for n in sizes)
+    forms = (
+        lambda: ["ORD-" + digits(4) + "-" + digits(6, 10)],
+        lambda: ["order", "no.", digits(8, 14)],
+        lambda: ["id:", hexes(8, 4, 4, 4, 12)],
+        lambda: [f"{digits(4)}-{digits(2)}-{digits(2)}T{digits(2)}:{digits(2)}:{digits(2)}Z"],
+        lambda: [f"https://{word()}.example.com/{word()}/{digits(3, 9)}?{word()}={digits(1, 6)}&{word()}={word()}"],
+        lambda: [f"{word()}.{word()}{digits(0, 3)}@{word()}.com"],
+        lambda: [f"/usr/{word()}/{word()}-{digits(1)}.{digits(1, 2)}.{digits(1)}/{word()}.so"],
+        lambda: ["phone:", f"+{digits(2)}-{digits(3)}-{digits(6, 8)}"],
+        lambda: [f"{word()}_{word()}_{word()}", "=", digits(1, 5)],
+        lambda: [f"{word()}{word().capitalize()}{word().capitalize()}()"],
+        lambda: ["ISBN", f"978-{digits(1)}-{digits(5)}-{digits(3)}-{digits(1)}"],
+        lambda: ["IBAN", "DE" + digits(20)],
+        lambda: ["the", "password", "is", "not", "stored"],
+        lambda: ["key", "to", "success:", word()],
+        lambda: [f"v{digits(1)}.{digits(2)}.{digits(1)}-{word()}{digits(1, 2)}"],
+        lambda: [f"{word()}-{word()}-{word()}-{word()}"],
+        lambda: ["#" + _draw(chance, "0123456789ABCDEF", 6)],
+        lambda: ["commit", _draw(chance, "0123456789abcdef", 7, 10)],
+        lambda: [word() + word() + word()],
+        lambda: [f"{word()}={word()}", f"{word()}:{digits(1, 4)}"],
+    )
+    return forms[int(chance.integers(len(forms)))]()
+
+
+def planted(words: list[str], tags: list[int], chance: np.random.Generator, keys: tuple[str, ...] = KEY_WORDS) -> Iterator[tuple[list[str], list[int]]]:
+    """The window as it is, with a secret planted in it, and with something that looks like one."""
+    yield words, tags
+    at = int(chance.integers(len(words) + 1))
+    while at < len(tags) and tags[at] == INSIDE:
+        at += 1
+    secret, alone = made_secret(chance)
+    key = keys[int(chance.integers(len(keys)))]
+    key = key.upper() if chance.integers(4) == 0 else key
+    forms = [([f"{key}:", secret], [OUT, BEGIN]), ([key, "=", secret], [OUT, OUT, BEGIN]), ([f"{key}={secret}"], [BEGIN]), ([f'"{key}":', f'"{secret}",'], [OUT, BEGIN]), ([key, secret], [OUT, BEGIN]), ([f"{key}='{secret}'"], [BEGIN]), (["Authorization:", "Bearer", secret], [OUT, OUT, BEGIN])]
+    if alone:
+        forms += [([secret], [BEGIN]), (["use", f"{secret}."], [OUT, BEGIN]), ([f"({secret})"], [BEGIN])]
+    some, marks = forms[int(chance.integers(len(forms)))]
+    yield [*words[:at], *some, *words[at:]], [*tags[:at], *marks, *tags[at:]]
+    other = made_other(chance)
+    yield [*words[:at], *other, *words[at:]], [*tags[:at], *([OUT] * len(other)), *tags[at:]]
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS, width: int = WIDTH, text_col: str = "text") -> Chain:
+    """Fits the field on windows of at most ``sample`` documents, those with the smallest hashes of their texts."""
+
+    @F.pandas_udf("array<struct<words:array<string>,tags:array<int>,about:array<string>>>")
+    def some_of(texts: pd.Series) -> pd.Series:
         keys = ("words", "tags", "about")
-        return pd.Series([[dict(zip(keys, x)) for x in tagged(text or "")[:per_document]] for text in texts], dtype=object)
+        return pd.Series([[dict(zip(keys, x)) for x in tagged(text or "", windows, width)] for text in texts], dtype=object)
 
     text = F.col(text_col)
-    secret = F.when(text.rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"), 0).otherwise(1)
-    # Half of the sample with pattern matches, half with other anchors.
-    told = docs.where(text.rlike(r"[A-Za-z0-9+/_.=-]{16}") & text.rlike("[0-9]")).select(text.alias("_text"), F.xxhash64(text).alias("_hash"), secret.alias("_kind"))
-    chosen = told.select("_hash", "_kind")
-    halves = [chosen.where(F.col("_kind") == kind).distinct().orderBy("_hash").limit(sample // 2) for kind in (0, 1)]
-    picked = told.join(F.broadcast(halves[0].unionByName(halves[1])), ["_hash", "_kind"]).dropDuplicates(["_hash"])
-    rows = sorted(picked.select("_hash", stretches("_text").alias("found")).collect(), key=lambda row: row["_hash"])
-    chance, data = np.random.default_rng(11), []
-    for row in rows:
-        for found in row["found"]:
-            words, tags, about = found["words"], found["tags"], found["about"]
-            for some_words, some_tags in ((words, tags), *varied(words, tags, chance)):
-                data.append((named(list(some_words), about), list(some_tags)))
-    return fit([x for x in data if len(x[1]) <= 24][:12_000])
-
-
-def all_spans(text: str | None, chain: Chain) -> list[tuple[str, int, int]]:
+    hashed = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("_hash"))
+    chosen = hashed.distinct().orderBy("_hash").limit(sample)
+    picked = docs.select(text.alias("_text"), F.xxhash64(text).alias("_hash")).join(F.broadcast(chosen), "_hash").dropDuplicates(["_hash"])
+    rows = sorted(picked.select("_hash", some_of("_text").alias("found")).collect(), key=lambda row: row["_hash"])
+    return fitted([(list(x["words"]), list(x["tags"]), list(x["about"])) for row in rows for x in row["found"]])
+
+
+def fitted(windows: list[tuple[list[str], list[int], list[str]]], seed: int = 11) -> Chain:
+    """The field of these windows (words, tags, features of the file) with planted spans."""
+    chance, data, shapes = np.random.default_rng(seed), [], {}
+    # A small table's windows are planted in several times.
+    for words, tags, file in windows * -(-LEAST_PLANTED // max(1, len(windows))):
+        for some, marks in planted(words, tags, chance):
+            data.append((named(some, file, shapes), marks))
+    return fit(data) if data else Chain()
+
+
+def all_spans(text: str | None, tagger: Tagger) -> list[tuple[str, int, int]]:
     text = text or ""
     base = pattern_spans(text)
-    added = [("crf", a, b) for a, b in chain.spans(text) if not any(a < s[2] and s[1] < b for s in base)]
+    added = [("crf", a, b) for a, b in tagger.spans(text) if not any(a < s[2] and s[1] < b for s in base)]
     return ordered(base + added)
 
 
@@ -270,9 +487,10 @@ def secret_spans(text: Column, chain: Chain) -> Column:
     """All spans of a text: array of struct(kind, start, end)."""
 
     @F.pandas_udf(SPANS)
-    def found(texts: pd.Series) -> pd.Series:
-        keys = ("kind", "start", "end")
-        return pd.Series([[dict(zip(keys, s)) for s in all_spans(text, chain)] for text in texts], dtype=object)
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        keys, tagger = ("kind", "start", "end"), Tagger(chain)
+        for texts in batches:
+            yield pd.Series([[dict(zip(keys, s)) for s in all_spans(text, tagger)] for text in texts], dtype=object)
 
     return found(text)
 

@@ -365,19 +365,69 @@ def test_chain_gradient_and_viterbi():
     import itertools
 
     chance = np.random.default_rng(14)
-    data = [([[f"f{int(x)}" for x in chance.integers(6, size=3)] for _ in range(4)], [0, 1, 2, 0]) for _ in range(30)]
+    group = lambda: tuple(f"f{int(x)}" for x in chance.integers(6, size=3))
+    data = [([(group(), group()) for _ in range(4)], [0, 1, 2, 0]) for _ in range(30)]
     chain = secrets.fit(data, rounds=30)
-    features = data[0][0]
     zero = np.zeros(3)
 
-    def score(tags):
+    def likelihood(features, tags):
         if tags[0] == 2 or any(a == 0 and b == 2 for a, b in zip(tags, tags[1:])):
             return -np.inf
-        own = sum(sum((chain.weights.get(n, zero)[t] for n in names), 0.0) for names, t in zip(features, tags))
-        return own + sum(chain.moves[a, b] for a, b in zip(tags, tags[1:]))
+        own = sum(sum((chain.weights.get(n, zero)[t] for some in groups for n in some), 0.0) for groups, t in zip(features, tags))
+        return own + sum(chain.moves[a, b] for a, b in zip((0, *tags), (*tags, 0)))
 
-    assert chain.tags(features) == list(max(itertools.product(range(3), repeat=4), key=score))
-    assert secrets.fit([([["x"]], [0])]).weights == {}
+    for features, tags in data[:8]:
+        every = {t: likelihood(features, t) for t in itertools.product(range(3), repeat=4)}
+        assert chain.tags(features) == list(max(every, key=every.get))
+        assert every[tuple(tags)] > np.log(sum(np.exp(x) for x in every.values())) - np.log(20)  # of over 40 ways
+    assert secrets.fit([([(("x",),)], [0])]).weights == {}
+
+
+@pytest.fixture(scope="module")
+def field(words):
+    chance = np.random.default_rng(31)
+    return secrets.fitted([w for _ in range(500) for w in secrets.tagged(prose(chance, words, 60), 1, 14)])
+
+
+def test_secret_field_on_held_out_secrets(field, words):
+    """Recall by form and context, and false finds, on texts and key words that the fit has not seen."""
+    chance, tagger = np.random.default_rng(32), secrets.Tagger(field)
+    hits, tries, wrong, other = Counter(), Counter(), 0, 0
+    for i in range(900):
+        before, after = prose(chance, words, 20), prose(chance, words, 20)
+        secret, alone = secrets.made_secret(chance)
+        key = ("passcode", "pw", "signing_key", "auth-token", "db_password")[i % 5]
+        said = (f"{key}: ", f"{key} = ", f"{key}=", "")[i % 4 if alone else i % 3]
+        text = f"{before} {said}{secret} {after}"
+        at = len(before) + 1 + len(said)
+        spans = secrets.all_spans(text, tagger)
+        kind = "letters" if secret.isalpha() and len(secret) > 20 else "alone" if alone else "after a key word"
+        tries[kind] += 1
+        hits[kind] += any(a <= at and at + len(secret) <= b for _, a, b in spans)
+        wrong += sum(k == "crf" and not (a <= at < b) for k, a, b in spans)
+        look = " ".join(secrets.made_other(chance))
+        other += any(k == "crf" for k, *_ in secrets.all_spans(f"{before} {look} {after}", tagger))
+    assert hits["alone"] / tries["alone"] > 0.95 and hits["letters"] / tries["letters"] > 0.9 and hits["after a key word"] / tries["after a key word"] > 0.8
+    assert wrong <= 9 and other <= 18
+
+
+def test_secret_tagger_is_exact(field, words):
+    """Passing over what cannot gain gives what Viterbi over the whole text gives."""
+    chance, tagger = np.random.default_rng(33), secrets.Tagger(field, remembered=50)
+    for _ in range(60):
+        parts = [prose(chance, words, 5), *(secrets.made_secret(chance)[0] for _ in range(2)), *secrets.made_other(chance), "token", "=", prose(chance, words, 3)]
+        text = " ".join(str(x) for x in chance.permutation(np.array(parts, object)))
+        tokens = secrets._TOKEN.findall(text)
+        tags = field.tags(secrets.named(tokens, secrets.about(tokens)))
+        places, want = [m.span() for m in secrets._TOKEN.finditer(text)], []
+        for (a, b), tag in zip(places, tags):
+            if tag == secrets.BEGIN:
+                want.append((a, b))
+            elif tag == secrets.INSIDE:
+                want[-1] = (want[-1][0], b)
+        assert tagger.spans(text) == want
+    assert tagger.spans("") == [] and secrets.Tagger(secrets.Chain()).spans("password is x") == []
+    assert all(secrets.shape(secrets.outline(w) or w) == secrets.shape(w) for w in [*words, "Hello,", "WORLD", "Élan", "iPhone", "(abc)"])
 
 
 def test_redaction(spark):
