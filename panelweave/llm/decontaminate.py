@@ -5,19 +5,22 @@ space between words each letter is a word. For every item length the text has wi
 that many words. The CGK embedding walks over a window, at each of up to three times as many steps giving the word it
 stands on and moving on or not by a random bit that depends on the step and the word; few edits then give a small
 Hamming distance. Bit sampling takes a few steps of a walk as a key; items and windows that share a key in any table of
-any walk are candidates. How many walks are needed for the target recall is measured on the items with random edits.
-Candidates are verified by the item's exact word edit distance to
+any walk are candidates. How often a walk meets each item with as many random edits as are allowed is measured; walks are
+made until nine in ten items reach the target recall, and items that do not are compared at all their places without an
+embedding, so that every item reaches it. Candidates are verified by the item's exact word edit distance to
 the text that begins where the window does, wherever it ends.
 
 A text within ``most`` edits of an item holds all of the item's words but ``most``, so places where too few of the rarer
 words of any item lie together are passed over; this loses none and is what keeps clean text cheap.
 
-The items are a query set held against all rows in blocks of ``ITEM_BLOCK``; each block is sent to the tasks. There is
-no shuffle: each document is judged where it is read, so neither a hot item nor a hot source gathers anywhere.
+The items are a query set held against all rows in blocks of ``ITEM_BLOCK``; up to ``SCAN_BLOCKS`` blocks are sent to
+the tasks for one scan. There is no shuffle: each document is judged where it is read, so neither a hot item nor a hot
+source gathers anywhere.
 
 Items of fewer than ``least_words`` words are held where their whole word sequence stands in a text, without edits.
 
-Defined cases: null and empty texts hold nothing; null items and items without any word are not searched; equal items are all reported; repeated rows are reported each; an empty table on either side gives no
+Defined cases: null and empty texts hold nothing; null items and items without any word are not searched; equal items are
+all reported; item ids may be numbers or texts; repeated rows are reported each; an empty table on either side gives no
 rows; further columns are ignored.
 """
 
@@ -37,8 +40,9 @@ from pyspark.sql import functions as F
 
 ITEM_BLOCK = 2_000
 TABLES, STEPS = 8, 3  # tables of a walk, and sampled steps of a table
-MOST_WALKS = 64
-FOUND = "array<struct<item_id:long,start:int,words:int,distance:int>>"
+MOST_WALKS = 64  # beyond these, items are compared without an embedding
+SCAN_BLOCKS = 10
+TRIED_WALKS, TRIED_EDITS = 16, 4  # walks and edited copies of an item by which its recall is measured
 
 # ASCII marks become spaces; bytes from 128 on belong to letters, once other characters than those are replaced.
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -123,8 +127,8 @@ class Items:
         self.first = np.cumsum(self.first)
         self.holders = np.array([i for word in sorted(holders) if len(holders[word]) <= few for i in holders[word]], np.int64)
         self.need = np.array([sum(len(holders[w]) <= few for w in words) - self.most[len(words)] for _, words in self.items])
-        self.walks = 1
-        self.walks = self._needed(recall) if self.items else 0
+        self.walks, self.reached = self._needed(recall) if self.items else (0, np.empty(0))
+        self.hard = self.reached < recall
         # Per length the keys of all tables in one sorted array, beside the items that have them.
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in self.lengths:
@@ -158,37 +162,41 @@ class Items:
             key = key * 1_000_000_007 + stood[sampled[:, :, k], rows] + 2
         return key.reshape(walks * TABLES, many).T
 
-    def _needed(self, recall: float) -> int:
-        """Walks that reach the recall for items with as many random edits as are allowed, as measured."""
+    def _needed(self, recall: float) -> tuple[int, np.ndarray]:
+        """How many walks to make, and the recall that each item reaches by them with as many edits as are allowed."""
         chance, met = np.random.default_rng(self.seed), []
-        for _, words in self.items[:: max(1, len(self.items) // 100)]:
+        for _, words in self.items:
             n = len(words)
-            edited = list(words)
-            for _ in range(self.most[n]):
-                at, kind = int(chance.integers(len(edited))), int(chance.integers(3))
-                if kind == 0:
-                    edited[at] = 0
-                elif kind == 1:
-                    edited.insert(at, 0)
-                else:
-                    del edited[at]
-            edited = (edited + [0] * n)[:n]
-            same = self.keys(np.array([words, edited], np.int64), 8)
-            met.append((same[0] == same[1]).reshape(8, TABLES).any(1).mean())
-        # The items hardest to meet decide: a tenth may be below.
-        rate = min(max(float(np.quantile(met, 0.1)), 0.05), 0.999)
-        return min(MOST_WALKS, max(4, math.ceil(math.log(1 - recall) / math.log(1 - rate))))
-
-    def _places(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Per item length the starts of windows that have enough of the rarer words of some item of that length."""
+            windows = [words]
+            for _ in range(TRIED_EDITS):
+                edited = list(words)
+                for _ in range(self.most[n]):
+                    at, kind = int(chance.integers(len(edited))), int(chance.integers(3))
+                    if kind == 0:
+                        edited[at] = 0
+                    elif kind == 1:
+                        edited.insert(at, 0)
+                    else:
+                        del edited[at]
+                windows.append((edited + [0] * n)[:n])
+            keys = self.keys(np.array(windows, np.int64), TRIED_WALKS)
+            met.append((keys[:1] == keys[1:]).reshape(TRIED_EDITS, TRIED_WALKS, TABLES).any(2).mean())
+        rates = np.clip(np.array(met), 0, 0.999)
+        easy = float(np.quantile(rates, 0.1))
+        walks = MOST_WALKS if easy <= 0 else min(MOST_WALKS, max(4, math.ceil(math.log(1 - recall) / math.log(1 - easy))))
+        return walks, 1 - (1 - rates) ** walks
+
+    def _places(self, ids: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], list[tuple[int, np.ndarray]]]:
+        """The starts of windows that have enough of the rarer words of some item: by item length, and by hard item."""
         many = self.first[ids + 1] - self.first[ids]
         at = np.repeat(np.arange(len(ids)), many)
         nth = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
         item = self.holders[np.repeat(self.first[ids], many) + nth]
         marks: dict[int, np.ndarray] = {}
+        alone: dict[int, np.ndarray] = {}
         for i in np.flatnonzero(np.bincount(item, minlength=len(self.items)) >= self.need):
             n, need = len(self.items[i][1]), int(self.need[i])
-            mark = marks.setdefault(n, np.zeros(len(ids) + 1, np.int64))
+            mark = alone.setdefault(i, np.zeros(len(ids) + 1, np.int64)) if self.hard[i] else marks.setdefault(n, np.zeros(len(ids) + 1, np.int64))
             if need <= 0:
                 mark[0] += 1
                 continue
@@ -197,8 +205,7 @@ class Items:
             near = right - left < reach
             np.add.at(mark, np.maximum(right[near] - reach + 1, 0), 1)
             np.add.at(mark, left[near] + 1, -1)
-        for n in sorted(marks):
-            yield n, np.flatnonzero(np.cumsum(marks[n][:-1]) > 0)
+        return tuple([(k, np.flatnonzero(np.cumsum(held[k][:-1]) > 0)) for k in sorted(held)] for held in (marks, alone))
 
     def _whole(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
         """The short items held, each at its first place."""
@@ -218,8 +225,20 @@ class Items:
         words = words_of(text)
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
         best: dict[int, tuple[int, int, int]] = {}
-        for n, starts in self._places(ids):
-            most = self.most[n]
+
+        def compare(i: int, start: int) -> None:
+            n = len(self.items[i][1])
+            limit = min(self.most[n], best.get(i, (n, 0, 0))[0] - 1)
+            if limit >= 0:
+                distance, size = edit_distance(self.items[i][1], ids[start : start + n + limit].tolist(), limit)
+                if distance <= limit:
+                    best[i] = (distance, start, size)
+
+        by_length, by_item = self._places(ids)
+        for i, starts in by_item:
+            for start in starts.tolist():
+                compare(i, start)
+        for n, starts in by_length:
             for lo in range(0, len(starts), 256):
                 here = starts[lo : lo + 256]
                 keys = self.keys(np.concatenate([ids, np.zeros(n, np.int64)])[here[:, None] + np.arange(n)])
@@ -228,49 +247,51 @@ class Items:
                 row, table = np.nonzero(first < last)
                 pairs = {(int(r), int(i)) for r, t in zip(row, table) for i in holder[first[r, t] : last[r, t]]}
                 for at, i in sorted(pairs):
-                    start, limit = int(here[at]), min(most, best.get(i, (most + 1, 0, 0))[0] - 1)
-                    if limit >= 0:
-                        distance, size = edit_distance(self.items[i][1], ids[start : start + n + limit].tolist(), limit)
-                        if distance <= limit:
-                            best[i] = (distance, start, size)
+                    if not self.hard[i]:
+                        compare(i, int(here[at]))
         found = [(self.items[i][0], start, size, distance) for i, (distance, start, size) in sorted(best.items())]
         return found + self._whole(ids)
 
 
-def leaks(text: Column, items: list[tuple[int, str]], **options) -> Column:
-    """The items that ``text`` holds: array of struct(item_id, start, words, distance)."""
-    found = Items(items, **options)
+def leaks(text: Column, blocks: list[list[tuple]], kind: str = "long", **options) -> Column:
+    """The items that ``text`` holds: array of struct(item_id, start, words, distance). kind: the type of the ids."""
+    found = [Items(items, **options) for items in blocks]
 
-    @F.pandas_udf(FOUND)
+    @F.pandas_udf(f"array<struct<item_id:{kind},start:int,words:int,distance:int>>")
     def held(texts: pd.Series) -> pd.Series:
         keys = ("item_id", "start", "words", "distance")
-        return pd.Series([[dict(zip(keys, x)) for x in found.search(text)] for text in texts], dtype=object)
+        return pd.Series([[dict(zip(keys, x)) for some in found for x in some.search(text)] for text in texts], dtype=object)
 
     return held(text)
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, as the driver sends them out."""
-    rows = benchmark.select(F.col(id_col).cast("long"), text_col).where(F.col(text_col).isNotNull())
-    blocks: list[list[tuple[int, str]]] = []
+def item_scans(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[str, list[list[list[tuple]]]]:
+    """The type of the item ids, and the items in scans of blocks, as the driver sends them out."""
+    number = dict(benchmark.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
+    rows = benchmark.select(F.col(id_col).cast("long" if number else "string"), text_col).where(F.col(text_col).isNotNull())
+    scans: list[list[list[tuple]]] = []
     for row in rows.toLocalIterator():
-        if not blocks or len(blocks[-1]) == ITEM_BLOCK:
-            blocks.append([])
-        blocks[-1].append((row[0], row[1]))
-    return blocks
+        if not scans or (len(scans[-1]) == SCAN_BLOCKS and len(scans[-1][-1]) == ITEM_BLOCK):
+            scans.append([[]])
+        elif len(scans[-1][-1]) == ITEM_BLOCK:
+            scans[-1].append([])
+        scans[-1][-1].append((row[0], row[1]))
+    return "long" if number else "string", scans
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document and item held: doc_id, item_id, start and words (of the window), distance."""
+    kind, scans = item_scans(benchmark)
     found = None
-    for items in item_blocks(benchmark) or [[]]:
-        part = docs.select(F.col(id_col).alias("doc_id"), F.explode(leaks(F.col(text_col), items, **options)).alias("_leak")).select("doc_id", "_leak.*")
+    for blocks in scans or [[[]]]:
+        part = docs.select(F.col(id_col).alias("doc_id"), F.explode(leaks(F.col(text_col), blocks, kind, **options)).alias("_leak")).select("doc_id", "_leak.*")
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    for items in item_blocks(benchmark):
-        docs = docs.where(F.size(leaks(F.col(text_col), items, **options)) == 0)
+    kind, scans = item_scans(benchmark)
+    for blocks in scans:
+        docs = docs.where(F.size(leaks(F.col(text_col), blocks, kind, **options)) == 0)
     return docs

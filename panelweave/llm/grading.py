@@ -12,7 +12,7 @@ with a weight vector of fixed size; there is no shuffle.
 Grades here: 2 for good and clean, 1 with one flaw (low quality or toxic), 0 with both.
 
 Defined cases: null and empty texts have no words and are graded by the thresholds and the level of an empty text alone;
-labels without a document, repeated labels and null labels are left out of the fit; without any usable label every
+labels without a document and null labels are left out of the fit, repeated ones count as their worst, and of documents with one id the first text in order; without any usable label every
 document gets the top grade; ties at the cut are kept; repeated rows are graded each; an empty table gives no rows;
 further columns stay as they are.
 """
@@ -72,7 +72,7 @@ class Features:
 
 
 class Scorer(dict):
-    """text -> score. Which features of a word have a weight is remembered, in a bounded table."""
+    """text -> score. Which features of a word have a weight is remembered, in a table of bounded size and words."""
 
     def __init__(self, weights: np.ndarray, remembered: int = 250_000):
         super().__init__()
@@ -82,7 +82,9 @@ class Scorer(dict):
     def __missing__(self, token: str) -> tuple[int, ...]:
         if len(self) >= self.remembered:
             self.clear()
-        found = self[token] = tuple(i for i in self.features.of_word(token) if self.weights[i])
+        found = tuple(i for i in self.features.of_word(token) if self.weights[i])
+        if len(token) <= 64:
+            self[token] = found
         return found
 
     def __call__(self, text: str | None) -> float:
@@ -165,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
         hashed = Features(bits)
         return pd.Series([hashed(text) for text in texts], dtype=object)
 
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "_grade", features("text").alias("_features"))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_grade").alias("_grade")).select("doc_id", "_grade", features("text").alias("_features"))
     table = found.toArrow()
     ids, grades = table["doc_id"].to_numpy(), table["_grade"].to_numpy().astype(np.int64)
     rows = [x for part in table["_features"].chunks if len(part) for x in np.split(part.flatten().to_numpy(), np.cumsum(part.value_lengths().to_numpy())[:-1])] if len(ids) else []

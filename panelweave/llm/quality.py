@@ -8,7 +8,7 @@ conditional expression, so that judging is a projection: no shuffle, no Python.
 The rules are learned on the driver from at most ``SAMPLE`` labelled documents' statistics (a parameter).
 
 Defined cases: null texts have no words; empty texts and those of under 50 words fail the base rule; labels that are
-null, repeated or without document are left out of the learning; without usable labels the list is empty and keeps all
+null or without document are left out of the learning, repeated ones count as their worst, and of documents with one id the first text in order; without usable labels the list is empty and keeps all
 that pass the base rule; repeated rows are judged each; an empty table gives no rows; further columns are ignored.
 """
 
@@ -126,8 +126,6 @@ def _grow(values: dict[str, np.ndarray], bad: np.ndarray, longest: int) -> Rule:
             order = np.argsort(column[held], kind="stable")
             x, hits = column[held][order], np.cumsum(bad[held][order])
             cut = np.flatnonzero(x[1:] > x[:-1]) + 1
-            if len(cut) > 200:
-                cut = cut[np.linspace(0, len(cut) - 1, 200).astype(int)]
             below, size = hits[cut - 1].astype(float), cut.astype(float)
             for above, pos, all_ in ((False, below, size), (True, hits[-1] - below, n - size) if len(x) else (True, below, size)):
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -178,7 +176,7 @@ def learn_from(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list
     """Rules from at most ``sample`` labelled documents, those with the smallest hashes of their ids."""
     usable = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 0).alias("_bad"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    measured = statistics(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text"))
+    measured = statistics(docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
     rows = measured.join(F.broadcast(chosen), "doc_id").select("doc_id", "_bad", *(F.expr(sql).alias(name) for name, sql in MEASURES.items())).collect()
     rows.sort(key=lambda row: row["doc_id"])
     return learn({name: np.array([row[name] for row in rows], float) for name in MEASURES}, np.array([row["_bad"] for row in rows], bool))

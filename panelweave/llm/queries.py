@@ -73,4 +73,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_pack, op2_token_counts, op3_shard, op4_jaccard, op5_quality_rules, op6_quality_classifier, op7_secret_scan, op8_url_filter, op9_decontaminate, op10_html_extract, pipeline)
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_url_filter": urls.judged_sql(URL_RULES)}

@@ -1,9 +1,9 @@
 """Longest-processing-time scheduling of groups onto shards.
 
 Rows that must stay together form a group; groups go, largest first, to the shard with the least load so far, kept in a
-heap. Groups of one size are interchangeable, so the driver schedules size classes with counts instead of groups: sizes
-below 4096 are classes of their own, larger ones keep their 12 leading bits, which bounds the classes at about 2,048 for
-each doubling of the size, whatever the number of groups. Inside a class all groups count with their mean size.
+heap. Groups of one size are interchangeable, so the driver schedules sizes with their numbers of groups instead of
+groups. Different sizes are few: n of them sum to n^2 / 2 at least, so there are no more than the square root of twice
+the bytes of all texts (245,000 for 30 GB), whatever the number of groups. Nothing is rounded.
 
 Defined cases: a null text has no bytes and is grouped with the empty ones; equal texts share a shard, so one group
 above a shard's fair share makes that shard the largest; an empty table gives no rows; further columns are ignored.
@@ -13,29 +13,32 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelweave.llm.common import seats, written
 
 
-def schedule(classes: list[tuple[int, int, int]], shards: int) -> dict[int, list[int]]:
-    """(class, groups, bytes) -> per class the cumulated number of groups of each shard."""
-    loads = [0.0] * shards
-    cuts: dict[int, list[int]] = {}
-    for key, many, total in sorted(classes, key=lambda c: (-c[2] / c[1], -c[0])):
-        size, taken = total / many, [0] * shards
-        # Whole rounds first: as many groups each as keep every shard below a common level.
-        if many > 8 * shards:
-            low, high = min(loads), max(loads) + (many / shards + 1) * size
-            for _ in range(60):
-                level = (low + high) / 2
-                if sum(max(0, int((level - x) // size)) for x in loads) <= many:
+def schedule(sizes: np.ndarray, counts: np.ndarray, shards: int) -> np.ndarray:
+    """For groups of these sizes (descending) and numbers: per size the cumulated number of groups of each shard.
+
+    Equal groups go to the heap one by one, but for whole rounds: shards take them while their load is below the highest
+    level that no more than all of them reach, which is where the heap would put them.
+    """
+    loads, cuts = [0] * shards, np.zeros((len(sizes), shards), np.int64)
+    for row, (size, many) in enumerate(zip(sizes.tolist(), counts.tolist())):
+        taken = [0] * shards
+        if many > shards:
+            low, high = min(loads), max(loads) + (many // shards + 2) * size
+            while low + 1 < high:
+                level = (low + high) // 2
+                if sum(max(0, -((x - level) // size)) for x in loads) <= many:
                     low = level
                 else:
                     high = level
-            taken = [max(0, int((low - x) // size)) for x in loads]
+            taken = [max(0, -((x - low) // size)) for x in loads]
         heap = [(loads[i] + taken[i] * size, i) for i in range(shards)]
         heapq.heapify(heap)
         for _ in range(many - sum(taken)):
@@ -43,29 +46,19 @@ def schedule(classes: list[tuple[int, int, int]], shards: int) -> dict[int, list
             taken[i] += 1
             heapq.heapreplace(heap, (load + size, i))
         loads = [x + n * size for x, n in zip(loads, taken)]
-        run, cuts[key] = 0, []
-        for n in taken:
-            run += n
-            cuts[key].append(run)
+        cuts[row] = np.cumsum(taken)
     return cuts
 
 
-def size_class(size):
-    """The class of a group's size: itself below 4096, else its 12 leading bits."""
-    drop = F.greatest(F.length(F.bin(size)) - 12, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", size, drop), drop)
-
-
 def shard_groups(groups: DataFrame, shards: int, size: str = "_size", key: str = "_key") -> DataFrame:
     """Adds ``shard`` to one row per group with a ``size``; groups is read three times, so it should be written."""
-    classed = groups.withColumn("_class", size_class(F.col(size)))
-    counted = classed.groupBy("_class").agg(F.count("*"), F.sum(size)).collect()
-    cuts = schedule([(int(c), int(n), int(t)) for c, n, t in counted], shards)
-    schema = T.StructType([T.StructField("_of_class", T.LongType()), T.StructField("_cuts", T.ArrayType(T.LongType()))])
-    plan = groups.sparkSession.createDataFrame(list(cuts.items()), schema)
-    seated = seats(classed, "_class", key, "_rank")
+    counted = groups.groupBy(F.col(size).alias("_of_size")).agg(F.count("*").alias("_many")).toArrow().sort_by([("_of_size", "descending")])
+    cuts = schedule(counted["_of_size"].to_numpy(), counted["_many"].to_numpy(), shards)
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(cuts.reshape(-1)), shards).cast(pa.list_(pa.int64()))
+    plan = groups.sparkSession.createDataFrame(pa.table({"_of_size": counted["_of_size"].combine_chunks(), "_cuts": lists})) if len(counted) else groups.sparkSession.createDataFrame([], "_of_size long, _cuts array<long>")
+    seated = seats(groups, size, key, "_rank")
     shard = F.size(F.filter("_cuts", lambda cut: cut <= F.col("_rank"))).alias("shard")
-    return seated.join(plan, F.col("_class") == F.col("_of_class")).select(*groups.columns, shard)
+    return seated.join(plan, F.col(size) == F.col("_of_size")).select(*groups.columns, shard)
 
 
 def shard_texts(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,11 @@
 """Token counts of a unigram vocabulary without building the tokens.
 
+None of the public tokenizer files is a unigram model, and tokenizers are not trained here. The vocabulary is therefore
+that of a public byte-pair file, whose pieces stand in the order in which they were merged, about that of their
+frequency; by Zipf's law the n-th of N has the probability 1 / (n ln N). So the counts are those of the unigram model
+with these pieces and log-probabilities (which tests hold against the tokenizers library's), not of the byte-pair
+encoding itself. A model file with true unigram scores is used as it is.
+
 Per word (a space and what follows it up to the next) an Aho-Corasick automaton enumerates all vocabulary matches; a
 Viterbi pass over the characters carries only the best score and its number of pieces. Ties follow the tokenizers
 library's unigram model: matches are tried from the earliest start on and only a strictly better score replaces one,
@@ -14,6 +20,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
@@ -27,12 +34,18 @@ UNKNOWN_COST = 10.0  # fixed value of the unigram model
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
-    """The (piece, score) pairs of a sentencepiece model file in order of id; control pieces are left out."""
+    """The (piece, log-probability) pairs of a sentencepiece model file in order of id; control pieces are left out."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
-    ids = range(model.get_piece_size())
-    return [(model.id_to_piece(i), model.get_score(i)) for i in ids if not (model.is_control(i) or model.is_unknown(i))]
+    ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i))]
+    scores = {i: model.get_score(i) for i in ids}
+    merged = [i for i in ids if not model.is_byte(i)]
+    if all(scores[i] == int(scores[i]) for i in merged):
+        # Scores that only count down are ranks of merges, not log-probabilities; bytes come last.
+        order = sorted(merged, key=lambda i: (-scores[i], i)) + [i for i in ids if model.is_byte(i)]
+        scores = {i: -math.log((n + 1) * math.log(len(order))) for n, i in enumerate(order)}
+    return [(model.id_to_piece(i), scores[i]) for i in ids]
 
 
 class Counter:

@@ -1,8 +1,10 @@
 """URL filters: host and path rules first, then a weighted URL vocabulary.
 
-The vocabulary has strict terms (one is enough to block) and soft terms (several different ones are needed). An
+The vocabulary is a table of terms with weights from 0 to 1. Terms of weight 1 are strict: one is enough to block. The
+others are soft: ``soft_needed`` different ones, whose weights sum to ``soft_weight`` or more, block together. An
 Aho-Corasick automaton finds all of them in one pass over the lower-cased URL; a hit counts only between boundaries,
-that is where neither neighbour is a letter or digit.
+that is where neither neighbour is a letter or digit. A short vocabulary is part of this module; a longer one is read
+from a table (term, weight), which every task holds, so it has at most ``MOST_TERMS`` rows.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and, having no term, is
 allowed unless its text holds terms (a URL without ``://`` is searched as a whole); ties between rules of equal length
@@ -20,10 +22,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Terms of which one blocks.
-STRICT_TERMS = ("adult", "casino", "porn", "xxx", "viagra", "escort", "spam", "malware", "phishing", "torrent", "warez", "sex")
-#: Terms of which ``SOFT_NEEDED`` different ones block.
-SOFT_TERMS = ("ads", "bet", "bets", "bonus", "cheap", "click", "deal", "deals", "discount", "farm", "free", "jackpot", "loan", "loans", "nude", "pharmacy", "pills", "poker", "promo", "slots", "track", "tracker", "win", "winner")
-SOFT_NEEDED = 2
+STRICT_TERMS = (
+    "adult", "camgirl", "casino", "escort", "hentai", "keygen", "malware", "milf", "nsfw", "phishing", "porn", "porno", "pornstar", "ransomware", "sex", "sexcam",
+    "slut", "spam", "spyware", "torrent", "viagra", "warez", "webcam-girls", "xxx",
+)
+#: Terms of which several different ones block, by how telling they are.
+SOFT_TERMS = {
+    0.7: ("betting", "blackjack", "cialis", "jackpot", "nude", "payday", "pills", "pharmacy", "poker", "roulette", "sexy", "slots"),
+    0.5: ("ads", "bet", "bets", "bingo", "bonus", "cheap", "click", "clickbait", "coupon", "crack", "dating", "deal", "deals", "discount", "doubleclick", "farm", "free", "gamble", "gambling", "giveaway", "hot", "leads", "loan", "loans", "lottery", "popunder", "popup", "prize", "promo", "promotion", "rx", "singles", "sweepstakes", "track", "tracker", "tracking", "win", "winner"),
+}
+VOCABULARY = tuple((term, 1.0) for term in STRICT_TERMS) + tuple((term, weight) for weight, terms in SOFT_TERMS.items() for term in terms)
+SOFT_NEEDED, SOFT_WEIGHT = 2, 1.0
+MOST_TERMS = 1_000_000
 
 _ASCII_UPPER, _ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,39 +62,67 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return found
 
 
-def term_hits(strict: Sequence[str] = STRICT_TERMS, soft: Sequence[str] = SOFT_TERMS):
-    """A pandas UDF from URLs to struct(strict, soft): how many different terms of each weight they hold."""
+def read_vocabulary(table: DataFrame) -> tuple[tuple[str, float], ...]:
+    """The terms of a table (term, weight): lower-cased, each with its highest weight; nulls and empty terms are left out."""
+    terms = table.select(F.lower("term").alias("term"), F.col("weight").cast("double").alias("weight")).where("term <> '' and weight is not null").groupBy("term").agg(F.max("weight").alias("weight"))
+    rows = terms.limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"the vocabulary has more than {MOST_TERMS} terms")
+    return tuple(sorted((row["term"], row["weight"]) for row in rows))
+
+
+def term_hits(vocabulary: Sequence[tuple[str, float]] = VOCABULARY):
+    """A pandas UDF from URLs to struct(strict, soft, weight): how many different terms of each kind they hold, and the soft ones' weight."""
 
     def automaton() -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
-        for weight, terms in (("soft", soft), ("strict", strict)):
-            for term in terms:
-                found.add_word(term.lower(), (weight, term.lower()))
-        found.make_automaton()
+        for term, weight in vocabulary:
+            found.add_word(term, (term, weight))
+        if len(found):
+            found.make_automaton()
         return found
 
-    @F.pandas_udf("strict int, soft int")
+    @F.pandas_udf("strict int, soft int, weight double")
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         terms = automaton()
         for urls in batches:
             counts = []
             for url in urls:
-                text, seen = (url or "").lower(), set()
-                for last, (weight, term) in terms.iter(text):
+                text, seen = (url or "").lower(), {}
+                for last, (term, weight) in terms.iter(text) if len(terms) else ():
                     first = last - len(term)
                     if (first < 0 or not text[first].isalnum()) and (last + 1 == len(text) or not text[last + 1].isalnum()):
-                        seen.add((weight, term))
-                counts.append((sum(w == "strict" for w, _ in seen), sum(w == "soft" for w, _ in seen)))
-            yield pd.DataFrame(counts, columns=["strict", "soft"])
+                        seen[term] = weight
+                soft = [w for w in seen.values() if w < 1]
+                counts.append((len(seen) - len(soft), len(soft), round(sum(soft), 6)))
+            yield pd.DataFrame(counts, columns=["strict", "soft", "weight"])
 
     return hits
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", strict: Sequence[str] = STRICT_TERMS, soft: Sequence[str] = SOFT_TERMS, soft_needed: int = SOFT_NEEDED) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", vocabulary: DataFrame | Sequence[tuple[str, float]] = VOCABULARY, soft_needed: int = SOFT_NEEDED, soft_weight: float = SOFT_WEIGHT) -> DataFrame:
     """One row per URL: id, host, path, rule, verdict (the rule's, else the vocabulary's), strict_hits, soft_hits."""
+    terms = read_vocabulary(vocabulary) if isinstance(vocabulary, DataFrame) else vocabulary
     url = F.col(url_col)
-    parts = pages.select(F.col(id_col), url_host(url).alias("host"), url_path(url).alias("path"), term_hits(strict, soft)(url).alias("_hits"))
+    parts = pages.select(F.col(id_col), url_host(url).alias("host"), url_path(url).alias("path"), term_hits(terms)(url).alias("_hits"))
     ruled = parts.withColumn("_rule", longest_rule(F.col("host"), F.col("path"), rules))
-    blocked = (F.col("_hits.strict") >= 1) | (F.col("_hits.soft") >= soft_needed)
+    blocked = (F.col("_hits.strict") >= 1) | ((F.col("_hits.soft") >= soft_needed) & (F.col("_hits.weight") >= soft_weight))
     verdict = F.coalesce("_rule.verdict", F.when(blocked, "block").otherwise("allow"))
     return ruled.select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), F.col("_hits.strict").alias("strict_hits"), F.col("_hits.soft").alias("soft_hits"))
+
+
+def judged_sql(rules: Sequence[tuple[str, str]], vocabulary: Sequence[tuple[str, float]] = VOCABULARY, soft_needed: int = SOFT_NEEDED, soft_weight: float = SOFT_WEIGHT) -> str:
+    """DuckDB SQL that gives what judge_urls gives on the table ``pages``."""
+    host = r"translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = r"coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '')"
+    terms = ", ".join(f"('{term}', {weight})" for term, weight in vocabulary)
+    cases = []
+    for verdict, rule in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
+        name, slash, rest = rule.partition("/")
+        cases.append((f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash}{rest}')", rule, verdict))
+    pick = lambda k: "CASE " + " ".join(f"WHEN {c[0]} THEN '{c[k]}'" for c in cases) + " END"
+    return rf"""WITH terms(term, weight) AS (VALUES {terms}), p AS (SELECT page_id, url, {host} AS host, {path} AS path FROM pages),
+    hits AS (SELECT page_id, url, count(*) FILTER (weight >= 1) AS strict, count(*) FILTER (weight < 1) AS soft, coalesce(sum(weight) FILTER (weight < 1), 0) AS w FROM (SELECT DISTINCT page_id, url FROM pages)
+        JOIN terms ON regexp_matches(lower(url), '(^|[^\p{{L}}\p{{N}}])' || term || '($|[^\p{{L}}\p{{N}}])') GROUP BY page_id, url)
+    SELECT p.page_id, host, path, {pick(1)} AS rule, coalesce({pick(2)}, CASE WHEN strict >= 1 OR (soft >= {soft_needed} AND w >= {soft_weight}) THEN 'block' ELSE 'allow' END) AS verdict,
+        coalesce(strict, 0)::INTEGER AS strict_hits, coalesce(soft, 0)::INTEGER AS soft_hits FROM p LEFT JOIN hits ON p.page_id = hits.page_id AND p.url = hits.url"""

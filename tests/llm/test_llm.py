@@ -132,15 +132,19 @@ def test_schedule_is_longest_processing_time():
     import heapq
 
     chance = np.random.default_rng(5)
-    sizes = [int(s) for s in chance.integers(1, 60, size=3000)]
-    heap = [(0, i) for i in range(7)]
-    for s in sorted(sizes, reverse=True):
-        load, i = heap[0]
-        heapq.heapreplace(heap, (load + s, i))
-    counts = Counter(sizes)
-    cuts = sharding.schedule([(s, c, s * c) for s, c in counts.items()], 7)
-    loads = sum(np.diff([0, *cuts[s]]) * s for s in counts)
-    assert sorted(loads) == sorted(x for x, _ in heap)
+    small, large = chance.integers(1, 60, size=3000), chance.integers(4_000, 300_000, size=400)
+    copies = np.repeat([70_000, 5_001, 17], [900, 333, 2_000])
+    for sizes in (small, large, copies, np.concatenate([small, large, copies]), np.array([5]), np.zeros(0, np.int64)):
+        heap = [(0, i) for i in range(7)]
+        for s in sorted(sizes.tolist(), reverse=True):
+            load, i = heap[0]
+            heapq.heapreplace(heap, (load + s, i))
+        values, counts = np.unique(sizes, return_counts=True)
+        values, counts = values[::-1], counts[::-1]
+        cuts = sharding.schedule(values, counts, 7)
+        assert (cuts[:, -1] == counts).all()
+        loads = (np.diff(np.concatenate([np.zeros((len(values), 1), np.int64), cuts], axis=1), axis=1) * values[:, None]).sum(0)
+        assert sorted(loads.tolist()) == sorted(x for x, _ in heap)
 
 
 # op4
@@ -279,6 +283,25 @@ def test_quality_statistics(spark, words):
         assert tuple(got[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want, t[:40]
 
 
+def test_rules_judge_as_they_cover(spark, words):
+    """The conditional expression rejects what the rules cover, on statistics computed afresh."""
+    chance = np.random.default_rng(42)
+    texts = [f"{prose(chance, words, int(chance.integers(50, 90)))} {'# $ %' * int(chance.integers(4))}" + "\nsame line again" * int(chance.integers(3)) for _ in range(80)]
+    docs = documents(spark, texts)
+    measured = quality.statistics(docs).select("doc_id", *(F.expr(sql).alias(name) for name, sql in quality.MEASURES.items())).toPandas().sort_values("doc_id")
+    values = {name: measured[name].to_numpy(float) for name in quality.MEASURES}
+    rules = quality.learn(values, (values["symbols"] > np.median(values["symbols"])) & (values["n_words"] > 60))
+    assert rules
+    got = {r["doc_id"]: r["v"] for r in quality.statistics(docs).select("doc_id", quality.verdict(rules).alias("v")).collect()}
+    covered = np.zeros(len(texts), bool)
+    for rule in rules:
+        covered |= quality._covers(rule, values)
+    assert [got[i] for i in measured["doc_id"]] == (~covered).tolist()
+    for i, t in zip(measured["doc_id"], texts):  # measures beyond the counts, by plain Python
+        many = len(re.findall(r"[^\x20\x09-\x0D]+", t))
+        assert abs(values["symbols"][i] - sum(c in quality.SYMBOLS for c in t) / many) < 1e-9 and values["n_words"][i] == many
+
+
 def test_decision_list_learns_thresholds():
     chance = np.random.default_rng(9)
     values = {name: chance.random(3000) for name in ("symbols", "dup_lines", "n_words")}
@@ -325,6 +348,23 @@ def test_quality_classifier(spark, words):
     assert grading.grade_documents(documents(spark, texts[:3]), given.limit(0)).where("kept").count() == 3
 
 
+def test_grades_against_the_formula(spark, words):
+    """Scores in tasks are the plain sums of the model's weights, put through its thresholds."""
+    chance = np.random.default_rng(43)
+    model = grading.Model(np.where(chance.random(1 << grading.BITS) < 0.5, chance.normal(size=1 << grading.BITS), 0).astype(np.float32), np.array([-0.5, 0.75]))
+    texts = ODD + ["w" * 100 + " " + "w" * 100] + [prose(chance, words, int(n)) for n in chance.integers(1, 80, size=60)]
+    rows = {r["doc_id"]: r["g"] for r in documents(spark, texts).select("doc_id", grading.graded(F.col("text"), model).alias("g")).collect()}
+    features = grading.Features()
+    for i, text in enumerate(texts):
+        score = sum(float(model.weights[k]) for k in set(features(text).tolist()))
+        below = [1 / (1 + np.exp(np.clip(score - t, -30, 30))) for t in model.thresholds]
+        assert abs(rows[i]["expected"] - (2 - sum(below))) < 1e-6 and abs(rows[i]["tail"] - (1 - below[1])) < 1e-6
+    scorer = grading.Scorer(model.weights, remembered=3)
+    for text in texts:
+        scorer(text)
+        assert all(len(word) <= 64 for word in scorer)
+
+
 def test_thresholds_are_ordered():
     chance = np.random.default_rng(12)
     rows = [np.unique(chance.integers(0, 50, size=10)).astype(np.int32) for _ in range(400)]
@@ -450,6 +490,43 @@ def test_urls(spark):
     ]
 
 
+def plain_verdict(url, rules, vocabulary):
+    text = url or ""
+    head, mark, rest = text.partition("://")
+    host = re.split(r"[/?#]", rest)[0].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) if mark else ""
+    path = re.split(r"[?#]", rest[len(host) :])[0] if mark else ""
+    fits = [(len(r), v, r) for v, r in rules for h, s, p in [r.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith(s + p)]
+    if fits:
+        return host, path, max(fits)[2], max(fits)[1]
+    seen = {t: w for t, w in vocabulary if re.search(rf"(?<![^\W_]){re.escape(t)}(?![^\W_])", text.lower())}
+    soft = [w for w in seen.values() if w < 1]
+    return host, path, None, "block" if len(soft) < len(seen) or (len(soft) >= 2 and sum(soft) >= 0.999999) else "allow"
+
+
+def test_urls_against_brute_force_and_sql(spark, tmp_path):
+    import duckdb
+
+    chance = np.random.default_rng(41)
+    pick = lambda *some: some[int(chance.integers(len(some)))]
+    terms = [t for t, _ in urls.VOCABULARY]
+    part = lambda: pick("", "a", "en", "de", "7", "8", "é", "x1", *(pick(*terms) for _ in range(4)))
+    given = [f"{pick('http', 'HTTPS', 'ftp')}{pick('://', '://', '://', ':')}{part()}{pick('.', '-', '')}{pick('example', 'sub', 'Shop')}.{pick('com', 'net', 'org', 'COM')}{pick('/', '?', '')}{pick('en', 'de', 'es', part())}{pick('/', '')}{part()}{pick('', '?', '#')}{part()}{pick('_', '-', '')}{part()}" for _ in range(400)] + [None, ""]
+    spark.createDataFrame(list(enumerate(given)), "page_id long, url string").write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    rows = {r["page_id"]: r for r in urls.judge_urls(pages, URL_RULES).collect()}
+    for i, url in enumerate(given):
+        assert tuple(rows[i][c] for c in ("host", "path", "rule", "verdict")) == plain_verdict(url, URL_RULES, urls.VOCABULARY), url
+    assert {r["verdict"] for r in rows.values()} == {"allow", "block"}
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
+    told = {r[0]: r[1:] for r in con.execute(urls.judged_sql(URL_RULES)).fetchall()}
+    assert told == {i: tuple(r)[1:] for i, r in rows.items()}
+    table = spark.createDataFrame([("Foo", 1.0), ("foo", 0.2), ("bar", 0.6), ("baz", 0.3), (None, 1.0), ("", 1.0)], "term string, weight double")
+    some = spark.createDataFrame(list(enumerate(["http://x/foo", "http://x/bar-baz", "http://x/bar/q?baz&bar", "http://x/food"])), "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["strict_hits"], r["soft_hits"]) for r in urls.judge_urls(some, (), vocabulary=table, soft_weight=0.85).collect()}
+    assert got == {0: ("block", 1, 0), 1: ("block", 0, 2), 2: ("block", 0, 2), 3: ("allow", 0, 0)}
+
+
 # op9
 
 
@@ -483,6 +560,39 @@ def test_decontamination(spark, words):
     assert decontaminate.find_leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_reaches_its_recall_at_every_length(words):
+    """As many edits as are allowed, and an item whose own copies the embedding seldom meets."""
+    chance = np.random.default_rng(17)
+    items = [(n * 100 + k, prose(chance, words, n)) for n in (10, 15, 20, 40, 80, 160) for k in range(8)] + [(1, " ".join([words[0]] * 30))]
+    found = decontaminate.Items(items)
+    assert ((found.reached >= 0.98) | found.hard).all()
+    met, tried = Counter(), Counter()
+    for item_id, text in items:
+        for _ in range(6):
+            edited = text.split()
+            for _ in range(int(0.2 * len(text.split()))):
+                at, kind = int(chance.integers(len(edited))), int(chance.integers(3))
+                edited[at : at + (kind != 1)] = [] if kind == 2 else [words[int(chance.integers(len(words)))]]
+            own = decontaminate.words_of(text)
+            holder = f"{prose(chance, words, 30)} {' '.join(edited)} {prose(chance, words, 30)}"
+            tried[len(own)] += 1
+            met[len(own)] += any(i == item_id for i, *_ in found.search(holder))
+    assert all(met[n] >= 0.93 * tried[n] for n in tried) and met.total() >= 0.98 * tried.total()
+    found.hard[:] = True  # every item without the embedding
+    assert {i for i, *_ in found.search(f"a {items[3][1]} b {items[20][1]}")} == {items[3][0], items[20][0]}
+
+
+def test_decontamination_ids_and_blocks(spark, words, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 2)
+    monkeypatch.setattr(decontaminate, "SCAN_BLOCKS", 2)
+    texts = [" ".join(words[20 * k : 20 * k + 20]) for k in range(9)]
+    benchmark = spark.createDataFrame([(f"q-{k}", t) for k, t in enumerate(texts)] + [("short", "two words")], "item_id string, text string")
+    docs = documents(spark, [*texts, "here are two words", "clean text of other words"])
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, benchmark).collect()}
+    assert got == {(k, f"q-{k}") for k in range(9)} | {(9, "short")}
+    assert [r["doc_id"] for r in decontaminate.without_leaks(docs, benchmark).collect()] == [10]
+
+
 def test_decontamination_splits_unicode_and_finds_short_items(words):
     item = " ".join(words[:20])
     spaced = [item.replace(" ", gap) for gap in ("\u00a0", "\u3000", "\u2014")] + [" ".join(f"\u201c{w}\u201d" for w in words[:20])]
@@ -622,6 +732,23 @@ def test_empty_tables(spark):
         assert found.count() == 0
 
 
+def test_pipeline_stages_on_odd_tables(spark, words, tmp_path):
+    """Null and repeated ids, null and empty texts, equal rows and no rows, with further columns, through every stage."""
+    chance = np.random.default_rng(44)
+    a, b, item = (prose(chance, words, 60) for _ in range(3))
+    rows = [(None, a, "en", "s", len(a)), (None, b, "en", "s", len(b)), (7, a, "en", "s", len(a)), (7, f"{item} {b}", "en", "s", 1), (8, None, None, None, None), (9, "", "", "", 0), (9, "", "", "", 0), (10, f"pwd: Hunter22x! {prose(chance, words, 60)}", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"key": F.lit(1), "row": F.lit("r"), "node": F.lit(2)})
+    spark.createDataFrame([(i, 1, 0) for i in (7, 8, 9, 10)] + [(None, 1, 0)], "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([("q", item)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = {"quality classifier": 8, "n-gram Jaccard join": 7, "benchmark decontamination": 7, "secret scans": 8}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.count() == want[name], name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert packed.count() == 8 and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark):
     import os
 
