@@ -1,13 +1,12 @@
-"""What the training-data operators share: tables in the shared folder, and skew-proof seats."""
+"""What the training-data operators share: batches of modest size, and skew-proof seats."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelweave.shared import discard, written  # noqa: F401
+
 #: The words of a text are maximal runs of other characters than these: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,42 +24,6 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and every executor can reach: ``spark.checkpoint.dir``.
-
-    Only where the session names none and runs on one machine, as in tests, is a temporary folder set instead.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = getattr(shared_dir, "_fallback", None)
-        if root is None:
-            root = shared_dir._fallback = tempfile.mkdtemp(prefix="panelweave-")
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read again, so that its lineage ends there.
-
-    A lost executor costs nothing that was written; later steps read only the columns they need.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._written_at = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that ``written`` gave, once nothing reads them any more."""
-    for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def seats(df: DataFrame, key: str, row_id: str, name: str) -> DataFrame:
     """Adds ``name``: the rows of each ``key`` numbered from 0 without gaps.
 
