@@ -583,10 +583,14 @@ class Join:
         return written(placed.join(sums, "key").select("node", "key", "row", "n", "parts", F.col("_head.node").alias("head")), "groups")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
-        """The rows (doc_id, row, n, node; no node for the empty set) and the nodes' component (node, label, least, row)."""
+        """The rows (doc_id, row, n, node; no node for the empty set) and the nodes' component (node, label, least, first).
+
+        least is a node's smallest id, first its row with the smallest id, null ids last.
+        """
         profile = self.profile()
         rows = profile.where("kind = 0")
-        whole = [F.min("row").alias("row"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi")]
+        at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+        whole = [F.min("row").alias("row"), F.min("doc_id").alias("least"), F.min(at).alias("first"), F.first("n").alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi")]
         node = F.col("key")
         classes = written(rows.where("n > 0").groupBy(node.alias("node")).agg(*whole), "classes")
         # A key that two different sets share is told apart by its other half; none is expected.
@@ -606,7 +610,7 @@ class Join:
         more = self.rest(dealt, vectors, big, groups, labels, classes)
         if more is not None:
             labels = components(links.unionByName(more), self.local_links)
-        placed = classes.join(labels, "node", "left").select("node", "row", "least", F.coalesce("label", "node").alias("label"))
+        placed = classes.join(labels, "node", "left").select("node", "least", "first", F.coalesce("label", "node").alias("label"))
         discard(dealt, edges, groups)
         return rows.select("doc_id", "row", "n", F.when(F.col("n") > 0, node).alias("node")), placed
 
@@ -716,9 +720,8 @@ def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     """
     docs = scanned(docs)
     rows, placed = Join(docs, percent, width, id_col, text_col, **options).run()
-    labelled = rows.where("n > 0").join(placed.select("node", "label"), "node").select("label", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("at"))
-    first = labelled.groupBy("label").agg(F.min("at").alias("first"))
-    gone = labelled.join(first, "label").where("at != first").select(F.col("at.row").alias("_gone"))
+    kept = placed.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_kept"))
+    gone = rows.where("n > 0").join(kept, F.col("row") == F.col("_kept"), "left_anti").select(F.col("row").alias("_gone"))
     gone = written(gone, "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)

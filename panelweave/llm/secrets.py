@@ -28,6 +28,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,7 @@ SAMPLE = 1_500  # documents that a fit may use
 WINDOWS = 2  # of a document that a fit may use
 WIDTH = 16  # tokens of a window
 LEAST_PLANTED = 1_500  # windows that are planted in
+SLICE = 1 << 22  # bytes of texts that are tagged together
 KINDS = ("assign", "access", "hex", "crf")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -98,7 +101,7 @@ def shape(token: str) -> list[str]:
     if size >= 6:
         turns = sum(_SET_OF.get(a) != _SET_OF.get(b) for a, b in zip(value, value[1:])) / size
         letters = [c for c in value.lower() if c.isalpha()]
-        vowels = sum(c in "aeiouyäöüéèêíóáà" for c in letters) / len(letters) if letters else 0.5
+        vowels = sum(c in _VOWELS for c in letters) / len(letters) if letters else 0.5
         run = max((len(r) for r in re.findall("[bcdfghjklmnpqrstvwxz]+", value, re.I)), default=0)
         inner = sum(c.isupper() and not b.isupper() for b, c in zip(value, value[1:])) / size
         digits = len(_DIGIT.findall(value)) / size
@@ -126,21 +129,36 @@ def shape(token: str) -> list[str]:
 _SEEN_BY_OTHERS = re.compile(r"kind=[a-z ]*$|sets=[a-z]*$|key word|has a key|equals|ends in|quoted|edge")
 
 
-def about(words: list[str]) -> list[str]:
-    """The features of a file: how many of its tokens assign something, and how many mix letters and digits."""
-    many = max(1, len(words))
-    assigned = sum(w[-1] in "=:" for w in words) / many
-    return [f"file assigns={_level(assigned, 0.002, 0.01, 0.05)}", f"file size={_level(many, 20, 100, 1000)}"]
+def about(many: int, assigned: int) -> list[str]:
+    """The features of a file: its number of tokens, and how many of them end as an assignment's left side does."""
+    return [f"file assigns={_level(assigned / max(1, many), 0.002, 0.01, 0.05)}", f"file size={_level(many, 20, 100, 1000)}"]
 
 
-#: Letters by what shapes tell apart in plain words: vowels, consonants, and capitals of both.
-_PLAIN = str.maketrans({c: ("a" if c in "aeiouy" else "b") for c in string.ascii_lowercase} | {c: ("A" if c in "AEIOUY" else "B") for c in string.ascii_uppercase})
+def assigns(word: str) -> bool:
+    return word[-1:] in ("=", ":")
 
 
-def outline(token: str) -> str | None:
-    """For a plain word a text of the same shape that many words share; else None."""
-    bare = token.strip("\"'`,;()[]{}<>.:=")
-    return token.translate(_PLAIN) if len(bare) < 16 and bare.isalpha() and not _KEY_WORD.search(token) else None
+_VOWELS = "aeiouyäöüéèêíóáà"
+#: Letters by what shapes tell apart: vowels, other ASCII letters, others; and by their sets.
+_SOUNDS = str.maketrans({c: "b" for c in string.ascii_lowercase} | {c: "a" for c in _VOWELS})
+_CASES = str.maketrans({c: "l" for c in string.ascii_lowercase} | {c: "u" for c in string.ascii_uppercase})
+_WORDY = re.compile(r"([^\W\d_]+)([^\w\s]*)")
+_SAME = re.compile(r"l+|u+|[^lu]+")
+
+
+def outline(token: str) -> tuple | None:
+    """For a word, perhaps with marks after it, what its shape depends on, which many words share; else None."""
+    found = _WORDY.fullmatch(token)
+    if not found or _KEY_WORD.search(token):
+        return None
+    word, tail = found.groups()
+    if not (word[1:].islower() or len(word) == 1 or word.isupper()):
+        return None
+    sounds, cases, size = word.lower().translate(_SOUNDS), _SAME.findall(word.translate(_CASES)), len(word)
+    sets = {c[0] if c[0] in "lu" else "o" for c in cases}
+    different = _level(len(set(token.strip("\"'`,;()[]{}<>.:="))) / (size + len(tail)), *(k / 40 for k in range(41))) if size + len(tail) >= 16 else 0
+    runs = re.findall("b+", sounds)
+    return size, len(sounds) == size and sounds.count("a"), max(map(len, runs), default=0), len(cases), "".join(sorted(sets)), cases[-1][-1] in "lu", tail, different
 
 
 def near(own: tuple[str, ...], side: str) -> tuple[str, ...]:
@@ -148,13 +166,15 @@ def near(own: tuple[str, ...], side: str) -> tuple[str, ...]:
     return tuple(f"{side} {n}" for n in own if _SEEN_BY_OTHERS.match(n))
 
 
-def named(words: list[str], file: list[str], shapes: dict[str, tuple] | None = None) -> list[tuple[tuple[str, ...], ...]]:
+def named(words: list[str], file: list[str], shapes: dict | None = None) -> list[tuple[tuple[str, ...], ...]]:
     """Each token's features in groups: its own, its neighbours', the file's."""
     shapes = {} if shapes is None else shapes
-    for w in {outline(w) or w for w in words}.difference(shapes):
-        own = tuple(shape(w))
-        shapes[w] = own, near(own, "before"), near(own, "after")
-    found = [shapes[outline(w) or w] for w in words]
+    keys = [outline(w) or w for w in words]
+    for w, key in zip(words, keys):
+        if key not in shapes:
+            own = tuple(shape(w))
+            shapes[key] = own, near(own, "before"), near(own, "after")
+    found = [shapes[key] for key in keys]
     before, after = [("before edge",), *(x[1] for x in found[:-1])], [*(x[2] for x in found[1:]), ("after edge",)]
     last = ("any", *file)
     return [(x[0], a, b, last) for x, a, b in zip(found, before, after)]
@@ -194,88 +214,126 @@ class Chain:
 class Tagger:
     """Finds a chain's spans in whole texts; the scores of tokens are remembered, in bounded tables."""
 
-    def __init__(self, chain: Chain, remembered: int = 200_000):
+    def __init__(self, chain: Chain, remembered: int = 400_000):
         self.chain, self.remembered = chain, remembered
         self.rows: dict[str, int] = {}
-        self.outlines: dict[str, int] = {}
+        self.outlines: dict[tuple, int] = {}
         # Of each feature the scores of the tags of its token, of the next one and of the one before.
         names = {n.removeprefix("before ").removeprefix("after ") for n in chain.weights}
         zero = np.zeros(3)
         self.parts = {n: np.concatenate([chain.weights.get(f"{side}{n}", zero) for side in ("", "before ", "after ")]) for n in names}
-        self.scores = np.zeros((1024, 3, 3))  # token; itself, for the next one, for the one before; tag
-        self.used = 0
+        self.clear()
         self.any, self.first, self.last = chain.of(["any"]), chain.of(["before edge"]), chain.of(["after edge"])
         gain = chain.moves - chain.moves[OUT, OUT]
         gain[OUT, INSIDE] = -1e9
         self.most = max(0.0, float(gain.max()))
 
+    def clear(self) -> None:
+        self.rows.clear()
+        self.outlines.clear()
+        self.scores = np.zeros((1024, 3, 3))  # token; itself, for the next one, for the one before; tag
+        self.assigns = np.zeros(1024, bool)
+        self.used = 0
+
     def _row(self, word: str) -> int:
         plain = outline(word)
         row = None if plain is None else self.outlines.get(plain)
         if row is None:
             if self.used == len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            parts = [self.parts[n] for n in shape(plain or word) if n in self.parts]
+                self.assigns = np.concatenate([self.assigns, np.zeros_like(self.assigns)])
+            parts = [self.parts[n] for n in shape(word) if n in self.parts]
             row, self.used = self.used, self.used + 1
             self.scores[row] = np.sum(parts, axis=0).reshape(3, 3) if parts else 0
+            self.assigns[row] = assigns(word)
             if plain is not None:
                 self.outlines[plain] = row
         if len(word) <= 64:
             self.rows[word] = row
         return row
 
-    def emissions(self, words: list[str]) -> np.ndarray:
-        """The score of each tag for each token of a text."""
-        if max(self.used, len(self.rows)) > self.remembered:
-            self.rows.clear()
-            self.outlines.clear()
-            self.scores, self.used = np.zeros((1024, 3, 3)), 0
-        known = self.rows.get
-        rows = [r if (r := known(w)) is not None else self._row(w) for w in words]
-        found = self.scores[rows]
-        here = found[:, 0] + self.any + self.chain.of(about(words))
-        here[1:] += found[:-1, 1]
-        here[:-1] += found[1:, 2]
-        here[0] += self.first
-        here[-1] += self.last
-        return here
-
-    def spans(self, text: str) -> list[tuple[int, int]]:
-        """The secrets that the field finds in a whole text."""
-        words = _TOKEN.findall(text) if self.chain.weights else []
-        if not words:
-            return []
-        scores = self.emissions(words)
-        # A run of tags but outside has one more move than tokens; two for each token bound what they add.
-        gain = np.maximum(scores[:, BEGIN], scores[:, INSIDE]) - scores[:, OUT] + 2 * self.most
-        begun: list[list[int]] = []
+    def _emissions(self, rows: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The score of each tag for each token of texts, whose tokens (rows) begin at starts."""
+        some = counts > 0
+        starts, counts = starts[some], counts[some]
+        here = self.scores[rows, 0]
+        before, after = np.empty_like(here), np.empty_like(here)
+        before[1:], after[:-1] = self.scores[rows[:-1], 1], self.scores[rows[1:], 2]
+        before[starts], after[starts + counts - 1] = self.first, self.last
+        assigned = np.add.reduceat(self.assigns[rows], starts, dtype=np.int64)
+        kinds, which = np.unique(np.stack([counts, assigned]), axis=1, return_inverse=True)
+        file = np.array([self.any + self.chain.of(about(int(n), int(k))) for n, k in kinds.T])
+        return here + before + after + np.repeat(file[which.reshape(-1)], counts, axis=0)
+
+    def _decoded(self, scores: np.ndarray, gain: np.ndarray) -> list[int]:
+        """The tags of one text, from runs of tokens that may gain."""
+        runs: list[list[int]] = []
         for k in np.flatnonzero(gain > 0).tolist():
-            if begun and k <= begun[-1][1]:
+            if runs and k < runs[-1][1]:
                 continue
             lo, total = k, float(gain[k])
             while lo > 0 and total + gain[lo - 1] > 0:
                 lo -= 1
                 total += float(gain[lo])
             hi, total = k + 1, float(gain[lo : k + 1].clip(0).sum())
-            while hi < len(words) and total + gain[hi] > 0:
+            while hi < len(gain) and total + gain[hi] > 0:
                 total += float(gain[hi])
                 hi += 1
-            if begun and lo <= begun[-1][1]:
-                begun[-1][1] = hi
+            if runs and lo <= runs[-1][1]:
+                runs[-1][1] = hi
             else:
-                begun.append([lo, hi])
-        tagged = [(lo, self.chain.best(scores[lo:hi])) for lo, hi in begun]
-        if not any(tag != OUT for _, tags in tagged for tag in tags):
-            return []
-        places, found = [m.span() for m in _TOKEN.finditer(text)], []
-        for lo, tags in tagged:
-            for k, tag in enumerate(tags):
-                if tag == BEGIN:
-                    found.append(places[lo + k])
-                elif tag == INSIDE:
-                    found[-1] = (found[-1][0], places[lo + k][1])
+                runs.append([lo, hi])
+        tags = [OUT] * len(scores)
+        for lo, hi in runs:
+            tags[lo:hi] = self.chain.best(scores[lo:hi])
+        return tags
+
+    def batch(self, texts: pa.Array) -> list[list[tuple[int, int]]]:
+        """The secrets that the field finds in each of many whole texts; nulls have none."""
+        found: list[list[tuple[int, int]]] = [[] for _ in range(len(texts))]
+        if not self.chain.weights:
+            return found
+        texts = texts.cast(pa.large_string()).fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy()) if len(texts) else np.empty(0)
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SLICE, "right")))
+            self._slice(texts.slice(first, last - first), first, found)
+            first = last
         return found
 
+    def _slice(self, texts: pa.Array, base: int, found: list[list[tuple[int, int]]]) -> None:
+        lists = pc.ascii_split_whitespace(texts)
+        owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+        coded = lists.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        if max(self.used, len(self.rows)) > self.remembered:
+            self.clear()
+        known = self.rows.get
+        by_word = np.array([r if (r := known(w)) is not None else self._row(w) if w else -1 for w in words], np.int64)
+        rows = by_word[codes]
+        owner, rows = owner[rows >= 0], rows[rows >= 0]
+        if not len(rows):
+            return
+        counts = np.bincount(owner, minlength=len(texts))
+        starts = np.cumsum(counts) - counts
+        scores = self._emissions(rows, starts, counts)
+        # A run of tags but outside has one more move than tokens; two for each token bound what they add.
+        gain = np.maximum(scores[:, BEGIN], scores[:, INSIDE]) - scores[:, OUT] + 2 * self.most
+        for k in np.unique(owner[gain > 0]).tolist():
+            own = slice(starts[k], starts[k] + counts[k])
+            tags = self._decoded(scores[own], gain[own])
+            if any(tags):
+                places, spans = [m.span() for m in _TOKEN.finditer(texts[k].as_py())], found[base + k]
+                for place, tag in zip(places, tags):
+                    if tag == BEGIN:
+                        spans.append(place)
+                    elif tag == INSIDE:
+                        spans[-1] = (spans[-1][0], place[1])
+
+    def spans(self, text: str | None) -> list[tuple[int, int]]:
+        return self.batch(pa.array([text], pa.string()))[0]
+
 
 def fit(data: list[tuple[list[tuple[tuple[str, ...], ...]], list[int]]], rounds: int = 60, rate: float = 0.3, penalty: float = 1e-4) -> Chain:
     """Maximum-likelihood weights by adaptive gradient steps, all sequences at once by forward-backward.
@@ -356,7 +414,7 @@ def tagged(text: str, windows: int, width: int) -> list[tuple[list[str], list[in
     # Of an assignment the value is the secret that the field learns.
     values = {m.start(): m.start(2) for m in _ASSIGN.finditer(text)}
     spans = [(kind, values[a] if kind == "assign" else a, b) for kind, a, b in pattern_spans(text)]
-    file = about([text[a:b] for a, b in places])
+    file = about(len(places), sum(text[b - 1] in "=:" for _, b in places))
     chance = np.random.default_rng(xxhash.xxh3_64_intdigest(text))
     out = []
     for first in sorted(set(chance.integers(max(1, len(places) - width + 1), size=windows).tolist())):
@@ -477,10 +535,13 @@ def fitted(windows: list[tuple[list[str], list[int], list[str]]], seed: int = 11
 
 
 def all_spans(text: str | None, tagger: Tagger) -> list[tuple[str, int, int]]:
-    text = text or ""
-    base = pattern_spans(text)
-    added = [("crf", a, b) for a, b in tagger.spans(text) if not any(a < s[2] and s[1] < b for s in base)]
-    return ordered(base + added)
+    return joined_spans(text, tagger.spans(text))
+
+
+def joined_spans(text: str | None, added: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """The patterns' spans, and those of the field that overlap none."""
+    base = pattern_spans(text or "")
+    return ordered(base + [("crf", a, b) for a, b in added if not any(a < s[2] and s[1] < b for s in base)])
 
 
 def secret_spans(text: Column, chain: Chain) -> Column:
@@ -490,7 +551,8 @@ def secret_spans(text: Column, chain: Chain) -> Column:
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         keys, tagger = ("kind", "start", "end"), Tagger(chain)
         for texts in batches:
-            yield pd.Series([[dict(zip(keys, s)) for s in all_spans(text, tagger)] for text in texts], dtype=object)
+            added = tagger.batch(pa.array(texts, pa.string(), from_pandas=True))
+            yield pd.Series([[dict(zip(keys, s)) for s in joined_spans(text, own)] for text, own in zip(texts, added)], dtype=object)
 
     return found(text)
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -458,7 +459,7 @@ def test_secret_tagger_is_exact(field, words):
         parts = [prose(chance, words, 5), *(secrets.made_secret(chance)[0] for _ in range(2)), *secrets.made_other(chance), "token", "=", prose(chance, words, 3)]
         text = " ".join(str(x) for x in chance.permutation(np.array(parts, object)))
         tokens = secrets._TOKEN.findall(text)
-        tags = field.tags(secrets.named(tokens, secrets.about(tokens)))
+        tags = field.tags(secrets.named(tokens, secrets.about(len(tokens), sum(map(secrets.assigns, tokens)))))
         places, want = [m.span() for m in secrets._TOKEN.finditer(text)], []
         for (a, b), tag in zip(places, tags):
             if tag == secrets.BEGIN:
@@ -466,8 +467,14 @@ def test_secret_tagger_is_exact(field, words):
             elif tag == secrets.INSIDE:
                 want[-1] = (want[-1][0], b)
         assert tagger.spans(text) == want
+    both = tagger.batch(pa.array([text, None, "", " \t\x0b\x0c\r\n", f"\x1f{text}\u2028", text]))
+    assert both[0] == both[5] == want and both[1] == both[2] == both[3] == []
     assert tagger.spans("") == [] and secrets.Tagger(secrets.Chain()).spans("password is x") == []
-    assert all(secrets.shape(secrets.outline(w) or w) == secrets.shape(w) for w in [*words, "Hello,", "WORLD", "Élan", "iPhone", "(abc)"])
+    shapes = {}
+    for w in [*words, *(w.capitalize() + ".***" for w in words), *(w.upper() + "!!" for w in words), *(a + "é" + b + ":" for a, b in zip(words, words[1:])), "y", "A", "Éy.", "ñ=", "a:b"]:
+        key = secrets.outline(w)
+        assert key is None or shapes.setdefault(key, secrets.shape(w)) == secrets.shape(w)
+    assert not any(map(secrets.outline, ["iPhone", "(abc)", "password", "x1", "", ",", "a_b", "a-b"])) and len(shapes) < 0.5 * len(words)
 
 
 def test_redaction(spark):
