@@ -120,22 +120,20 @@ DATE_FORMS = (
 )
 
 
-#: The same forms in fewer patterns: what is in brackets may be missing.
+#: The same forms in fewer patterns (what is in brackets may be missing), each with the look of the texts that it takes.
 _PATTERNS = (
-    "yyyy/M[/d[ H:m:s]]", "yyyy\\M[\\d[ H:m:s]]", "yyyy-M[-d[ H:m:s]]", "M/d/yyyy[ H:m:s]", "M\\d\\yyyy[ H:m:s]", "M-d-yyyy[ H:m:s]",
-    "yyyyMMdd[ H:m:s]", "[MMMM][MMM] d[,] yyyy[ H:m:s]", "[MMMM][MMM]-d-yyyy[ H:m:s]",
-    "M/yyyy", "M\\yyyy", "M-yyyy", "yyyyMM", "[MMMM][MMM][,] yyyy", "[MMMM][MMM]-yyyy", "yyyy",
+    ("yyyy/M[/d[ H:m:s]]", r"[0-9]{4}/[0-9]"), ("yyyy\\M[\\d[ H:m:s]]", r"[0-9]{4}\\[0-9]"), ("yyyy-M[-d[ H:m:s]]", r"[0-9]{4}-[0-9]"),
+    ("M/d/yyyy[ H:m:s]", r"[0-9]{1,2}/[0-9]{1,2}/"), ("M\\d\\yyyy[ H:m:s]", r"[0-9]{1,2}\\[0-9]{1,2}\\"), ("M-d-yyyy[ H:m:s]", r"[0-9]{1,2}-[0-9]{1,2}-"),
+    ("yyyyMMdd[ H:m:s]", r"[0-9]{8}( |$)"), ("[MMMM][MMM] d[,] yyyy[ H:m:s]", r"[A-Za-z]+ [0-9]{1,2}[, ]"), ("[MMMM][MMM]-d-yyyy[ H:m:s]", r"[A-Za-z]+-[0-9]{1,2}-"),
+    ("M/yyyy", r"[0-9]{1,2}/[0-9]{4}$"), ("M\\yyyy", r"[0-9]{1,2}\\[0-9]{4}$"), ("M-yyyy", r"[0-9]{1,2}-[0-9]{4}$"), ("yyyyMM", r"[0-9]{6}$"),
+    ("[MMMM][MMM][,] yyyy", r"[A-Za-z]+,? [0-9]{4}$"), ("[MMMM][MMM]-yyyy", r"[A-Za-z]+-[0-9]{4}$"), ("yyyy", r"[0-9]{4}$"),
 )
 
 
 def parse_date(text: Column) -> Column:
-    """Milliseconds of a date in one of ``DATE_FORMS``; null if none fits."""
-    text = F.trim(text)
-
-    def form(pattern: str) -> Column:
-        # An all-digit form needs its exact length, or it would take the start of longer ones.
-        digits = {"yyyyMMdd[ H:m:s]": r"[0-9]{8}( .*)?", "yyyyMM": "[0-9]{6}", "yyyy": "[0-9]{4}"}.get(pattern)
+    """Milliseconds of a date in one of ``DATE_FORMS``; null if none fits. The looks exclude each other, so one is tried."""
+    text, found = F.trim(text), None
+    for pattern, look in _PATTERNS:
         parsed = F.try_to_timestamp(text, F.lit(pattern.replace("\\", "'\\'"))).cast("timestamp_ntz")
-        return F.when(text.rlike(f"^{digits}$"), parsed) if digits else parsed
-
-    return ms_of_timestamp(F.coalesce(*map(form, _PATTERNS)))
+        found = (F if found is None else found).when(text.rlike(f"^{look}"), parsed)
+    return ms_of_timestamp(found)

@@ -121,7 +121,8 @@ def read_csv(
     first = lines.groupBy("_file").agg(F.min("_at").alias("_first"))
     body = lines.join(F.broadcast(first), "_file").where((F.col("_at") >= F.col("_first") + header.rows) & (F.trim("_line") != ""))
     short = F.char_length("_line") <= LONGEST_LINE
-    parsed = body.select("_line", F.when(short, fields(F.col("_line"), sep, quote)).alias("_f"))
+    # A generator keeps the filter on rejects from being pushed below, where each test would split the line again.
+    parsed = body.select("_line", F.explode(F.array(F.when(short, fields(F.col("_line"), sep, quote)))).alias("_f"))
     at = {n: F.get("_f", F.lit(i)) for i, n in enumerate(header.names)}
     kinds = dict(zip(header.names, header.kinds))
     wanted = list(columns or header.names)
