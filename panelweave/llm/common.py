@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +29,21 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+def lean(batches: Iterator, *tables) -> Iterator:
+    """The batches of a task; at their end tables are cleared and the worker, which lives on, gives back what is free."""
+    try:
+        yield from batches
+    finally:
+        for table in tables:
+            table.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def seats(df: DataFrame, key: str, row_id: str, name: str) -> DataFrame:
     """Adds ``name``: the rows of each ``key`` numbered from 0 without gaps.
 

@@ -30,6 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.llm.common import lean
+
 BITS = 18
 SAMPLE = 12_000  # labelled documents that a fit may use
 _WORD = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
@@ -74,7 +76,7 @@ class Features:
 class Scorer(dict):
     """text -> score. Which features of a word have a weight is remembered, in a table of bounded size and words."""
 
-    def __init__(self, weights: np.ndarray, remembered: int = 250_000):
+    def __init__(self, weights: np.ndarray, remembered: int = 100_000):
         super().__init__()
         self.weights, self.remembered = weights, remembered
         self.features = Features(int(len(weights)).bit_length() - 1)
@@ -181,10 +183,13 @@ def graded(text: Column, model: Model, cut: int = 2) -> Column:
     @F.pandas_udf("expected double, tail double")
     def grade(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = Scorer(model.weights)
-        for texts in batches:
-            scores = np.array(list(map(score, texts)), np.float64)
-            expected, tail = model.judge(scores, min(cut, len(model.thresholds)))
-            yield pd.DataFrame({"expected": expected, "tail": tail})
+        def judged() -> Iterator[pd.DataFrame]:
+            for texts in batches:
+                scores = np.array(list(map(score, texts)), np.float64)
+                expected, tail = model.judge(scores, min(cut, len(model.thresholds)))
+                yield pd.DataFrame({"expected": expected, "tail": tail})
+
+        yield from lean(judged(), score)
 
     return grade(text)
 

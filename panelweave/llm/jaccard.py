@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import discard, written
+from panelweave.llm.common import discard, lean, written
 
 GROUPS = 256  # coordinates of a count vector
 FINE = 4096  # most coordinates of the second vector that long texts have
@@ -47,7 +47,7 @@ LEAF = 16  # points in an R-tree leaf
 FREQUENT_AT_MOST = 2_000_000  # shingles noted as frequent: 16 MB
 BROADCAST_ROWS = 500_000  # rows of two or three numbers that a broadcast may hold: 12 MB
 LOCAL_LINKS = 1_000_000  # links that one task may join: 16 MB
-HELD = 1_000_000  # prefix entries that a task holds before it deals them out
+HELD = 300_000  # prefix entries that a task holds before it deals them out
 
 ROW = "struct<f:long,r:long>"  # a row's identity: the hash of its file's path, and its number in the file
 
@@ -339,10 +339,10 @@ class Join:
                         seen.add(keys[-1][1])
                         held.append(found)
                         many += len(found)
-                    if many > 2_000_000:
+                    if many > 1_000_000:
                         yield repeated()
                         held, many = [], 0
-                    if len(seen) > 2_000_000:
+                    if len(seen) > 500_000:
                         seen.clear()
                 n, key, other = np.array(keys, np.int64).reshape(-1, 3).T
                 row = pa.StructArray.from_arrays(batch.column("row").flatten(), ["f", "r"])
@@ -350,7 +350,7 @@ class Join:
             if held:
                 yield repeated()
 
-        return written(self.docs.mapInArrow(scan, f"kind int, doc_id long, row {ROW}, n long, key long, other long, vector binary, fine binary"), "profile")
+        return written(self.docs.mapInArrow(lambda batches: lean(scan(batches)), f"kind int, doc_id long, row {ROW}, n long, key long, other long, vector binary, fine binary"), "profile")
 
     def frequent(self, profile: DataFrame) -> np.ndarray:
         """The shingles to rank last, ascending: those noted most often, and at most a fixed number."""
@@ -421,7 +421,7 @@ class Join:
                     if many >= HELD:
                         yield flush()
                         nodes, sizes, firsts, known, many = [], [], [], [], 0
-                    if len(seen) > 2_000_000:
+                    if len(seen) > 500_000:
                         seen.clear()
             if nodes:
                 yield flush()
@@ -470,9 +470,9 @@ class Join:
             if held:
                 yield shared(bucket, held)
 
-        packed = self.docs.select("text").mapInArrow(deal, "bucket int, known boolean, shingles binary, places binary, nodes binary, sizes binary")
+        packed = self.docs.select("text").mapInArrow(lambda batches: lean(deal(batches)), "bucket int, known boolean, shingles binary, places binary, nodes binary, sizes binary")
         met = packed.repartition(self.tasks, "bucket").sortWithinPartitions("bucket")
-        found = written(met.mapInArrow(meet, "block long, node long, n long, place long"), "dealt")
+        found = written(met.mapInArrow(lambda batches: lean(meet(batches)), "block long, node long, n long, place long"), "dealt")
         last.destroy()
         return found
 
@@ -508,7 +508,7 @@ class Join:
             return pd.DataFrame(np.unique(pairs, axis=0), columns=["a", "b"])
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            yield from map(candidates, grouped(batches, keys))
+            yield from lean(map(candidates, grouped(batches, keys)))
 
         return written(points.mapInPandas(search, "a long, b long").distinct(), "edges")
 
@@ -544,7 +544,7 @@ class Join:
                 links = [pair for lo, hi in zip(starts, np.append(starts[1:], len(frame))) if hi - lo > 1 for pair in linked(frame.iloc[lo:hi], shingles)]
                 yield pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
 
-        return written(dealt.mapInPandas(verify, "a long, b long"), "links")
+        return written(dealt.mapInPandas(lambda batches: lean(verify(batches)), "a long, b long"), "links")
 
     def paired(self, rows: DataFrame, key: str) -> DataFrame:
         """rows (key, label, node, ...) of groups with several labels, dealt to pairs of chunks: i, j, side.

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.llm.common import seats, written
+from panelweave.llm.common import lean, seats, written
 
 #: Characters on which the two tokenizer libraries' character classes are known to agree.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏΑ-ΡΣ-ώА-я–-…一-龥]")
@@ -85,7 +85,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return rows.mapInPandas(cut, schema).withColumnRenamed("doc_id", id_col)
+    return rows.mapInPandas(lambda batches: lean(cut(batches)), schema).withColumnRenamed("doc_id", id_col)
 
 
 class Plan:

@@ -34,11 +34,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.llm.common import lean
+
 SAMPLE = 1_500  # documents that a fit may use
 WINDOWS = 2  # of a document that a fit may use
 WIDTH = 16  # tokens of a window
 LEAST_PLANTED = 1_500  # windows that are planted in
-SLICE = 1 << 22  # bytes of texts that are tagged together
+SLICE = 1 << 20  # bytes of texts that are tagged together
 KINDS = ("assign", "access", "hex", "crf")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -214,7 +216,7 @@ class Chain:
 class Tagger:
     """Finds a chain's spans in whole texts; the scores of tokens are remembered, in bounded tables."""
 
-    def __init__(self, chain: Chain, remembered: int = 400_000):
+    def __init__(self, chain: Chain, remembered: int = 150_000):
         self.chain, self.remembered = chain, remembered
         self.rows: dict[str, int] = {}
         self.outlines: dict[tuple, int] = {}
@@ -550,9 +552,12 @@ def secret_spans(text: Column, chain: Chain) -> Column:
     @F.pandas_udf(SPANS)
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         keys, tagger = ("kind", "start", "end"), Tagger(chain)
-        for texts in batches:
-            added = tagger.batch(pa.array(texts, pa.string(), from_pandas=True))
-            yield pd.Series([[dict(zip(keys, s)) for s in joined_spans(text, own)] for text, own in zip(texts, added)], dtype=object)
+        def tagged_batches() -> Iterator[pd.Series]:
+            for texts in batches:
+                added = tagger.batch(pa.array(texts, pa.string(), from_pandas=True))
+                yield pd.Series([[dict(zip(keys, s)) for s in joined_spans(text, own)] for text, own in zip(texts, added)], dtype=object)
+
+        yield from lean(tagged_batches(), tagger)
 
     return found(text)
 
