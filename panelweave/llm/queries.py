@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelweave.llm import decontaminate, grading, html, jaccard, packing, quality, secrets, sharding, tokencount, urls
+from panelweave.llm import chat, decontaminate, grading, html, jaccard, merkle, negatives, packing, quality, secrets, sharding, tokencount, urls
 from panelweave.llm.common import modest_batches
 
 
@@ -63,6 +63,18 @@ def op10_html_extract(spark, sf_dir):
     return html.extract_digest(_table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return negatives.mined_digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_format(spark, sf_dir):
+    return chat.chat_digest(_table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.manifest_digest(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -71,6 +83,21 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pack, op2_token_counts, op3_shard, op4_jaccard, op5_quality_rules, op6_quality_classifier, op7_secret_scan, op8_url_filter, op9_decontaminate, op10_html_extract, pipeline)
+    for f in (
+        op1_pack,
+        op2_token_counts,
+        op3_shard,
+        op4_jaccard,
+        op5_quality_rules,
+        op6_quality_classifier,
+        op7_secret_scan,
+        op8_url_filter,
+        op9_decontaminate,
+        op10_html_extract,
+        op11_hard_negatives,
+        op12_chat_format,
+        op13_merkle_manifest,
+        pipeline,
+    )
 }
-ORACLE: dict[str, str] = {"op8_url_filter": urls.judged_sql(URL_RULES)}
+ORACLE: dict[str, str] = {"op8_url_filter": urls.judged_sql(URL_RULES), "op11_hard_negatives": negatives.SQL, "op12_chat_format": chat.SQL, "op13_merkle_manifest": merkle.SQL}
