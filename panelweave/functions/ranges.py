@@ -6,12 +6,15 @@ end is taken from the other.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from panelweave.functions.time import DAY_MS, Granularity, after, align_down, ms_of, parse_date
 
 Range = tuple[Column, Column]
+Parsers = Sequence[Callable[[Column], Column]] | None  # for mappings of texts: what parses each column
 
 
 def _int(text: Column) -> Column:
@@ -40,9 +43,9 @@ def year_numbers(start: Column, end: Column | None = None) -> Range:
     return _day(first, one, one), _day(last + 1, one, one)
 
 
-def year_texts(start: Column, end: Column | None = None) -> Range:
+def year_texts(start: Column, end: Column | None = None, parse: Parsers = None) -> Range:
     """dates cut to years."""
-    return _texts(start, end, Granularity.YEAR)
+    return _texts(start, end, Granularity.YEAR, parse)
 
 
 def month_numbers(year: Column, month: Column, end_year: Column | None = None, end_month: Column | None = None) -> Range:
@@ -61,9 +64,9 @@ def month_numbers(year: Column, month: Column, end_year: Column | None = None, e
     return _day(y1, m1, F.lit(1)), end
 
 
-def month_texts(start: Column, end: Column | None = None) -> Range:
+def month_texts(start: Column, end: Column | None = None, parse: Parsers = None) -> Range:
     """F7, F8: dates cut to months."""
-    return _texts(start, end, Granularity.MONTH)
+    return _texts(start, end, Granularity.MONTH, parse)
 
 
 def day_numbers(year: Column, month: Column, day: Column, end_year: Column | None = None, end_month: Column | None = None, end_day: Column | None = None) -> Range:
@@ -91,20 +94,25 @@ def day_numbers(year: Column, month: Column, day: Column, end_year: Column | Non
     return start, end
 
 
-def day_texts(start: Column, end: Column | None = None) -> Range:
+def day_texts(start: Column, end: Column | None = None, parse: Parsers = None) -> Range:
     """dates cut to days."""
-    return _texts(start, end, Granularity.DAY)
+    return _texts(start, end, Granularity.DAY, parse)
 
 
-def range_texts(start: Column, end: Column) -> Range:
+def range_texts(start: Column, end: Column, parse: Parsers = None) -> Range:
     """two dates, the end taken as it is."""
-    dates = F.transform(F.array(start, end), parse_date)
+    dates = _dates([start, end], parse)
     return _both(dates[0], dates[1])
 
 
-def _texts(start: Column, end: Column | None, unit: Granularity) -> Range:
+def _dates(texts: Sequence[Column], parse: Parsers) -> Column:
+    """The texts' dates: by the form that fits each, or by the parser of each column."""
+    return F.transform(F.array(*texts), parse_date) if parse is None else F.array(*(p(x) for p, x in zip(parse, texts)))
+
+
+def _texts(start: Column, end: Column | None, unit: Granularity, parse: Parsers) -> Range:
     # Each date is parsed once, whatever uses it.
-    dates = F.transform(F.array(start) if end is None else F.array(start, end), parse_date)
+    dates = _dates([start] if end is None else [start, end], parse)
     first, last = (dates[0], dates[0]) if end is None else _both(dates[0], dates[1])
     parsed = F.array(F.struct(first.alias("first"), last.alias("last")))
     found = F.transform(parsed, lambda x: F.struct(align_down(x["first"], unit).alias("s"), after(x["last"], unit).alias("e")))[0]

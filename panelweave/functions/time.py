@@ -5,9 +5,10 @@ All of it is column expressions on longs and dates, so no session time zone is i
 
 from __future__ import annotations
 
+import re
 from enum import Enum
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
@@ -137,3 +138,38 @@ def parse_date(text: Column) -> Column:
         parsed = F.try_to_timestamp(text, F.lit(pattern.replace("\\", "'\\'"))).cast("timestamp_ntz")
         found = (F if found is None else found).when(text.rlike(f"^{look}"), parsed)
     return ms_of_timestamp(found)
+
+
+def fits(text: Column) -> Column:
+    """Which of ``DATE_FORMS`` a text fits, as bits of a long: bit i for form i."""
+    text, mask = F.trim(text), F.lit(0).cast("long")
+    for i, form in enumerate(DATE_FORMS):
+        parsed = F.try_to_timestamp(text, F.lit(form.replace("\\", "'\\'")))
+        # A form is only tried on texts that look like it.
+        mask = mask.bitwiseOR(F.when(text.rlike(_look(form)) & parsed.isNotNull(), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    return mask
+
+
+def _look(form: str) -> str:
+    """What texts of a form look like."""
+    digits = {"yyyy": "[0-9]{4}", "MM": "[0-9]{2}", "dd": "[0-9]{2}", "MMM": "[A-Za-z]+", "MMMM": "[A-Za-z]+"}
+    part = lambda found: digits.get(found[0], "[0-9]{1,2}" if found[0].isalpha() else re.escape(found[0]))
+    return "^" + re.sub("yyyy|M+|dd|.", part, form) + "$"
+
+
+def form_of(texts: DataFrame, column: str) -> str | None:
+    """The date form of a column of texts: the one that most of them fit, the first of ``DATE_FORMS`` among equals.
+
+    One pass: texts are counted by the set of forms that they fit, of which there are few. Null without a date.
+    """
+    counts = texts.select(fits(F.col(column)).alias("mask")).groupBy("mask").agg(F.count("*").alias("n")).collect()
+    total = [sum(r["n"] for r in counts if r["mask"] >> i & 1) for i in range(len(DATE_FORMS))]
+    return DATE_FORMS[total.index(max(total))] if max(total) else None
+
+
+def parse_as(text: Column, form: str | None) -> Column:
+    """Milliseconds of a date in one form; null where the text has another."""
+    if form is None:
+        return F.lit(None).cast("long")
+    text = F.trim(text)
+    return ms_of_timestamp(F.when(text.rlike(_look(form)), F.try_to_timestamp(text, F.lit(form.replace("\\", "'\\'"))).cast("timestamp_ntz")))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.operators.scan import numbered
+
 
 def combinations(n: Column, k: int) -> Column:
     """How many k-subsets n leaves have; 1 if k >= n > 0, 0 without leaves. decimal(38,0), null beyond it."""
@@ -24,47 +26,77 @@ def leaf_counts(leaves: DataFrame, by: Sequence[str]) -> DataFrame:
     return leaves.groupBy(*by).agg(F.count(F.when(~F.col("_excluded"), 1)).alias("_n"), F.max("_excluded").alias("_cut_short"))
 
 
-BLOCK = 512  # first members whose subsets one row gives
+BLOCK = 128  # leaves that one share of a slice and branch holds
 
 
-def subsets(leaves: DataFrame, by: Sequence[str], k: int) -> DataFrame:
+def subsets(leaves: DataFrame, by: Sequence[str], k: int, heavy: DataFrame | None = None) -> DataFrame:
     """by, _leaf_1.._leaf_k, _load_1.._load_k: every increasing k-subset of ``_leaf`` with its ``_load``.
 
     Where there are fewer than k leaves, all of them make one row with null slots, unless leaves were excluded there.
+    ``heavy`` lists the values of ``by`` that may have more than BLOCK leaves; without it, none has.
     """
     if k == 1:
         return leaves.where("not _excluded").select(*by, F.col("_leaf").alias("_leaf_1"), F.col("_load").alias("_load_1"))
-    return spread(gathered(leaves, by, k), by, k)
+    return spread(shares(leaves, by, k, heavy), by, k)
 
 
-def gathered(leaves: DataFrame, by: Sequence[str], k: int) -> DataFrame:
-    """by, _all: the accepted leaves of each slice and branch in order, filled up to k with nulls.
+def shares(leaves: DataFrame, by: Sequence[str], k: int, heavy: DataFrame | None = None) -> DataFrame:
+    """by, _blocks, _sides: rows of bounded size that together hold every k-subset of each slice and branch once.
 
-    An array of n leaves stands for n over k output rows, so one that does not fit in memory has no output that fits
-    on a cluster; samples, which exist for such cases, don't gather.
+    A group's leaves in order are cut into blocks of BLOCK; a row stands for an ascending tuple of k block numbers
+    (_blocks), those of the members from first to last, and _sides has the leaves of each block among them. Most groups
+    have a single block and so a single row. A group of ``heavy`` is never gathered: its leaves are numbered by a scan
+    over ranges of their order, and each block is sent to the tuples that it is part of, which any task may get.
+    ``leaves`` is read several times if there are heavy groups, so it should be written then.
     """
+    light = leaves if heavy is None else leaves.join(heavy, list(by), "left_anti")
     one = F.struct("_leaf", F.col("_load"))
-    groups = leaves.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(~F.col("_excluded"), one))).alias("_all"), F.max("_excluded").alias("_cut_short"))
-    n = F.size("_all")
+    groups = light.groupBy(*by).agg(F.array_sort(F.collect_list(F.when(~F.col("_excluded"), one))).alias("_side"), F.max("_excluded").alias("_cut_short"))
+    n = F.size("_side")
     whole = groups.where((n > 0) & ((n >= k) | ~F.col("_cut_short")))
-    return whole.select(*by, F.when(n < k, F.concat("_all", F.array_repeat(F.lit(None), k - n))).otherwise(F.col("_all")).alias("_all"))
-
-
-def spread(groups: DataFrame, by: Sequence[str], k: int, beside: Sequence[str] = ()) -> DataFrame:
-    """Every increasing k-subset of ``_all``, with ``by`` and the columns ``beside``.
-
-    A row is dealt out by blocks of first members, so that a large group's subsets are made in many tasks.
-    """
-    keep, n = [*by, *beside], F.size("_all")
-    blocks = groups.withColumn("_from", F.explode(F.sequence(F.lit(0), n - 1, F.lit(BLOCK)))).repartition(*by, "_from")
-    rows = blocks.select(*keep, "_all", "_from", F.posexplode(F.slice("_all", F.col("_from") + 1, F.lit(BLOCK))).alias("_at", "_x1"))
-    rows = rows.withColumn("_at", F.col("_at") + F.col("_from")).drop("_from")
-    done = ["_x1"]
-    for i in range(2, k + 1):
-        onward = F.posexplode(F.slice("_all", F.col("_at") + 2, F.greatest(n - F.col("_at") - 1, F.lit(0)))).alias("_step", f"_x{i}")
-        rows = rows.select(*keep, "_all", *done, "_at", onward).withColumn("_at", F.col("_at") + 1 + F.col("_step")).drop("_step")
-        done.append(f"_x{i}")
-    return rows.select(*keep, *(F.col(f"_x{i}")[part].alias(f"{part}_{i}") for i in range(1, k + 1) for part in ("_leaf", "_load")))
+    rows = whole.select(*by, F.array_repeat(F.lit(0), k).alias("_blocks"), F.array(_filled(F.col("_side"), k)).alias("_sides"))
+    return rows if heavy is None else rows.unionByName(_tuples(leaves.join(heavy, list(by), "left_semi"), by, k))
+
+
+def _filled(side: Column, k: int) -> Column:
+    """A group's only side, filled up to k with nulls."""
+    return F.when(F.size(side) < k, F.concat(side, F.array_repeat(F.lit(None), k - F.size(side)))).otherwise(side)
+
+
+def _tuples(leaves: DataFrame, by: Sequence[str], k: int) -> DataFrame:
+    placed = numbered(leaves.where("not _excluded").select(*by, "_leaf", "_load"), ["_leaf"], "_place", by=by, of="_n")
+    block = F.floor(F.col("_place") / BLOCK).cast("int")
+    blocks = placed.groupBy(*by, "_n", block.alias("_block")).agg(F.array_sort(F.collect_list(F.struct("_leaf", "_load"))).alias("_side"))
+    # Leaves may be few where rows were many: then padding, or none where leaves were excluded.
+    short = leaves.where("_excluded").select(*by).distinct()
+    few = blocks.where(F.col("_n") < k).join(short, list(by), "left_anti").withColumn("_side", _filled(F.col("_side"), k))
+    parts = blocks.where(F.col("_n") >= k).unionByName(few)
+    last, others = F.ceil(F.col("_n") / BLOCK).cast("int") - 1, []
+    for i in range(k - 1):
+        # Any other k - 1 blocks, ascending and with repeats, make a tuple with this one.
+        parts = parts.withColumn(f"_o{i}", F.explode(F.sequence(F.col(others[-1]) if others else F.lit(0), last)))
+        others.append(f"_o{i}")
+    tuples = parts.withColumn("_blocks", F.array_sort(F.array("_block", *others)))
+    met = tuples.groupBy(*by, "_blocks").agg(F.array_sort(F.collect_list(F.struct("_block", "_side"))).alias("_parts"))
+    return met.select(*by, "_blocks", F.col("_parts._side").alias("_sides"))
+
+
+def spread(rows: DataFrame, by: Sequence[str], k: int, beside: Sequence[str] = ()) -> DataFrame:
+    """The k-subsets that ``shares`` hold, with ``by`` and the columns ``beside``: members ascend from block to block."""
+    keep, done, at = [*by, *beside, "_blocks", "_sides"], [], F.lit(0)
+    for i in range(k):
+        # The places of a tuple that name the same block take its members onward from the one before.
+        new = F.lit(True) if i == 0 else F.get("_blocks", F.lit(i)) != F.get("_blocks", F.lit(i - 1))
+        nth = F.lit(0)
+        for j in range(1, i + 1):
+            nth = nth + (F.get("_blocks", F.lit(j)) != F.get("_blocks", F.lit(j - 1))).cast("int")
+        side, skip = F.get("_sides", nth), F.when(new, F.lit(0)).otherwise(at)
+        members = F.slice(side, skip + 1, F.greatest(F.size(side) - skip, F.lit(0)))
+        rows = rows.select(*keep, *done, skip.alias("_skip"), F.posexplode(members).alias("_step", f"_x{i + 1}"))
+        done.append(f"_x{i + 1}")
+        rows = rows.select(*keep, *done, (F.col("_skip") + F.col("_step") + 1).alias("_at"))
+        at = F.col("_at")
+    return rows.select(*by, *beside, *(F.col(f"_x{i}")[part].alias(f"{part}_{i}") for i in range(1, k + 1) for part in ("_leaf", "_load")))
 
 
 def weights(leaves: DataFrame, by: Sequence[str], k: int, units: Column) -> DataFrame:

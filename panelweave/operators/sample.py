@@ -1,7 +1,7 @@
 """Uniform samples without replacement of granulated k-ads, by unranking random ordinals.
 
-Slices and branches get consecutive ranges of ordinals: prefix sums are taken within hash buckets, whose totals (a fixed
-number) the driver turns into offsets. Ordinals are made from hashes of a running number, so no list of them is on the
+Slices and branches, in this order, get consecutive ranges of ordinals: they are dealt into ranges of their order, whose
+totals (one for each) the driver turns into offsets, and prefix sums are taken within. Ordinals are made from hashes of a running number, so no list of them is on the
 driver, whatever the size of the sample; each finds its slice and branch by a sort within its bucket, then its time unit
 and its subset by arithmetic. A sample of more than half of all is all of them less a sample, and one of at least all is
 all of them.
@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.operators.combine import combinations
+from panelweave.operators.scan import ordered
 
-BUCKETS = 1024
 BLOCKS = 256  # of running numbers, by which a draw is cut to its size
 MOST = 10**30  # k-ads, beyond which ordinals made of 36 digits would not be uniform enough
 _RUN = 100_000  # ordinals that one row gives where all are listed
@@ -29,9 +29,10 @@ def _big(value: int) -> Column:
 
 
 def drawn(weighted: DataFrame, by: Sequence[str], n: int, seed: int) -> DataFrame:
-    """n different ordinals (all, if there are no more): by, _n, _units, _ways, _draw (its number within slice and
+    """n different ordinals (all, if there are no more): by (whose last two are the slice), _n, _units, _ways, _draw (its number within slice and
     branch), _unit (0-based), _rank (of the subset). weighted is read twice, so it should be written."""
-    dealt = weighted.where("_weight is null or _weight > 0").withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(BUCKETS)).cast("int"))
+    *branch, start, end = by
+    dealt = ordered(weighted.where("_weight is null or _weight > 0"), [start, end, *branch], "dealt").withColumnRenamed("_part", "_bucket")
     sums = dealt.groupBy("_bucket").agg(F.sum("_weight").alias("w"), F.max(F.col("_weight").isNull()).alias("beyond")).collect()
     if any(row["beyond"] or row["w"] is None for row in sums):
         raise OverflowError("a slice and branch has over 38 digits of subsets; limit its leaves or lower k")
@@ -90,7 +91,7 @@ def _ordinals(spark, overall: int, n: int, seed: int) -> DataFrame:
 
 def _placed(dealt: DataFrame, ordinals: DataFrame, starts: dict[int, int], by: Sequence[str]) -> DataFrame:
     """by, _n, _units, _ways, _draw of the slice and branch in whose range each ordinal lies."""
-    line = Window.partitionBy("_bucket").orderBy(*by)
+    line = Window.partitionBy("_bucket").orderBy("_at")
     begin = (F.sum("_weight").over(line) - F.col("_weight")).cast(_BIG)
     places = dealt.select("_bucket", begin.alias("_pos"), F.lit(0).alias("_kind"), F.struct(*by, "_n", "_units", "_ways", begin.alias("_from")).alias("_place"))
     buckets = sorted(starts)

@@ -1,56 +1,79 @@
 """Cutting time: slices that no accepted row crosses, and rows dealt to them by equi-joins.
 
-Every accepted row's ends are cuts, so a row holds exactly the slices whose start lies in it. Rows and slices meet in
-calendar buckets (years or months), which keeps the join an equi-join; only the first cut of each bucket meets in one
-place, and buckets are bounded by the calendar.
+Every accepted row's ends are cuts, so a row holds exactly the slices whose start lies in it. Cuts are dealt into ranges
+of the time line that hold about as many of them each, so a row is copied once for each range that it spans, never once
+for each year or month: those that stay open over a whole range meet its slices there, and nothing else is copied. Rows
+and slices meet by range and branch in an equi-join. ``Ranges`` come from one aggregate over the cuts (a sketch of their
+quantiles), and an instant finds its range by a search tree that is part of the generated code.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.time import Granularity, align_down, date_of
+from panelweave.functions.time import Granularity, align_down
 
 BROADCAST_SLICES = 500_000  # slices that a broadcast may hold: 16 MB
+RANGES = 64  # ranges of the time line
 
 
-def bucket_of(ms: Column, unit: Granularity) -> Column:
-    """The calendar bucket of an instant: its year, or for finer units its month."""
-    day = date_of(ms)
-    return F.year(day) if unit.value >= Granularity.YEAR.value or unit is Granularity.NONE else F.year(day) * 12 + F.month(day)
+@dataclass(frozen=True)
+class Ranges:
+    """The time line in ranges: ``bounds`` are the first instants of all but the first, ascending."""
 
+    bounds: tuple[int, ...]
 
-def over_buckets(rows: DataFrame, unit: Granularity, start: str = "_s", end: str = "_e") -> DataFrame:
-    """Each row once for every calendar bucket that it touches, as ``_bucket``."""
-    return rows.withColumn("_bucket", F.explode(F.sequence(bucket_of(F.col(start), unit), bucket_of(F.col(end) - 1, unit))))
+    def of(self, at: Column) -> Column:
+        """The number of the range that an instant lies in."""
 
+        def search(low: int, high: int) -> Column:
+            if low == high:
+                return F.lit(low)
+            middle = (low + high) // 2
+            return F.when(at < F.lit(self.bounds[middle]).cast("long"), search(low, middle)).otherwise(search(middle + 1, high))
 
-def slices(ends: DataFrame, by: Sequence[str], unit: Granularity) -> DataFrame:
-    """[_a, _b) between neighbouring instants ``_at``, separately for each value of ``by``; with its ``_bucket``."""
-    cuts = ends.select(*by, "_at").distinct().withColumn("_bucket", bucket_of(F.col("_at"), unit))
-    within = Window.partitionBy(*by, "_bucket").orderBy("_at")
-    # The next bucket's first cut ends the last slice of a bucket.
-    firsts = cuts.groupBy(*by, "_bucket").agg(F.min("_at").alias("_first"))
-    onward = firsts.withColumn("_next", F.lead("_first").over(Window.partitionBy(*by).orderBy("_bucket")))
-    tails = onward.select(*(F.col(c).alias(f"_t_{c}") for c in by), F.col("_bucket").alias("_t_bucket"), "_next")
-    same = F.col("_bucket") == F.col("_t_bucket")
+        return search(0, len(self.bounds))
+
+    def spanned(self, rows: DataFrame, start: str = "_s", end: str = "_e") -> DataFrame:
+        """Each row once for every range that it touches, as ``_range``."""
+        return rows.withColumn("_range", F.explode(F.sequence(self.of(F.col(start)), self.of(F.col(end) - 1))))
+
+
+def ranges_of(instants: DataFrame, at: str = "_at", n: int | None = None) -> Ranges:
+    """Ranges that hold about as many of the different instants each."""
+    n = n or RANGES
+    marks = F.percentile_approx(at, F.array(*(F.lit(i / n) for i in range(1, n))), F.lit(100 * n))
+    found = instants.select(at).distinct().agg(marks).first()[0] or []
+    return Ranges(tuple(sorted({int(x) for x in found})))
+
+
+def slices(ends: DataFrame, by: Sequence[str], ranges: Ranges) -> DataFrame:
+    """[_a, _b) between neighbouring instants ``_at``, separately for each value of ``by``; with its ``_range``."""
+    cuts = ends.select(*by, "_at").distinct().withColumn("_range", ranges.of(F.col("_at")))
+    within = Window.partitionBy(*by, "_range").orderBy("_at")
+    # The next range's first cut ends the last slice of a range; there is one such row for each range and value of by.
+    firsts = cuts.groupBy(*by, "_range").agg(F.min("_at").alias("_first"))
+    onward = firsts.withColumn("_next", F.lead("_first").over(Window.partitionBy(*by).orderBy("_range")))
+    tails = onward.select(*(F.col(c).alias(f"_t_{c}") for c in by), F.col("_range").alias("_t_range"), "_next")
+    same = F.col("_range") == F.col("_t_range")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
     led = cuts.withColumn("_lead", F.lead("_at").over(within)).join(tails, same)
-    return led.select(*by, "_bucket", F.col("_at").alias("_a"), F.coalesce("_lead", "_next").alias("_b")).where("_b is not null")
+    return led.select(*by, "_range", F.col("_at").alias("_a"), F.coalesce("_lead", "_next").alias("_b")).where("_b is not null")
 
 
-def deal(rows: DataFrame, cut: DataFrame, by: Sequence[str], unit: Granularity, small: bool = False) -> DataFrame:
-    """Each row once for every slice in it: ``_a`` and ``_b`` come beside ``_s`` and ``_e``."""
-    right = cut.select(*(F.col(c).alias(f"_c_{c}") for c in by), F.col("_bucket").alias("_c_bucket"), "_a", "_b")
-    on = F.col("_bucket") == F.col("_c_bucket")
+def deal(rows: DataFrame, cut: DataFrame, by: Sequence[str], ranges: Ranges, small: bool = False) -> DataFrame:
+    """Each row once for every slice in it: ``_a`` and ``_b`` come beside ``_s`` and ``_e``. small: slices that a broadcast may hold."""
+    right = cut.select(*(F.col(c).alias(f"_c_{c}") for c in by), F.col("_range").alias("_c_range"), "_a", "_b")
+    on = F.col("_range") == F.col("_c_range")
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"_c_{c}"))
     on = on & (F.col("_a") >= F.col("_s")) & (F.col("_a") < F.col("_e"))
-    return over_buckets(rows, unit).join(F.broadcast(right) if small else right, on).drop("_bucket", "_c_bucket", *(f"_c_{c}" for c in by))
+    return ranges.spanned(rows).join(F.broadcast(right) if small else right, on).drop("_range", "_c_range", *(f"_c_{c}" for c in by))
 
 
 def unit_marks(start: int, end: int, unit: Granularity, spark) -> DataFrame:

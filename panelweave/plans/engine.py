@@ -10,18 +10,19 @@ Other groups are attached before leaves are combined, so that each join runs ove
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.time import Granularity, display, pieces, units
 from panelweave.model import Group, Spec
-from panelweave.operators import segment
-from panelweave.operators.combine import combinations, gathered, spread, subsets, weights
+from panelweave.operators import combine, segment
+from panelweave.operators.combine import combinations, shares, spread, subsets, weights
 from panelweave.operators.consolidate import consolidate
 from panelweave.operators.merge import attach
 from panelweave.operators.sample import drawn, unranked
+from panelweave.operators.scan import numbered, running
 from panelweave.plans.analyze import PlanError, Resolved, resolve
 from panelweave.shared import written
 
@@ -58,9 +59,9 @@ class _Other:
             return F.col(self.names[slot])
         return F.col(f"_load_{slot // self.per_leaf + 1}")[self.names[slot % self.per_leaf]] if self.by_leaf else F.col("_load_1")[self.names[slot]]
 
-    def attached(self, left: DataFrame, id_columns: Sequence[str], unit) -> DataFrame:
+    def attached(self, left: DataFrame, id_columns: Sequence[str], plan: Plan) -> DataFrame:
         for name, on in zip(self.names, self.on):
-            left = attach(left, id_columns, on, self.rows, name, unit if self.timed else None, self.own)
+            left = attach(left, id_columns, on, self.rows, name, plan.ranges if self.timed and self.own is None else None, self.own)
         return left
 
 
@@ -96,7 +97,7 @@ class Plan:
         """A group's rows in range: its keys, _data, _order, _s, _e, and for the primary group _excluded."""
         table = group.table
         order = F.struct(*(group.order or table.columns)).alias("_order")
-        keys = [F.col(c).cast("bigint").alias(c) if c in group.numeric else F.col(c) for c in group.key_columns]
+        keys = [F.col(c).try_cast("bigint").alias(c) if c in group.numeric else F.col(c) for c in group.key_columns]
         kinds = dict(table.dtypes)
         # An empty text and a missing value are the same in an output.
         data = F.struct(*((F.nullif(F.col(v), F.lit("")) if kinds[v] == "string" else F.col(v)).alias(f"v{i}") for i, v in enumerate(self.r.variables[group.code])), F.lit(1).alias("here"))
@@ -129,6 +130,18 @@ class Plan:
 
     # Cutting.
 
+    @cached_property
+    def ranges(self) -> segment.Ranges:
+        """Ranges of the time line with about as many ends of rows each, whichever groups they are of."""
+        return segment.ranges_of(reduce(DataFrame.unionByName, [self._ends(self.primary)] + [self._ends(o.rows) for o in self.others if o.timed]))
+
+    def _slices(self, ends: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
+        return segment.slices(reduce(DataFrame.unionByName, ends), by, self.ranges)
+
+    def _dealt(self, rows: DataFrame, cut: DataFrame, by: Sequence[str]) -> DataFrame:
+        """rows in every slice that they hold. Slices that all branches share are sent to all tasks if they are few; else rows and slices meet by range, where Spark splits ranges that hold too much."""
+        return segment.deal(rows, cut, by, self.ranges, small=not by and cut.count() <= segment.BROADCAST_SLICES)
+
     def _ends(self, rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         return rows.select(*by, F.explode(F.array("_s", "_e")).alias("_at"))
 
@@ -137,14 +150,12 @@ class Plan:
         ends = [self._ends(rows)] + [self._ends(o.rows) for o in self.others if o.timed]
         if marks:
             ends.append(segment.unit_marks(self.start, self.end, self.unit, self.spark))
-        cut = segment.slices(reduce(DataFrame.unionByName, ends), [], self.unit)
-        return segment.deal(rows, cut, [], self.unit, small=cut.count() <= segment.BROADCAST_SLICES)
+        return self._dealt(rows, self._slices(ends, []), [])
 
     def _per_branch(self) -> DataFrame:
         """The primary rows cut at the ends of those rows that can reach their branch."""
         ends = [self._ends(self.primary, self.branch)] + [self._reach(o) for o in self.others if o.timed]
-        cut = segment.slices(reduce(DataFrame.unionByName, ends), self.branch, self.unit)
-        return segment.deal(self.primary, cut, self.branch, self.unit)
+        return self._dealt(self.primary, self._slices(ends, self.branch), self.branch)
 
     # Leaves and their loads.
 
@@ -152,8 +163,12 @@ class Plan:
         """The leaves in slices that only the primary group's own rows cut, as weights and samples need them."""
         if self.whole:
             return self._whole_leaves()
-        cut = segment.slices(self._ends(self.primary), [], self.unit)
-        return self._leaves(segment.deal(self.primary, cut, [], self.unit))
+        return self._leaves(self._dealt(self.primary, self._slices([self._ends(self.primary)], []), []))
+
+    def _heavy(self, rows: DataFrame, by: Sequence[str], start: str = "_a", end: str = "_b") -> DataFrame | None:
+        """The slices and branches with more rows than one share holds leaves; None if there are none."""
+        many = rows.groupBy(*self.branch, F.col(start).alias("_a"), F.col(end).alias("_b")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > combine.BLOCK)
+        return None if many.isEmpty() else written(many.select(*by), "heavy")
 
     def _leaves(self, live: DataFrame) -> DataFrame:
         """One row per slice, branch and leaf; the first row's data."""
@@ -163,7 +178,7 @@ class Plan:
         """Adds ``_load``: the primary data and what the other groups have for the leaf."""
         names = []
         for other in self.others:
-            leaves = other.attached(leaves, id_columns, self.unit)
+            leaves = other.attached(leaves, id_columns, self)
             names += other.names
         return leaves.withColumn("_load", F.struct(F.col("_data").alias("p"), *names)).drop("_data", *names)
 
@@ -189,21 +204,21 @@ class Plan:
             if other in self.tops:
                 continue
             if other.by_leaf:
-                leaves = other.attached(leaves, [*by, "_leaf"], self.unit)
+                leaves = other.attached(leaves, [*by, "_leaf"], self)
                 names += other.names
             else:
                 other.beside = True
         leaves = leaves.withColumn("_load", F.struct(F.col("_data").alias("p"), *names)).drop("_data", *names)
         beside = [o for o in self.others if o.beside]
-        rows = gathered(leaves, by, k) if k > 1 else subsets(leaves, by, k)
+        heavy = self._heavy(self.primary, by, "_s", "_e") if k > 1 else None
+        rows = shares(leaves if heavy is None else written(leaves, "leaves"), by, k, heavy) if k > 1 else subsets(leaves, by, k)
         finer = [o for o in beside if o.timed and not (o.own is self.unit)]
         if finer:
-            ends = [self._ends(self.primary, self.branch if self.spec.consolidate else ())] + [self._reach(o) if self.spec.consolidate else self._ends(o.rows) for o in finer]
-            cut = segment.slices(reduce(DataFrame.unionByName, ends), self.branch if self.spec.consolidate else [], self.unit)
-            rows = rows.withColumnsRenamed({"_a": "_s", "_b": "_e"})
-            rows = segment.deal(rows, cut, self.branch if self.spec.consolidate else [], self.unit).drop("_s", "_e")
+            alone = self.branch if self.spec.consolidate else []
+            ends = [self._ends(self.primary, alone)] + [self._reach(o) if self.spec.consolidate else self._ends(o.rows) for o in finer]
+            rows = self._dealt(rows.withColumnsRenamed({"_a": "_s", "_b": "_e"}), self._slices(ends, alone), alone).drop("_s", "_e")
         for other in beside:
-            rows = other.attached(rows, by if k > 1 else [*by, "_leaf_1"], self.unit)
+            rows = other.attached(rows, by if k > 1 else [*by, "_leaf_1"], self)
         return spread(rows, by, k, [n for o in beside for n in o.names]) if k > 1 else rows
 
     def _reach(self, other: _Other) -> DataFrame:
@@ -278,14 +293,24 @@ class Plan:
             sets = self._whole_sets()
         else:
             live = self._everywhere(self.primary, marks=True) if granular else self._per_branch()
-            sets = subsets(self._loaded(self._leaves(live), [*by, "_leaf"]), by, k)
+            leaves = self._loaded(self._leaves(live), [*by, "_leaf"])
+            if k > 1:
+                leaves = written(leaves, "leaves")
+            sets = subsets(leaves, by, k, self._heavy(leaves, by) if k > 1 else None)
         columns = self._columns()
         names = [name for name, _ in columns]
         flat = sets.select(*(column.alias(name) for name, column in columns), "_a", "_b")
-        return consolidate(flat, names) if spec.consolidate else flat
+        return consolidate(flat, names, None if self._by_units else self.ranges) if spec.consolidate else flat
+
+    @property
+    def _by_units(self) -> bool:
+        """Whether slices are units of time, so that the calendar bounds how many a k-ad has."""
+        return self.whole and all(o.own is self.unit or not o.timed for o in self.others)
 
     def output(self) -> DataFrame:
-        rows = self.rows()
+        return self.shown(self.rows())
+
+    def shown(self, rows: DataFrame) -> DataFrame:
         if self.spec.show_time:
             return rows.withColumns({"row_starts_at": display(F.col("_a")), "row_ends_at": display(F.col("_b"))}).drop("_a", "_b")
         return rows.drop("_a", "_b")
@@ -312,6 +337,35 @@ def total_weight(spec: Spec, groups: Mapping[str, Group] | Sequence[Group]) -> D
     return weighed.agg(F.sum(known).cast("decimal(38,0)").alias("total"), F.count("*").alias("places"))
 
 
+def weight_ranges(spec: Spec, groups: Mapping[str, Group] | Sequence[Group]) -> DataFrame:
+    """Per slice and branch, in this order, the range of ordinals that its granulated k-ads have.
+
+    Columns: the branch's, row_starts_at and row_ends_at of the slice, units, ways (subsets), weight (their product),
+    range_start and range_end; a range without k-ads ends before it starts.
+    """
+    planned = plan(spec, groups)
+    weighed = written(planned.weighted(), "weights")
+    ranged = running(weighed, ["_a", "_b", *planned.branch], "_weight", "_from")
+    names = [F.col(b).alias(c) for c, b in zip(planned.r.branch, planned.branch)]
+    shown = [display(F.col(x)).alias(n) for x, n in (("_a", "row_starts_at"), ("_b", "row_ends_at"))]
+    columns = {"units": F.col("_units"), "ways": F.col("_ways"), "weight": F.col("_weight"), "range_start": F.col("_from"), "range_end": F.col("_from") + F.col("_weight") - 1}
+    return ranged.select(*names, *shown, *(x.cast("decimal(38,0)").alias(n) for n, x in columns.items()))
+
+
+def ordered_output(spec: Spec, groups: Mapping[str, Group] | Sequence[Group]) -> DataFrame:
+    """The output with row_number, from 1: its place in the order that an output file has.
+
+    Consolidated rows come by their time and then by their values from left to right; granulated ones by unit, slice,
+    branch and leaves. Nulls come first. Rows are numbered by a scan over ranges of this order, so no task sorts them all.
+    """
+    planned = plan(spec, groups)
+    rows = written(planned.rows(), "output")
+    values = [c for c in rows.columns if c not in ("_a", "_b")]
+    keys = values[: len(planned.branch) + planned.r.k * len(planned.r.leaf)]
+    placed = numbered(rows, ["_a", "_b", *(values if spec.consolidate else keys)], "_place")
+    return planned.shown(placed.select(*values, "_a", "_b", (F.col("_place") + 1).alias("row_number")))
+
+
 def upper_bound(spec: Spec, groups: Mapping[str, Group] | Sequence[Group]) -> DataFrame:
     """One row: at most how many rows a consolidated output has, as far as the primary group's entities tell.
 
@@ -319,7 +373,9 @@ def upper_bound(spec: Spec, groups: Mapping[str, Group] | Sequence[Group]) -> Da
     """
     planned = plan(spec, groups)
     by = [*planned.branch, "_a", "_b"]
-    sets = planned._counted_leaves().where("not _excluded").groupBy(*by).agg(F.array_sort(F.collect_set("_leaf")).alias("_set"))
-    runs = consolidate(sets, [*planned.branch, "_set"])
-    ways = combinations(F.size("_set"), planned.r.k)
+    # A set of leaves is told by two hashes of 64 bits and its size, so it is never gathered.
+    prints = [F.bit_xor(F.xxhash64(F.lit(i), "_leaf")).alias(f"_print_{i}") for i in (1, 2)]
+    sets = planned._counted_leaves().where("not _excluded").groupBy(*by).agg(F.count("*").alias("_size"), *prints)
+    runs = consolidate(sets, [*planned.branch, "_size", "_print_1", "_print_2"], None if planned.whole else planned.ranges)
+    ways = combinations(F.col("_size"), planned.r.k)
     return runs.agg(F.sum(ways).cast("decimal(38,0)").alias("most"), F.count("*").alias("stretches"))

@@ -202,7 +202,7 @@ def range_clips_rows(spark, sf_dir):
 
 
 #: Milliseconds of the days that ranges begin and end with.
-F_DAYS = {"1996-03-15": 826_848_000_000, "1996-09-20": 843_177_600_000}
+F_DAYS = {"1996-01-01": 820_454_400_000, "1996-03-15": 826_848_000_000, "1996-09-20": 843_177_600_000, "1998-01-01": 883_612_800_000}
 
 
 @_query(
@@ -284,6 +284,112 @@ def sample_of_most(spark, sf_dir):
     return some.agg((F.count("*") + 1).alias("drawn"), (F.count_distinct(F.struct(*names)) + 1).alias("different"))
 
 
+# Long intervals, hot branches and values, order.
+
+_SPANS = f"""t AS (SELECT o_custkey, date_trunc('day', o_orderdate)::TIMESTAMP AS s, date_trunc('day', o_orderdate)::TIMESTAMP + to_days((400 * (1 + o_orderkey % 5))::INT) AS e, o_orderstatus, row_number() OVER (ORDER BY {_ORDERS}) AS n FROM orders)"""
+
+
+def _runs_of(held: str, key: str, value: str) -> str:
+    return f"""marked AS (SELECT *, CASE WHEN lag(z) OVER (PARTITION BY {key}, {value} ORDER BY a) = a THEN 0 ELSE 1 END AS opens FROM {held}),
+    runs AS (SELECT *, sum(opens) OVER (PARTITION BY {key}, {value} ORDER BY a) AS run FROM marked)
+    SELECT {key}, {value}, strftime(min(a), '%Y-%b-%d') AS row_starts_at, strftime(max(z), '%Y-%b-%d') AS row_ends_at FROM runs GROUP BY {key}, {value}, run"""
+
+
+@_query(
+    f"""WITH {_SPANS}, cuts AS (SELECT o_custkey, s AS t0 FROM t UNION SELECT o_custkey, e FROM t),
+    slices AS (SELECT o_custkey, t0 AS a, lead(t0) OVER (PARTITION BY o_custkey ORDER BY t0) AS z FROM cuts),
+    held AS (SELECT t.o_custkey, a, z, arg_min(o_orderstatus, n) AS o_orderstatus FROM slices JOIN t ON t.o_custkey = slices.o_custkey AND s <= a AND a < e GROUP BY ALL),
+    {_runs_of("held", "o_custkey", "o_orderstatus")}"""
+)
+def spans_of_years(spark, sf_dir):
+    """Orders that hold for one to five years, overlapping; the first one wins, and touching equal stretches join."""
+    table = _stamped(_table(spark, sf_dir, "orders"), "o_orderdate", Granularity.DAY)
+    table = table.withColumn("row_end", F.col("row_start") + 400 * time.DAY_MS * (1 + F.col("o_orderkey") % 5))
+    group = _group("orders", table, Granularity.DAY, ("o_custkey", "customer"), one_unit=False)
+    return engine.generate(Spec({"orders": ["o_orderstatus"]}, show_time=True), [group])
+
+
+_RUSH = f"(SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'rush' ELSE 'rest' END AS lane, o.* FROM orders o WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1998-01-01')"
+
+
+@_query(_pairs_sql(_first(_RUSH, "lane", "o_custkey", "month", "o_orderdate", "o_orderstatus", "lane, " + _ORDERS), "MONTH", "lane o_custkey o_orderstatus"))
+def kad_hot_branch_month(spark, sf_dir):
+    """Customer dyads by month where one branch holds four fifths of all rows, so that its leaves are shared out."""
+    orders = _table(spark, sf_dir, "orders")
+    table = orders.select(F.when(F.col("o_orderpriority") == "1-URGENT", "rush").otherwise("rest").alias("lane"), *orders.columns)
+    group = _group("orders", _stamped(table, "o_orderdate", Granularity.MONTH), Granularity.MONTH, ("lane", "lane"), ("o_custkey", "customer"))
+    spec = Spec({"orders": ["o_orderstatus"]}, {"customer": 2}, start=F_DAYS["1996-01-01"], end=F_DAYS["1998-01-01"], show_time=True)
+    return engine.generate(spec, [group])
+
+
+@_query(
+    f"""WITH t AS (SELECT event_type, epoch_ms(ts) AS s, epoch_ms(ts) + 3600000 AS e, CASE WHEN value < 50 THEN 'low' ELSE 'high' END AS level, row_number() OVER (ORDER BY event_id, ts, user_id, event_type, value, props) AS n FROM events),
+    cuts AS (SELECT event_type, s AS t0 FROM t UNION SELECT event_type, e FROM t),
+    slices AS (SELECT event_type, t0 AS a, lead(t0) OVER (PARTITION BY event_type ORDER BY t0) AS z FROM cuts),
+    held AS (SELECT t.event_type, a, z, arg_min(level, n) AS level FROM slices JOIN t ON t.event_type = slices.event_type AND s <= a AND a < e GROUP BY ALL),
+    marked AS (SELECT *, CASE WHEN lag(z) OVER (PARTITION BY event_type, level ORDER BY a) = a THEN 0 ELSE 1 END AS opens FROM held),
+    runs AS (SELECT *, sum(opens) OVER (PARTITION BY event_type, level ORDER BY a) AS run FROM marked)
+    SELECT event_type, level, strftime(make_timestamp_ms(min(a)), '%Y-%b-%d') AS row_starts_at, strftime(make_timestamp_ms(max(z)), '%Y-%b-%d') AS row_ends_at FROM runs GROUP BY event_type, level, run"""
+)
+def coalesce_few_values(spark, sf_dir):
+    """All events as levels of their type, each holding for an hour: few values, very many slices of each."""
+    events = _table(spark, sf_dir, "events")
+    at = time.ms_of_timestamp(F.col("ts"))
+    table = events.withColumns({"level": F.when(F.col("value") < 50, "low").otherwise("high"), "row_start": at, "row_end": at + 3_600_000})
+    unit = Unit("events", ("type",), Granularity.NONE)
+    group = Group("events", unit, table, (("event_type", "type"),), "row_start", "row_end", tuple(events.columns))
+    return engine.generate(Spec({"events": ["level"]}, show_time=True), [group])
+
+
+@_query(
+    f"""WITH leaves AS ({_ORDER_SUPPLIER}), counts AS (SELECT b, s, count(*) AS n FROM leaves GROUP BY b, s),
+    w AS (SELECT *, CASE WHEN n <= 2 THEN 1 ELSE n * (n - 1) // 2 END AS ways FROM counts)
+    SELECT b AS l_orderkey, strftime(s, '%Y-%b-%d') AS row_starts_at, strftime(s + INTERVAL 1 YEAR, '%Y-%b-%d') AS row_ends_at, ways::BIGINT AS weight,
+        (sum(ways) OVER (ORDER BY s, b) - ways)::BIGINT AS range_start, (sum(ways) OVER (ORDER BY s, b) - 1)::BIGINT AS range_end FROM w"""
+)
+def weight_ranges_in_order(spark, sf_dir):
+    """The range of ordinals that each year's and order's dyads have, in order of year and order."""
+    found = engine.weight_ranges(Spec({"ship": ["l_quantity"]}, {"supplier": 2}, consolidate=False), [_order_supplier(spark, sf_dir)])
+    return found.select("l_orderkey", "row_starts_at", "row_ends_at", *(F.col(c).cast("bigint").alias(c) for c in ("weight", "range_start", "range_end")))
+
+
+@_query(
+    f"""WITH leaves AS ({_ORDER_SUPPLIER}), pairs AS ({_PAIRS}),
+    named AS (SELECT b AS l_orderkey, l1 AS l_suppkey_1, l2 AS l_suppkey_2, v1 AS l_quantity_1, v2 AS l_quantity_2, s FROM pairs),
+    islands AS (SELECT l_orderkey, l_suppkey_1, l_suppkey_2, l_quantity_1, l_quantity_2, min(s) AS a, max(s) + INTERVAL 1 YEAR AS z
+        FROM (SELECT *, sum(opens) OVER (PARTITION BY l_orderkey, l_suppkey_1, l_suppkey_2, l_quantity_1, l_quantity_2 ORDER BY s) AS run FROM
+            (SELECT *, CASE WHEN lag(s) OVER (PARTITION BY l_orderkey, l_suppkey_1, l_suppkey_2, l_quantity_1, l_quantity_2 ORDER BY s) + INTERVAL 1 YEAR = s THEN 0 ELSE 1 END AS opens FROM named))
+        GROUP BY l_orderkey, l_suppkey_1, l_suppkey_2, l_quantity_1, l_quantity_2, run)
+    SELECT l_orderkey, l_suppkey_1, l_suppkey_2, l_quantity_1, l_quantity_2, strftime(a, '%Y-%b-%d') AS row_starts_at, strftime(z, '%Y-%b-%d') AS row_ends_at,
+        row_number() OVER (ORDER BY a, z, l_orderkey NULLS FIRST, l_suppkey_1 NULLS FIRST, l_suppkey_2 NULLS FIRST, l_quantity_1 NULLS FIRST, l_quantity_2 NULLS FIRST) AS row_number FROM islands"""
+)
+def ordered_consolidated(spark, sf_dir):
+    """Consolidated dyads with their places in the output: by time, then by their values from left to right."""
+    return engine.ordered_output(Spec({"ship": ["l_quantity"]}, {"supplier": 2}, show_time=True), [_order_supplier(spark, sf_dir)])
+
+
+@_query(
+    f"""SELECT *, row_number() OVER (ORDER BY strptime(row_starts_at, '%Y-%b-%d'), l_orderkey, l_suppkey_1, l_suppkey_2 NULLS FIRST) AS row_number FROM ({_ALL_YEARS})"""
+)
+def ordered_granulated(spark, sf_dir):
+    """Granulated dyads with their places in the output: by unit, branch and leaves."""
+    return engine.ordered_output(Spec({"ship": ["l_quantity"]}, {"supplier": 2}, consolidate=False, show_time=True), [_order_supplier(spark, sf_dir)])
+
+
+@_query(
+    """SELECT o_orderkey AS k, epoch_ms(date_trunc('day', o_orderdate)::TIMESTAMP) AS "DATETIME_ROW_START", epoch_ms(date_trunc('day', o_orderdate)::TIMESTAMP + INTERVAL 1 DAY) AS "DATETIME_ROW_END"
+    FROM orders WHERE o_orderkey % 5 <> 0 OR month(o_orderdate) = 5"""
+)
+def import_with_one_date_form(spark, sf_dir):
+    """Dates with whole names of months, a fifth of them with short ones: the column has one form, which only May has in both."""
+    day = F.col("o_orderdate")
+    text = F.when(F.col("o_orderkey") % 5 == 0, F.date_format(day, "MMM d, yyyy")).otherwise(F.date_format(day, "MMMM d, yyyy"))
+    path = fresh_path(spark, "dates")
+    _table(spark, sf_dir, "orders").select(F.concat_ws(",", F.col("o_orderkey").cast("string"), F.concat(F.lit('"'), text, F.lit('"')))).write.text(path)
+    header = files.Header(("k", "day"), ("", ""), (T.LongType(), T.StringType()), 0)
+    return files.read_csv(spark, path, header, keys=["k"], columns=["k"], time_range=("day_texts", ["day"]), one_form=True).rows
+
+
 # Members, groups and checks.
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelweave.functions.ranges import MAPPINGS
+from panelweave.functions.time import form_of, parse_as
 from panelweave.functions.validation import checked
 
 #: The type names of a header's third row.
@@ -110,11 +112,14 @@ def read_csv(
     time_range: tuple[str, Sequence[str]] | None = None,
     sep: str = ",",
     quote: str = '"',
+    one_form: bool = False,
 ) -> Imported:
     """Reads a file under its header.
 
     Rows with a field that does not parse, an empty key or no time range are rejected. time_range names a mapping of
     ``functions.ranges`` and its columns. For sep and quote see ``fields``. Further output columns come from ``constants``.
+    one_form: each column of dates has one form, the one that most of its texts fit (found in a pass of its own), and
+    dates of other forms are rejected; otherwise each date is read by the form that fits it.
     """
     lines = spark.read.text(path).select(F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
     # The header rows are the first lines of each file; only the first split of a file can hold them.
@@ -134,7 +139,14 @@ def read_csv(
         reason = reason.when(F.coalesce(F.trim(at[n]), F.lit("")) == "", f"{n} is empty")
     out = {(renamed or {}).get(n, n): column for n, column in typed.items()} | {n: F.lit(x) for n, x in (constants or {}).items()}
     if time_range:
-        start, end = MAPPINGS[time_range[0]](*(F.nullif(F.trim(at[n]), F.lit("")) for n in time_range[1]))
+        texts = [F.nullif(F.trim(at[n]), F.lit("")) for n in time_range[1]]
+        own = {}
+        if one_form:
+            if not time_range[0].endswith("_texts"):
+                raise ValueError(f"{time_range[0]} has no date forms")
+            forms = [form_of(parsed.select(x.alias("_text")).where("_text is not null"), "_text") for x in texts]
+            own = {"parse": [partial(parse_as, form=form) for form in forms]}
+        start, end = MAPPINGS[time_range[0]](*texts, **own)
         parsed = parsed.withColumns({"_start": start, "_end": end})
         out |= {START: F.col("_start"), END: F.col("_end")}
         reason = reason.when(F.col("_start").isNull() | F.col("_end").isNull(), "no time range")
