@@ -29,6 +29,14 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the first of it with underscores before it that no column has, whatever its case."""
+    taken = {c.casefold() for c in df.columns}
+    while name.casefold() in taken:
+        name = f"_{name}"
+    return name
+
+
 def lean(batches: Iterator, *tables) -> Iterator:
     """The batches of a task; at their end tables are cleared and the worker, which lives on, gives back what is free."""
     try:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import lean
+from panelweave.llm.common import fresh, lean
 
 BITS = 18
 SAMPLE = 12_000  # labelled documents that a fit may use
@@ -195,7 +195,16 @@ def graded(text: Column, model: Model, cut: int = 2) -> Column:
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
-    """docs with expected_grade, tail_probability and kept (tail_probability >= least)."""
+    """docs with expected_grade, tail_probability and kept (tail_probability >= least), in place of columns of these names."""
     model = train(docs, labels, **options)
-    judged = docs.withColumn("_graded", graded(F.col("text"), model))
-    return judged.select(*docs.columns, F.col("_graded.expected").alias("expected_grade"), F.col("_graded.tail").alias("tail_probability"), (F.col("_graded.tail") >= least).alias("kept"))
+    name = fresh(docs, "_graded")
+    judged = docs.withColumn(name, graded(F.col("text"), model))
+    found = {"expected_grade": F.col(name)["expected"], "tail_probability": F.col(name)["tail"], "kept": F.col(name)["tail"] >= least}
+    return judged.select(*(c for c in docs.columns if c.casefold() not in found), *(x.alias(n) for n, x in found.items()))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
+    """The documents whose tail_probability is at least ``least``, with their own columns."""
+    name = fresh(docs, "_graded")
+    judged = docs.withColumn(name, graded(F.col("text"), train(docs, labels, **options)))
+    return judged.where(F.col(name)["tail"] >= least).drop(name)

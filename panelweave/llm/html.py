@@ -6,12 +6,15 @@ paths. Over the pages of one host, tokens with the same occurrence vector (how o
 equivalence class. A vector is never gathered: its sum, its number of pages and a hash-weighted sum identify it, so
 classes come from one grouped aggregate. A class is valid where an element's start and end tags share a vector, that is
 where it nests; a text of the same class is on every page that has the element, so it belongs to the template, however
-many layouts a host has. All other blocks are the slots of the template, and what they hold is extracted.
+many layouts a host has, if pages that differ have it (equal pages count as one), and a heading only from three pages
+on, since two may share a title. All other blocks are the slots of the template, and what they hold is extracted.
 
 Furniture goes whatever the template says: elements made for it (nav, header, footer, aside, form and such) and elements
-whose class, role or id names an advert, a menu, comments and the like, with all that is in them. An element that holds
-the article is no furniture. Words that may also be a topic (share, related, notice) are not enough by themselves: such
-an element's text goes only if it is the template's, or mostly links. Where a page has article or main elements, blocks
+whose class, role or id names an advert, a menu, comments and the like, with all that is in them. A name counts if what
+follows the word in it only says what kind of box it is (menu-list, but not search-results). An element that holds
+the article is no furniture. Words that may also be a topic (share, related, notice; within an article also menu, login,
+search and others) are not enough by themselves: such an element's text goes only if it is the template's, or mostly
+links; the same holds for headings and paragraphs within an article, whatever they are called. Where a page has article or main elements, blocks
 in any of them stay, template or not, and outside them only headings and paragraphs that are not the template's; where
 it has none, all blocks stay that are not the template's.
 
@@ -44,16 +47,21 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript textarea template title svg iframe".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset(("article", "main"))
 _OWN_ENDS = frozenset("li dt dd tr td th option".split())
 _RAW_END = {name: re.compile(rf"</{name}\b", re.I) for name in RAW}
-#: Elements that are furniture, words in a class, role or id that mark it, and words that may.
+#: Elements that are furniture; words in a class, role or id that mark it, in an article too or only
+#: outside of one; words that may; and words for a box, which may follow them.
 FURNITURE = frozenset("nav header footer aside form menu dialog button select option head".split())
-STRONG = frozenset(
-    "ad ads adbox advert adverts advertisement advertising banner promo sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar cookie cookies consent "
-    "popup modal newsletter subscribe signup comment comments disqus complementary contentinfo search login".split()
+ALWAYS = frozenset(
+    "ad ads adbox advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr newsletter subscribe signup comment comments disqus sidebar breadcrumb breadcrumbs".split()
 )
+STRONG = ALWAYS | frozenset("banner promo nav navbar navigation menu masthead footer toolbar popup modal complementary contentinfo search login".split())
 WEAK = frozenset("share sharing social related recommended notice notices alert header aside widget widgets reply replies respond discussion promotion".split())
+BOXES = frozenset("bar block body bottom box button buttons container content entry area footer form group header inner item items label left link links list main notice outer panel right row section slot text thread title top unit widget wrap wrapper".split())
+#: Ids that hold what readers wrote.
+READERS = frozenset("comment comments disqus replies respond".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"""[>"']""")
@@ -142,19 +150,28 @@ def marks(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
             at = shut.start() if shut else size
 
 
-def labels(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """(the label in a path, strong, weak) of a start tag's class, role and id."""
-    first, strong, weak = "", False, False
+def _marked(words: list[str], marks: frozenset[str]) -> set[str]:
+    """The words of a name that mark it, if only words for a box follow the last of them."""
+    at = [i for i, w in enumerate(words) if w in marks]
+    return {words[i] for i in at} if at and BOXES.issuperset(words[at[-1] + 1 :]) else set()
+
+
+def labels(name: str, attributes: str) -> tuple[str, set[str], bool]:
+    """(the label in a path, the words of STRONG that count, whether a weak one does) of a start tag's class, role and id."""
+    first, strong, weak = "", set(), False
     for kind, *values in _LABEL.findall(attributes) if attributes else ():
-        value = "".join(values).lower()
-        names = value.split()
-        words = {w for n in names for w in _PART.split(n)}
+        names = "".join(values).lower().split()
+        words = [[w for w in _PART.split(n) if w] for n in names]
         if kind.lower() == "class" and names:
             first = first or _DIGITS.sub("", names[0])
-        exact = kind.lower() == "id" or name in PROSE
-        # An id is often a topic, and so is a paragraph's class: there only a whole name counts.
-        strong = strong or not STRONG.isdisjoint(names if exact else words)
-        weak = weak or (not exact and not WEAK.isdisjoint(words))
+        if kind.lower() == "id" or name in PROSE:
+            # An id is often a topic, and so is a paragraph's class: there only a whole name counts, or what readers wrote.
+            strong |= STRONG.intersection(names)
+            if name not in PROSE:
+                strong |= {"comments" for w in words if READERS.intersection(w[-1:])}
+        else:
+            strong |= {x for w in words for x in _marked(w, STRONG)}
+            weak = weak or any(not WEAK.isdisjoint(w) for w in words) or (not strong and any(not STRONG.isdisjoint(w) for w in words))
     return f"{name}.{first}" if first else name, strong, weak
 
 
@@ -229,8 +246,10 @@ def scan(page: str) -> tuple[list[Element], list[Block]]:
             plain = name not in ("html", "body")
             inside = above.content or name in CONTENT
             made = name in FURNITURE and not (name == "header" and above.content)
-            off = made or (strong and plain)
-            element = Element(name, xxhash.xxh3_64_intdigest(label, above.path) >> 1, stack[-1], off, weak and plain, (strong and not made) or name == "form", inside, name in PROSE, len(stack))
+            # Within an article fewer words are enough, and none for its headings and paragraphs.
+            sure = bool(strong) and not (above.content and (name in PROSE or ALWAYS.isdisjoint(strong)))
+            off = made or (sure and plain)
+            element = Element(name, xxhash.xxh3_64_intdigest(label, above.path) >> 1, stack[-1], off, (weak or bool(strong)) and not off and plain, (sure and not made) or name == "form", inside, name in PROSE, len(stack))
             if name in CONTENT and not off:
                 up = stack[-1]
                 while up and not elements[up].holds:
@@ -264,17 +283,25 @@ def doubtful(element: Element) -> bool:
 
 def tokens(page: str) -> Counter:
     """(path, text or 0, whether an end tag) -> how often a page has it, for the blocks that the template decides on."""
+    return page_tokens(page)[0]
+
+
+def page_tokens(page: str) -> tuple[Counter, set[int]]:
+    """The tokens of a page, and the paths among theirs that are headings."""
     elements, blocks = scan(page)
     found: Counter = Counter()
+    heads: set[int] = set()
     for block in blocks:
         if doubtful(elements[block.at]):
             found[elements[block.at].path, text_key(elements[block.at], block), False] += 1
+            if elements[block.at].name in HEADINGS:
+                heads.add(elements[block.at].path)
     wanted = {path for path, _, _ in found}
     for element in elements:
         if element.path in wanted:
             found[element.path, 0, False] += 1
             found[element.path, 0, True] += 1
-    return found
+    return found, heads
 
 
 def main_text(page: str, template: frozenset[int] | set[int]) -> str:
@@ -303,19 +330,21 @@ def templates(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Dat
         for batch in batches:
             out = []
             for host, weight, page in zip(batch["_host"], batch["_weight"], batch["_html"]):
-                for (path, text, end), n in tokens(page or "").items():
-                    out.append((host, path, text, end, n, weight))
-            yield pd.DataFrame(out, columns=["host", "path", "text", "is_end", "n", "weight"])
+                found, heads = page_tokens(page or "")
+                for (path, text, end), n in found.items():
+                    out.append((host, path, text, end, n, weight, path in heads))
+            yield pd.DataFrame(out, columns=["host", "path", "text", "is_end", "n", "weight", "heading"])
 
     # A page's weight in the vectors' identity; small enough that sums stay far from overflow in 128-bit decimals.
-    weight = F.xxhash64(F.col(id_col), F.col(html_col)).alias("_weight")
+    # Equal pages have one weight, so that they don't pass for pages that differ.
+    weight = F.xxhash64(F.col(html_col)).alias("_weight")
     rows = pages.select(url_host(F.col(url_col)).alias("_host"), weight, F.col(html_col).alias("_html"))
-    found = rows.mapInPandas(seen, "host string, path long, text long, is_end boolean, n int, weight long")
+    found = rows.mapInPandas(seen, "host string, path long, text long, is_end boolean, n int, weight long, heading boolean")
     vector = F.struct(F.sum(F.col("n") * F.col("weight").cast("decimal(38,0)")).alias("weighted"), F.sum("n").alias("n"), F.count("*").alias("pages"))
-    classes = written(found.groupBy("host", "path", "text", "is_end").agg(vector.alias("vector")), "classes")
+    classes = written(found.groupBy("host", "path", "text", "is_end").agg(vector.alias("vector"), (F.min("weight") < F.max("weight")).alias("differ"), F.max("heading").alias("heading")), "classes")
     # An element is valid where its start and end tags are of one class; both tags of a path share its join keys.
     tags = classes.where("text = 0").groupBy("host", "path").agg(F.min("vector").alias("lo"), F.max("vector").alias("hi")).where("lo = hi")
-    texts = classes.where("text <> 0 and vector.pages >= 2").select("host", "path", "text", "vector")
+    texts = classes.where("text <> 0 and differ and (vector.pages >= 3 or not heading)").select("host", "path", "text", "vector")
     return texts.join(tags, ["host", "path"]).where("vector = lo").select("host", "text")
 
 

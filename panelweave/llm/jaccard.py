@@ -36,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from panelweave.llm.common import discard, lean, written
 
@@ -309,12 +310,13 @@ class Join:
     def __init__(self, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str, chunk: int = CHUNK, local_links: int = LOCAL_LINKS):
         self.spark, self.percent, self.width, self.chunk, self.local_links = docs.sparkSession, percent, width, chunk, local_links
         self.tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1)
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_of(docs).alias("row"), F.col(text_col).alias("text"))
+        self.id_type = docs.schema[id_col].dataType
+        self.docs = docs.select(F.col(id_col).alias("doc_id"), row_of(docs).alias("row"), F.col(text_col).alias("text"))
 
     def profile(self) -> DataFrame:
         """Kind 0: doc_id, row, n, the keys of its set, and (for its first row in a part of the input) its count vectors.
         Kind 1: a shingle (key) seen n times in one part of the input."""
-        width = self.width
+        width, id_kind = self.width, to_arrow_type(self.id_type)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, seen, held, many = Shingler(width), set(), [], 0
@@ -326,7 +328,7 @@ class Join:
                 counts = np.diff(np.append(starts, len(every)))
                 often = counts >= 2
                 key, none = every[starts][often].astype(np.int64), int(often.sum())
-                return pa.RecordBatch.from_arrays([pa.array(np.ones(none, np.int32)), pa.nulls(none, pa.int64()), pa.nulls(none, pa.struct([("f", pa.int64()), ("r", pa.int64())])), pa.array(counts[often]), pa.array(key), pa.array(np.zeros(none, np.int64)), pa.nulls(none, pa.binary()), pa.nulls(none, pa.binary())], names)
+                return pa.RecordBatch.from_arrays([pa.array(np.ones(none, np.int32)), pa.nulls(none, id_kind), pa.nulls(none, pa.struct([("f", pa.int64()), ("r", pa.int64())])), pa.array(counts[often]), pa.array(key), pa.array(np.zeros(none, np.int64)), pa.nulls(none, pa.binary()), pa.nulls(none, pa.binary())], names)
 
             for batch in batches:
                 keys, vectors, fine = [], [], []
@@ -350,7 +352,7 @@ class Join:
             if held:
                 yield repeated()
 
-        return written(self.docs.mapInArrow(lambda batches: lean(scan(batches)), f"kind int, doc_id long, row {ROW}, n long, key long, other long, vector binary, fine binary"), "profile")
+        return written(self.docs.mapInArrow(lambda batches: lean(scan(batches)), f"kind int, doc_id {self.id_type.simpleString()}, row {ROW}, n long, key long, other long, vector binary, fine binary"), "profile")
 
     def frequent(self, profile: DataFrame) -> np.ndarray:
         """The shingles to rank last, ascending: those noted most often, and at most a fixed number."""

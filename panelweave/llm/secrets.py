@@ -66,6 +66,15 @@ _SHAPES = (
     ("name", re.compile(r"[A-Za-z]+(?:[-_./'][A-Za-z]+)*")),
     ("path", re.compile(r"/?[\w.-]+/[\w./-]*", re.A)),
 )
+#: Shapes of a whole token, whatever stands before a colon or an equals sign in it.
+_WHOLE = (
+    ("login address", re.compile(r"[a-z][a-z0-9+.-]*://[^/\s:@]+:[^/\s@]+@.*", re.I | re.S)),
+    ("message id", re.compile(r"<[^<>@]+@[^<>]+>[,;.]?")),
+    ("data", re.compile(r"[\"'(]*data:[a-z]+/[a-z0-9.+-]+[;,].*", re.I | re.S)),
+    ("six parts", re.compile(r"[\[(]?(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}(?:%\w+|/[0-9]+)?\]?[,;.]?", re.I)),
+    ("digest", re.compile(r"[\"']?(?:sha|md)[0-9]+[-:=][0-9a-z+/]+=*[\"',;.]*", re.I)),
+    ("formula", re.compile(r"(?=.*[()=#\[])(?:Cl|Br|[BCNOPSFIHbcnops]|\[[A-Za-z0-9@+-]+\]|[-=#$/\\:.()%@+0-9])+", re.S)),
+)
 OUT, BEGIN, INSIDE = range(3)
 
 
@@ -93,14 +102,16 @@ def shape(token: str) -> list[str]:
     bare = token.strip("\"'`,;()[]{}<>.:=")
     # The value of an assignment written without blanks counts, rather than the whole.
     at = max(bare.find("="), bare.find(":"))
-    key, value = (bare[:at], bare[at + 1 :].strip("\"'")) if 0 < at < len(bare) - 1 and "://" not in bare else ("", bare)
+    whole = next((name for name, form in _WHOLE if form.fullmatch(token)), None)
+    key, value = (bare[:at], bare[at + 1 :].strip("\"'")) if 0 < at < len(bare) - 1 and "://" not in bare and whole is None else ("", bare)
     sets = {_SET_OF.get(c, "o") for c in value}
     size = len(value)
-    kind = next((name for name, form in _SHAPES if form.fullmatch(value)), "mixed") if size <= 4096 else "mixed"
+    kind = whole or next((name for name, form in _SHAPES if form.fullmatch(value)), "mixed")
     long = _level(size, 1, 4, 6, 8, 12, 16, 20, 24, 32, 48)
     which = "".join(sorted(sets))
     names = [f"sets={which}", f"long={long}", f"kind={kind}", f"kind={kind} long={long}", f"kind={kind} sets={which}"]
-    if size >= 6:
+    # How mixed an address or another known whole is says nothing about what it is.
+    if size >= 6 and whole is None and kind not in ("address", "mail"):
         turns = sum(_SET_OF.get(a) != _SET_OF.get(b) for a, b in zip(value, value[1:])) / size
         letters = [c for c in value.lower() if c.isalpha()]
         vowels = sum(c in _VOWELS for c in letters) / len(letters) if letters else 0.5
@@ -467,6 +478,7 @@ def made_other(chance: np.random.Generator) -> list[str]:
     digits = lambda low, high=None: _draw(chance, string.digits, low, high)
     word = lambda: _draw(chance, string.ascii_lowercase, 3, 8)
     hexes = lambda *sizes: "-".join(_draw(chance, "0123456789abcdef", n) for n in sizes)
+    spoken = lambda low, high: "".join(_draw(chance, "bcdfghjklmnprstvw", 1, 2) + _draw(chance, "aeiou", 1) + _draw(chance, "lmnrst", 0, 1) for _ in range(int(chance.integers(low, high + 1))))
     forms = (
         lambda: ["ORD-" + digits(4) + "-" + digits(6, 10)],
         lambda: ["order", "no.", digits(8, 14)],
@@ -488,6 +500,22 @@ def made_other(chance: np.random.Generator) -> list[str]:
         lambda: ["commit", _draw(chance, "0123456789abcdef", 7, 10)],
         lambda: [word() + word() + word()],
         lambda: [f"{word()}={word()}", f"{word()}:{digits(1, 4)}"],
+        lambda: [":".join(_draw(chance, "0123456789abcdef", 1, 4) for _ in range(8))],
+        lambda: ["address", f"{_draw(chance, '0123456789abcdef', 4)}:{_draw(chance, '0123456789abcdef', 3, 4)}::{_draw(chance, '0123456789abcdef', 1, 4)}"],
+        lambda: [f"data:image/{['png', 'gif', 'jpeg'][int(chance.integers(3))]};base64,{_draw(chance, _ALL + '+/', 40, 300)}"],
+        lambda: [f"sha{[256, 384, 512][int(chance.integers(3))]}-{_draw(chance, _ALL + '+/', 43)}="],
+        lambda: [f"<{_draw(chance, _ALL, 10, 30)}.{digits(3, 9)}@{word()}.{word()}.com>"],
+        lambda: ["".join(["C", "CC", "N", "O", "c1ccccc1", "(=O)", "C(=O)O", "[C@@H]", "S", "Cl", "N1", "C1"][int(i)] for i in chance.integers(12, size=int(chance.integers(5, 14))))],
+        lambda: [["parcel", "tracking", "shipment", "order", "via"][int(chance.integers(5))], _draw(chance, string.ascii_uppercase + string.digits, 2) + _draw(chance, string.digits, 8, 18) + _draw(chance, string.ascii_uppercase + string.digits, 0, 3)],
+        lambda: [f"https://www.{word()}.com/watch?v={_draw(chance, _ALL + '-_', 11)}"],
+        lambda: [f"https://{word()}.be/{_draw(chance, _ALL + '-_', 11)}"],
+        lambda: [f"https://docs.{word()}.com/document/d/{_draw(chance, _ALL + '-_', 30, 44)}/edit"],
+        lambda: [f"https://{word()}.{word()}.net/{_draw(chance, _ALL, 16, 40)}.{['png', 'js', 'pdf'][int(chance.integers(3))]}?v={_draw(chance, _ALL, 6, 12)}"],
+        lambda: ["".join((w.capitalize() if i else w) for i, w in enumerate(spoken(1, 3) for _ in range(int(chance.integers(3, 8)))))],
+        lambda: [spoken(5, 14)],
+        lambda: ["\\" + word() + "{" + "}{".join("\\" + spoken(2, 3) + "^2" + _draw(chance, "xyzuvw", 1) for _ in range(int(chance.integers(1, 3)))) + "}"],
+        lambda: [["parcel", "tracking", "shipment"][int(chance.integers(3))], "1Z" + _draw(chance, string.ascii_uppercase + string.digits, 6, 16)],
+        lambda: [f"{word()}/{word()}@sha256:{word()}", f"registry.{word()}.io/{word()}:{digits(1)}.{digits(1, 2)}"],
     )
     return forms[int(chance.integers(len(forms)))]()
 
@@ -504,6 +532,14 @@ def planted(words: list[str], tags: list[int], chance: np.random.Generator, keys
     forms = [([f"{key}:", secret], [OUT, BEGIN]), ([key, "=", secret], [OUT, OUT, BEGIN]), ([f"{key}={secret}"], [BEGIN]), ([f'"{key}":', f'"{secret}",'], [OUT, BEGIN]), ([key, secret], [OUT, BEGIN]), ([f"{key}='{secret}'"], [BEGIN]), (["Authorization:", "Bearer", secret], [OUT, OUT, BEGIN])]
     if alone:
         forms += [([secret], [BEGIN]), (["use", f"{secret}."], [OUT, BEGIN]), ([f"({secret})"], [BEGIN])]
+    if chance.integers(8) == 0:
+        plain = re.sub(r"[@/:\s]", "", secret)
+        where = _draw(chance, string.ascii_lowercase, 3, 10)
+        forms = [([f"{['postgres', 'mysql', 'mongodb+srv', 'https', 'redis', 'amqp'][int(chance.integers(6))]}://{where}:{plain}@{where[::-1]}.example.com:{int(chance.integers(1000, 9999))}/{where}"], [BEGIN])]
+    elif chance.integers(10) == 0:
+        many = int(chance.integers(3, 7))
+        said = [_draw(chance, string.ascii_lowercase, 3, 9) for _ in range(many)]
+        forms = [([f"{['passphrase', 'seed-phrase', 'recovery-phrase'][int(chance.integers(3))]}:", *said], [OUT, BEGIN, *([INSIDE] * (many - 1))])]
     some, marks = forms[int(chance.integers(len(forms)))]
     yield [*words[:at], *some, *words[at:]], [*tags[:at], *marks, *tags[at:]]
     other = made_other(chance)

@@ -249,3 +249,104 @@ def test_given_tables_match_sql(spark, table, digest, sql, keys):
     got = digest(spark.read.parquet(path)).toPandas()[list(want.columns)]
     order = list(want.columns[:keys])
     assert got.sort_values(order).astype(str).values.tolist() == want.sort_values(order).astype(str).values.tolist()
+
+
+# op7, op10 and odd columns
+
+
+def drawn(chance, letters, n):
+    return "".join(letters[int(i)] for i in chance.integers(len(letters), size=n))
+
+
+@pytest.fixture(scope="module")
+def tagger():
+    from panelweave.llm import secrets
+
+    chance = np.random.default_rng(31)
+    spoken = ["".join(drawn(chance, "bdfglmnprst", 1) + drawn(chance, "aeiou", 1) for _ in range(int(chance.integers(1, 5)))) for _ in range(800)]
+    texts = [" ".join(spoken[int(i)] for i in chance.integers(800, size=120)) for _ in range(300)]
+    return secrets.Tagger(secrets.fitted([w for t in texts for w in secrets.tagged(t, 2, 16)])), texts
+
+
+def found_share(tagger, make, n=150):
+    field, texts = tagger
+    chance, hits = np.random.default_rng(32), 0
+    for i in range(n):
+        words, made = texts[i % len(texts)].split()[:14], make(chance)
+        at = int(chance.integers(len(words)))
+        start = len(" ".join(words[:at])) + (at > 0)
+        spans = field.spans(" ".join([*words[:at], *made, *words[at:]]))
+        hits += any(a < start + len(" ".join(made)) and start < b for a, b in spans)
+    return hits / n
+
+
+HEX, ALNUM = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+#: Clean tokens, most of them of forms that the fit is not shown.
+CLEAN = {
+    "address of six parts": lambda c: [":".join(drawn(c, HEX, 4) for _ in range(8))],
+    "hardware address": lambda c: [":".join(drawn(c, HEX, 2) for _ in range(6))],
+    "message id": lambda c: [f"<CA+{drawn(c, ALNUM, 20)}={drawn(c, ALNUM, 10)}@mail.example.com>"],
+    "formula": lambda c: ["CC(=O)OC1=CC=CC=C1C(=O)O"[: int(c.integers(8, 24))]],
+    "digest": lambda c: [f"sha512-{drawn(c, ALNUM + '+/', 86)}=="],
+    "data": lambda c: [f"data:application/pdf;base64,{drawn(c, ALNUM + '+/', 200)}"],
+    "video": lambda c: [f"https://www.example.com/watch?v={drawn(c, ALNUM + '-_', 11)}&t=4"],
+    "document": lambda c: [f"https://drive.example.com/file/d/{drawn(c, ALNUM + '-_', 40)}/view"],
+    "article number": lambda c: [f"10.1038/s{drawn(c, '0123456789', 5)}-{drawn(c, '0123456789', 3)}-{drawn(c, '0123456789', 5)}-{drawn(c, HEX, 1)}"],
+    "parcel": lambda c: ["JD" + drawn(c, "0123456789", 18)],
+}
+SECRET = {
+    "password in an address": lambda c: [f"postgresql://admin:{drawn(c, ALNUM, 12)}@db.example.io:5432/app"],
+    "prefixed": lambda c: ["ghp_" + drawn(c, ALNUM, 36)],
+    "signed": lambda c: [f"eyJ{drawn(c, ALNUM, 30)}.eyJ{drawn(c, ALNUM, 40)}.{drawn(c, ALNUM + '-_', 43)}"],
+    "words": lambda c: ["passphrase:", *(drawn(c, "abcdefghijklmnopqrstuvwxyz", int(c.integers(4, 8))) for _ in range(4))],
+    "bearer": lambda c: ["Authorization:", "Bearer", drawn(c, ALNUM, 32)],
+}
+
+
+def test_field_spares_clean_tokens_and_finds_secrets(tagger):
+    clean = {name: found_share(tagger, make) for name, make in CLEAN.items()}
+    assert max(clean.values()) <= 0.06 and sum(clean.values()) / len(clean) <= 0.02, clean
+    secret = {name: found_share(tagger, make) for name, make in SECRET.items()}
+    assert min(secret.values()) >= 0.8, secret
+
+
+def test_html_keeps_text_of_equal_pages_and_shared_titles(spark):
+    from panelweave.llm import html
+
+    same = "<body><div class=text><p>one</p><p>two</p></div></body>"
+    title = "<body><div class=top>Top of the site</div><h1>A title</h1><div class=text><p>page {}</p></div></body>"
+    inside = "<article><h1>T</h1>{}</article>"
+    cases = [
+        ("http://a.com/1", same, "one\ntwo"), ("http://a.com/1", same, "one\ntwo"), ("http://a.com/2", same, "one\ntwo"),
+        ("http://b.com/1", title.format(1), "A title\npage 1"), ("http://b.com/2", title.format(2), "A title\npage 2"),
+        *((f"http://c.com/{i}", title.format(i), f"page {i}") for i in range(3)),
+        *(("http://d.com/1", inside.format(f"<{tag} class='{name}'>kept</{tag}>"), "T\nkept") for tag, name in (("div", "search-results"), ("div", "login-page"), ("section", "menu"), ("div", "promo-code"), ("h2", "comment"))),
+        *(("http://e.com/1", inside.format(f"<div {mark}><p>reader</p></div>"), "T") for mark in ("id=reader-comments", "id='replies'", "class='comment-list'", "class=gdpr-bar", "class='ad-slot'")),
+        ("http://f.com/1", "<body><div class=toolbar>tools</div><p>kept</p></body>", "kept"),
+    ]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(cases)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract_digest(pages).collect()}
+    assert [(i, got[i]) for i in range(len(cases))] == [(i, text) for i, (_, _, text) in enumerate(cases)]
+
+
+def test_clashing_columns_and_text_ids(spark, tmp_path):
+    import corpus_pipeline
+    from panelweave.llm import grading, jaccard
+
+    chance = np.random.default_rng(33)
+    words = [drawn(chance, "abcdefghij", 5) for _ in range(300)]
+    texts = [" ".join(words[int(i)] for i in chance.integers(300, size=60)) for _ in range(40)]
+    texts[1] = texts[0]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, KEPT_ string, expected_grade int, _graded int, _spans string, tail_probability string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "k", "K", 1, 2, "spans", "t") for i, t in enumerate(texts)], schema)
+    spark.createDataFrame([(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    labels = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    graded = grading.grade_documents(docs, labels)
+    assert len({c.casefold() for c in graded.columns}) == len(graded.columns) and dict(graded.dtypes)["kept"] == "boolean" and graded.count() == 40
+    for stage in (corpus_pipeline.quality, corpus_pipeline.secret_removal):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and {(r["_spans"], r["_graded"], r["kept"]) for r in out.collect()} <= {("spans", 2, "k")}
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 3, "0")))
+    rows = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(named).collect()}
+    assert rows["d001"] == rows["d000"] == "d000" and rows["d002"] == "d002" and len(rows) == 40
+    assert jaccard.one_of_each(named).count() == 39
