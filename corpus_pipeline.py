@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.llm import decontaminate, grading, jaccard, packing, secrets
-from panelweave.llm.common import modest_batches, written
+from panelweave.llm.common import fresh, modest_batches, written
 from panelweave.llm.queries import tokenizer_path
 
 
@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that are of top grade rather than not."""
     modest_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return grading.grade_documents(docs, labels).where("kept").select(*docs.columns)
+    return grading.accepted(docs, labels)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +39,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark."""
     modest_batches(spark)
-    chain = secrets.train(docs)
-    found = docs.withColumn("_spans", secrets.secret_spans(F.col("text"), chain))
-    clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col("_spans")))
-    return clean.withColumn("n_chars", F.when(F.size("_spans") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    chain, spans = secrets.train(docs), fresh(docs, "_spans")
+    found = docs.withColumn(spans, secrets.secret_spans(F.col("text"), chain))
+    clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col(spans)))
+    return clean.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).drop(spans)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
