@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +14,8 @@ from panelweave.functions import ranges, time, validation
 from panelweave.functions.time import Granularity
 from panelweave.model import Group, Spec, Unit
 from panelweave.plans import analyze, engine
-from panelweave.plans.bindings import _ALL_YEARS, _LINEITEM, _ORDER_SUPPLIER, _ORDERS, _PAIRS, _first, _group, _islands, _order_supplier, _pairs_sql, _query, _stamped, _table
+from panelweave.plans.units import UnitRun
+from panelweave.plans.bindings import _ALL_YEARS, _LINEITEM, _ORDER_SUPPLIER, _ORDERS, _PAIRS, _first, _group, _islands, _last, _nation_customer, _order_supplier, _pairs_sql, _part_supplier, _query, _stamped, _table
 from panelweave.plans.bindings import monad_customer_month, sample_n
 from panelweave.shared import fresh_path
 from panelweave.sources import files
@@ -529,3 +532,130 @@ def row_counts(spark, sf_dir):
     """Tables counted."""
     count = lambda name: _table(spark, sf_dir, name).agg(F.count("*").alias("lines" if name == "lineitem" else name))
     return count("lineitem").crossJoin(count("orders"))
+
+
+# What is kept on disk: runs by unit, stored tables, projects; further imports, samples and cascades.
+
+
+@_query(_ALL_YEARS)
+def granulated_unit_by_unit(spark, sf_dir):
+    """Granulated dyads made in jobs of three years each, stopped after the first and taken up again."""
+    spec = Spec({"ship": ["l_quantity"]}, {"supplier": 2}, consolidate=False, show_time=True)
+    path = fresh_path(spark, "units")
+    UnitRun(spec, [_order_supplier(spark, sf_dir)], path, each=3).run(jobs=1)
+    again = UnitRun(spec, [_order_supplier(spark, sf_dir)], path, each=3)
+    again.run()
+    return again.output()
+
+
+@_query(
+    f"""WITH fresh AS (SELECT o_orderkey, o_custkey, 'X' AS o_orderstatus, o_totalprice + 1 AS o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 997 = 0),
+    late AS (SELECT {_ORDERS} FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey, o_custkey ORDER BY {", ".join(c.strip() + " DESC" for c in _ORDERS.split(","))}) AS n FROM fresh) WHERE n = 1),
+    kept AS (SELECT o.* FROM orders o ANTI JOIN late l USING (o_orderkey, o_custkey) UNION ALL SELECT l.* FROM orders o JOIN late l USING (o_orderkey, o_custkey))
+    SELECT * FROM kept WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < -990)"""
+)
+def stored_table_changes(spark, sf_dir):
+    """Orders kept in partitions by key: some refreshed, then those of customers deep in debt deleted as members."""
+    orders = _table(spark, sf_dir, "orders")
+    catalog = Catalog()
+    catalog.add_entity("order", "Orders")
+    catalog.add_entity("customer", "Customers")
+    unit = Unit("order_customer", ("order", "customer"))
+    catalog.add_group(Group("orders", unit, orders, (("o_orderkey", "order"), ("o_custkey", "customer")), order=tuple(orders.columns)))
+    catalog.keep("orders", fresh_path(spark, "stored"), buckets=16)
+    fresh = orders.where("o_orderkey % 997 = 0").withColumns({"o_orderstatus": F.lit("X"), "o_totalprice": F.col("o_totalprice") + 1})
+    catalog.load("orders", fresh, "refresh")
+    catalog.drop_members("customer", _table(spark, sf_dir, "customer").where("c_acctbal < -990").select("c_custkey"))
+    return catalog.groups["orders"].table
+
+
+@_query(f"SELECT count(*) AS read, count(*) FILTER (NOT ({_GOOD})) AS bad, count(*) FILTER ({_GOOD}) AS written FROM orders")
+def csv_import_counted_by_its_write(spark, sf_dir):
+    """How many lines an import read, rejected and wrote, as the write itself counted them."""
+    counts = _import_orders(spark, sf_dir).saved(fresh_path(spark, "imported"))
+    return spark.createDataFrame([tuple(counts[n] for n in ("read", "bad", "written"))], "read long, bad long, written long")
+
+
+@_query(
+    _pairs_sql(
+        _first("(SELECT c_nationkey, o.* FROM orders o JOIN customer ON o_custkey = c_custkey)", "c_nationkey", "o_custkey", "month", "o_orderdate", "o_orderstatus", "c_nationkey, " + _ORDERS, "c_nationkey IN (3, 7, 11)"),
+        "MONTH",
+        "c_nationkey o_custkey o_orderstatus",
+    )
+)
+def saved_project(spark, sf_dir):
+    """A project with a group, members and a specification with a limit, saved, opened again and run."""
+    customer, path = _table(spark, sf_dir, "customer"), fresh_path(spark, "project")
+    catalog = Catalog()
+    for entity in ("nation", "customer"):
+        catalog.add_entity(entity, entity.title() + "s")
+    catalog.add_members("customer", _members(customer, "c_custkey", "c_name"))
+    unit = catalog.add_unit("nation_customer", ("nation", "customer"), Granularity.MONTH)
+    catalog.add_group(replace(_nation_customer(spark, sf_dir), unit=unit))
+    catalog.specs["three"] = Spec({"orders": ["o_orderstatus"]}, {"customer": 2}, limits={"nation": [3, 7, 11]}, show_time=True)
+    catalog.save(spark, path)
+    again = Catalog.opened(spark, path)
+    return again.generate(again.specs["three"])
+
+
+@_query(
+    """SELECT o_orderkey, o_totalprice::DECIMAL(18, 2)::DOUBLE AS price, o_orderstatus AS status, 'Key of the order' AS of_key, 'Price, with taxes' AS of_price FROM orders WHERE o_orderkey % 10 <> 0"""
+)
+def header_of_three_rows(spark, sf_dir):
+    """Files whose first three lines are names, descriptions and types; a text in a number's place is rejected."""
+    orders = _table(spark, sf_dir, "orders")
+    path = fresh_path(spark, "headed")
+    price = F.when(F.col("o_orderkey") % 10 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    lines = "\n".join(("o_orderkey,price,status", 'Key of the order,"Price, with taxes",', "int64,float,string"))
+    # Every file begins with the header rows.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    orders.select(F.concat_ws("\n", F.when(first, F.lit(lines)), F.concat_ws(",", F.col("o_orderkey").cast("string"), price, "o_orderstatus"))).write.text(path)
+    header = files.read_header(spark, path, descriptions=True, kinds=True)
+    found = files.read_csv(spark, path, header, keys=["o_orderkey"]).rows
+    told = dict(zip(header.names, header.descriptions))
+    return found.select("o_orderkey", "price", "status", F.lit(told["o_orderkey"]).alias("of_key"), F.lit(told["price"]).alias("of_price"))
+
+
+_TWO_YEARS = "(SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1998-01-01')"
+
+
+@_query(
+    f"""WITH leaves AS ({_first(_TWO_YEARS, "l_partkey", "l_suppkey", "year", "l_shipdate", "l_quantity", _LINEITEM)}), pairs AS ({_PAIRS}),
+    child AS ({_last(_TWO_YEARS, "l_partkey", "1", "month", "l_shipdate", "l_extendedprice", _LINEITEM)}),
+    cuts AS (SELECT s AS t0 FROM leaves UNION SELECT s + INTERVAL 1 YEAR FROM leaves UNION SELECT s FROM child UNION SELECT s + INTERVAL 1 MONTH FROM child),
+    slices AS (SELECT t0 AS a, lead(t0) OVER (ORDER BY t0) AS z FROM cuts)
+    SELECT p.b AS l_partkey, l1 AS l_suppkey_1, l2 AS l_suppkey_2, v1 AS l_quantity_1, v2 AS l_quantity_2, c.v AS l_extendedprice,
+        strftime(a, '%Y-%b-%d') AS row_starts_at, strftime(z, '%Y-%b-%d') AS row_ends_at
+    FROM pairs p JOIN slices ON a >= p.s AND a < p.s + INTERVAL 1 YEAR LEFT JOIN child c ON c.b = p.b AND c.s <= a AND a < c.s + INTERVAL 1 MONTH"""
+)
+def sample_cut_by_another_table(spark, sf_dir):
+    """A sample of all yearly dyads, weighed before a monthly table cuts them: each is cut where that table's rows end."""
+    child = _group("part_month", _stamped(_table(spark, sf_dir, "lineitem"), "l_shipdate", Granularity.MONTH), Granularity.MONTH, ("l_partkey", "part"))
+    spec = Spec({"ship": ["l_quantity"], "part_month": ["l_extendedprice"]}, {"supplier": 2}, F_DAYS["1996-01-01"], F_DAYS["1998-01-01"], consolidate=False, sample=10**15, show_time=True)
+    return engine.generate(spec, [_part_supplier(spark, sf_dir, Granularity.YEAR), child])
+
+
+@_query(
+    """SELECT 'after the unit' AS step, 'lines' AS "group", count(*) AS "rows" FROM lineitem UNION ALL SELECT 'after the unit', 'nations', count(*) FROM nation
+    UNION ALL SELECT 'after the entity', 'nations', count(*) FROM nation"""
+)
+def cascades_of_units_and_entities(spark, sf_dir):
+    """What groups are left, with their rows, after a unit and then an entity are dropped."""
+    catalog = Catalog()
+    for entity in ("order", "supplier", "nation"):
+        catalog.add_entity(entity, entity)
+    for code, entities, table, key in (("lines", ("order",), "lineitem", "l_orderkey"), ("bills", ("order", "order"), "orders", "o_orderkey"), ("nations", ("nation",), "nation", "n_nationkey")):
+        unit = catalog.add_unit(f"u_{code}", entities)
+        rows = _table(spark, sf_dir, table)
+        keys = ((key, "order"), ("o_custkey", "order")) if code == "bills" else ((key, entities[0]),)
+        catalog.add_group(Group(code, unit, rows, keys))
+    out = []
+
+    def left(step: str) -> None:
+        out.extend(g.table.agg(F.lit(step).alias("step"), F.lit(c).alias("group"), F.count("*").alias("rows")) for c, g in catalog.groups.items())
+
+    catalog.drop_unit("u_bills")
+    left("after the unit")
+    catalog.drop_entity("order")
+    left("after the entity")
+    return reduce(DataFrame.unionByName, out)

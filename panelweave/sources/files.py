@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +64,15 @@ class Imported:
     rows: DataFrame
     rejects: DataFrame
     judged: DataFrame
+    columns: tuple[Column, ...]
+
+    def saved(self, path: str, mode: str = "overwrite") -> dict[str, int]:
+        """Writes the accepted rows as Parquet; how many lines were read, bad and written, counted by this very write."""
+        lines, kept = Observation(), Observation()
+        seen = self.judged.observe(lines, F.count(F.lit(1)).alias("read"), F.count("_reason").alias("bad"))
+        rows = seen.where("_reason is null").select(*self.columns).observe(kept, F.count(F.lit(1)).alias("written"))
+        rows.write.mode(mode).parquet(path)
+        return {**lines.get, **kept.get}
 
     def counts(self) -> DataFrame:
         """One row: how many lines were good and bad, in one pass over the file."""
@@ -151,8 +160,9 @@ def read_csv(
         out |= {START: F.col("_start"), END: F.col("_end")}
         reason = reason.when(F.col("_start").isNull() | F.col("_end").isNull(), "no time range")
     judged = parsed.withColumn("_reason", reason)
-    rows = judged.where("_reason is null").select(*(column.alias(n) for n, column in out.items()))
-    return Imported(rows, judged.where("_reason is not null").select(F.col("_line").alias("line"), F.col("_reason").alias("reason")), judged)
+    columns = tuple(column.alias(n) for n, column in out.items())
+    rows = judged.where("_reason is null").select(*columns)
+    return Imported(rows, judged.where("_reason is not null").select(F.col("_line").alias("line"), F.col("_reason").alias("reason")), judged, columns)
 
 
 def same_columns(table: DataFrame, more: DataFrame) -> None:
