@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from panelweave.functions.time import Granularity
+from panelweave.operators.members import MemberSet
 
 #: The default range of an output, in milliseconds.
 DEFAULT_RANGE = (-6_857_222_390_000, 7_258_118_400_000)
@@ -69,7 +70,7 @@ class Spec:
     k: Mapping[str, int] = field(default_factory=dict)
     start: int = DEFAULT_RANGE[0]
     end: int = DEFAULT_RANGE[1]
-    limits: Mapping[str, Sequence | DataFrame] = field(default_factory=dict)
+    limits: Mapping[str, Sequence | DataFrame | MemberSet] = field(default_factory=dict)
     consolidate: bool = True
     sample: int | None = None
     seed: int = 0

@@ -20,6 +20,7 @@ from panelweave.model import Group, Spec
 from panelweave.operators import combine, segment
 from panelweave.operators.combine import combinations, shares, spread, subsets, weights
 from panelweave.operators.consolidate import consolidate
+from panelweave.operators.members import MemberSet
 from panelweave.operators.merge import attach
 from panelweave.operators.sample import drawn, unranked
 from panelweave.operators.scan import numbered, running
@@ -27,8 +28,10 @@ from panelweave.plans.analyze import PlanError, Resolved, resolve
 from panelweave.shared import written
 
 
-def _allowed(rows: DataFrame, column: str, members: Sequence | DataFrame, flag: str) -> DataFrame:
+def _allowed(rows: DataFrame, column: str, members: Sequence | DataFrame | MemberSet, flag: str) -> DataFrame:
     """rows with ``flag``: whether the column's value is listed."""
+    if isinstance(members, MemberSet):
+        return members.flagged(rows, column, flag)
     if isinstance(members, DataFrame):
         listed = members.select(F.col(members.columns[0]).alias("_member")).distinct()
         return rows.join(listed, F.col(column) == F.col("_member"), "left").withColumn(flag, F.col("_member").isNotNull()).drop("_member")

@@ -13,6 +13,7 @@ from panelweave.catalog import Catalog
 from panelweave.functions import ranges, time, validation
 from panelweave.functions.time import Granularity
 from panelweave.model import Group, Spec, Unit
+from panelweave.operators.members import MemberSet
 from panelweave.plans import analyze, engine
 from panelweave.plans.units import UnitRun
 from panelweave.plans.bindings import _ALL_YEARS, _LINEITEM, _ORDER_SUPPLIER, _ORDERS, _PAIRS, _first, _group, _islands, _last, _nation_customer, _order_supplier, _pairs_sql, _part_supplier, _query, _stamped, _table
@@ -659,3 +660,41 @@ def cascades_of_units_and_entities(spark, sf_dir):
     catalog.drop_entity("order")
     left("after the entity")
     return reduce(DataFrame.unionByName, out)
+
+
+_LISTED = "SELECT c_custkey AS m FROM customer WHERE c_nationkey < 20 UNION SELECT o_custkey FROM orders WHERE o_orderpriority <> '5-LOW' EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal < 0"
+
+
+def _listed_customers(spark, sf_dir) -> MemberSet:
+    """Customers of some nations or with an order of some weight, less those in debt."""
+    customer, orders = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders")
+    some = MemberSet.of(customer.where("c_nationkey < 20").select("c_custkey")).union(MemberSet.of(orders.where("o_orderpriority <> '5-LOW'").select("o_custkey")))
+    return some.minus(MemberSet.of(customer.where("c_acctbal < 0").select("c_custkey")))
+
+
+@_query(
+    f"""WITH a AS (SELECT DISTINCT c_custkey AS m FROM customer WHERE c_nationkey < 20), b AS (SELECT DISTINCT o_custkey AS m FROM orders WHERE o_orderpriority <> '5-LOW'), listed AS ({_LISTED})
+    SELECT 'union less debtors' AS list, m AS member FROM listed UNION ALL SELECT 'both', m FROM a JOIN b USING (m) UNION ALL SELECT 'size of both', count(*) FROM a JOIN b USING (m)"""
+)
+def member_sets_as_bits(spark, sf_dir):
+    """Lists of members joined, subtracted, intersected and counted as bits."""
+    customer, orders = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders")
+    a, b = MemberSet.of(customer.where("c_nationkey < 20").select("c_custkey")), MemberSet.of(orders.where("o_orderpriority <> '5-LOW'").select("o_custkey"))
+    both = a.both(b)
+    rows = {"union less debtors": _listed_customers(spark, sf_dir).numbers(), "both": both.numbers(), "size of both": both.size().withColumnRenamed("members", "member")}
+    return reduce(DataFrame.unionByName, (r.select(F.lit(name).alias("list"), "member") for name, r in rows.items()))
+
+
+@_query(
+    _pairs_sql(
+        _first("(SELECT c_nationkey, o.* FROM orders o JOIN customer ON o_custkey = c_custkey)", "c_nationkey", "o_custkey", "month", "o_orderdate", "o_orderstatus", "c_nationkey, " + _ORDERS),
+        "MONTH",
+        "c_nationkey o_custkey o_orderstatus",
+    ).replace("pairs AS (" + _PAIRS + ")", f"""every AS (SELECT * FROM leaves), listed AS ({_LISTED}), short AS (SELECT DISTINCT b, s FROM every WHERE l NOT IN (SELECT m FROM listed)),
+        mine AS (SELECT * FROM every WHERE l IN (SELECT m FROM listed)),
+        pairs AS (SELECT * FROM ({_PAIRS.replace("FROM leaves", "FROM mine").replace("JOIN leaves", "JOIN mine")}) p WHERE l2 IS NOT NULL OR NOT EXISTS (SELECT 1 FROM short WHERE short.b = p.b AND short.s = p.s))""")
+)
+def limit_by_bits(spark, sf_dir):
+    """Customer dyads within a nation, only of customers on a long list that is kept as bits."""
+    spec = Spec({"orders": ["o_orderstatus"]}, {"customer": 2}, limits={"customer": _listed_customers(spark, sf_dir)}, show_time=True)
+    return engine.generate(spec, [_nation_customer(spark, sf_dir)])

@@ -108,3 +108,20 @@ def test_an_import_is_counted_by_its_write(spark, tmp_path):
     found = files.read_csv(spark, str(tmp_path / "a.csv"), header, keys=["k"])
     assert found.saved(str(tmp_path / "out")) == {"read": 5, "bad": 3, "written": 2}
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(1, "a"), (2, "d")]
+
+
+def test_member_sets_are_sets(spark):
+    import random
+
+    from panelweave.operators.members import MemberSet
+
+    chance = random.Random(4)
+    a, b = ({chance.randrange(-200, 200) for _ in range(90)} | {2**62, -(2**63)} for _ in range(2))
+    made = lambda some: MemberSet.of(spark.createDataFrame([(x,) for x in some] * 2 + [(None,)], "m long"))
+    got = lambda s: {r[0] for r in s.numbers().collect()}
+    x, y = made(a), made(b)
+    assert (got(x.union(y)), got(x.minus(y)), got(x.both(y))) == (a | b, a - b, a & b)
+    assert x.minus(y).size().first()[0] == len(a - b) and x.minus(x).size().first()[0] == 0
+    rows = spark.createDataFrame([(str(v),) for v in range(-250, 250)] + [("no",), (None,)], "k string")
+    assert {r["k"] for r in x.flagged(rows, "k", "listed").where("listed").collect()} == {str(v) for v in a if -250 <= v < 250}
+    assert MemberSet.of(spark.createDataFrame([("7",), ("x",)], "m string")).numbers().collect()[0][0] == 7
