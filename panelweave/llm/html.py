@@ -5,9 +5,11 @@ tags of elements, told apart by their paths (names and classes down from the roo
 paths. Over the pages of one host, tokens with the same occurrence vector (how often each page has them) form an
 equivalence class. A vector is never gathered: its sum, its number of pages and a hash-weighted sum identify it, so
 classes come from one grouped aggregate. A class is valid where an element's start and end tags share a vector, that is
-where it nests; a text of the same class is on every page that has the element, so it belongs to the template, however
-many layouts a host has, if pages that differ have it (equal pages count as one), and a heading only from three pages
-on, since two may share a title. All other blocks are the slots of the template, and what they hold is extracted.
+where it nests. A text belongs to the template where its class nests in the class of an element around it: it then
+stands there once for each time that the element does, on every page that has it, however many layouts a host has. Pages
+must differ for that (equal pages count as one); two are enough for an element of its own, three for headings (two may
+share a title) and for elements further up, and ``LEAST_INSIDE`` within articles. All other blocks are the slots of the
+template, and what they hold is extracted.
 
 Furniture goes whatever the template says: elements made for it (nav, header, footer, aside, form and such) and elements
 whose class, role or id names an advert, a menu, comments and the like, with all that is in them. A name counts if what
@@ -40,6 +42,7 @@ from pyspark.sql import types as T
 from panelweave.llm.common import written
 from panelweave.llm.urls import url_host
 
+LEAST_INSIDE = 10  # pages whose articles all have a text, for the template to claim it
 BROADCAST_TEXTS = 500_000  # template texts that a broadcast may hold, as numbers: 8 MB
 
 #: Fixed values of HTML: elements inside a line of text, without an end, whose content is no markup, and of prose.
@@ -282,26 +285,35 @@ def doubtful(element: Element) -> bool:
 
 
 def tokens(page: str) -> Counter:
-    """(path, text or 0, whether an end tag) -> how often a page has it, for the blocks that the template decides on."""
+    """(path, text or 0, whether an end tag) -> how often a page has it, for the blocks that are no furniture."""
     return page_tokens(page)[0]
 
 
-def page_tokens(page: str) -> tuple[Counter, set[int]]:
-    """The tokens of a page, and the paths among theirs that are headings."""
+def page_tokens(page: str) -> tuple[Counter, dict[int, tuple[bool, bool, tuple[int, ...]]]]:
+    """The tokens of a page; and for the paths of its blocks whether they are headings, and surely of an article, and the
+    paths of the elements around them."""
     elements, blocks = scan(page)
     found: Counter = Counter()
-    heads: set[int] = set()
+    about: dict[int, tuple[bool, bool, tuple[int, ...]]] = {}
+    wanted = set()
     for block in blocks:
-        if doubtful(elements[block.at]):
-            found[elements[block.at].path, text_key(elements[block.at], block), False] += 1
-            if elements[block.at].name in HEADINGS:
-                heads.add(elements[block.at].path)
-    wanted = {path for path, _, _ in found}
+        element = elements[block.at]
+        if element.off:
+            continue
+        found[element.path, text_key(element, block), False] += 1
+        if element.path not in about:
+            around, at = [], block.at
+            while at:
+                at = elements[at].parent
+                around.append(elements[at].path)
+            about[element.path] = (element.name in HEADINGS, not doubtful(element), tuple(around))
+            wanted.update(around)
+    wanted.update(about)
     for element in elements:
         if element.path in wanted:
             found[element.path, 0, False] += 1
             found[element.path, 0, True] += 1
-    return found, heads
+    return found, about
 
 
 def main_text(page: str, template: frozenset[int] | set[int]) -> str:
@@ -311,14 +323,12 @@ def main_text(page: str, template: frozenset[int] | set[int]) -> str:
     kept = []
     for block in blocks:
         element = elements[block.at]
-        if element.off:
+        if element.off or text_key(element, block) in template:
+            continue
+        if element.weak and 2 * block.linked >= len(block.text):
+            continue
+        if not element.content and article and not element.prose:
             continue
-        if doubtful(element):
-            known = text_key(element, block) in template
-            if element.weak and (known or 2 * block.linked >= len(block.text)):
-                continue
-            if not element.content and (known or (article and not element.prose)):
-                continue
         kept.append(block.text)
     return "\n".join(kept)
 
@@ -330,22 +340,28 @@ def templates(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Dat
         for batch in batches:
             out = []
             for host, weight, page in zip(batch["_host"], batch["_weight"], batch["_html"]):
-                found, heads = page_tokens(page or "")
+                found, about = page_tokens(page or "")
                 for (path, text, end), n in found.items():
-                    out.append((host, path, text, end, n, weight, path in heads))
-            yield pd.DataFrame(out, columns=["host", "path", "text", "is_end", "n", "weight", "heading"])
+                    out.append((host, path, text, end, n, weight, *(about[path] if text else (None, None, None))))
+            yield pd.DataFrame(out, columns=["host", "path", "text", "is_end", "n", "weight", "heading", "inside", "around"])
 
     # A page's weight in the vectors' identity; small enough that sums stay far from overflow in 128-bit decimals.
     # Equal pages have one weight, so that they don't pass for pages that differ.
     weight = F.xxhash64(F.col(html_col)).alias("_weight")
     rows = pages.select(url_host(F.col(url_col)).alias("_host"), weight, F.col(html_col).alias("_html"))
-    found = rows.mapInPandas(seen, "host string, path long, text long, is_end boolean, n int, weight long, heading boolean")
+    found = rows.mapInPandas(seen, "host string, path long, text long, is_end boolean, n int, weight long, heading boolean, inside boolean, around array<long>")
     vector = F.struct(F.sum(F.col("n") * F.col("weight").cast("decimal(38,0)")).alias("weighted"), F.sum("n").alias("n"), F.count("*").alias("pages"))
-    classes = written(found.groupBy("host", "path", "text", "is_end").agg(vector.alias("vector"), (F.min("weight") < F.max("weight")).alias("differ"), F.max("heading").alias("heading")), "classes")
+    more = [(F.min("weight") < F.max("weight")).alias("differ"), F.max("heading").alias("heading"), F.min("inside").alias("inside"), F.first("around").alias("around")]
+    classes = written(found.groupBy("host", "path", "text", "is_end").agg(vector.alias("vector"), *more), "classes")
     # An element is valid where its start and end tags are of one class; both tags of a path share its join keys.
-    tags = classes.where("text = 0").groupBy("host", "path").agg(F.min("vector").alias("lo"), F.max("vector").alias("hi")).where("lo = hi")
-    texts = classes.where("text <> 0 and differ and (vector.pages >= 3 or not heading)").select("host", "path", "text", "vector")
-    return texts.join(tags, ["host", "path"]).where("vector = lo").select("host", "text")
+    tags = classes.where("text = 0").groupBy("host", "path").agg(F.min("vector").alias("vector"), F.max("vector").alias("_other")).where("vector = _other")
+    texts = classes.where("text <> 0 and differ").select("host", "path", "text", "vector", "heading", "inside", "around")
+    # A class is its host and vector, by which its elements and texts meet; few of a host's texts share an element's.
+    of = tags.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("vector").alias("_vector"))
+    nested = texts.join(of, (F.col("host") == F.col("_host")) & (F.col("vector") == F.col("_vector")))
+    own = F.col("path") == F.col("_path")
+    enough = F.when(F.col("inside"), F.lit(LEAST_INSIDE)).when(own & ~F.col("heading"), F.lit(2)).otherwise(F.lit(3))
+    return nested.where((own | F.array_contains("around", F.col("_path"))) & (F.col("vector.pages") >= enough)).select("host", "text").distinct()
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", salts: int = 64) -> DataFrame:

@@ -1,7 +1,8 @@
 """URL filters: host and path rules first, then a weighted URL vocabulary.
 
 The vocabulary is a table of terms with weights from 0 to 1. Terms of weight 1 are strict: one is enough to block. The
-others are soft: ``soft_needed`` different ones, whose weights sum to ``soft_weight`` or more, block together. An
+others are soft: ``soft_needed`` different ones, whose weights sum to ``soft_weight`` or more, block together, so two
+telling ones do and two that any shop may use do not. An
 Aho-Corasick automaton finds all of them in one pass over the lower-cased URL; a hit counts only between boundaries,
 that is where neither neighbour is a letter or digit. A short vocabulary is part of this module; a longer one is read
 from a table (term, weight), which every task holds, so it has at most ``MOST_TERMS`` rows.
@@ -29,7 +30,8 @@ STRICT_TERMS = (
 #: Terms of which several different ones block, by how telling they are.
 SOFT_TERMS = {
     0.7: ("betting", "blackjack", "cialis", "jackpot", "nude", "payday", "pills", "pharmacy", "poker", "roulette", "sexy", "slots"),
-    0.5: ("ads", "bet", "bets", "bingo", "bonus", "cheap", "click", "clickbait", "coupon", "crack", "dating", "deal", "deals", "discount", "doubleclick", "farm", "free", "gamble", "gambling", "giveaway", "hot", "leads", "loan", "loans", "lottery", "popunder", "popup", "prize", "promo", "promotion", "rx", "singles", "sweepstakes", "track", "tracker", "tracking", "win", "winner"),
+    0.5: ("bet", "bets", "bingo", "cheap", "clickbait", "crack", "dating", "doubleclick", "gamble", "gambling", "giveaway", "loan", "loans", "lottery", "popunder", "prize", "rx", "singles", "sweepstakes"),
+    0.3: ("ads", "bonus", "click", "coupon", "deal", "deals", "discount", "farm", "free", "hot", "leads", "popup", "promo", "promotion", "track", "tracker", "tracking", "win", "winner"),
 }
 VOCABULARY = tuple((term, 1.0) for term in STRICT_TERMS) + tuple((term, weight) for weight, terms in SOFT_TERMS.items() for term in terms)
 SOFT_NEEDED, SOFT_WEIGHT = 2, 1.0

@@ -672,25 +672,60 @@ def test_html_extraction(spark, monkeypatch, texts):
         assert (rows[i]["url"], rows[i]["text"], rows[i]["n_chars"]) == (url, text, len(text)), i
 
 
-def test_html_template_deduction(spark):
-    """The hosts' templates against vectors that are gathered whole."""
+def brute_template(sources):
+    """The template texts of one host's pages, from whole vectors: {(path, text)} by walking every element around a text."""
+    vectors, around, head, inside = defaultdict(lambda: [0] * len(sources)), {}, {}, {}
+    for i, source in enumerate(sources):
+        elements, blocks = html.scan(source)
+        for e in elements:
+            vectors[e.path, None][i] += 1
+        for b in (b for b in blocks if not elements[b.at].off):
+            e = elements[b.at]
+            vectors[e.path, b.text][i] += 1
+            head[e.path], inside[e.path] = e.name in html.HEADINGS, e.content and not e.weak
+            chain, at = [], b.at
+            while at:
+                at = elements[at].parent
+                chain.append(elements[at].path)
+            around[e.path] = chain
+    found = set()
+    for (path, text), vector in vectors.items():
+        if text is None or len({sources[i] for i, n in enumerate(vector) if n}) < 2:
+            continue
+        pages = sum(n > 0 for n in vector)
+        own = vector == vectors[path, None]
+        up = any(vector == vectors[p, None] for p in around[path])
+        least = html.LEAST_INSIDE if inside[path] else 2 if own and not head[path] else 3
+        if (own or up) and pages >= least:
+            found.add((path, text))
+    return found
+
+
+@pytest.mark.parametrize("articles", (False, True))
+def test_html_template_deduction(spark, articles):
+    """The hosts' templates, and what they leave of pages, against vectors that are gathered whole."""
     chance = np.random.default_rng(21)
     said, rows = ["Home", "All rights", "Read more", "x", "y", "z", "w"], []
-    for i in range(60):
-        body = "".join(f"<div class='k{chance.integers(2)}'><p>{said[int(chance.integers(len(said)))]}</p></div>" for _ in range(int(chance.integers(0, 4))))
-        rows.append((i, f"http://h{i % 4}.com/{i}", f"<body><div class=top><p>Top of {i % 4 // 2 if i % 8 < 6 else 9}</p></div>{body}<div class='end'>{'The end' if i % 3 else 'An end'}"))
-    got = {(r["host"], r["text"]) for r in html.templates(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html").collect()}
-    want = set()
-    for host in range(4):
-        vectors = defaultdict(lambda: [0] * 60)
-        for i, _, source in rows:
-            if i % 4 == host:
-                for token, n in html.tokens(source).items():
-                    vectors[token][i] += n
-        for (path, text, _), vector in vectors.items():
-            if text and sum(x > 0 for x in vector) >= 2 and vector == vectors[path, 0, False] == vectors[path, 0, True]:
-                want.add((f"h{host}.com", text))
-    assert got == want and want
+    for i in range(72):
+        body = "".join(f"<div class='k{chance.integers(2)}'><p>{said[int(chance.integers(len(said)))]}</p><p>own {i}</p></div>" for _ in range(int(chance.integers(0, 4))))
+        menu = "<ul>" + "".join(f"<li>{x}</li>" for x in ("Start", "News", "Shop")[: 3 - i % 2]) + "</ul>"
+        body = f"<article><h1>Title {i // 2}</h1>{body}<p>Write to us</p></article>" if articles else f"<h1>Title {i // 8}</h1>{body}"
+        rows.append((i, f"http://h{i % 4}.com/{i}", f"<body><div class=top><p>Top of {i % 4 // 2 if i % 8 < 6 else 9}</p></div>{menu}{body}<div class='end'>{'The end' if i % 3 else 'An end'}"))
+    rows += [(100 + i, "http://same.com/", "<body><p>all of it</p><div>again</div>") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r["host"], r["text"]) for r in html.templates(pages, "page_id", "url", "html").collect()}
+    want, texts, changed = set(), {}, 0
+    for host in ("h0.com", "h1.com", "h2.com", "h3.com", "same.com"):
+        own = [r for r in rows if r[1].split("/")[2] == host]
+        template = {html.text_key(html.Element("", path, 0, *[False] * 5, 0), html.Block(text, 0, 0)) for path, text in brute_template([r[2] for r in own])}
+        want |= {(host, t) for t in template}
+        for r in own:
+            texts[r[0]] = html.main_text(r[2], template)
+            changed += texts[r[0]] != html.main_text(r[2], set())
+    assert got == want and want and changed >= 72
+    out = {r["page_id"]: r["text"] for r in html.extract_pages(pages).collect()}
+    assert out == texts and out[100] == "all of it\nagain" and not any("Start" in t or "Write to us" in t for t in out.values())
+    assert all(f"Title {i // 2 if articles else i // 8}" in out[i] for i in range(72))
 
 
 def test_html_scan_is_linear():

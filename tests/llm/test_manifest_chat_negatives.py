@@ -350,3 +350,11 @@ def test_clashing_columns_and_text_ids(spark, tmp_path):
     rows = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(named).collect()}
     assert rows["d001"] == rows["d000"] == "d000" and rows["d002"] == "d002" and len(rows) == 40
     assert jaccard.one_of_each(named).count() == 39
+
+
+def test_url_weights_decide(spark):
+    from panelweave.llm import urls
+
+    cases = {"http://a.com/free/deals": "allow", "http://a.com/free/deals/coupon": "allow", "http://a.com/free/deals/coupon/win": "block", "http://a.com/dating/singles": "block", "http://a.com/dating/free": "allow", "http://a.com/poker/free": "block", "http://a.com/casino": "block", "http://a.com/poker": "allow"}
+    rows = urls.judge_urls(spark.createDataFrame(list(enumerate(cases)), "page_id long, url string"), ()).collect()
+    assert {list(cases)[r["page_id"]]: r["verdict"] for r in rows} == cases
