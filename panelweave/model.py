@@ -47,6 +47,7 @@ class Group:
     order: tuple[str, ...] | None = None
     numeric: frozenset[str] = frozenset()
     one_unit: bool = False
+    description: str = ""
 
     def __post_init__(self):
         if tuple(entity for _, entity in self.keys) != self.unit.entities:

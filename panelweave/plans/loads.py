@@ -698,3 +698,63 @@ def limit_by_bits(spark, sf_dir):
     """Customer dyads within a nation, only of customers on a long list that is kept as bits."""
     spec = Spec({"orders": ["o_orderstatus"]}, {"customer": 2}, limits={"customer": _listed_customers(spark, sf_dir)}, show_time=True)
     return engine.generate(spec, [_nation_customer(spark, sf_dir)])
+
+
+@_query(
+    """WITH n AS (SELECT count(n_nationkey) AS k, count(n_name) AS v FROM nation), l AS (SELECT count(l_orderkey) AS k, count(CASE WHEN l_quantity > 25 THEN l_quantity END) AS v FROM lineitem)
+    SELECT 1 AS line, 'z_nations' AS "group", 'n_nationkey' AS variable, k AS filled FROM n UNION ALL SELECT 2, 'z_nations', 'n_name', v FROM n
+    UNION ALL SELECT 3, 'a_lines', 'l_orderkey', k FROM l UNION ALL SELECT 4, 'a_lines', 'large', v FROM l"""
+)
+def catalog_listing_with_counts(spark, sf_dir):
+    """Variables in order of their groups' descriptions, with how many rows have a value."""
+    catalog = Catalog()
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_quantity") > 25, F.col("l_quantity")).alias("large"))
+    catalog.add_group(replace(_group("a_lines", lines, Granularity.NONE, ("l_orderkey", "order"), timed=False), description="Shipments"))
+    catalog.add_group(replace(_group("z_nations", _table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), Granularity.NONE, ("n_nationkey", "nation"), timed=False), description="Countries"))
+    return catalog.filled()
+
+
+@_query("SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'a, \"b\" ' || o_orderstatus WHEN 1 THEN '' ELSE o_orderpriority END AS text FROM orders")
+def csv_quotes_nulls_and_appends(spark, sf_dir):
+    """Texts with commas and quotes, and missing ones, written in two parts of one output and read back."""
+    orders, path = _table(spark, sf_dir, "orders"), fresh_path(spark, "parts")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('a, "b" '), "o_orderstatus")).when(F.col("o_orderkey") % 3 == 2, F.col("o_orderpriority"))
+    rows = orders.select(F.col("o_orderkey").alias("k"), text.alias("text"))
+    files.write_csv(rows.where("k % 2 = 0"), f"{path}/out", sort=())
+    files.write_csv(rows.where("k % 2 = 1"), f"{path}/out", mode="append", sort=())
+    # Only the first part has a header; a header row is told by its text, as the parts read one after the other show it once.
+    header = files.Header(("k", "text"), ("", ""), (T.StringType(), T.StringType()), 0)
+    back = files.read_csv(spark, f"{path}/out", header, keys=["k"]).rows
+    return back.where("k <> 'k'").select(F.col("k").cast("bigint").alias("k"), "text")
+
+
+@_query(
+    f"""WITH leaves AS ({_ORDER_SUPPLIER}), pairs AS ({_PAIRS}), alone AS ({_first("lineitem", "l_orderkey", "1", "year", "l_shipdate", "l_tax", _LINEITEM)}),
+    islands AS (SELECT count(*) AS n FROM (SELECT CASE WHEN lag(s) OVER (PARTITION BY b, l1, l2, v1, v2 ORDER BY s) + INTERVAL 1 YEAR = s THEN 0 ELSE 1 END AS opens FROM pairs) WHERE opens = 1)
+    SELECT 'one group' AS specification, n AS "rows" FROM islands UNION ALL SELECT 'names in other case', n FROM islands UNION ALL SELECT 'granulated', count(*) FROM pairs UNION ALL SELECT 'lone entity, granulated', count(*) FROM alone
+    UNION ALL SELECT * FROM (VALUES ('fewer rows than k', NULL), ('rows without a key', NULL), ('k below the unit', NULL), ('k no multiple', NULL), ('two entities multiplied', NULL), ('empty range', NULL), ('granulated without time', NULL), ('several largest groups', NULL))"""
+)
+def specifications_and_their_rows(spark, sf_dir):
+    """How many rows specifications give, and none where they are refused: by their terms, or by what the data hold."""
+    line = _table(spark, sf_dir, "lineitem")
+    stamped, ship = _stamped(line, "l_shipdate", Granularity.YEAR), _order_supplier(spark, sf_dir)
+    order = _group("alone", stamped, Granularity.YEAR, ("l_orderkey", "order"))
+    holes = _group("holes", stamped.withColumn("l_suppkey", F.when(F.col("l_linenumber") > 1, F.col("l_suppkey"))), Granularity.YEAR, ("l_orderkey", "order"), ("l_suppkey", "supplier"))
+    twice = _group("twice", stamped, Granularity.YEAR, ("l_orderkey", "order"), ("l_suppkey", "supplier"), ("l_partkey", "supplier"))
+    timeless = _group("timeless", line, Granularity.NONE, ("l_orderkey", "order"), timed=False)
+    groups = {g.code: g for g in (ship, order, holes, twice, timeless, replace(ship, code="again"))}
+    q, two = {"ship": ["l_quantity"]}, {"supplier": 2}
+    specs = {
+        "one group": Spec(q, two), "names in other case": Spec({"Ship": ["L_QUANTITY"]}, two), "granulated": Spec(q, two, consolidate=False), "lone entity, granulated": Spec({"alone": ["l_tax"]}, consolidate=False),
+        "fewer rows than k": Spec(q, two, start=0, end=86_400_000), "rows without a key": Spec({"holes": ["l_quantity"]}, two, strict=True), "k below the unit": Spec({"twice": ["l_tax"]}, {"supplier": 1}),
+        "k no multiple": Spec({"twice": ["l_tax"]}, {"supplier": 3}), "two entities multiplied": Spec(q, {"supplier": 2, "order": 2}), "empty range": Spec(q, two, start=5_000, end=5_900),
+        "granulated without time": Spec({"timeless": ["l_tax"]}, consolidate=False), "several largest groups": Spec(q | {"again": ["l_tax"]}, two),
+    }
+    out = []
+    for name, spec in specs.items():
+        try:
+            rows = engine.generate(spec, groups).agg(F.count("*").alias("rows"))
+        except analyze.PlanError:
+            rows = spark.range(1).select(F.lit(None).cast("bigint").alias("rows"))
+        out.append(rows.select(F.lit(name).alias("specification"), "rows"))
+    return reduce(DataFrame.unionByName, out)
