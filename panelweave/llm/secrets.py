@@ -75,6 +75,7 @@ _WHOLE = (
     ("digest", re.compile(r"[\"']?(?:sha|md)[0-9]+[-:=][0-9a-z+/]+=*[\"',;.]*", re.I)),
     ("formula", re.compile(r"(?=.*[()=#\[])(?:Cl|Br|[BCNOPSFIHbcnops]|\[[A-Za-z0-9@+-]+\]|[-=#$/\\:.()%@+0-9])+", re.S)),
 )
+_MARKED = re.compile(r"[:=(#\[<-]")  # what a token of these shapes has at least
 OUT, BEGIN, INSIDE = range(3)
 
 
@@ -102,7 +103,7 @@ def shape(token: str) -> list[str]:
     bare = token.strip("\"'`,;()[]{}<>.:=")
     # The value of an assignment written without blanks counts, rather than the whole.
     at = max(bare.find("="), bare.find(":"))
-    whole = next((name for name, form in _WHOLE if form.fullmatch(token)), None)
+    whole = next((name for name, form in _WHOLE if form.fullmatch(token)), None) if _MARKED.search(token) else None
     key, value = (bare[:at], bare[at + 1 :].strip("\"'")) if 0 < at < len(bare) - 1 and "://" not in bare and whole is None else ("", bare)
     sets = {_SET_OF.get(c, "o") for c in value}
     size = len(value)
