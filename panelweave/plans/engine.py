@@ -99,7 +99,9 @@ class Plan:
     def _staged(self, group: Group, flag_leaves: bool = False) -> DataFrame:
         """A group's rows in range: its keys, _data, _order, _s, _e, and for the primary group _excluded."""
         table = group.table
-        order = F.struct(*(group.order or table.columns)).alias("_order")
+        # Rows are only ordered among those with the same keys, which therefore need not be part of the order.
+        same = {c.casefold() for c in group.key_columns if c not in group.numeric}
+        order = F.struct(*(c for c in group.order or table.columns if c.casefold() not in same), F.lit(0).alias("_even")).alias("_order")
         keys = [F.col(c).try_cast("bigint").alias(c) if c in group.numeric else F.col(c) for c in group.key_columns]
         kinds = dict(table.dtypes)
         # An empty text and a missing value are the same in an output.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -20,7 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
         root = getattr(shared_dir, "_fallback", None)
         if root is None:
             root = shared_dir._fallback = tempfile.mkdtemp(prefix="panelweave-")
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+    path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if path not in _swept:
+        _swept.add(path)
+        atexit.register(_sweep, spark, path)
+    return path
+
+
+_swept: set[str] = set()
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    """Deletes what this application wrote to the shared folder, when the driver ends; what is read lazily is read until then."""
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001  the session was stopped before, so nothing can be deleted any more
+        pass
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
