@@ -334,9 +334,25 @@ class Tagger:
         scores = self._emissions(rows, starts, counts)
         # A run of tags but outside has one more move than tokens; two for each token bound what they add.
         gain = np.maximum(scores[:, BEGIN], scores[:, INSIDE]) - scores[:, OUT] + 2 * self.most
-        for k in np.unique(owner[gain > 0]).tolist():
+        hot = np.flatnonzero(gain > 0)
+        if not len(hot):
+            return
+        # A token beside which nothing can gain is a run of its own, and so decided at once for all of them.
+        of, end = owner[hot], len(gain) - 1
+        lone = (hot == starts[of]) | (gain[hot - 1] + gain[hot] <= 0)
+        lone &= (hot == starts[of] + counts[of] - 1) | (gain[np.minimum(hot + 1, end)] + gain[hot] <= 0)
+        moves = self.chain.moves.copy()
+        moves[OUT, INSIDE] = -1e9
+        begins = (scores[hot] + moves[OUT] + moves[:, OUT]).argmax(1) == BEGIN
+        joined = np.unique(of[~lone])
+        for k in np.unique(np.concatenate([of[begins], joined])).tolist():
             own = slice(starts[k], starts[k] + counts[k])
-            tags = self._decoded(scores[own], gain[own])
+            if np.isin(k, joined):
+                tags = self._decoded(scores[own], gain[own])
+            else:
+                tags = np.zeros(counts[k], np.int64)
+                tags[hot[begins & (of == k)] - starts[k]] = BEGIN
+                tags = tags.tolist()
             if any(tags):
                 places, spans = [m.span() for m in _TOKEN.finditer(texts[k].as_py())], found[base + k]
                 for place, tag in zip(places, tags):
