@@ -5,17 +5,20 @@ space between words each letter is a word. For every item length the text has wi
 that many words. The CGK embedding walks over a window, at each of up to three times as many steps giving the word it
 stands on and moving on or not by a random bit that depends on the step and the word; few edits then give a small
 Hamming distance. Bit sampling takes a few steps of a walk as a key; items and windows that share a key in any table of
-any walk are candidates. How often a walk meets each item with as many random edits as are allowed is measured; walks are
-made until nine in ten items reach the target recall, and items that do not are compared at all their places without an
-embedding, so that every item reaches it. Candidates are verified by the item's exact word edit distance to
+any walk are candidates. How often a walk meets edited copies of each item, with as many random edits as are allowed, is
+measured for every copy, since copies whose edits lie badly are met less often than the item's mean says; walks are made
+until nine in ten items reach the target recall as the mean over their copies, and items that do not are compared at all
+their places without an embedding, so that every item reaches it. Candidates are verified by the item's exact word edit distance to
 the text that begins where the window does, wherever it ends.
 
 A text within ``most`` edits of an item holds all of the item's words but ``most``, so places where too few of the rarer
 words of any item lie together are passed over; this loses none and is what keeps clean text cheap.
 
-The items are a query set held against all rows in blocks of ``ITEM_BLOCK``; up to ``SCAN_BLOCKS`` blocks are sent to
-the tasks for one scan. There is no shuffle: each document is judged where it is read, so neither a hot item nor a hot
-source gathers anywhere.
+The items are a query set held against all rows in blocks of about ``ITEM_BLOCK``. Tasks make the index of each block
+and write it to a table; up to ``SCAN_BLOCKS`` of these are sent to the tasks for one scan, and where there are more, each
+scan's rows are written before the next blocks are read, so the driver and the workers hold those of one scan, however
+many items there are. Documents are not shuffled: each is judged where it is read, so neither a hot item nor a hot source
+gathers anywhere.
 
 Items of fewer than ``least_words`` words are held where their whole word sequence stands in a text, without edits.
 
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import functools
 import math
+import pickle
 import re
 import unicodedata
 from collections import defaultdict
@@ -38,11 +42,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.llm.common import discard, lean, written
+
 ITEM_BLOCK = 2_000
 TABLES, STEPS = 8, 3  # tables of a walk, and sampled steps of a table
 MOST_WALKS = 64  # beyond these, items are compared without an embedding
 SCAN_BLOCKS = 10
-TRIED_WALKS, TRIED_EDITS = 16, 4  # walks and edited copies of an item by which its recall is measured
+TRIED_WALKS, TRIED_EDITS = 32, 8  # walks and edited copies of an item by which its recall is measured
+KEY_CELLS = 1 << 22  # steps of walks that are held at once while items are tried and keyed
 
 # ASCII marks become spaces; bytes from 128 on belong to letters, once other characters than those are replaced.
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -133,7 +140,8 @@ class Items:
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in self.lengths:
             own = np.array([i for i, (_, w) in enumerate(self.items) if len(w) == n])
-            keys = self.keys(np.array([self.items[i][1] for i in own], np.int64))
+            part = max(1, KEY_CELLS // (2 * n * self.walks))
+            keys = np.concatenate([self.keys(np.array([self.items[i][1] for i in own[lo : lo + part]], np.int64)) for lo in range(0, len(own), part)])
             order = np.argsort(keys, axis=None, kind="stable")
             self.tables[n] = keys.reshape(-1)[order], np.repeat(own, keys.shape[1])[order]
 
@@ -162,29 +170,41 @@ class Items:
             key = key * 1_000_000_007 + stood[sampled[:, :, k], rows] + 2
         return key.reshape(walks * TABLES, many).T
 
+    def _tried(self, words: list[int], chance: np.random.Generator) -> Iterator[list[int]]:
+        """The item itself, then copies with as many random edits as are allowed, each cut or filled to its length."""
+        n = len(words)
+        yield words
+        for _ in range(TRIED_EDITS):
+            edited = list(words)
+            for at, kind in zip(chance.random(self.most[n]), chance.integers(3, size=self.most[n])):
+                place = int(at * len(edited))
+                if kind == 0:
+                    edited[place] = 0
+                elif kind == 1:
+                    edited.insert(place, 0)
+                else:
+                    del edited[place]
+            yield (edited + [0] * n)[:n]
+
     def _needed(self, recall: float) -> tuple[int, np.ndarray]:
-        """How many walks to make, and the recall that each item reaches by them with as many edits as are allowed."""
-        chance, met = np.random.default_rng(self.seed), []
-        for _, words in self.items:
-            n = len(words)
-            windows = [words]
-            for _ in range(TRIED_EDITS):
-                edited = list(words)
-                for _ in range(self.most[n]):
-                    at, kind = int(chance.integers(len(edited))), int(chance.integers(3))
-                    if kind == 0:
-                        edited[at] = 0
-                    elif kind == 1:
-                        edited.insert(at, 0)
-                    else:
-                        del edited[at]
-                windows.append((edited + [0] * n)[:n])
-            keys = self.keys(np.array(windows, np.int64), TRIED_WALKS)
-            met.append((keys[:1] == keys[1:]).reshape(TRIED_EDITS, TRIED_WALKS, TABLES).any(2).mean())
-        rates = np.clip(np.array(met), 0, 0.999)
-        easy = float(np.quantile(rates, 0.1))
-        walks = MOST_WALKS if easy <= 0 else min(MOST_WALKS, max(4, math.ceil(math.log(1 - recall) / math.log(1 - easy))))
-        return walks, 1 - (1 - rates) ** walks
+        """How many walks to make, and the mean recall that each item's edited copies reach by them."""
+        chance, rates = np.random.default_rng(self.seed), np.empty((len(self.items), TRIED_EDITS))
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for i, (_, words) in enumerate(self.items):
+            by_length[len(words)].append(i)
+        for n, own in sorted(by_length.items()):
+            part = max(1, KEY_CELLS // (2 * n * TRIED_WALKS * (TRIED_EDITS + 1)))
+            for lo in range(0, len(own), part):
+                here = own[lo : lo + part]
+                windows = np.array([copy for i in here for copy in self._tried(self.items[i][1], chance)], np.int64)
+                keys = self.keys(windows, TRIED_WALKS).reshape(len(here), TRIED_EDITS + 1, TRIED_WALKS, TABLES)
+                rates[here] = (keys[:, :1] == keys[:, 1:]).any(3).mean(2)
+        missed = 1 - np.clip(rates, 0, 0.999)
+        for walks in range(4, MOST_WALKS + 1):
+            reached = 1 - (missed**walks).mean(1)
+            if np.quantile(reached, 0.1) >= recall:
+                break
+        return walks, reached
 
     def _places(self, ids: np.ndarray) -> tuple[list[tuple[int, np.ndarray]], list[tuple[int, np.ndarray]]]:
         """The starts of windows that have enough of the rarer words of some item: by item length, and by hard item."""
@@ -253,45 +273,61 @@ class Items:
         return found + self._whole(ids)
 
 
-def leaks(text: Column, blocks: list[list[tuple]], kind: str = "long", **options) -> Column:
-    """The items that ``text`` holds: array of struct(item_id, start, words, distance). kind: the type of the ids."""
-    found = [Items(items, **options) for items in blocks]
+def leaks(text: Column, blocks: list[bytes], kind: str = "long") -> Column:
+    """The items of some indexes that ``text`` holds: array of struct(item_id, start, words, distance). kind: the type of the ids."""
 
     @F.pandas_udf(f"array<struct<item_id:{kind},start:int,words:int,distance:int>>")
-    def held(texts: pd.Series) -> pd.Series:
-        keys = ("item_id", "start", "words", "distance")
-        return pd.Series([[dict(zip(keys, x)) for some in found for x in some.search(text)] for text in texts], dtype=object)
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        found, keys = [pickle.loads(block) for block in blocks], ("item_id", "start", "words", "distance")
+        for texts in lean(batches, found):
+            yield pd.Series([[dict(zip(keys, x)) for some in found for x in some.search(text)] for text in texts], dtype=object)
 
     return held(text)
 
 
-def item_scans(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[str, list[list[list[tuple]]]]:
-    """The type of the item ids, and the items in scans of blocks, as the driver sends them out."""
-    number = dict(benchmark.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
-    rows = benchmark.select(F.col(id_col).cast("long" if number else "string"), text_col).where(F.col(text_col).isNotNull())
-    scans: list[list[list[tuple]]] = []
-    for row in rows.toLocalIterator():
-        if not scans or (len(scans[-1]) == SCAN_BLOCKS and len(scans[-1][-1]) == ITEM_BLOCK):
-            scans.append([[]])
-        elif len(scans[-1][-1]) == ITEM_BLOCK:
-            scans[-1].append([])
-        scans[-1][-1].append((row[0], row[1]))
-    return "long" if number else "string", scans
+def item_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", **options) -> tuple[str, int, DataFrame]:
+    """The type of the item ids, the number of blocks, and a written table of their indexes: block, index.
+
+    Rows are dealt by a hash of their number, so blocks are near equal whatever ids and texts repeat.
+    """
+    kind = "long" if dict(benchmark.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint") else "string"
+    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast(kind).alias("item"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    numbered = written(rows, "items")
+    blocks = max(1, math.ceil(numbered.count() / ITEM_BLOCK))
+
+    def indexed(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
+        ids = [None if pd.isna(i) else int(i) if kind == "long" else i for i in items["item"]]
+        return pd.DataFrame({"block": [key[0]], "index": [pickle.dumps(Items(list(zip(ids, items["text"])), **options))]})
+
+    dealt = numbered.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    table = written(dealt.repartition(blocks, "block").groupBy("block").applyInPandas(indexed, "block int, index binary"), "indexes")
+    discard(numbered)
+    return kind, blocks, table
+
+
+def _scans(benchmark: DataFrame, **options) -> Iterator[tuple[str, list[bytes], bool]]:
+    """For each scan: the type of the item ids, the indexes, and whether it is the last. The table of indexes goes at the end."""
+    kind, blocks, table = item_indexes(benchmark, **options)
+    for lo in range(0, blocks, SCAN_BLOCKS):
+        rows = table.where(F.col("block").between(lo, lo + SCAN_BLOCKS - 1)).select("index").collect()
+        if lo + SCAN_BLOCKS >= blocks:
+            discard(table)
+        yield kind, [bytes(row[0]) for row in rows], lo + SCAN_BLOCKS >= blocks
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document and item held: doc_id, item_id, start and words (of the window), distance."""
-    kind, scans = item_scans(benchmark)
     found = None
-    for blocks in scans or [[[]]]:
-        part = docs.select(F.col(id_col).alias("doc_id"), F.explode(leaks(F.col(text_col), blocks, kind, **options)).alias("_leak")).select("doc_id", "_leak.*")
+    for kind, blocks, last in _scans(benchmark, **options):
+        part = docs.select(F.col(id_col).alias("doc_id"), F.explode(leaks(F.col(text_col), blocks, kind)).alias("_leak")).select("doc_id", "_leak.*")
+        part = part if last else written(part, "leaks")
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    kind, scans = item_scans(benchmark)
-    for blocks in scans:
-        docs = docs.where(F.size(leaks(F.col(text_col), blocks, kind, **options)) == 0)
+    for kind, blocks, last in _scans(benchmark, **options):
+        docs = docs.where(F.size(leaks(F.col(text_col), blocks, kind)) == 0)
+        docs = docs if last else written(docs, "unleaked")
     return docs

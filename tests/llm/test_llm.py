@@ -600,6 +600,24 @@ def test_decontamination_ids_and_blocks(spark, words, monkeypatch):
     assert [r["doc_id"] for r in decontaminate.without_leaks(docs, benchmark).collect()] == [10]
 
 
+def test_decontamination_with_many_items_holds_few_blocks_at_once(spark, words, monkeypatch):
+    """Several scans, equal items in any number, and never more indexes on the driver than one scan's."""
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 400)
+    monkeypatch.setattr(decontaminate, "SCAN_BLOCKS", 2)
+    chance, held, leaks = np.random.default_rng(19), [], decontaminate.leaks
+    monkeypatch.setattr(decontaminate, "leaks", lambda text, blocks, kind: held.append(len(blocks)) or leaks(text, blocks, kind))
+    texts = [prose(chance, words, int(chance.integers(12, 40))) for _ in range(1_600)]
+    items = list(enumerate(texts)) + [(5_000 + k, texts[0]) for k in range(800)] + [(None, texts[1])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(spark, [f"{prose(chance, words, 20)} {texts[k]} {prose(chance, words, 20)}" for k in range(0, 1_600, 40)] + [texts[1], prose(chance, words, 200)])
+    rows = decontaminate.find_leaks(docs, benchmark).collect()
+    want = {(n, k) for n, k in enumerate(range(0, 1_600, 40))} | {(0, 5_000 + k) for k in range(800)} | {(40, 1), (40, None)}
+    got = Counter((r["doc_id"], r["item_id"]) for r in rows if r["distance"] == 0)
+    assert set(got) == want and set(got.values()) == {1}
+    assert len(held) == 4 and max(held) <= 2
+    assert [r["doc_id"] for r in decontaminate.without_leaks(docs, benchmark).collect()] == [41]
+
+
 def test_decontamination_splits_unicode_and_finds_short_items(words):
     item = " ".join(words[:20])
     spaced = [item.replace(" ", gap) for gap in ("\u00a0", "\u3000", "\u2014")] + [" ".join(f"\u201c{w}\u201d" for w in words[:20])]
