@@ -11,8 +11,9 @@ until nine in ten items reach the target recall as the mean over their copies, a
 their places without an embedding, so that every item reaches it. Candidates are verified by the item's exact word edit distance to
 the text that begins where the window does, wherever it ends.
 
-A text within ``most`` edits of an item holds all of the item's words but ``most``, so places where too few of the rarer
-words of any item lie together are passed over; this loses none and is what keeps clean text cheap.
+A text within ``most`` edits of an item holds all of the item's words but ``most``, each at most that many places from
+where it would be without edits, so starts from which too few of the rarer words of any item lie so are passed over; this
+loses none and is what keeps clean text cheap.
 
 The items are a query set held against all rows in blocks of about ``ITEM_BLOCK``. Tasks make the index of each block
 and write it to a table; up to ``SCAN_BLOCKS`` of these are sent to the tasks for one scan, and where there are more, each
@@ -36,6 +37,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -49,6 +51,7 @@ TABLES, STEPS = 8, 3  # tables of a walk, and sampled steps of a table
 MOST_WALKS = 64  # beyond these, items are compared without an embedding
 SCAN_BLOCKS = 10
 TRIED_WALKS, TRIED_EDITS = 32, 8  # walks and edited copies of an item by which its recall is measured
+EASY = 0.1  # the share of items that may be left to exact comparison
 KEY_CELLS = 1 << 22  # steps of walks that are held at once while items are tried and keyed
 
 # ASCII marks become spaces; bytes from 128 on belong to letters, once other characters than those are replaced.
@@ -104,6 +107,19 @@ def sequence_keys(ids: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
+@functools.lru_cache(maxsize=1 << 10)
+def walk_bits(seed: int, n: int, walks: int) -> tuple[np.ndarray, np.ndarray]:
+    """For windows of n words: each walk's multiplier, and the steps that each of its tables samples.
+
+    A walk takes about two steps a word; what comes after is mostly the end, on which all windows agree.
+    """
+    chance, odd, sampled = np.random.default_rng((seed, n)), [], []
+    for _ in range(walks):
+        odd.append(int(chance.integers(1 << 62)) * 2 + 1)
+        sampled.append([np.sort(chance.choice(2 * n, STEPS, replace=False)) for _ in range(TABLES)])
+    return np.array(odd, np.uint64)[:, None], np.array(sampled)
+
+
 class Items:
     """The benchmark items as word numbers, their windows' lengths, and the hash tables of their embeddings."""
 
@@ -122,17 +138,21 @@ class Items:
         self.short_keys = {n: sequence_keys(np.array(list(held), np.int64).reshape(-1), n)[::n] for n, held in self.short.items()}
         self.lengths = sorted({len(w) for _, w in self.items})
         self.most = {n: int(share * n) for n in self.lengths}
-        # Which items hold each word that few items hold; a text near an item holds all of its words but ``most``.
+        # Which items hold each word that few items hold, and where; a text near an item holds all of its words but
+        # ``most``, each at most so many places from its own.
         holders: dict[int, list[int]] = defaultdict(list)
+        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, (_, words) in enumerate(self.items):
             for word in set(words):
                 holders[word].append(i)
+            for place, word in enumerate(words):
+                places[word].append((i, place))
         few = max(2, len(self.items) // 25)
         self.first = np.zeros(len(self.vocabulary) + 2, np.int64)
         for word, held in holders.items():
-            self.first[word + 1] = len(held) if len(held) <= few else 0
+            self.first[word + 1] = len(places[word]) if len(held) <= few else 0
         self.first = np.cumsum(self.first)
-        self.holders = np.array([i for word in sorted(holders) if len(holders[word]) <= few for i in holders[word]], np.int64)
+        self.holders = np.array([held for word in sorted(holders) if len(holders[word]) <= few for held in places[word]], np.int64).reshape(-1, 2)
         self.need = np.array([sum(len(holders[w]) <= few for w in words) - self.most[len(words)] for _, words in self.items])
         self.walks, self.reached = self._needed(recall) if self.items else (0, np.empty(0))
         self.hard = self.reached < recall
@@ -149,21 +169,20 @@ class Items:
         """A key per window (row) and table: the words at the sampled steps of the walks, all walks at once."""
         many, n = windows.shape
         walks = walks or self.walks
-        chance = np.random.default_rng((self.seed, n))
-        # A walk takes about two steps a word; what comes after is mostly the end, on which all windows agree.
-        odd, sampled = [], []
-        for _ in range(walks):
-            odd.append(int(chance.integers(1 << 62)) * 2 + 1)
-            sampled.append([np.sort(chance.choice(2 * n, STEPS, replace=False)) for _ in range(TABLES)])
-        odd, sampled = np.array(odd, np.uint64)[:, None], np.array(sampled)
-        padded = np.concatenate([windows, np.full((many, 1), -1, np.int64)], axis=1).reshape(-1)
-        base = np.arange(many) * (n + 1)
-        at, stood = np.zeros((walks, many), np.int64), np.empty((2 * n, walks, many), np.int64)
+        odd, sampled = walk_bits(self.seed, n, walks)
+        # All windows end in a word that no text has, where a walk stays. Word numbers and bits are unsigned throughout.
+        padded = np.concatenate([windows, np.full((many, 1), -1, np.int64)], axis=1).view(np.uint64).reshape(-1)
+        ends = np.arange(many) * (n + 1) + n
+        at, stood = np.repeat((ends - n)[None], walks, axis=0), np.empty((2 * n, walks, many), np.uint64)
         step_mix = np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        bits, low = np.empty((walks, many), np.uint64), np.empty((walks, many), np.uint64)
         for step in range(2 * n):
-            word = stood[step] = padded[base + at]
-            bit = ((word.astype(np.uint64) + step_mix[step]) * odd) >> np.uint64(40)
-            at = np.minimum(at + ((bit ^ (bit >> np.uint64(11))) & np.uint64(1)).astype(np.int64), n)
+            word = np.take(padded, at, out=stood[step], mode="clip")
+            np.multiply(np.add(word, step_mix[step], out=bits), odd, out=bits)
+            np.bitwise_xor(bits, np.right_shift(bits, 11, out=low), out=bits)
+            np.bitwise_and(np.right_shift(bits, 40, out=bits), 1, out=bits)
+            np.minimum(np.add(at, bits.view(np.int64), out=at), ends, out=at)
+        stood = stood.view(np.int64)
         key = np.arange(walks * TABLES, dtype=np.int64).reshape(walks, TABLES, 1) + np.zeros(many, np.int64)
         rows = np.arange(walks)[:, None]
         for k in range(STEPS):
@@ -202,7 +221,7 @@ class Items:
         missed = 1 - np.clip(rates, 0, 0.999)
         for walks in range(4, MOST_WALKS + 1):
             reached = 1 - (missed**walks).mean(1)
-            if np.quantile(reached, 0.1) >= recall:
+            if np.quantile(reached, EASY) >= recall:
                 break
         return walks, reached
 
@@ -211,21 +230,20 @@ class Items:
         many = self.first[ids + 1] - self.first[ids]
         at = np.repeat(np.arange(len(ids)), many)
         nth = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-        item = self.holders[np.repeat(self.first[ids], many) + nth]
+        item, place = self.holders[np.repeat(self.first[ids], many) + nth].T
         marks: dict[int, np.ndarray] = {}
         alone: dict[int, np.ndarray] = {}
         for i in np.flatnonzero(np.bincount(item, minlength=len(self.items)) >= self.need):
             n, need = len(self.items[i][1]), int(self.need[i])
-            mark = alone.setdefault(i, np.zeros(len(ids) + 1, np.int64)) if self.hard[i] else marks.setdefault(n, np.zeros(len(ids) + 1, np.int64))
-            if need <= 0:
-                mark[0] += 1
-                continue
-            reach, hits = n + self.most[n], at[item == i]
-            left, right = hits[: len(hits) - need + 1], hits[need - 1 :]
-            near = right - left < reach
-            np.add.at(mark, np.maximum(right[near] - reach + 1, 0), 1)
-            np.add.at(mark, left[near] + 1, -1)
-        return tuple([(k, np.flatnonzero(np.cumsum(held[k][:-1]) > 0)) for k in sorted(held)] for held in (marks, alone))
+            # A hit speaks for the starts from which its word is at most ``most`` places from its own.
+            own = item == i
+            middle, size = at[own] - place[own], len(ids) + 1
+            begin, end = (np.minimum(np.maximum(middle + k, 0), len(ids)) for k in (-self.most[n], self.most[n] + 1))
+            enough = np.cumsum(np.bincount(begin, minlength=size) - np.bincount(end, minlength=size))[:-1] >= need
+            if enough.any():
+                held, key = (alone, i) if self.hard[i] else (marks, n)
+                held[key] = held[key] | enough if key in held else enough
+        return tuple([(k, np.flatnonzero(held[k])) for k in sorted(held)] for held in (marks, alone))
 
     def _whole(self, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
         """The short items held, each at its first place."""
@@ -243,7 +261,7 @@ class Items:
             return []
         get = self.vocabulary.get
         words = words_of(text)
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
         best: dict[int, tuple[int, int, int]] = {}
 
         def compare(i: int, start: int) -> None:

@@ -600,6 +600,30 @@ def test_decontamination_ids_and_blocks(spark, words, monkeypatch):
     assert [r["doc_id"] for r in decontaminate.without_leaks(docs, benchmark).collect()] == [10]
 
 
+def test_decontamination_passes_over_no_place(words):
+    """Without the embedding, each item's best place is that of comparing it at every place."""
+    chance = np.random.default_rng(23)
+    items = [(k, prose(chance, words[: 12 if k % 3 else 400], int(chance.integers(8, 30)))) for k in range(30)]
+    found = decontaminate.Items(items)
+    found.hard[:] = True
+    for _ in range(40):
+        text = prose(chance, words[:12], 15).split()
+        for k in chance.integers(len(items), size=2):
+            own = items[k][1].split()
+            for _ in range(int(chance.integers(int(0.2 * len(own)) + 2))):
+                at, kind = int(chance.integers(len(own))), int(chance.integers(3))
+                own[at : at + (kind != 1)] = [] if kind == 2 else [words[int(chance.integers(40))]]
+            text += own + prose(chance, words[:40], int(chance.integers(5))).split()
+        ids = decontaminate.words_of(" ".join(text))
+        want = []
+        for k, item in items:
+            own = decontaminate.words_of(item)
+            most = int(0.2 * len(own))
+            distance, at = min((decontaminate.edit_distance(own, ids[at : at + len(own) + most], most)[0], at) for at in range(len(ids)))
+            want += [(k, at, distance)] if distance <= most else []
+        assert sorted((k, at, distance) for k, at, _, distance in found.search(" ".join(text))) == want
+
+
 def test_decontamination_with_many_items_holds_few_blocks_at_once(spark, words, monkeypatch):
     """Several scans, equal items in any number, and never more indexes on the driver than one scan's."""
     monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 400)
