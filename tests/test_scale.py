@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +128,25 @@ def test_intervals_of_random_length_match_brute_force(spark):
     assert sorted(got, key=key) == sorted(runs, key=key)
 
 
+@pytest.mark.parametrize("block", [512, 2])
+def test_pairs_are_merged_over_time_without_being_sent(spark, monkeypatch, block):
+    monkeypatch.setattr(combine, "BLOCK", block)
+    chance = random.Random(4)
+    rows = [(b, leaf, chance.choice(["x", "y", None]), ms(1985 + y), ms(1986 + y)) for b in "12" for leaf in "ABCD" for y in range(12) if chance.random() < 0.6]
+    primary = replace(group(spark, "p", rows, DYAD), one_unit=True)
+    yearly = group(spark, "c", [("1", chance.choice("uv"), ms(1985 + y), ms(1986 + y)) for y in range(0, 12, 2)], (("b", "branch"),))
+    yearly = replace(yearly, one_unit=True)
+    spec = Spec({"p": ["p_v"], "c": ["c_v"]}, {"leaf": 2}, start=ms(1980), end=ms(2000))
+    planned = engine.plan(spec, [primary, yearly])
+    merged = planned.rows()
+    top = merged._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "Window" not in top and "Aggregate" not in top
+    granular = engine.plan(Spec(spec.select, spec.k, spec.start, spec.end, consolidate=False), [primary, yearly]).rows()
+    key = lambda r: [str(x) for x in r]
+    want = consolidate(granular, [c for c in granular.columns if c not in ("_a", "_b")]).select(merged.columns).collect()
+    assert sorted(map(tuple, merged.collect()), key=key) == sorted(map(tuple, want), key=key)
+
+
 def test_output_order_has_numbers(spark, tmp_path):
     from panelweave.sources import files
 
