@@ -254,8 +254,10 @@ _ALL_YEARS = f"""WITH leaves AS ({_ORDER_SUPPLIER}), pairs AS ({_PAIRS})
 @_query(_ALL_YEARS)
 def sample_full_equals_all(spark, sf_dir):
     """A sample of at least all k-ads is all of them."""
-    spec = Spec({"ship": ["l_quantity"]}, {"supplier": 2}, consolidate=False, sample=10**7, show_time=True)
-    return engine.generate(spec, [_order_supplier(spark, sf_dir)])
+    group = _order_supplier(spark, sf_dir)
+    # A table of n lines has fewer than n * n dyads, whatever its size; 10 million are fewer than those of a larger one.
+    spec = Spec({"ship": ["l_quantity"]}, {"supplier": 2}, consolidate=False, sample=max(group.table.count() ** 2, 10**7), show_time=True)
+    return engine.generate(spec, [group])
 
 
 @_query()

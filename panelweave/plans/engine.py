@@ -238,7 +238,7 @@ class Plan:
         Runs of equal values of one leaf neither touch nor overlap, so neither do the common parts of several leaves'
         runs: each is a row of the consolidated output, and no k-ad needs to be sent anywhere to meet itself.
         """
-        return self.spec.consolidate and self.spec.sample is None and self.r.k > 1 and self._by_units
+        return self.spec.consolidate and (self.spec.sample is None or self._takes_all) and self.r.k > 1 and self._by_units
 
     def _with_runs(self, leaves: DataFrame, others: Sequence[_Other]) -> tuple[DataFrame, list[str]]:
         """leaves with columns on their run of equal values: ``_opens``, whether it begins here, and its end ``_till``."""
@@ -286,6 +286,15 @@ class Plan:
             ends.append(self._ends(keys.join(rows, meet).select(*self.branch, "_s", "_e").distinct(), self.branch))
         return reduce(DataFrame.unionByName, ends)
 
+    @cached_property
+    def _takes_all(self) -> bool:
+        """Whether a sample is surely of all k-ads, which then are made without drawing: each branch's rows tell how many it can have at most."""
+        if self.spec.sample is None or not self.whole:
+            return False
+        most = combinations(F.col("_rows"), self.r.k) + F.col("_rows")
+        known = self.primary.groupBy(*self.branch).agg(F.count("*").alias("_rows")).agg(F.sum(most).cast("decimal(38,0)").alias("most"), F.count(F.when(most.isNull(), 1)).alias("beyond")).first()
+        return not known["beyond"] and known["most"] is not None and self.spec.sample >= int(known["most"]) > 0
+
     def _sampled(self) -> DataFrame:
         """The sampled k-ads with the other groups attached, in the form that subsets() gives."""
         k, by = self.r.k, [*self.branch, "_a", "_b"]
@@ -344,7 +353,7 @@ class Plan:
         granular = not spec.consolidate and spec.sample is None
         if not granular and k > 1 and self.primary.limit(k).count() < k:
             raise PlanError(f"fewer than {k} rows in range")
-        if spec.sample is not None:
+        if spec.sample is not None and not self._takes_all:
             sets = self._sampled()
         elif self.whole:
             sets = self._whole_sets()

@@ -147,6 +147,35 @@ def test_pairs_are_merged_over_time_without_being_sent(spark, monkeypatch, block
     assert sorted(map(tuple, merged.collect()), key=key) == sorted(map(tuple, want), key=key)
 
 
+def test_a_full_sample_is_of_all_dyads_at_any_size(spark, tmp_path, monkeypatch):
+    from panelweave.plans import bindings
+
+    spark.range(5_000).selectExpr("1L l_orderkey", "id l_suppkey", "1.0D l_quantity", "timestamp'1996-05-01' l_shipdate").write.parquet(str(tmp_path / "lineitem.parquet"))
+    specs = []
+    monkeypatch.setattr(bindings.engine, "generate", lambda spec, groups: specs.append(spec))
+    bindings.sample_full_equals_all(spark, str(tmp_path))
+    assert specs[0].sample >= 5_000 * 4_999 // 2
+
+
+@pytest.mark.parametrize("consolidate_", [True, False])
+def test_a_sample_of_all_draws_nothing(spark, monkeypatch, consolidate_):
+    from panelweave.plans import engine as plans
+
+    rows = [(b, leaf, leaf.lower(), ms(1985 + y), ms(1986 + y)) for b in "12" for leaf in "ABCD" for y in range(3) if (b, leaf, y) != ("1", "A", 1)]
+    finer = replace(group(spark, "c", [("1", "v", ms(1985, 3), ms(1985, 4))], (("b", "branch"),), granularity=Granularity.MONTH), one_unit=True)
+    for others in ([], [finer]):
+        groups, select = [replace(group(spark, "p", rows, DYAD), one_unit=True), *others], {"p": ["p_v"]} | {g.code: ["c_v"] for g in others}
+        spec = Spec(select, {"leaf": 2}, start=ms(1980), end=ms(2000), consolidate=consolidate_, show_time=True)
+        key = lambda r: [str(x) for x in r]
+        want = sorted(map(tuple, engine.generate(spec, groups).collect()), key=key)
+        drawing = engine.plan(replace(spec, sample=10**9), groups)
+        drawing.__dict__["_takes_all"] = False
+        assert sorted(map(tuple, drawing.output().collect()), key=key) == want
+        with monkeypatch.context() as m:
+            m.setattr(plans, "drawn", lambda *_: pytest.fail("drawn"))
+            assert sorted(map(tuple, engine.generate(replace(spec, sample=10**9), groups).collect()), key=key) == want
+
+
 def test_output_order_has_numbers(spark, tmp_path):
     from panelweave.sources import files
 
