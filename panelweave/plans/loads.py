@@ -18,7 +18,7 @@ from panelweave.plans import analyze, engine
 from panelweave.plans.units import UnitRun
 from panelweave.plans.bindings import _ALL_YEARS, _LINEITEM, _ORDER_SUPPLIER, _ORDERS, _PAIRS, _first, _group, _islands, _last, _nation_customer, _order_supplier, _pairs_sql, _part_supplier, _query, _stamped, _table
 from panelweave.plans.bindings import monad_customer_month, sample_n
-from panelweave.shared import fresh_path
+from panelweave.shared import fresh_path, written
 from panelweave.sources import files
 
 # Imports: the orders as lines of text with blanks, both kinds of quotes, empty numbers, and every few lines a bad one.
@@ -262,13 +262,14 @@ def null_keys_and_numeric_keys(spark, sf_dir):
 @_query("SELECT 500::BIGINT AS drawn, 500::BIGINT AS different, 500::BIGINT AS members")
 def sample_checks(spark, sf_dir):
     """Of 500 sampled dyads: how many there are, how many different ones, and how many of them all dyads hold."""
-    some, spec = sample_n(spark, sf_dir), Spec({"ship": ["l_quantity"]}, {"supplier": 2}, consolidate=False, show_time=True)
+    some, spec = written(sample_n(spark, sf_dir), "sampled"), Spec({"ship": ["l_quantity"]}, {"supplier": 2}, consolidate=False, show_time=True)
     every = engine.generate(spec, [_order_supplier(spark, sf_dir)])
-    same = None
-    for c in some.columns:
-        same = some[c].eqNullSafe(every[c]) if same is None else same & some[c].eqNullSafe(every[c])
+    equal = lambda x, y: reduce(lambda a, b: a & b, (x[c].eqNullSafe(y[c]) for c in x.columns))
     counts = some.agg(F.count("*").alias("drawn"), F.count_distinct(F.struct(*some.columns)).alias("different"))
-    return counts.crossJoin(some.join(every, same, "left_semi").agg(F.count("*").alias("members")))
+    # The sample is sent to all dyads; those that it names meet it again, so the many are never shuffled.
+    named = some.distinct()
+    found = written(every.join(F.broadcast(named), equal(every, named), "left_semi"), "found")
+    return counts.crossJoin(some.join(found, equal(some, found), "left_semi").agg(F.count("*").alias("members")))
 
 
 @_query(_pairs_sql(_ORDER_SUPPLIER, "YEAR", "l_orderkey l_suppkey l_quantity"))
