@@ -53,6 +53,12 @@ class UnitRun:
     def _facts(self, code: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/facts/{code}")
 
+    def _facts_of(self, code: str, units: list[int]) -> DataFrame:
+        """A group's rows that touch any of these units, once each."""
+        group, rows = self.groups[code], self._facts(code).where((F.col(UNIT) >= units[0]) & (F.col(UNIT) <= units[-1])).drop(UNIT)
+        # A row that touches several of these units is there for each; one that holds for a single unit has no copies to drop.
+        return rows if group.one_unit and group.unit.granularity is self.unit else rows.distinct()
+
     def finished(self) -> set[int]:
         return {r[0] for r in self.spark.read.parquet(f"{self.path}/finished").select(UNIT).distinct().collect()} if self._there("finished") else set()
 
@@ -75,9 +81,7 @@ class UnitRun:
         for code in self.spec.select:
             group = self.groups[code]
             if group.start is not None:
-                # A row that touches several of these units is there for each; the copies are equal and change nothing.
-                table = self._facts(code).where((F.col(UNIT) >= units[0]) & (F.col(UNIT) <= units[-1])).drop(UNIT).distinct()
-                group = replace(group, table=table)
+                group = replace(group, table=self._facts_of(code, units))
             groups[code] = group
         spec = replace(self.spec, start=max(units[0], self.start), end=min(end, self.end))
         plan = Plan(resolve(spec, groups))

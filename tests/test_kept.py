@@ -125,3 +125,16 @@ def test_member_sets_are_sets(spark):
     rows = spark.createDataFrame([(str(v),) for v in range(-250, 250)] + [("no",), (None,)], "k string")
     assert {r["k"] for r in x.flagged(rows, "k", "listed").where("listed").collect()} == {str(v) for v in a if -250 <= v < 250}
     assert MemberSet.of(spark.createDataFrame([("7",), ("x",)], "m string")).numbers().collect()[0][0] == 7
+
+
+@pytest.mark.parametrize("one_unit", [True, False])
+def test_rows_of_one_unit_have_no_copies_to_drop(spark, tmp_path, one_unit):
+    from dataclasses import replace
+
+    rows = [("1", leaf, "x", ms(1985 + y), ms(1986 + y + (not one_unit))) for leaf in "AB" for y in range(3)]
+    spec = Spec({"p": ["p_v"]}, {"leaf": 2}, start=ms(1980), end=ms(2000), consolidate=False)
+    run = UnitRun(spec, [replace(group(spark, "p", rows, DYAD), one_unit=one_unit)], str(tmp_path / "u"))
+    run.stage()
+    facts = run._facts_of("p", [ms(1985), ms(1986)])
+    assert ("Aggregate" in facts._jdf.queryExecution().optimizedPlan().toString()) is not one_unit
+    assert facts.count() == 4
