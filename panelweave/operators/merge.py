@@ -42,3 +42,15 @@ def attach(left: DataFrame, id_columns: Sequence[str], on: Sequence[tuple[Column
     for c, n in zip(id_columns, again):
         same = same & F.col(c).eqNullSafe(F.col(n))
     return left.join(found, same, "left").drop(*again)
+
+
+def attach_within(left: DataFrame, on: Sequence[tuple[Column, str]], rows: DataFrame, name: str, own: Granularity, unit: Granularity) -> DataFrame:
+    """left, whose slices are whole units, with ``name``: a map from the starts of units ``own``, of which the larger one is made up, to the ``_data`` of the last of ``rows`` with these keys there; null without any."""
+    renamed = [f"_k_{i}" for i in range(len(on))]
+    right = rows.select(*(F.col(k).alias(n) for (_, k), n in zip(on, renamed)), align_down(F.col("_s"), own).alias("_k_at"), "_order", "_data")
+    last = right.groupBy(*renamed, "_k_at").agg(F.max_by("_data", "_order").alias("_data"))
+    found = last.groupBy(*renamed, align_down(F.col("_k_at"), unit).alias("_k_unit")).agg(F.map_from_entries(F.collect_list(F.struct("_k_at", "_data"))).alias(name))
+    match = align_down(F.col("_a"), unit) == F.col("_k_unit")
+    for (expr, _), n in zip(on, renamed):
+        match = match & (expr == F.col(n))
+    return left.join(found, match, "left").drop(*renamed, "_k_unit")

@@ -4,7 +4,8 @@ Every accepted row's ends are cuts, so a row holds exactly the slices whose star
 of the time line that hold about as many of them each, so a row is copied once for each range that it spans, never once
 for each year or month: those that stay open over a whole range meet its slices there, and nothing else is copied. Rows
 and slices meet by range and branch in an equi-join. ``Ranges`` come from one aggregate over the cuts (a sketch of their
-quantiles), and an instant finds its range by a search tree that is part of the generated code.
+quantiles), and an instant finds its range by a search tree that is part of the generated code. Where rows are cut by
+branch, ranges are only for branches of many rows (over ``FEW`` ends); the rows of all others meet by branch alone.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from panelweave.functions.time import Granularity, align_down
 
 BROADCAST_SLICES = 500_000  # slices that a broadcast may hold: 16 MB
 RANGES = 64  # ranges of the time line
+FEW = 1_024  # ends of rows of one branch that one task cuts by itself
+TASK_ROWS = 100_000  # rows that one task gets on average where their number decides how many tasks there are
 
 
 @dataclass(frozen=True)
@@ -76,6 +79,27 @@ def deal(rows: DataFrame, cut: DataFrame, by: Sequence[str], ranges: Ranges, sma
     return ranges.spanned(rows).join(F.broadcast(right) if small else right, on).drop("_range", "_c_range", *(f"_c_{c}" for c in by))
 
 
+def tasks_for(spark, rows: int) -> int:
+    """How many tasks rows are dealt to, so that one has no more of them in a larger table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def deal_few(rows: DataFrame, ends: DataFrame, by: Sequence[str], tasks: int) -> DataFrame:
+    """What ``slices`` and ``deal`` give where a value of ``by`` has few ends and none is null: each value's rows and ends are sent once, to one of the tasks, without ranges."""
+    rows, ends = rows.repartition(tasks, *by), ends.repartition(tasks, *by)
+    cuts = ends.select(*by, "_at").distinct()
+    right = cuts.select(*(F.col(c).alias(f"_c_{c}") for c in by), F.col("_at").alias("_a"), F.lead("_at").over(Window.partitionBy(*by).orderBy("_at")).alias("_b"))
+    on = (F.col("_a") >= F.col("_s")) & (F.col("_a") < F.col("_e"))
+    for c in by:
+        on = on & (F.col(c) == F.col(f"_c_{c}"))
+    return rows.join(right.where("_b is not null"), on).drop(*(f"_c_{c}" for c in by))
+
+
+def listed(cut: DataFrame, unit: Granularity) -> DataFrame:
+    """The slices of each unit of time as an array ``_held`` of what ``cut`` has on them, in order; ``_u`` is the unit's start."""
+    return cut.groupBy(align_down(F.col("_a"), unit).alias("_u")).agg(F.array_sort(F.collect_list(F.struct("_a", *(c for c in cut.columns if c != "_a")))).alias("_held"))
+
+
 def unit_marks(start: int, end: int, unit: Granularity, spark) -> DataFrame:
     """The unit boundaries in a range, as ``_at``."""
     from panelweave.functions.time import pieces

@@ -15,18 +15,21 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.functions.time import Granularity, display, pieces, units
+from panelweave.functions.time import Granularity, align_down, display, pieces, units
 from panelweave.model import Group, Spec
 from panelweave.operators import combine, segment
 from panelweave.operators.combine import combinations, parted_shares, shares, spread, subsets, weights
 from panelweave.operators.consolidate import consolidate
 from panelweave.operators.members import MemberSet
-from panelweave.operators.merge import attach
+from panelweave.operators.merge import attach, attach_within
 from panelweave.operators.sample import drawn, unranked
 from panelweave.operators.scan import numbered, running
 from panelweave.plans.analyze import PlanError, Resolved, resolve
 from panelweave.shared import written
 
+UNIT_SLICES = 400  # slices of one unit of time that an array may hold
+ALL_SLICES = 20_000  # slices of all units together that such arrays may hold
+
 
 def _allowed(rows: DataFrame, column: str, members: Sequence | DataFrame | MemberSet, flag: str) -> DataFrame:
     """rows with ``flag``: whether the column's value is listed."""
@@ -78,6 +81,7 @@ class Plan:
         groups = [(g, self._same_places(g)) for g in resolved.tops] + [(c.group, c.places) for c in resolved.children]
         self.others = [_Other(g, self._staged(g), places, resolved, n) for n, (g, places) in enumerate(groups)]
         self.tops = self.others[: len(resolved.tops)]
+        self.many_ends = True  # whether values may hold in more slices than one task merges by itself
 
     @property
     def whole(self) -> bool:
@@ -157,10 +161,26 @@ class Plan:
             ends.append(segment.unit_marks(self.start, self.end, self.unit, self.spark))
         return self._dealt(rows, self._slices(ends, []), [])
 
+    def _cut(self, rows: DataFrame, ends: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
+        """rows in every slice between the ends that they hold, for each value of ``by``: those of few ends meet by its value alone, those of many by ranges of time too."""
+        if not by:
+            return self._dealt(rows, self._slices(ends, by), by)
+        every = ends[0] if len(ends) == 1 else written(reduce(DataFrame.unionByName, ends), "ends")
+        counts = every.groupBy(*by).agg(F.count("*").alias("_ends"))
+        known = counts.agg(F.sum("_ends").alias("all"), F.max("_ends").alias("most")).first()
+        tasks = segment.tasks_for(self.spark, known["all"] or 0)
+        if (known["most"] or 0) <= segment.FEW:
+            self.many_ends = False
+            return segment.deal_few(rows, every, by, tasks)
+        many = written(counts.where(F.col("_ends") > segment.FEW).select(*by), "many")
+        few = segment.deal_few(rows.join(many, list(by), "left_anti"), every.join(many, list(by), "left_anti"), by, tasks)
+        ranged = [x.join(many, list(by), "left_semi") for x in (rows, every)]
+        return few.unionByName(self._dealt(ranged[0], self._slices(ranged[1:], by), by))
+
     def _per_branch(self) -> DataFrame:
         """The primary rows cut at the ends of those rows that can reach their branch."""
         ends = [self._ends(self.primary, self.branch)] + [self._reach(o) for o in self.others if o.timed]
-        return self._dealt(self.primary, self._slices(ends, self.branch), self.branch)
+        return self._cut(self.primary, ends, self.branch)
 
     # Leaves and their loads.
 
@@ -223,14 +243,44 @@ class Plan:
             return self._merged_sets(leaves if heavy is None else written(leaves, "leaves"), by, heavy, beside)
         rows = shares(leaves if heavy is None else written(leaves, "leaves"), by, k, heavy) if k > 1 else subsets(leaves, by, k)
         finer = [o for o in beside if o.timed and not (o.own is self.unit)]
+        if finer and not self.spec.consolidate and all(o.own is not None for o in finer):
+            at = written(reduce(DataFrame.unionByName, [self._ends(self.primary), *(self._ends(o.rows) for o in finer)]).distinct(), "cuts")
+            most, every = at.groupBy(align_down(F.col("_at"), self.unit)).count().agg(F.max("count"), F.sum("count")).first()
+            if 0 < (most or 0) <= UNIT_SLICES and every <= ALL_SLICES:
+                # So few cuts that one task puts them in order.
+                cut = at.select(F.col("_at").alias("_a"), F.lead("_at").over(Window.orderBy("_at")).alias("_b")).where("_b is not null")
+                return self._sliced_sets(rows, by, cut, beside)
         if finer:
             alone = self.branch if self.spec.consolidate else []
             ends = [self._ends(self.primary, alone)] + [self._reach(o) if self.spec.consolidate else self._ends(o.rows) for o in finer]
-            rows = self._dealt(rows.withColumnsRenamed({"_a": "_s", "_b": "_e"}), self._slices(ends, alone), alone).drop("_s", "_e")
+            rows = self._cut(rows.withColumnsRenamed({"_a": "_s", "_b": "_e"}), ends, alone).drop("_s", "_e")
         for other in beside:
             rows = other.attached(rows, by if k > 1 else [*by, "_leaf_1"], self)
         return spread(rows, by, k, [n for o in beside for n in o.names]) if k > 1 else rows
 
+    def _sliced_sets(self, rows: DataFrame, by: Sequence[str], cut: DataFrame, beside: Sequence[_Other]) -> DataFrame:
+        """The k-subsets in each slice of their unit: what holds in the slices is found once for a unit and branch, and comes to the subsets last."""
+        smaller = lambda o: o.timed and o.own.value < self.unit.value
+        k, more = self.r.k, {f"_at_{o.own.name}": align_down(F.col("_a"), o.own) for o in beside if smaller(o)}
+        if self.spec.show_time:
+            more |= {f"{x}_shown": display(F.col(x)) for x in ("_a", "_b")}
+        held = F.broadcast(segment.listed(cut.withColumns(more), self.unit))
+        for other in beside:
+            if smaller(other):
+                for name, on in zip(other.names, other.on):
+                    rows = attach_within(rows, on, other.rows, name, other.own, self.unit)
+            else:
+                rows = other.attached(rows, by if k > 1 else [*by, "_leaf_1"], self)
+        found = [(n, o) for o in beside if smaller(o) for n in o.names]
+        same = [n for o in beside if not smaller(o) for n in o.names]
+        rows = rows.join(held, align_down(F.col("_a"), self.unit) == F.col("_u")).drop("_u")
+        shown = [n for n in more if n.endswith("_shown")]
+        each = lambda s: F.struct(*(s[x].alias(x) for x in ("_a", "_b", *shown)), *(F.try_element_at(F.col(n), s[f"_at_{o.own.name}"]).alias(n) for n, o in found))
+        rows = rows.withColumn("_held", F.transform("_held", each)).drop(*(n for n, _ in found))
+        sets = spread(rows, by, k, [*same, "_held"]) if k > 1 else rows
+        kept = [c for c in sets.columns if c not in ("_a", "_b", "_held")]
+        return sets.select(*kept, F.explode("_held").alias("_h")).select(*kept, "_h.*")
+
     @property
     def _merged(self) -> bool:
         """Whether k-ads are merged over time as they are made: a k-ad's rows are what its leaves' runs have in common.
@@ -367,8 +417,10 @@ class Plan:
             return sets if texts else sets.drop("_a_shown", "_b_shown")
         columns = self._columns()
         names = [name for name, _ in columns]
-        flat = sets.select(*(column.alias(name) for name, column in columns), "_a", "_b")
-        return consolidate(flat, names, None if self._by_units else self.ranges) if spec.consolidate else flat
+        shown = [c for c in ("_a_shown", "_b_shown") if texts and c in sets.columns]
+        flat = sets.select(*(column.alias(name) for name, column in columns), "_a", "_b", *shown)
+        # Rows of equal values are of one branch, so that of few ends they are few.
+        return consolidate(flat, names, None if self._by_units or not self.many_ends else self.ranges) if spec.consolidate else flat
 
     @property
     def _by_units(self) -> bool:

@@ -238,3 +238,42 @@ def test_a_column_of_dates_has_one_form(spark):
     assert form_of(mixed.where("t = 'nonsense'"), "t") is None
     back = mixed.select("t", parse_as(F.col("t"), "MMMM d, yyyy").alias("ms")).where("ms is not null")
     assert {r["t"] for r in back.collect()} == {"May 5, 1999", "June 3, 1999", "July 3, 1999"}
+
+
+def test_branches_of_few_ends_are_cut_without_ranges(spark, monkeypatch):
+    chance = random.Random(5)
+    rows = []
+    for b, n in (("1", 4), ("2", 40), ("3", 1)):
+        for _ in range(n):
+            start = chance.randrange(ms(1981), ms(1998), 86_400_000)
+            rows.append((b, chance.choice("ABC"), chance.choice("xy"), start, start + chance.randrange(1, 3000) * 86_400_000))
+    key = lambda r: [str(x) for x in r]
+    found = {}
+    for few in (0, 20, 1_000):
+        monkeypatch.setattr(segment, "FEW", few)
+        monkeypatch.setattr(segment, "TASK_ROWS", 10)
+        found[few] = sorted(map(tuple, dyads(spark, rows)), key=key)
+    assert found[0] == found[20] == found[1_000] and len(found[0]) > 20
+    with monkeypatch.context() as m:
+        m.setattr(segment.Ranges, "spanned", lambda *_: pytest.fail("copied for ranges"))
+        assert sorted(map(tuple, dyads(spark, rows)), key=key) == found[0]
+    assert segment.tasks_for(spark, 1_000) == 100
+
+
+def test_finer_rows_come_to_units_before_subsets_are_cut(spark, monkeypatch):
+    chance = random.Random(6)
+    rows = [(b, leaf, chance.choice("xyz"), ms(1985 + y), ms(1986 + y)) for b in "12" for leaf in "ABC" for y in range(5) if chance.random() < 0.7]
+    monthly = [(b, chance.choice("uvw"), ms(1985 + y, m), ms(1985 + y, m + 1)) for b in "123" for y in range(6) for m in (2, 3, 7) for _ in range(2) if chance.random() < 0.6]
+    decades = [(b, b * 2, ms(1980), ms(1990)) for b in "13"]
+    branch = (("b", "branch"),)
+    others = [replace(group(spark, "c", monthly, branch, granularity=Granularity.MONTH), one_unit=True), replace(group(spark, "d", decades, branch, granularity=Granularity.DECADE), one_unit=True)]
+    groups = [replace(group(spark, "p", rows, DYAD), one_unit=True), *others]
+    for k in (1, 2, 3):
+        spec = Spec({"p": ["p_v"], "c": ["c_v"], "d": ["d_v"]}, {"leaf": k}, start=ms(1980), end=ms(2000), consolidate=False, show_time=True)
+        key = lambda r: [str(x) for x in r]
+        with monkeypatch.context() as m:
+            m.setattr(engine, "UNIT_SLICES", 0)
+            want = sorted(map(tuple, engine.generate(spec, groups).collect()), key=key)
+        with monkeypatch.context() as m:
+            m.setattr(engine.Plan, "_dealt", lambda *_: pytest.fail("rows are copied for slices before others meet them"))
+            assert sorted(map(tuple, engine.generate(spec, groups).collect()), key=key) == want and len(want) > 20
