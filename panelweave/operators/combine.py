@@ -104,8 +104,11 @@ def _tuples(leaves: DataFrame, by: Sequence[str], k: int) -> tuple[DataFrame, Da
     return met.select(*by, "_blocks", F.col("_parts._side").alias("_sides")), _single(few, by, k)
 
 
-def spread(rows: DataFrame, by: Sequence[str], k: int, beside: Sequence[str] = ()) -> DataFrame:
-    """The k-subsets that ``shares`` hold, with ``by`` and the columns ``beside``: members ascend from block to block."""
+def spread(rows: DataFrame, by: Sequence[str], k: int, beside: Sequence[str] = (), places: bool = False) -> DataFrame:
+    """The k-subsets that ``shares`` hold, with ``by`` and the columns ``beside``: members ascend from block to block.
+
+    places: with the members' places among their group's leaves, from 0, as ``_nth_1``.. too.
+    """
     keep, done, at = [*by, *beside, "_blocks", "_sides"], [], F.lit(0)
     for i in range(k):
         # The places of a tuple that name the same block take its members onward from the one before.
@@ -117,9 +120,13 @@ def spread(rows: DataFrame, by: Sequence[str], k: int, beside: Sequence[str] = (
         members = F.slice(side, skip + 1, F.greatest(F.size(side) - skip, F.lit(0)))
         rows = rows.select(*keep, *done, skip.alias("_skip"), F.posexplode(members).alias("_step", f"_x{i + 1}"))
         done.append(f"_x{i + 1}")
-        rows = rows.select(*keep, *done, (F.col("_skip") + F.col("_step") + 1).alias("_at"))
+        after = F.col("_skip") + F.col("_step") + 1
+        nth_of = [(F.get("_blocks", F.lit(i)) * block(k) + after - 1).alias(f"_nth_{i + 1}")] if places else []
+        rows = rows.select(*keep, *done, *nth_of, after.alias("_at"))
+        done += [f"_nth_{i + 1}"] if places else []
         at = F.col("_at")
-    return rows.select(*by, *beside, *(F.col(f"_x{i}")[part].alias(f"{part}_{i}") for i in range(1, k + 1) for part in ("_leaf", "_load")))
+    numbers = [f"_nth_{i}" for i in range(1, k + 1)] if places else []
+    return rows.select(*by, *beside, *numbers, *(F.col(f"_x{i}")[part].alias(f"{part}_{i}") for i in range(1, k + 1) for part in ("_leaf", "_load")))
 
 
 def weights(leaves: DataFrame, by: Sequence[str], k: int, units: Column) -> DataFrame:

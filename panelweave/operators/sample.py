@@ -31,6 +31,21 @@ def _big(value: int) -> Column:
 def drawn(weighted: DataFrame, by: Sequence[str], n: int, seed: int) -> DataFrame:
     """n different ordinals (all, if there are no more): by (whose last two are the slice), _n, _units, _ways, _draw (its number within slice and
     branch), _unit (0-based), _rank (of the subset). weighted is read twice, so it should be written."""
+    picks, left_out, dealt = outcome(weighted, by, n, seed)
+    if picks is not None:
+        return picks
+    if left_out is None:
+        return _parts(_every(dealt, by), by)
+    left_out = left_out.select(*(F.col(c).alias(f"_o_{c}") for c in by), F.col("_draw").alias("_o_draw"))
+    same = F.col("_draw") == F.col("_o_draw")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return _parts(_every(dealt, by).join(left_out, same, "left_anti"), by)
+
+
+def outcome(weighted: DataFrame, by: Sequence[str], n: int, seed: int) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+    """What a sample of n is: (the ordinals drawn, None, ..), or (None, those of all that it lacks, ..) if these are fewer, (None, None, ..) if it is of
+    all; and the table of slices and branches in order. Ordinals come with the columns that ``drawn`` names."""
     *branch, start, end = by
     dealt = ordered(weighted.where("_weight is null or _weight > 0"), [start, end, *branch], "dealt").withColumnRenamed("_part", "_bucket")
     sums = dealt.groupBy("_bucket").agg(F.sum("_weight").alias("w"), F.max(F.col("_weight").isNull()).alias("beyond")).collect()
@@ -43,17 +58,13 @@ def drawn(weighted: DataFrame, by: Sequence[str], n: int, seed: int) -> DataFram
     if overall > MOST:
         raise OverflowError(f"{overall} k-ads are more than the {MOST} that a sample can be drawn from")
     if n >= overall:
-        return _parts(_every(dealt, by), by)
+        return None, None, dealt
     starts, start = {}, 0
     for bucket in sorted(totals):
         starts[bucket], start = start, start + totals[bucket]
     if 2 * n <= overall:
-        return _parts(_placed(dealt, _ordinals(dealt.sparkSession, overall, n, seed), starts, by), by)
-    left_out = _placed(dealt, _ordinals(dealt.sparkSession, overall, overall - n, seed), starts, by).select(*(F.col(c).alias(f"_o_{c}") for c in by), F.col("_draw").alias("_o_draw"))
-    same = F.col("_draw") == F.col("_o_draw")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
-    return _parts(_every(dealt, by).join(left_out, same, "left_anti"), by)
+        return _parts(_placed(dealt, _ordinals(dealt.sparkSession, overall, n, seed), starts, by), by), None, dealt
+    return None, _parts(_placed(dealt, _ordinals(dealt.sparkSession, overall, overall - n, seed), starts, by), by), dealt
 
 
 def _every(dealt: DataFrame, by: Sequence[str]) -> DataFrame:

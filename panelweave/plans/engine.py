@@ -22,7 +22,7 @@ from panelweave.operators.combine import combinations, parted_shares, shares, sp
 from panelweave.operators.consolidate import consolidate
 from panelweave.operators.members import MemberSet
 from panelweave.operators.merge import attach, attach_within
-from panelweave.operators.sample import drawn, unranked
+from panelweave.operators.sample import drawn, outcome, unranked
 from panelweave.operators.scan import numbered, running
 from panelweave.plans.analyze import PlanError, Resolved, resolve
 from panelweave.shared import written
@@ -221,8 +221,8 @@ class Plan:
             found.append(F.max_by(name, f"_order_{name}").alias(name))
         return rows.groupBy(*self.branch, "_a", "_b", "_leaf").agg(*found).where("_excluded is not null")
 
-    def _whole_sets(self) -> DataFrame:
-        """The k-subsets where leaves need no cutting, in the form that subsets() gives."""
+    def _whole_sets(self, places: bool = False) -> DataFrame:
+        """The k-subsets where leaves need no cutting, in the form that subsets() gives; ``places``: with those of their leaves, as spread() gives them."""
         by, k = [*self.branch, "_a", "_b"], self.r.k
         leaves, names = self._whole_leaves(self.tops), [o.names[0] for o in self.tops]
         for other in self.others:
@@ -256,7 +256,7 @@ class Plan:
             rows = self._cut(rows.withColumnsRenamed({"_a": "_s", "_b": "_e"}), ends, alone).drop("_s", "_e")
         for other in beside:
             rows = other.attached(rows, by if k > 1 else [*by, "_leaf_1"], self)
-        return spread(rows, by, k, [n for o in beside for n in o.names]) if k > 1 else rows
+        return spread(rows, by, k, [n for o in beside for n in o.names], places) if k > 1 else rows
 
     def _sliced_sets(self, rows: DataFrame, by: Sequence[str], cut: DataFrame, beside: Sequence[_Other]) -> DataFrame:
         """The k-subsets in each slice of their unit: what holds in the slices is found once for a unit and branch, and comes to the subsets last."""
@@ -350,7 +350,13 @@ class Plan:
         k, by = self.r.k, [*self.branch, "_a", "_b"]
         leaves = written(self._counted_leaves(), "leaves")
         weighed = written(weights(leaves, by, k, units(F.col("_a"), F.col("_b"), self.unit)), "weights")
-        picks = drawn(weighed, by, self.spec.sample, self.spec.seed)
+        if k > 1 and self._by_units:
+            # A sample of most k-ads is all of them, made as without drawing, less those that it lacks.
+            picks, left_out, _ = outcome(weighed, by, self.spec.sample, self.spec.seed)
+            if picks is None:
+                return self._all_but(left_out, by)
+        else:
+            picks = drawn(weighed, by, self.spec.sample, self.spec.seed)
         hit = picks.select(*(F.col(c).alias(f"_h_{c}") for c in by)).distinct()
         there = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in by))
         ranked = leaves.where("not _excluded").join(hit, there, "left_semi").withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy("_leaf")) - 1)
@@ -376,6 +382,19 @@ class Plan:
         slots = [F.get("_all", F.lit(i))[x].alias(f"{x}_{i + 1}") for i in range(k) for x in ("_leaf", "_load")]
         return rows.select(*by, *slots)
 
+    def _all_but(self, left_out: DataFrame | None, by: Sequence[str]) -> DataFrame:
+        """All k-ads but those left out, which are told by their leaves' places; slices are units, so a k-ad is one of a slice."""
+        sets = self._whole_sets(places=True)
+        numbers = [f"_nth_{i}" for i in range(1, self.r.k + 1)]
+        if left_out is not None:
+            names = [f"_o_{c}" for c in (*by, *numbers)]
+            want = unranked(F.col("_rank"), F.col("_n"), self.r.k)
+            # Where leaves are fewer than k, what fills them up has the places after theirs.
+            lacks = left_out.select(*by, want.alias("_want")).select(*by, *(F.coalesce(F.get("_want", F.lit(i)), F.lit(i)).alias(n) for i, n in enumerate(numbers)))
+            lacks = written(lacks.toDF(*names), "lacks")
+            sets = sets.join(lacks, reduce(lambda a, b: a & b, (F.col(c) == F.col(n) for c, n in zip((*by, *numbers), names))), "left_anti")
+        return sets.drop(*numbers)
+
     # The output.
 
     def _columns(self) -> list[tuple[str, Column]]:

@@ -277,3 +277,17 @@ def test_finer_rows_come_to_units_before_subsets_are_cut(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(engine.Plan, "_dealt", lambda *_: pytest.fail("rows are copied for slices before others meet them"))
             assert sorted(map(tuple, engine.generate(spec, groups).collect()), key=key) == want and len(want) > 20
+
+
+@pytest.mark.parametrize("block", [512, 2])
+def test_a_sample_of_most_is_all_less_what_it_lacks(spark, monkeypatch, block):
+    from panelweave.operators import sample
+
+    monkeypatch.setattr(combine, "BLOCK", block)
+    monkeypatch.setattr(sample, "_every", lambda *_: pytest.fail("all ordinals listed"))
+    rows = [(b, leaf, leaf.lower(), ms(1985 + y), ms(1986 + y)) for b, leaves in (("1", "ABCDE"), ("2", "A"), ("3", "AB")) for leaf in leaves for y in range(2)]
+    primary = replace(group(spark, "p", rows, DYAD), one_unit=True)
+    spec = Spec({"p": ["p_v"]}, {"leaf": 2}, start=ms(1980), end=ms(2000), consolidate=False, show_time=True)
+    every = {(b, *c, *([None] * (2 - len(c))), y) for b, leaves in (("1", "ABCDE"), ("2", "A"), ("3", "AB")) for y in (1985, 1986) for c in (itertools.combinations(leaves, 2) if len(leaves) > 1 else [tuple(leaves)])}
+    some = [(r["b"], r["l_1"], r["l_2"], int(r["row_starts_at"][:4])) for r in engine.generate(replace(spec, sample=17, seed=3), [primary]).collect()]
+    assert len(every) == 24 and len(some) == len(set(some)) == 17 and set(some) < every
