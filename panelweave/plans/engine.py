@@ -514,6 +514,11 @@ def upper_bound(spec: Spec, groups: Mapping[str, Group] | Sequence[Group]) -> Da
     """
     planned = plan(spec, groups)
     by = [*planned.branch, "_a", "_b"]
+    if planned.whole and planned.branch:
+        known = planned.primary.groupBy(*planned.branch).count().agg(F.sum("count").alias("all"), F.max("count").alias("most")).first()
+        if (known["most"] or 0) <= segment.TASK_ROWS:
+            # Leaves, sets and stretches of a branch are found by the task that its rows are sent to; tasks are as many as rows ask for.
+            planned.primary = planned.primary.repartition(segment.tasks_for(planned.spark, known["all"] or 0), *planned.branch)
     # A set of leaves is told by two hashes of 64 bits and its size, so it is never gathered.
     prints = [F.bit_xor(F.xxhash64(F.lit(i), "_leaf")).alias(f"_print_{i}") for i in (1, 2)]
     sets = planned._counted_leaves().where("not _excluded").groupBy(*by).agg(F.count("*").alias("_size"), *prints)

@@ -291,3 +291,15 @@ def test_a_sample_of_most_is_all_less_what_it_lacks(spark, monkeypatch, block):
     every = {(b, *c, *([None] * (2 - len(c))), y) for b, leaves in (("1", "ABCDE"), ("2", "A"), ("3", "AB")) for y in (1985, 1986) for c in (itertools.combinations(leaves, 2) if len(leaves) > 1 else [tuple(leaves)])}
     some = [(r["b"], r["l_1"], r["l_2"], int(r["row_starts_at"][:4])) for r in engine.generate(replace(spec, sample=17, seed=3), [primary]).collect()]
     assert len(every) == 24 and len(some) == len(set(some)) == 17 and set(some) < every
+
+
+def test_tasks_of_upper_bounds_follow_the_rows(spark, monkeypatch):
+    rows = [(str(b), leaf, "x", ms(1985 + y), ms(1986 + y)) for b in range(40) for leaf in "ABCD"[: b % 4 + 1] for y in (0, 1, 3)]
+    primary, asked = replace(group(spark, "p", rows, DYAD), one_unit=True), []
+    spec = Spec({"p": ["p_v"]}, {"leaf": 2}, start=ms(1980), end=ms(2000))
+    own = segment.tasks_for
+    monkeypatch.setattr(segment, "tasks_for", lambda *a: asked.append(own(*a)) or asked[-1])
+    for most in (20, 5):
+        monkeypatch.setattr(segment, "TASK_ROWS", most)
+        assert tuple(engine.upper_bound(spec, [primary]).first()) == (10 * 2 * (1 + 1 + 3 + 6), 80)
+    assert asked == [15]
