@@ -63,7 +63,8 @@ def shares(leaves: DataFrame, by: Sequence[str], k: int, heavy: DataFrame | None
 def parted_shares(leaves: DataFrame, by: Sequence[str], k: int, heavy: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """What ``shares`` gives in two tables: the shares of whole subsets, and those of fewer than k leaves, with padding."""
     n, groups = F.size("_side"), _gathered(leaves, by, heavy)
-    full, short = _single(groups.where(n >= k), by, k), _single(groups.where((n > 0) & (n < k) & ~F.col("_cut_short")), by, k)
+    # Both ask for the same columns (none is null), so that Spark gathers the groups once for the two.
+    full, short = _single(groups.where((n >= k) & F.col("_cut_short").isNotNull()), by, k), _single(groups.where((n > 0) & (n < k) & ~F.col("_cut_short")), by, k)
     if heavy is None:
         return full, short
     many, few = _tuples(leaves.join(heavy, list(by), "left_semi"), by, k)

@@ -10,6 +10,7 @@ Other groups are attached before leaves are combined, so that each join runs ove
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,8 +73,9 @@ class _Other:
 
 
 class Plan:
-    def __init__(self, resolved: Resolved):
+    def __init__(self, resolved: Resolved, counted: dict | None = None):
         self.r, self.spec, self.unit = resolved, resolved.spec, resolved.unit
+        self.counted = {} if counted is None else counted  # what other plans have counted of the same groups' rows
         self.spark = resolved.primary.table.sparkSession
         self.start, self.end = segment.aligned(self.spec.start, self.spec.end, self.unit, self.spark)
         self.branch = [f"_b{i}" for i in range(len(resolved.branch))]
@@ -195,6 +197,14 @@ class Plan:
         many = rows.groupBy(*self.branch, F.col(start).alias("_a"), F.col(end).alias("_b")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > combine.block(self.r.k))
         return None if many.isEmpty() else written(many.select(*by), "heavy")
 
+    def _heavy_units(self, by: Sequence[str]) -> DataFrame | None:
+        """The same of primary rows that need no cutting; counted once for all plans with these rows."""
+        limits = frozenset((entity.casefold(), id(members)) for entity, members in self.spec.limits.items())
+        rows = (id(self.r.primary), self.start, self.end, limits, self.r.branch, combine.block(self.r.k))
+        if rows not in self.counted:
+            self.counted[rows] = self._heavy(self.primary, by, "_s", "_e")
+        return self.counted[rows]
+
     def _leaves(self, live: DataFrame) -> DataFrame:
         """One row per slice, branch and leaf; the first row's data."""
         return live.groupBy(*self.branch, "_a", "_b", "_leaf").agg(F.min_by("_data", "_order").alias("_data"), F.max("_excluded").alias("_excluded"))
@@ -238,7 +248,7 @@ class Plan:
         if self._merged:
             leaves, runs = self._with_runs(leaves, [o for o in self.others if not o.beside])
         leaves = leaves.withColumn("_load", F.struct(F.col("_data").alias("p"), *names, *runs)).drop("_data", *names, *runs)
-        heavy = self._heavy(self.primary, by, "_s", "_e") if k > 1 else None
+        heavy = self._heavy_units(by) if k > 1 else None
         if self._merged:
             return self._merged_sets(leaves if heavy is None else written(leaves, "leaves"), by, heavy, beside)
         rows = shares(leaves if heavy is None else written(leaves, "leaves"), by, k, heavy) if k > 1 else subsets(leaves, by, k)
@@ -466,6 +476,26 @@ def generate(spec: Spec, groups: Mapping[str, Group] | Sequence[Group]) -> DataF
     return plan(spec, groups).output()
 
 
+def generate_each(specs: Mapping[str, Spec], groups: Mapping[str, Group] | Sequence[Group]) -> dict[str, DataFrame | PlanError]:
+    """The outputs of several specifications on the same groups, by name, or why one is refused.
+
+    Those that mean the same get the same DataFrame, so that who reads it for all of them makes its rows once; and what
+    plans have to count of the same rows is counted once.
+    """
+    by_code = groups if isinstance(groups, Mapping) else {g.code: g for g in groups}
+    out, made, counted = {}, [], {}
+    for name, spec in specs.items():
+        try:
+            resolved = resolve(spec, by_code)
+            meaning = replace(resolved, spec=replace(spec, select={}))
+            same = next((rows for known, rows in made if known == meaning), None)
+            out[name] = Plan(resolved, counted).output() if same is None else same
+            made.append((meaning, out[name]))
+        except PlanError as refused:
+            out[name] = refused
+    return out
+
+
 def plan(spec: Spec, groups: Mapping[str, Group] | Sequence[Group]) -> Plan:
     by_code = groups if isinstance(groups, Mapping) else {g.code: g for g in groups}
     return Plan(resolve(spec, by_code))

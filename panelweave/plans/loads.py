@@ -751,11 +751,12 @@ def specifications_and_their_rows(spark, sf_dir):
         "k no multiple": Spec({"twice": ["l_tax"]}, {"supplier": 3}), "two entities multiplied": Spec(q, {"supplier": 2, "order": 2}), "empty range": Spec(q, two, start=5_000, end=5_900),
         "granulated without time": Spec({"timeless": ["l_tax"]}, consolidate=False), "several largest groups": Spec(q | {"again": ["l_tax"]}, two),
     }
+    names: dict = {}
+    for name, output in engine.generate_each(specs, groups).items():
+        names.setdefault(None if isinstance(output, analyze.PlanError) else output, []).append(name)
     out = []
-    for name, spec in specs.items():
-        try:
-            rows = engine.generate(spec, groups).agg(F.count("*").alias("rows"))
-        except analyze.PlanError:
-            rows = spark.range(1).select(F.lit(None).cast("bigint").alias("rows"))
-        out.append(rows.select(F.lit(name).alias("specification"), "rows"))
+    for output, same in names.items():
+        # Equal specifications have one output, which is counted once.
+        rows = spark.range(1).select(F.lit(None).cast("bigint").alias("rows")) if output is None else output.agg(F.count("*").alias("rows"))
+        out.append(rows.select(F.explode(F.array(*map(F.lit, same))).alias("specification"), "rows"))
     return reduce(DataFrame.unionByName, out)

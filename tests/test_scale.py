@@ -303,3 +303,30 @@ def test_tasks_of_upper_bounds_follow_the_rows(spark, monkeypatch):
         monkeypatch.setattr(segment, "TASK_ROWS", most)
         assert tuple(engine.upper_bound(spec, [primary]).first()) == (10 * 2 * (1 + 1 + 3 + 6), 80)
     assert asked == [15]
+
+
+def test_k_ads_and_padded_sets_gather_their_groups_once(spark):
+    import re
+
+    rows = [(str(b), leaf, leaf + str(b % 2), ms(1985 + y), ms(1986 + y)) for b in range(30) for leaf in "ABCD"[: b % 4 + 1] for y in range(3)]
+    made = engine.generate(Spec({"p": ["p_v"]}, {"leaf": 2}, start=ms(1980), end=ms(2000)), [replace(group(spark, "p", rows, DYAD), one_unit=True)])
+    assert len(made.collect()) == 8 + 8 + 7 * 3 + 7 * 6
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    gathered = [line for line in re.sub(r"#\d+L?", "", plan).splitlines() if re.search(r"Exchange hashpartitioning\(_b0, _a, _b, \d+\)", line)]
+    assert len(gathered) == 2 and sum("ReusedExchange" in line for line in gathered) == 1
+
+
+def test_equal_specifications_are_planned_and_counted_once(spark, monkeypatch):
+    rows = [(str(b), leaf, "x", ms(1985), ms(1986)) for b in range(4) for leaf in "ABCD"[: b + 1]]
+    groups = [replace(group(spark, "p", rows, DYAD), one_unit=True)]
+    one = Spec({"p": ["p_v"]}, {"leaf": 2}, start=ms(1980), end=ms(2000))
+    specs = {"one": one, "other case": replace(one, select={"P": ["P_V"]}), "granulated": replace(one, consolidate=False), "limited": replace(one, consolidate=False, limits={"leaf": ["A", "B"]}), "refused": replace(one, k={"leaf": 0}), "triads": replace(one, k={"leaf": 3})}
+    counted, own = [], engine.Plan._heavy
+    monkeypatch.setattr(engine.Plan, "_heavy", lambda *a: counted.append(a) or own(*a))
+    found = engine.generate_each(specs, groups)
+    assert found["one"] is found["other case"] and isinstance(found["refused"], engine.PlanError)
+    assert len(counted) == 3  # all rows, those with limits, and all for the smaller blocks of triads
+    monkeypatch.undo()
+    for name, spec in specs.items():
+        if name != "refused":
+            assert sorted(map(str, found[name].collect())) == sorted(map(str, engine.generate(spec, groups).collect()))
