@@ -58,6 +58,8 @@ def align_down(ms: Column, unit: Granularity) -> Column:
         return ms - F.pmod(ms, F.lit(_FIXED[unit]))
     if unit is Granularity.MONTH:
         return ms_of(F.trunc(date_of(ms), "MONTH"))
+    if unit is Granularity.YEAR:
+        return ms_of(F.trunc(date_of(ms), "YEAR"))
     if unit in _YEARS:
         many, year = _YEARS[unit], F.year(date_of(ms))
         return ms_of(F.make_date(year - F.pmod(year, F.lit(many)), F.lit(1), F.lit(1)))

@@ -330,3 +330,15 @@ def test_equal_specifications_are_planned_and_counted_once(spark, monkeypatch):
     for name, spec in specs.items():
         if name != "refused":
             assert sorted(map(str, found[name].collect())) == sorted(map(str, engine.generate(spec, groups).collect()))
+
+
+def test_stamps_of_days_and_more_depend_on_the_day(spark):
+    from panelweave.plans.bindings import _stamped
+
+    rows = spark.sql("select timestamp_ntz'1969-12-31 23:59:59.999900' as at union all select timestamp_ntz'2024-02-29 13:00:00' union all select null")
+    found = lambda unit: [tuple(r) for r in _stamped(rows, "at", unit).orderBy(F.col("at").asc_nulls_last()).select("row_start", "row_end").collect()]
+    assert found(Granularity.DAY) == [(-86_400_000, 0), (ms(2024, 2, 29), ms(2024, 3, 1)), (None, None)]
+    assert found(Granularity.MONTH) == [(ms(1969, 12), 0), (ms(2024, 2), ms(2024, 3)), (None, None)]
+    assert found(Granularity.YEAR) == [(ms(1969), 0), (ms(2024), ms(2025)), (None, None)]
+    assert found(Granularity.HOUR)[1] == (ms(2024, 2, 29) + 13 * 3_600_000, ms(2024, 2, 29) + 14 * 3_600_000)
+    assert "timestampdiff" not in _stamped(rows, "at", Granularity.YEAR)._jdf.queryExecution().optimizedPlan().toString()
