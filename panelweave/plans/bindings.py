@@ -26,7 +26,10 @@ def _query(sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the driver: its columns in the order in which the SQL orders rows, however the file has them."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    named = [c for c in _IN_ORDER.get(name, "").split(", ") if c in table.columns]
+    return table.select(*named, *(c for c in table.columns if c not in named))
 
 
 def _stamped(table: DataFrame, column: str, unit: Granularity) -> DataFrame:
@@ -46,6 +49,8 @@ def _group(code: str, table: DataFrame, unit: Granularity, *keys: tuple[str, str
 
 _LINEITEM = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 _ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
+_EVENTS = "event_id, ts, user_id, event_type, value, props"
+_IN_ORDER = {"lineitem": _LINEITEM, "orders": _ORDERS, "events": _EVENTS}
 
 
 def _first(source: str, branch: str, leaf: str, unit: str, stamp: str, value: str, order: str, where: str = "true") -> str:

@@ -36,3 +36,16 @@ def test_query_matches_sql(spark, name):
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     assert normal(got, columns) == normal(want, columns)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_first_rows_win_by_the_named_order_of_columns(spark, tmp_path):
+    """A file may have its columns in another order than the SQL names them in."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"copy (select ts, user_id, event_type, value, props, 100000 - event_id as event_id from '{SF}/events.parquet') to '{tmp_path}/events.parquet' (format parquet)")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = con.execute(bindings.ORACLE["coalesce_few_values"]).df()
+    got = bindings.QUERIES["coalesce_few_values"](spark, str(tmp_path)).toPandas()
+    assert normal(got, sorted(want.columns)) == normal(want, sorted(want.columns))
