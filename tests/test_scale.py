@@ -342,3 +342,29 @@ def test_stamps_of_days_and_more_depend_on_the_day(spark):
     assert found(Granularity.YEAR) == [(ms(1969), 0), (ms(2024), ms(2025)), (None, None)]
     assert found(Granularity.HOUR)[1] == (ms(2024, 2, 29) + 13 * 3_600_000, ms(2024, 2, 29) + 14 * 3_600_000)
     assert "timestampdiff" not in _stamped(rows, "at", Granularity.YEAR)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("k", [2, 3])
+def test_subsets_are_listed_from_plain_values(spark, k):
+    rows = [("1", (i, f"n{i}"), ((f"v{i}" if i % 2 else None, i), None if i == 3 else (i * 10,)), i == 4) for i in (3, 1, 2, 0, 4)] + [("2", (7, "n7"), (("v7", 7), (70,)), False)]
+    leaves = spark.createDataFrame(rows, "b string, _leaf struct<l0: int, l1: string>, _load struct<p: struct<v0: string, v1: int>, c: struct<v0: int>>, _excluded boolean")
+    one = combine.shares(leaves, ["b"], k).schema["_sides"].dataType.elementType.elementType
+    assert one.names[:2] == ["_leaf/l0", "_leaf/l1"] and not any(f.dataType.typeName() == "struct" for f in one)
+    found = combine.subsets(leaves, ["b"], k)
+    assert {found.schema[f"_leaf_{i}"].dataType.simpleString() for i in range(1, k + 1)} == {"struct<l0:int,l1:string>"}
+    value = lambda r, i: (r[f"_leaf_{i}"]["l1"], r[f"_load_{i}"]["p"]["v0"], r[f"_load_{i}"]["p"]["v1"], r[f"_load_{i}"]["c"]["v0"])
+    own = {i: (f"n{i}", f"v{i}" if i % 2 else None, i, None if i == 3 else i * 10) for i in (0, 1, 2, 3, 7)}
+    want = list(itertools.combinations([own[i] for i in range(4)], k)) + [(own[7], *[(None,) * 4] * (k - 1))]
+    assert sorted((tuple(value(r, i) for i in range(1, k + 1)) for r in found.collect()), key=str) == sorted(want, key=str)
+
+
+def test_sets_are_padded_only_where_leaves_are_few(spark):
+    from tests.test_panels import year
+
+    for rows, pads in (([year(x, 1990) for x in "ABC"], False), ([year(x, 1990) for x in "AB"] + [year("A", 1992)] * 2, True), ([year("A", 1990)] * 600 + [year("B", 1990)], False)):
+        planned = engine.plan(Spec({"p": ["p_v"]}, {"leaf": 2}, start=ms(1980), end=ms(2000)), [replace(group(spark, "p", rows, DYAD), one_unit=True)])
+        made = planned.rows()
+        assert planned.may_pad == pads
+        if len(rows) <= combine.BLOCK:
+            assert pads == ("Union" in made._jdf.queryExecution().optimizedPlan().toString())
+        assert sum(r["l_2"] is None for r in made.collect()) == pads
