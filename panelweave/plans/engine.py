@@ -164,26 +164,29 @@ class Plan:
             ends.append(segment.unit_marks(self.start, self.end, self.unit, self.spark))
         return self._dealt(rows, self._slices(ends, []), [])
 
-    def _cut(self, rows: DataFrame, ends: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
-        """rows in every slice between the ends that they hold, for each value of ``by``: those of few ends meet by its value alone, those of many by ranges of time too."""
+    def _cut(self, rows: DataFrame, ends: Sequence[DataFrame], by: Sequence[str], leaves: bool = False) -> DataFrame:
+        """rows in every slice between the ends that they hold, for each value of ``by``: those of few ends meet by its value alone, those of many by ranges of time too. leaves: what ``_leaves`` makes of them."""
+        each = self._leaves if leaves else lambda x: x
         if not by:
-            return self._dealt(rows, self._slices(ends, by), by)
+            return each(self._dealt(rows, self._slices(ends, by), by))
         every = ends[0] if len(ends) == 1 else written(reduce(DataFrame.unionByName, ends), "ends")
         counts = every.groupBy(*by).agg(F.count("*").alias("_ends"))
         known = counts.agg(F.sum("_ends").alias("all"), F.max("_ends").alias("most")).first()
         tasks = segment.tasks_for(self.spark, known["all"] or 0)
         if (known["most"] or 0) <= segment.FEW:
             self.many_ends = False
-            return segment.deal_few(rows, every, by, tasks)
+            return each(segment.deal_few(rows, every, by, tasks))
         many = written(counts.where(F.col("_ends") > segment.FEW).select(*by), "many")
         few = segment.deal_few(rows.join(many, list(by), "left_anti"), every.join(many, list(by), "left_anti"), by, tasks)
         ranged = [x.join(many, list(by), "left_semi") for x in (rows, every)]
-        return few.unionByName(self._dealt(ranged[0], self._slices(ranged[1:], by), by))
+        cut = self._slices(ranged[1:], by)
+        found = segment.firsts(ranged[0], cut, by, self.ranges) if leaves else self._dealt(ranged[0], cut, by)
+        return each(few).unionByName(found)
 
-    def _per_branch(self) -> DataFrame:
-        """The primary rows cut at the ends of those rows that can reach their branch."""
+    def _leaves_per_branch(self) -> DataFrame:
+        """The leaves in slices that those rows cut that can reach their branch."""
         ends = [self._ends(self.primary, self.branch)] + [self._reach(o) for o in self.others if o.timed]
-        return self._cut(self.primary, ends, self.branch)
+        return self._cut(self.primary, ends, self.branch, leaves=True)
 
     # Leaves and their loads.
 
@@ -445,8 +448,8 @@ class Plan:
         elif self.whole:
             sets = self._whole_sets()
         else:
-            live = self._everywhere(self.primary, marks=True) if granular else self._per_branch()
-            leaves = self._loaded(self._leaves(live), [*by, "_leaf"])
+            leaves = self._leaves(self._everywhere(self.primary, marks=True)) if granular else self._leaves_per_branch()
+            leaves = self._loaded(leaves, [*by, "_leaf"])
             if k > 1:
                 leaves = written(leaves, "leaves")
             sets = subsets(leaves, by, k, self._heavy(leaves, by) if k > 1 else None)

@@ -368,3 +368,31 @@ def test_sets_are_padded_only_where_leaves_are_few(spark):
         if len(rows) <= combine.BLOCK:
             assert pads == ("Union" in made._jdf.queryExecution().optimizedPlan().toString())
         assert sum(r["l_2"] is None for r in made.collect()) == pads
+
+
+@pytest.mark.parametrize("bounds", [(), (50, 51, 120), tuple(range(0, 200, 7))])
+def test_the_first_rows_of_slices_are_found_by_blocks(spark, bounds):
+    chance, rows = random.Random(7), []
+    for i in range(300):
+        start = chance.randrange(200)
+        rows.append((chance.choice("bbc"), chance.choice("xxxy"), f"d{i}", (chance.randrange(40), i), start, start + chance.choice((1, 1, 5, 30, 190))))
+    df = spark.createDataFrame(rows, "_b0 string, _leaf string, _data string, _order struct<o: int, i: int>, _s long, _e long").withColumn("_excluded", F.col("_leaf") == "y")
+    ranges = segment.Ranges(bounds)
+    cut = segment.slices(df.select("_b0", F.explode(F.array("_s", "_e")).alias("_at")), ["_b0"], ranges)
+    found, want = segment.firsts(df, cut, ["_b0"], ranges), []
+    for b in "bc":
+        ends = sorted({t for r in rows if r[0] == b for t in r[4:]})
+        for a, z in zip(ends, ends[1:]):
+            for leaf in "xy":
+                held = [r for r in rows if r[:2] == (b, leaf) and r[4] <= a < r[5]]
+                want += [(b, leaf, a, z, min(held, key=lambda r: r[3])[2], leaf == "y")] if held else []
+    assert sorted(tuple(r) for r in found.select("_b0", "_leaf", "_a", "_b", "_data", "_excluded").collect()) == sorted(want) and len(want) > 300
+
+
+def test_rows_of_branches_with_many_ends_are_not_copied_for_slices(spark, monkeypatch):
+    chance = random.Random(8)
+    rows = [("1", "A", chance.choice("xy"), ms(1985) + i * 1_000, ms(1985) + i * 1_000 + 500_000) for i in range(600)] + [("1", "B", "z", ms(1985), ms(1990))]
+    want = dyads(spark, rows)
+    monkeypatch.setattr(segment, "FEW", 100)
+    monkeypatch.setattr(engine.Plan, "_dealt", lambda *_: pytest.fail("rows are copied for slices"))
+    assert dyads(spark, rows) == want and len(want) > 2
