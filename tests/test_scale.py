@@ -396,3 +396,9 @@ def test_rows_of_branches_with_many_ends_are_not_copied_for_slices(spark, monkey
     monkeypatch.setattr(segment, "FEW", 100)
     monkeypatch.setattr(engine.Plan, "_dealt", lambda *_: pytest.fail("rows are copied for slices"))
     assert dyads(spark, rows) == want and len(want) > 2
+
+
+def test_tuples_of_blocks_are_dealt_to_all_tasks(spark):
+    leaves = written(spark.range(3_000).select(F.lit("hot").alias("b"), F.col("id").alias("_leaf"), F.lit(1).alias("_load"), F.lit(False).alias("_excluded")), "leaves")
+    rows = combine.shares(leaves, ["b"], 2, written(spark.createDataFrame([("hot",)], "b string"), "heavy"))
+    assert rows.select(F.spark_partition_id()).distinct().count() == 4
